@@ -1,11 +1,12 @@
 """Queries and oracle SQL of the numbered operators."""
 
-from depotspark.llm import mixing, quality_rules, url_filter
+from depotspark.llm import byte_bpe, mixing, quality_rules, url_filter
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLE_SQL = {

@@ -1,8 +1,9 @@
 """Queries and oracle SQL of the numbered operators."""
 
-from depotspark.llm import byte_bpe, mixing, quality_rules, url_filter
+from depotspark.llm import byte_bpe, mixing, pii, quality_rules, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_quality_rules": quality_rules.op8_quality_rules,

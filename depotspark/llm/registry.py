@@ -1,12 +1,13 @@
 """Queries and oracle SQL of the numbered operators."""
 
-from depotspark.llm import byte_bpe, mixing, ngram_join, pii, quality_rules, url_filter
+from depotspark.llm import byte_bpe, hmm_lm, mixing, ngram_join, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_hmm_lm": hmm_lm.op7_hmm_lm,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }

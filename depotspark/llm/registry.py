@@ -1,6 +1,6 @@
 """Queries and oracle SQL of the numbered operators."""
 
-from depotspark.llm import byte_bpe, hmm_lm, mixing, ngram_join, pii, quality_rules, url_filter
+from depotspark.llm import byte_bpe, cover_tree, hmm_lm, mixing, ngram_join, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_hmm_lm": hmm_lm.op7_hmm_lm,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_cover_tree": cover_tree.op9_cover_tree,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 

@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from depotspark.llm.common import connected_components, materialize, table
 from depotspark.llm.tokens import mix, shingles, slices, words
 
-GROUPS = 64
+GROUPS = 64  # coordinates of the R-tree
+FINEST = 4096  # most groups that a point is kept with
 LEAF = 16
 HOT = 200  # a value that more sets have is frequent
 PART = 256  # nodes in a part of a frequent value
@@ -72,9 +73,24 @@ def fingerprint(s: np.ndarray) -> int:
         return int(_signed(mix(np.array([np.add.reduce(mix(s + np.uint64(0x51ED270B))) + np.uint64(s.size)], dtype=np.uint64)))[0])
 
 
+def point(s: np.ndarray) -> bytes:
+    """Counts of a set in as many hash groups as keep a few shingles in each; folding halves gives the coarser points."""
+    groups = GROUPS
+    while groups < FINEST and groups * 8 < s.size:
+        groups *= 2
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    if counts.max(initial=0) > 65535:
+        counts[:] = 65535  # bounds nothing, and so loses nothing
+    return counts.astype(np.uint16).tobytes()
+
+
+def fold(vec: np.ndarray, groups: int) -> np.ndarray:
+    return vec.astype(np.int64).reshape(-1, groups).sum(0)
+
+
 def _points(docs: DataFrame) -> DataFrame:
     def row(ids, sets):
-        vec = [np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
+        vec = [point(s) for s in sets]
         n = np.array([s.size for s in sets], dtype=np.int64)
         return [ids.cast(pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(n), pa.array(vec, pa.binary())]
 
@@ -151,13 +167,25 @@ class RTree:
         return at[ok], bound[ok]
 
 
-def _search_block(node, n, vec, comp, home, num, den, first_round) -> list[tuple[int, int]]:
+def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den, first_round) -> list[tuple[int, int]]:
     """Candidate pairs of one block. home: the node belongs here (False: sent here to be compared with those that do)."""
     order = np.lexsort((node, n))
-    node, n, vec, comp, home = node[order], n[order], vec[order], comp[order], home[order]
+    node, n, comp, home = node[order], n[order], comp[order], home[order]
     if not first_round and (comp == comp[0]).all():
         return []
+    fine = [fine[k] for k in order]
+    vec = np.stack([fold(v, GROUPS) for v in fine])
     out = []
+
+    def finer(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the points at, those that can still reach the threshold with i by their finest common groups."""
+        bound = np.empty(at.size, dtype=np.int64)
+        for k, x in enumerate(at.tolist()):
+            g = min(fine[i].size, fine[x].size)
+            bound[k] = np.minimum(fold(fine[i], g), fold(fine[x], g)).sum()
+        ok = (num + den) * bound >= num * (n[i] + n[at])
+        return at[ok], bound[ok]
+
     tree = RTree(n, vec, num, den) if node.size > LEAF else None
     for i in range(node.size):
         if tree is not None:
@@ -167,13 +195,12 @@ def _search_block(node, n, vec, comp, home, num, den, first_round) -> list[tuple
             at = np.flatnonzero((num + den) * bound >= num * (n[i] + n))
             bound = bound[at]
         if first_round:
-            ok = at < i
-            if ok.any():
-                at, bound = at[ok], bound[ok]
+            at, bound = finer(i, at[at < i])
+            if at.size:
                 out.append((int(node[i]), int(node[at[np.argmax(bound / (n[at] + n[i]))]])))
         else:
             ok = (at < i) & (comp[at] != comp[i]) & (home[at] | home[i])
-            out += [(int(node[i]), int(x)) for x in node[at[ok]]]
+            out += [(int(node[i]), int(x)) for x in node[finer(i, at[ok])[0]]]
     return out
 
 
@@ -186,7 +213,7 @@ def _candidates(rows: DataFrame, num: int, den: int, first_round: bool) -> DataF
         def search(b: pd.DataFrame) -> pd.DataFrame:
             ids = b["block"].to_numpy()
             node, n, comp, home = b["node"].to_numpy(), b["n"].to_numpy(), b["comp"].to_numpy(), b["home"].to_numpy()
-            vec = np.frombuffer(b"".join(b["vec"]), dtype=np.int32).reshape(-1, GROUPS)
+            vec = [np.frombuffer(v, dtype=np.uint16) for v in b["vec"]]
             cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [ids.size]])
             found = set()
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -210,35 +237,36 @@ def _candidates(rows: DataFrame, num: int, den: int, first_round: bool) -> DataF
     return dealt.mapInPandas(run, "a long, b long").where("a != b").distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose exact sets reach the threshold."""
+def verify(docs: DataFrame, points: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose exact sets reach the threshold. Only one row of each node in a pair is read into words."""
     pairs = materialize(pairs)
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = np.array(sorted(r.node for r in need.limit(MAX_IDS + 1).toLocalIterator()), dtype=np.int64) if need.count() <= MAX_IDS else None
-    shared = docs.sparkSession.sparkContext.broadcast(few) if few is not None else None
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    need = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    if need.count() <= MAX_IDS:
+        few = np.sort(np.array([r.doc_id for r in need.collect()], dtype=np.int64))  # bounded by MAX_IDS
+        shared = docs.sparkSession.sparkContext.broadcast(few)
 
-    def row(ids, sets):
-        nodes = np.array([fingerprint(s) for s in sets], dtype=np.int64)
-        if shared is not None:
+        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
-            if not known.size:
-                return None
-            keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, nodes), known.size - 1)] == nodes)
-        else:
-            keep = np.flatnonzero([s.size > 0 for s in sets])
-        if not keep.size:
-            return None
-        _, once = np.unique(nodes[keep], return_index=True)
-        keep = keep[once]
-        return [pa.array(nodes[keep]), pa.array([_signed(sets[i]) for i in keep], pa.list_(pa.int64()))]
-
-    every = _per_doc(docs, "node long, s array<long>", row)
-    if few is None:
-        every = every.join(need, "node", "left_semi")
-    sets = materialize(every.dropDuplicates(["node"]))
+            for b in batches:
+                ids = b.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, ids), known.size - 1)] == ids) if known.size else []
+                if len(keep):
+                    yield b.take(pa.array(keep))
+
+        chosen = docs.mapInArrow(only, "doc_id long, text string")
+    else:
+        chosen = docs.join(need, "doc_id", "left_semi")
+
+    def row(ids, sets):
+        keep = [i for i, s in enumerate(sets) if s.size]
+        return [pa.array([fingerprint(sets[i]) for i in keep], pa.int64()), pa.array([_signed(sets[i]) for i in keep], pa.list_(pa.int64()))]
+
+    sets = materialize(_per_doc(chosen, "node long, s array<long>", row))
     both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("s", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return materialize(both.where(den * inter >= num * (F.size("sa") + F.size("sb") - inter)).select("a", "b"))
+    # repeated rows of one id give repeated pairs
+    return materialize(both.where(den * inter >= num * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct())
 
 
 def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,22 +274,26 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     hot = frequent(docs, num, den)
     last = np.array(sorted(np.array([r.key for r in hot.select("key").collect()], dtype=np.int64).view(np.uint64).tolist()), dtype=np.uint64)
     signed = _signatures(docs, num, den, last)
-    rows = signed.select("node", "n", F.explode("keys").alias("key"))
+    rows = signed.select("node", F.explode("keys").alias("key"))
     parts = hot.select("key", (F.floor(F.col("c") / PART) + 1).alias("parts"))
     rows = rows.join(F.broadcast(parts), "key", "left")  # at most MAX_HOT rows
-    rows = rows.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(-1)))
-    lists = rows.groupBy("key", "part").agg(F.sort_array(F.collect_set("node")).alias("nodes")).where((F.size("nodes") > 1) | (F.col("part") >= 0))
+    # a value is a block, a part of a frequent value is one
+    cell = F.when(F.col("parts").isNotNull(), F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.col("key"))
+    split = parts.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.xxhash64("key", "part").alias("cell"), "key", "part")
+    dealt = rows.select(cell.alias("cell"), "node").repartition("cell")
+    lists = dealt.groupBy("cell").agg(F.sort_array(F.collect_set("node")).alias("nodes")).join(split, "cell", "left").where((F.size("nodes") > 1) | F.col("key").isNotNull())
+    lists = lists.select("nodes", F.coalesce("key", "cell").alias("key"), F.coalesce("part", F.lit(-1)).alias("part"))
     # equal lists of nodes are one block
-    lists = materialize(lists.groupBy("nodes").agg(F.min(F.struct("key", "part")).alias("k"), F.collect_set(F.when(F.col("part") >= 0, F.col("key"))).alias("hot_keys")).select("nodes", "k.key", "k.part", "hot_keys"))
-    point = points.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
-    point = materialize(point)
+    lists = materialize(lists.groupBy("nodes").agg(F.min(F.struct("key", "part")).alias("k"), F.collect_set(F.when(F.col("part") >= 0, F.struct("key", "part"))).alias("hot_keys")).select("nodes", "k.key", "k.part", "hot_keys"))
+    ends = lists.where(F.size("nodes") > 1).select(F.explode("nodes").alias("node")).distinct()
+    where = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
     block = F.xxhash64("key", "part")
-    members = lists.where(F.size("nodes") > 1).select(block.alias("block"), F.explode("nodes").alias("node")).join(point, "node")
+    members = lists.where(F.size("nodes") > 1).select(block.alias("block"), F.explode("nodes").alias("node")).join(where, "node")
     near = _candidates(members.withColumn("comp", F.col("node")).withColumn("home", F.lit(True)), num, den, True)
-    split = lists.where("part >= 0").select(F.explode("hot_keys").alias("key"), F.element_at("nodes", 1).alias("a"))
-    across = split.join(split.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    firsts = lists.select(F.explode("hot_keys").alias("k"), F.element_at("nodes", 1).alias("a")).select("k.key", "a")
+    across = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = materialize(near.unionByName(across).distinct())
-    first = verify(docs, tried, num, den)
+    first = verify(docs, points, tried, num, den)
     comps = materialize(connected_components(first)).withColumnRenamed("component", "comp")
 
     # second round: blocks that hold several components
@@ -269,13 +301,13 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     plain = labelled.where("part < 0").withColumn("block", block)
     open_plain = plain.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("block")
     plain = plain.join(open_plain, "block", "left_semi").select("block", "node", "comp", F.lit(True).alias("home"))
-    many = labelled.where("part >= 0").select("part", "node", "comp", F.explode("hot_keys").alias("key"))
+    many = labelled.where(F.size("hot_keys") > 0).select("node", "comp", F.explode("hot_keys").alias("k")).select("node", "comp", "k.key", "k.part")
     tops = many.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1").join(parts, "key")
     many = many.join(tops, "key").withColumn("to", F.when(F.col("comp") == F.col("top"), F.array("part")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     many = many.select("key", "node", "comp", "part", F.explode("to").alias("there")).select(F.xxhash64("key", F.col("there").cast("long")).alias("block"), "node", "comp", (F.col("part") == F.col("there")).alias("home"))
-    again = plain.unionByName(many).join(point, "node")
+    again = plain.unionByName(many).join(where, "node")
     pairs = _candidates(again, num, den, False).join(tried, ["a", "b"], "left_anti")
-    return first.unionByName(verify(docs, pairs, num, den))
+    return first.unionByName(verify(docs, points, pairs, num, den))
 
 
 def components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

@@ -30,7 +30,7 @@ from depotspark.llm.tokens import slices, words
 
 STATES = 8
 SYMBOLS = 8192
-KNOWN = 1 << 18
+KNOWN = 1 << 17
 CLASSES = 24
 ROUNDS = 3
 PIECE = 256

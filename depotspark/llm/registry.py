@@ -1,11 +1,13 @@
 """Queries and oracle SQL of the numbered operators."""
 
-from depotspark.llm import byte_bpe, cover_tree, hmm_lm, mixing, ngram_join, pii, quality_rules, url_filter
+from depotspark.llm import byte_bpe, cover_tree, hmm_lm, html_extract, license_scan, mixing, ngram_join, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_html_extract": html_extract.op3_html_extract,
     "op4_mixing": mixing.op4_mixing,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_hmm_lm": hmm_lm.op7_hmm_lm,
     "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_url_filter": url_filter.SQL,
 }

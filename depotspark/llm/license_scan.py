@@ -1,10 +1,11 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-A template is a set of 5-word shingles. For each template length the text is cut into windows of twice that length
-in steps of it, so every place a template can stand lies whole in one window. Each window has one minimum under each
-of b hash functions (bands of one row); a window is a candidate for a template where any of them meet. b follows from
-the least Jaccard similarity that a window with enough of the template has, so that a match is missed with probability
-below `MISS`. Candidates are verified: at least `share` of the template's shingles must stand in the window.
+A template is a set of 5-word shingles. For templates of similar length the text is cut into windows that overlap, in
+steps of a quarter of that length, long enough that every place a template can stand lies whole in one window. Each
+window has one minimum under each of b hash functions (bands of one row); a window is a candidate for a template where
+any of them meet. b follows from the least Jaccard similarity that a window with enough of the template has, so that a
+match is missed with probability below `MISS`. Candidates are verified: at least `share` of the template's shingles
+must stand in the window, in one text. Minima are taken over many texts at once; a window over two texts is harmless.
 
 Templates are a short parameter and travel with the code; texts are scanned whole, row by row, in linear time.
 
@@ -49,20 +50,66 @@ def positional(h: np.ndarray) -> np.ndarray:
 
 
 class Family:
-    """Templates of similar length: window, bands and the templates' minima."""
+    """Templates of similar length: step, blocks of a window, bands and the templates' minima."""
 
     def __init__(self, members: list[tuple[str, np.ndarray]], share: float):
         self.members = members
-        self.step = max(s.size for _, s in members) + K - 1
-        window = 2 * self.step - K + 1  # shingles of a window
-        least = min(share * s.size / (window + (1 - share) * s.size) for _, s in members)
-        self.bands = math.ceil(math.log(MISS) / math.log(1 - least))
+        most = max(s.size for _, s in members)
+        self.step = max(1, (most + K - 1) // 4)
+        self.blocks = -(-(most + self.step - 1) // self.step)
+        window = self.blocks * self.step
+        need = [(s.size, math.ceil(share * s.size - 1e-9)) for _, s in members]
+        least = min(k / (window + t - k) for t, k in need)
+        self.bands = 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
         r = np.random.default_rng(5)
         self.odd = r.integers(1, 1 << 62, self.bands, dtype=np.uint64) * _U(2) + _U(1)
         with np.errstate(over="ignore"):
             self.minima = np.array([[(s * a).min() for a in self.odd] for _, s in members])  # members x bands
 
-    def scan(self, s: np.ndarray, share: float) -> dict[str, float]:
+    def candidates(self, s: np.ndarray) -> list[tuple[int, int, int]]:
+        """(member, first and last shingle) of windows of the positional shingles s that share a minimum."""
+        starts = np.arange(0, s.size, self.step)
+        hit = np.zeros((len(self.members), starts.size), dtype=bool)
+        with np.errstate(over="ignore"):
+            for k, a in enumerate(self.odd):
+                block = np.minimum.reduceat(s * a, starts) if self.step > 1 else s * a
+                low = block.copy()
+                for j in range(1, self.blocks):
+                    np.minimum(low[:-j], block[j:], out=low[:-j])
+                for m in range(len(self.members)):
+                    hit[m] |= low == self.minima[m, k]
+        return [(int(m), int(starts[w]), int(starts[w]) + self.blocks * self.step) for m, w in zip(*np.nonzero(hit))]
+
+
+def families(templates: dict[str, list[str]], share: float) -> list[Family]:
+    by: dict[int, list] = {}
+    for name, texts in templates.items():
+        for t in texts:
+            s = np.unique(positional(words(pa.array([t]))[0]))
+            if s.size:
+                by.setdefault(round(math.log(s.size, 1.5)), []).append((name, s))
+    return [Family(m, share) for _, m in sorted(by.items())]
+
+
+def matches(h: np.ndarray, first: np.ndarray, known: list[Family], share: float) -> list[dict[str, float]]:
+    """Best containment of each license, for each text of a slice; h: word hashes, first: first word of each text."""
+    found: list[dict[str, float]] = [{} for _ in range(first.size - 1)]
+    s = positional(h)
+    if not s.size:
+        return found
+    for f in known:
+        for m, a, z in f.candidates(s):
+            name, t = f.members[m]
+            # the texts that the window touches; a shingle must end within its text
+            for d in range(int(np.searchsorted(first, a, side="right")) - 1, int(np.searchsorted(first, min(z, h.size) - 1, side="right"))):
+                part = s[max(a, int(first[d])) : max(0, min(z, int(first[d + 1]) - K + 1))]
+                c = float(np.isin(t, part).sum()) / t.size if part.size else 0.0
+                if c >= share:
+                    found[d][name] = max(c, found[d].get(name, 0.0))
+    return found
+
+
+def scan(self, s: np.ndarray, share: float) -> dict[str, float]:
         """Best containment of each license in one text; s: its positional shingles."""
         found: dict[str, float] = {}
         if not s.size:
@@ -101,16 +148,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, share:
         for b in batches:
             for s, e in slices(b.column(1)):
                 h, first, _ = words(b.column(1).slice(s, e - s))
-                full = positional(h)
-                names, best = [], []
-                for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
-                    own = full[a : z - K + 1] if z - a >= K else full[:0]
-                    found: dict[str, float] = {}
-                    for f in shared.value:
-                        for k, c in f.scan(own, share).items():
-                            found[k] = max(c, found.get(k, 0.0))
-                    names.append(sorted(found))
-                    best.append(max(found.values(), default=0.0))
+                found = matches(h, first, shared.value, share)
+                names, best = [sorted(x) for x in found], [max(x.values(), default=0.0) for x in found]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([len(x) for x in names], pa.int64()), pa.array([",".join(x) for x in names], pa.string()), pa.array(best, pa.float64())], names=["doc_id", "n_licenses", "licenses", "containment"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_licenses long, licenses string, containment double")

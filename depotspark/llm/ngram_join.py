@@ -12,12 +12,13 @@ What makes this a distributed job:
   share one of their first a - ceil(t a) + 1 shingles. The order is: shingles that few sets have in front, by hash,
   then the frequent ones (counted over all documents). Each value is a block; equal blocks are one block; frequent
   values are split by node hash into blocks of bounded size.
-* In each block an R-tree of its points is searched. The first round asks only for each node's best earlier
-  partner, plus one link from each part of a split value to the value's first node. These pairs are verified and
-  joined to components. The second round takes the blocks that still hold several components, where nodes outside
-  a split value's commonest component are sent to all of its parts, and asks for every pair between different
-  components. Every pair at the threshold is thus verified or lies inside one component already: no link is lost,
-  and a large group of near copies never makes all its pairs.
+* In each block an R-tree of its points is searched. Two rounds ask only for each node's best partner in another
+  component: the first in some blocks (near copies meet in very many), with one link from each part of a split value
+  to the value's first node, the second in every block that still holds several components. Their pairs are verified
+  and joined to components. The last round takes what is open still and asks for every pair between different
+  components; in a split value, nodes outside its commonest component are sent to all of its parts. Every pair at the
+  threshold is thus verified or lies inside one component already: no link is lost, and a large group of near copies
+  never makes all its pairs.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing (component: their own id);
 repeated rows are copies; rows with a null id are returned with a null component; ties need no order; an empty
@@ -42,6 +43,7 @@ FINEST = 4096  # most groups that a point is kept with
 LEAF = 16
 HOT = 200  # a value that more sets have is frequent
 PART = 256  # nodes in a part of a frequent value
+SOME = 16  # one block in so many is searched in the first round
 MAX_HOT = 1_000_000  # most frequent values that are broadcast; beyond it HOT rises
 MAX_IDS = 4_000_000  # most node ids that are broadcast as a filter
 
@@ -84,8 +86,9 @@ def point(s: np.ndarray) -> bytes:
     return counts.astype(np.uint16).tobytes()
 
 
-def fold(vec: np.ndarray, groups: int) -> np.ndarray:
-    return vec.astype(np.int64).reshape(-1, groups).sum(0)
+def _folded(vec: np.ndarray, groups: int) -> np.ndarray:
+    """Counts in fewer groups: those that agree in the lower bits are added."""
+    return vec if vec.size == groups else vec.reshape(-1, groups).sum(0, dtype=np.int64)
 
 
 def _points(docs: DataFrame) -> DataFrame:
@@ -150,11 +153,11 @@ class RTree:
             self.levels.append((np.maximum.reduceat(hi, starts), np.minimum.reduceat(lo_n, starts), np.maximum.reduceat(hi_n, starts)))
 
     def _fits(self, q: np.ndarray, a: int, hi: np.ndarray, lo_n: np.ndarray, hi_n: np.ndarray) -> np.ndarray:
-        bound = np.minimum(np.minimum(q, hi).sum(1), np.minimum(a, hi_n))
+        bound = np.minimum(np.minimum(q, hi).sum(1, dtype=np.int64), np.minimum(a, hi_n))
         return self.all * bound >= self.num * (a + lo_n)
 
-    def search(self, q: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points that can reach the threshold with (q, a), and their bounds on the overlap."""
+    def search(self, q: np.ndarray, a: int) -> np.ndarray:
+        """Points that can reach the threshold with (q, a)."""
         at = np.arange(self.levels[-1][1].size)
         for k in range(len(self.levels) - 1, -1, -1):
             hi, lo_n, hi_n = self.levels[k]
@@ -162,49 +165,58 @@ class RTree:
             size = self.levels[k - 1][1].size if k else self.n.size
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < size]
-        bound = np.minimum(np.minimum(q, self.vec[at]).sum(1), np.minimum(a, self.n[at]))
-        ok = self.all * bound >= self.num * (a + self.n[at])
-        return at[ok], bound[ok]
+        bound = np.minimum(np.minimum(q, self.vec[at]).sum(1, dtype=np.int64), np.minimum(a, self.n[at]))
+        return at[self.all * bound >= self.num * (a + self.n[at])]
 
 
-def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den, first_round) -> list[tuple[int, int]]:
-    """Candidate pairs of one block. home: the node belongs here (False: sent here to be compared with those that do)."""
+def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den, best_only) -> list[tuple[int, int]]:
+    """Candidate pairs of one block between different components: each node's best (best_only) or all.
+
+    home: the node belongs here (False: sent here to be compared with those that do).
+    """
+    if (comp == comp[0]).all():
+        return []
+
+    if node.size == 2:
+        g = min(fine[0].size, fine[1].size)
+        bound = min(int(np.minimum(_folded(fine[0], g), _folded(fine[1], g)).sum()), int(n.min()))
+        return [(int(node[0]), int(node[1]))] if home.any() and (num + den) * bound >= num * int(n.sum()) else []
     order = np.lexsort((node, n))
     node, n, comp, home = node[order], n[order], comp[order], home[order]
-    if not first_round and (comp == comp[0]).all():
-        return []
     fine = [fine[k] for k in order]
-    vec = np.stack([fold(v, GROUPS) for v in fine])
+    sizes = np.array([v.size for v in fine])
+    # for each number of groups, the points that are at least as fine, folded to it
+    rows, at_rows = {}, {}
+    for g in np.unique(sizes).tolist():
+        members = np.flatnonzero(sizes >= g)
+        rows[g] = np.stack([_folded(fine[k], g) for k in members])
+        at_rows[g] = np.full(node.size, -1)
+        at_rows[g][members] = np.arange(members.size)
+    fine64 = np.stack([_folded(v, GROUPS) for v in fine]) if node.size > 2 * LEAF else None
+    tree = RTree(n, fine64, num, den) if fine64 is not None else None
     out = []
-
-    def finer(i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the points at, those that can still reach the threshold with i by their finest common groups."""
-        bound = np.empty(at.size, dtype=np.int64)
-        for k, x in enumerate(at.tolist()):
-            g = min(fine[i].size, fine[x].size)
-            bound[k] = np.minimum(fold(fine[i], g), fold(fine[x], g)).sum()
-        ok = (num + den) * bound >= num * (n[i] + n[at])
-        return at[ok], bound[ok]
-
-    tree = RTree(n, vec, num, den) if node.size > LEAF else None
     for i in range(node.size):
-        if tree is not None:
-            at, bound = tree.search(vec[i], int(n[i]))
-        else:
-            bound = np.minimum(np.minimum(vec[i], vec).sum(1), np.minimum(n[i], n))
-            at = np.flatnonzero((num + den) * bound >= num * (n[i] + n))
-            bound = bound[at]
-        if first_round:
-            at, bound = finer(i, at[at < i])
-            if at.size:
-                out.append((int(node[i]), int(node[at[np.argmax(bound / (n[at] + n[i]))]])))
-        else:
-            ok = (at < i) & (comp[at] != comp[i]) & (home[at] | home[i])
-            out += [(int(node[i]), int(x)) for x in node[finer(i, at[ok])[0]]]
+        at = tree.search(fine64[i], int(n[i])) if tree is not None else np.flatnonzero((num + den) * np.minimum(n[i], n) >= num * (n[i] + n))
+        at = at[(comp[at] != comp[i]) & (home[at] | home[i])]
+        if not best_only:
+            at = at[at < i]
+        bound = np.zeros(at.size, dtype=np.int64)
+        common = np.minimum(sizes[at], sizes[i])
+        for g in set(common.tolist()):
+            k = np.flatnonzero(common == g)
+            m = rows[g]
+            bound[k] = np.minimum(m[at_rows[g][at[k]]], m[at_rows[g][i]]).sum(1, dtype=np.int64)
+        ok = (num + den) * bound >= num * (n[i] + n[at])
+        at, bound = at[ok], bound[ok]
+        if best_only and at.size:
+            x = at[np.argmax(bound / (n[at] + n[i]))]
+            out.append((int(node[i]), int(node[x])))
+        elif not best_only:
+            out += [(int(node[i]), int(x)) for x in node[at]]
     return out
 
 
-def _candidates(rows: DataFrame, num: int, den: int, first_round: bool) -> DataFrame:
+def _candidates(rows: DataFrame, num: int, den: int, best_only: bool) -> DataFrame:
     """rows: block, node, n, vec, comp, home -> distinct pairs (a, b), a < b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +230,7 @@ def _candidates(rows: DataFrame, num: int, den: int, first_round: bool) -> DataF
             found = set()
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if e - s > 1:
-                    found.update((min(p), max(p)) for p in _search_block(node[s:e], n[s:e], vec[s:e], comp[s:e], home[s:e], num, den, first_round))
+                    found.update((min(p), max(p)) for p in _search_block(node[s:e], n[s:e], vec[s:e], comp[s:e], home[s:e], num, den, best_only))
             return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
         for b in batches:
@@ -287,27 +299,41 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     lists = materialize(lists.groupBy("nodes").agg(F.min(F.struct("key", "part")).alias("k"), F.collect_set(F.when(F.col("part") >= 0, F.struct("key", "part"))).alias("hot_keys")).select("nodes", "k.key", "k.part", "hot_keys"))
     ends = lists.where(F.size("nodes") > 1).select(F.explode("nodes").alias("node")).distinct()
     where = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
-    block = F.xxhash64("key", "part")
-    members = lists.where(F.size("nodes") > 1).select(block.alias("block"), F.explode("nodes").alias("node")).join(where, "node")
-    near = _candidates(members.withColumn("comp", F.col("node")).withColumn("home", F.lit(True)), num, den, True)
     firsts = lists.select(F.explode("hot_keys").alias("k"), F.element_at("nodes", 1).alias("a")).select("k.key", "a")
-    across = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = materialize(near.unionByName(across).distinct())
-    first = verify(docs, points, tried, num, den)
-    comps = materialize(connected_components(first)).withColumnRenamed("component", "comp")
-
-    # second round: blocks that hold several components
-    labelled = lists.select("key", "part", "hot_keys", F.explode("nodes").alias("node")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    plain = labelled.where("part < 0").withColumn("block", block)
-    open_plain = plain.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("block")
-    plain = plain.join(open_plain, "block", "left_semi").select("block", "node", "comp", F.lit(True).alias("home"))
-    many = labelled.where(F.size("hot_keys") > 0).select("node", "comp", F.explode("hot_keys").alias("k")).select("node", "comp", "k.key", "k.part")
+    across = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    tried = found = comps = None
+    for best_only, part in ((True, lists.where(F.pmod(F.xxhash64("key", "part"), F.lit(SOME)) == 0)), (True, lists), (False, lists)):
+        rows = _open_blocks(part, parts, comps).join(where, "node")
+        pairs = _candidates(rows, num, den, best_only)
+        if tried is None:
+            pairs = pairs.unionByName(across).distinct()
+        else:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs)
+        links_ = verify(docs, points, pairs, num, den)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = links_ if found is None else found.unionByName(links_)
+        if best_only:
+            comps = materialize(connected_components(found)).withColumnRenamed("component", "comp")
+    return found
+
+
+def _open_blocks(lists: DataFrame, parts: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Blocks with more than one component: block, node, comp, home. In a split value, nodes outside its commonest component go to all parts."""
+    block = F.xxhash64("key", "part")
+    rows = lists.select("key", "part", "hot_keys", F.explode("nodes").alias("node"))
+    if comps is None:
+        return rows.select(block.alias("block"), "node", F.col("node").alias("comp"), F.lit(True).alias("home"))
+    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    plain = rows.where("part < 0").withColumn("block", block)
+    several = plain.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("block")
+    plain = plain.join(several, "block", "left_semi").select("block", "node", "comp", F.lit(True).alias("home"))
+    many = rows.where(F.size("hot_keys") > 0).select("node", "comp", F.explode("hot_keys").alias("k")).select("node", "comp", "k.key", "k.part")
     tops = many.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1").join(parts, "key")
     many = many.join(tops, "key").withColumn("to", F.when(F.col("comp") == F.col("top"), F.array("part")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     many = many.select("key", "node", "comp", "part", F.explode("to").alias("there")).select(F.xxhash64("key", F.col("there").cast("long")).alias("block"), "node", "comp", (F.col("part") == F.col("there")).alias("home"))
-    again = plain.unionByName(many).join(where, "node")
-    pairs = _candidates(again, num, den, False).join(tried, ["a", "b"], "left_anti")
-    return first.unionByName(verify(docs, points, pairs, num, den))
+    return plain.unionByName(many)
 
 
 def components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from depotspark.llm.common import table
 
-MEMO = 500_000  # chunks that a worker remembers
+MEMO = 300_000  # chunks that a worker remembers
 NONE = 1 << 40
 
 
@@ -180,7 +180,7 @@ class Encoder:
         ]
 
 
-def _slices(texts: list, most: int = 1 << 22) -> Iterator[list[str]]:
+def _slices(texts: list, most: int = 1 << 20) -> Iterator[list[str]]:
     """Texts (null: empty) in runs of about `most` characters."""
     run, size = [], 0
     for t in texts:

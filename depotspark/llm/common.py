@@ -20,6 +20,8 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends the package's modules to the executors, once for each application: tasks then need no path of their own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows hold whole texts
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -282,12 +282,9 @@ add("predicted_items", PRED, "select key, round(value, 4) as value, is_new from
 add("predicted_sku_abc", PRED, f", pv as (select key, storage_class, round(value, 4) as value from pi join prof using (key) where round(value, 4) > 0) select key, storage_class, round(value, 4) as value, cast(rank as int) as rank, cls from {classed('pv', 'value', 'key', 'storage_class')}")
 CNT = f"{EARLY}, {CAL}, {dense('item_id', 'count(*)')}, nw as (select key from d where list_max(s) > 0 and list_position(list_transform(s, lambda v: v > 0), true) - 1 >= len(s) - 6), {selected(' where key not in (select key from nw)')}, freq as (select item_id, count(distinct ship_no) as freq from sales group by 1)"
 add("predicted_with_history", CNT, "select coalesce(item_id, key) as key, round(coalesce(pred_sum, freq * 3.0::double / 9), 4) as value, cast(pred_sum is null as int) as from_history from freq full join ac on item_id = key")
-_cnt = dense("category_id", "count(*)").replace("g as", "g_ as").replace("from g ", "from g_ ").replace("join g ", "join g_ ").replace(" g.", " g_.").replace("ks as", "ks_ as").replace("ks.key", "ks_.key").replace("from ks ", "from ks_ ").replace("d as", "d_ as")
-_sel2 = selected()
-for n in ("d1", "d2", "og", "er", "bm", "ch", "pr", "ac"):
-    _sel2 = _sel2.replace(f"{n} as", f"{n}_ as").replace(f"from {n} ", f"from {n}_ ").replace(f"from {n})", f"from {n}_)").replace(f"from {n},", f"from {n}_,").replace(f"join {n} ", f"join {n}_ ").replace("d2.key", "d2_.key")
-_sel2 = _sel2.replace("from d)", "from d_)")
-add("predicted_category_abc", f"{CATS}, {selected()}, {_cnt}, {_sel2}, mat as (select category_id as key, case when count(*) filter (storage_class = '棧板') > count(*) filter (storage_class = '貨架') then '棧板' else '貨架' end as material from sales group by 1), pc as (select ac.key, material, case when material = '貨架' then round(ac_.pred_sum, 6) else round(ac.pred_sum, 6) end as value from ac join ac_ using (key) join mat using (key))", f"select key, material, round(value, 6) as value, cast(rank as int) as rank, round(share, 6) as share, round(cum, 6) as cum, cls from {classed('pc', 'value', 'key', 'material')}")
+
+
+add("predicted_category_abc", f"{CATS}, {selected()}, ac_ as (with {dense('category_id', 'count(*)')}, {selected()} select * from ac), mat as (select category_id as key, case when count(*) filter (storage_class = '棧板') > count(*) filter (storage_class = '貨架') then '棧板' else '貨架' end as material from sales group by 1), pc as (select ac.key, material, case when material = '貨架' then round(ac_.pred_sum, 6) else round(ac.pred_sum, 6) end as value from ac join ac_ using (key) join mat using (key))", f"select key, material, round(value, 6) as value, cast(rank as int) as rank, round(share, 6) as share, round(cum, 6) as cum, cls from {classed('pc', 'value', 'key', 'material')}")
 
 # ---- waves
 ZONES = "zones as (select 'R' || lpad(cast(i as varchar), 2, '0') as zone_id, 'shelf' as material, 20.0::double + 7 * i as area_m2, 10.0::double + 3 * i as distance_m from range(0, 10) t(i) union all select 'L' || lpad(cast(i as varchar), 2, '0'), 'pallet', 41.0::double + 5 * i, 11.5::double + 4 * i from range(0, 14) t(i))"

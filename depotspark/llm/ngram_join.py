@@ -48,12 +48,18 @@ MAX_HOT = 1_000_000  # most frequent values that are broadcast; beyond it HOT ri
 MAX_IDS = 4_000_000  # most node ids that are broadcast as a filter
 
 
-def _per_doc(docs: DataFrame, schema: str, row) -> DataFrame:
-    """Runs row(ids, sets) -> Arrow batch over slices of each batch; docs: doc_id, text."""
+def _per_doc(docs: DataFrame, schema: str, row, only=None) -> DataFrame:
+    """Runs row(ids, sets) -> Arrow arrays over slices of each batch; docs: doc_id, text; only: a broadcast of sorted ids to take."""
     fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if only is not None:
+                known, ids = only.value, b.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
+                keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, ids), known.size - 1)] == ids) if known.size else np.zeros(0, int)
+                if not keep.size:
+                    continue
+                b = b.take(pa.array(keep))
             text = b.column(1)
             for s, e in slices(text):
                 part = text.slice(s, e - s)
@@ -254,27 +260,17 @@ def verify(docs: DataFrame, points: DataFrame, pairs: DataFrame, num: int, den:
     pairs = materialize(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     need = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
+    shared = None
     if need.count() <= MAX_IDS:
-        few = np.sort(np.array([r.doc_id for r in need.collect()], dtype=np.int64))  # bounded by MAX_IDS
-        shared = docs.sparkSession.sparkContext.broadcast(few)
-
-        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for b in batches:
-                ids = b.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-                keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, ids), known.size - 1)] == ids) if known.size else []
-                if len(keep):
-                    yield b.take(pa.array(keep))
-
-        chosen = docs.mapInArrow(only, "doc_id long, text string")
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in need.collect()], dtype=np.int64)))  # bounded by MAX_IDS
     else:
-        chosen = docs.join(need, "doc_id", "left_semi")
+        docs = docs.join(need, "doc_id", "left_semi")
 
     def row(ids, sets):
         keep = [i for i, s in enumerate(sets) if s.size]
         return [pa.array([fingerprint(sets[i]) for i in keep], pa.int64()), pa.array([_signed(sets[i]) for i in keep], pa.list_(pa.int64()))]
 
-    sets = materialize(_per_doc(chosen, "node long, s array<long>", row))
+    sets = materialize(_per_doc(docs, "node long, s array<long>", row, shared))
     both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("s", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     # repeated rows of one id give repeated pairs

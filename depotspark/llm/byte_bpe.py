@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from depotspark.llm.common import table
 
-MEMO = 300_000  # chunks that a worker remembers
+MEMO = 250_000  # chunks that a worker remembers
 NONE = 1 << 40
 
 
@@ -43,10 +43,10 @@ class Pairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        found = [(ranks[t[:k]] << 20 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        found.sort()
-        self.keys = np.array([k for k, _ in found] + [1 << 62], dtype=np.int64)
-        self.rank = np.array([r for _, r in found] + [NONE], dtype=np.int64)
+        found = [(ranks[t[:k]] << 20 | ranks[t[k:]]) << 20 | r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        packed = np.sort(np.array(found, dtype=np.int64))
+        self.keys = np.append(packed >> 20, 1 << 62)
+        self.rank = np.append(packed & ((1 << 20) - 1), NONE)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -59,8 +59,9 @@ class Pairs:
         out: list = [None] * len(words)
         sizes = np.array([len(w) for w in words])
         for low, high in ((0, 6), (6, 10), (10, 16), (16, 48)):
-            rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            if rows.size:
+            every = np.flatnonzero((sizes > low) & (sizes <= high))
+            for k in range(0, every.size, 8192):
+                rows = every[k : k + 8192]
                 self._merge_rows(words, rows, sizes[rows], out)
         for i in np.flatnonzero(sizes > 48):
             w = words[i]

@@ -226,6 +226,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(shared, pattern)
         for b in batches:
+            if b.empty:
+                continue
             ids = [x for part in _slices(b[text_col]) for x in enc.encode(part)]
             yield b.assign(n_tokens=[len(x) for x in ids], ids=ids)
 
@@ -241,6 +243,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(shared, pattern)
         for b in batches:
+            if b.empty:
+                continue
             yield b.assign(decoded=[enc.decode(x) for x in b["ids"]])
 
     return encoded.mapInPandas(run, _out(encoded, "decoded binary"))
@@ -254,6 +258,8 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(shared, pattern)
         for b in batches:
+            if b.empty:
+                continue
             rows = [x for part in _slices(b["text"]) for x in enc.digests(part)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
@@ -292,7 +298,7 @@ def encode_words(words: DataFrame, path: str | None = None) -> DataFrame:
         return out
 
     hexed = F.lower(F.hex(F.encode(F.col("word"), "UTF-8")))
-    pieces = F.transform(F.sequence(F.lit(0), F.length(hexed).cast("int") / 2 - 1), lambda i: F.substr(hexed, (i * 2 + 1).cast("int"), F.lit(2)))
+    pieces = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2).cast("int") - 1), lambda i: F.substr(hexed, (i * 2 + 1).cast("int"), F.lit(2)))
 
     def step(acc: Column) -> Column:
         n = F.size(acc)

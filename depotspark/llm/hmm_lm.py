@@ -276,6 +276,8 @@ def score(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, known:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, norm = sent.value
         for b in batches:
+            if b.empty:
+                continue
             lik = log_likelihoods(m, [np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in b["symbols"]])
             rare = [float(np.dot(x, norm)) if len(x) else 0.0 for x in b["rare"]]
             yield b.drop(columns=["symbols", "rare"]).assign(lik=lik - rare)

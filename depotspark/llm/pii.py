@@ -364,6 +364,8 @@ def find(docs: DataFrame, text_col: str = "text", weights: dict | None = None) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for b in batches:
+            if b.empty:
+                continue
             texts = [t if isinstance(t, str) else None for t in b[text_col]]
             found = [spans_of(t or "", w) for t in texts]
             made = {f"n_{k}": [sum(s[0] == k for s in f[0]) for f in found] for k in KINDS}
@@ -379,6 +381,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
         for b in batches:
+            if b.empty:
+                continue
             found = [spans_of(t if isinstance(t, str) else "", w) for t in b["text"]]
             made = {f"n_{k}": [sum(s[0] == k for s in f[0]) for f in found] for k in KINDS}
             yield pd.DataFrame({"doc_id": b["doc_id"], **made, "base_sha256": [hashlib.sha256(_joined(f[0]).encode()).hexdigest() for f in found], "spans": [_joined(f[1]) for f in found], "n_added": [len(f[1]) - len(f[0]) for f in found]})

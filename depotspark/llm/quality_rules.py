@@ -181,7 +181,8 @@ def judge(stats: DataFrame, h: float, steps: int, cut: float, scale: float, min_
     own = _mcd(_by(good, sizes.where(F.col("_rows") >= min_group), keys).drop("_rows"), keys, h, steps).withColumn("_own", F.lit(True)).drop("m")
     every = _mcd(good, [], h, steps).drop("m")
     cols = [c for c in every.columns]
-    groups = stats.select(*keys).distinct().crossJoin(F.broadcast(every.select(*[F.col(c).alias(f"all_{c}") for c in cols])))
+    # one row, or none where no row passes the floors
+    groups = stats.select(*keys).distinct().join(F.broadcast(every.select(*[F.col(c).alias(f"all_{c}") for c in cols])), F.lit(True), "left")
     named = own.select(*[F.col(k).alias(f"o_{k}") for k in keys], "_own", *cols)
     full = groups.join(named, [groups[k].eqNullSafe(named[f"o_{k}"]) for k in keys], "left")
     est = materialize(full.select(*keys, *[F.coalesce(F.when(F.col("_own"), F.col(c)), F.col(f"all_{c}")).alias(c) for c in cols]))

@@ -9,6 +9,7 @@ from depotspark import reference_values as R
 from depotspark.functions import series as S
 from depotspark.functions import text as T
 from depotspark.operators.abc import classes
+from depotspark.operators.graph import cut_lineage
 
 
 def with_period(sales: DataFrame, granularity: str = "month") -> DataFrame:
@@ -128,7 +129,7 @@ def predicted_items(sales: DataFrame, target: str = "qty", recent: int = R.RECEN
     d, profile = dense(sales, "item_id", target), item_profile(sales)
     mature = accuracy(select(d.join(new_items(d, recent).select("key"), "key", "left_anti"), horizon), horizon).select("key", F.col("pred_sum").alias("value"), F.lit(0).alias("is_new"))
     new = cold_start(d, profile, recent).select("key", (F.col("level") * horizon).alias("value"), F.lit(1).alias("is_new"))
-    return mature.unionByName(new)
+    return cut_lineage(mature.unionByName(new))  # else a filter above would run the selection again below
 
 
 def predicted_categories(sales: DataFrame, horizon: int = 3) -> DataFrame:
@@ -137,7 +138,7 @@ def predicted_categories(sales: DataFrame, horizon: int = 3) -> DataFrame:
     pallet = F.sum((F.col("storage_class") == "棧板").cast("int"))
     material = sales.where("category_id is not null").groupBy(F.col("category_id").alias("key")).agg(F.when(pallet > shelf, "棧板").otherwise("貨架").alias("material"))
     value = lambda t: accuracy(select(dense(sales, "category_id", t), horizon), horizon).select("key", F.round("pred_sum", 6).alias(t))
-    both = value("qty").join(value("cnt"), "key").join(material, "key").withColumn("value", F.when(F.col("material") == "貨架", F.col("cnt")).otherwise(F.col("qty"))).where("value > 0")
+    both = cut_lineage(value("qty")).join(cut_lineage(value("cnt")), "key").join(material, "key").withColumn("value", F.when(F.col("material") == "貨架", F.col("cnt")).otherwise(F.col("qty"))).where("value > 0")
     return classes(both.select("key", "material", "value"), "value", "key", within="material")
 
 

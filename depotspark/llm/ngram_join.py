@@ -14,11 +14,11 @@ What makes this a distributed job:
   values are split by node hash into blocks of bounded size.
 * In each block an R-tree of its points is searched. Two rounds ask only for each node's best partner in another
   component: the first in some blocks (near copies meet in very many), with one link from each part of a split value
-  to the value's first node, the second in every block that still holds several components. Their pairs are verified
-  and joined to components. The last round takes what is open still and asks for every pair between different
-  components; in a split value, nodes outside its commonest component are sent to all of its parts. Every pair at the
-  threshold is thus verified or lies inside one component already: no link is lost, and a large group of near copies
-  never makes all its pairs.
+  to the value's first node, the second in every block that still holds several components; in a split value, nodes
+  outside its commonest component are sent to all of its parts. Their pairs are verified and joined to components. The
+  last round takes the nodes that had any partner within the bound and the blocks that are open still, brings the exact
+  sets together, and returns a forest of the links between different components. Every pair at the threshold is thus
+  verified or lies inside one component already: no link is lost, and a group never makes all its pairs.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing (component: their own id);
 repeated rows are copies; rows with a null id are returned with a null component; ties need no order; an empty
@@ -43,6 +43,7 @@ FINEST = 4096  # most groups that a point is kept with
 LEAF = 16
 HOT = 200  # a value that more sets have is frequent
 PART = 256  # nodes in a part of a frequent value
+CELL = 20_000  # rows in a cell
 SOME = 16  # one block in so many is searched in the first round
 MAX_HOT = 1_000_000  # most frequent values that are broadcast; beyond it HOT rises
 MAX_IDS = 4_000_000  # most node ids that are broadcast as a filter
@@ -175,8 +176,8 @@ class RTree:
         return at[self.all * bound >= self.num * (a + self.n[at])]
 
 
-def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den, best_only) -> list[tuple[int, int]]:
-    """Candidate pairs of one block between different components: each node's best (best_only) or all.
+def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den) -> list[tuple[int, int]]:
+    """Candidate pairs of one block between different components: each node's best.
 
     home: the node belongs here (False: sent here to be compared with those that do).
     """
@@ -204,8 +205,6 @@ def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den, best_on
     for i in range(node.size):
         at = tree.search(fine64[i], int(n[i])) if tree is not None else np.flatnonzero((num + den) * np.minimum(n[i], n) >= num * (n[i] + n))
         at = at[(comp[at] != comp[i]) & (home[at] | home[i])]
-        if not best_only:
-            at = at[at < i]
         bound = np.zeros(at.size, dtype=np.int64)
         common = np.minimum(sizes[at], sizes[i])
         for g in set(common.tolist()):
@@ -214,19 +213,17 @@ def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den, best_on
             bound[k] = np.minimum(m[at_rows[g][at[k]]], m[at_rows[g][i]]).sum(1, dtype=np.int64)
         ok = (num + den) * bound >= num * (n[i] + n[at])
         at, bound = at[ok], bound[ok]
-        if best_only and at.size:
+        if at.size:
             x = at[np.argmax(bound / (n[at] + n[i]))]
             out.append((int(node[i]), int(node[x])))
-        elif not best_only:
-            out += [(int(node[i]), int(x)) for x in node[at]]
     return out
 
 
-def _candidates(rows: DataFrame, num: int, den: int, best_only: bool) -> DataFrame:
-    """rows: block, node, n, vec, comp, home -> distinct pairs (a, b), a < b."""
+def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows: cell, block, node, n, vec, comp, home -> distinct pairs (a, b), a < b: each node's best partner in each block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, known = None, set()
 
         def search(b: pd.DataFrame) -> pd.DataFrame:
             ids = b["block"].to_numpy()
@@ -236,11 +233,17 @@ def _candidates(rows: DataFrame, num: int, den: int, best_only: bool) -> DataFra
             found = set()
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if e - s > 1:
-                    found.update((min(p), max(p)) for p in _search_block(node[s:e], n[s:e], vec[s:e], comp[s:e], home[s:e], num, den, best_only))
+                    found.update((min(p), max(p)) for p in _search_block(node[s:e], n[s:e], vec[s:e], comp[s:e], home[s:e], num, den))
+            found -= known
+            if len(known) > 500_000:
+                known.clear()  # only spares repeats
+            known.update(found)
             return pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if b.empty:
+                continue
             last = b["block"].iloc[-1]
             if b["block"].iloc[0] != last:
                 whole = (b["block"] != last).to_numpy()
@@ -251,14 +254,22 @@ def _candidates(rows: DataFrame, num: int, den: int, best_only: bool) -> DataFra
         if rest is not None:
             yield search(rest)
 
-    dealt = rows.repartition("block").sortWithinPartitions("block")
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "block")
     return dealt.mapInPandas(run, "a long, b long").where("a != b").distinct()
 
 
 def verify(docs: DataFrame, points: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose exact sets reach the threshold. Only one row of each node in a pair is read into words."""
-    pairs = materialize(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(docs, points, ends)
+    both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("s", "sb"), "b")
+    inter = F.size(F.array_intersect("sa", "sb"))
+    # repeated rows of one id give repeated pairs
+    return materialize(both.where(den * inter >= num * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct())
+
+
+def _sets(docs: DataFrame, points: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, s): the exact sets of the nodes in ends."""
     need = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     shared = None
     if need.count() <= MAX_IDS:
@@ -270,11 +281,7 @@ def verify(docs: DataFrame, points: DataFrame, pairs: DataFrame, num: int, den:
         keep = [i for i, s in enumerate(sets) if s.size]
         return [pa.array([fingerprint(sets[i]) for i in keep], pa.int64()), pa.array([_signed(sets[i]) for i in keep], pa.list_(pa.int64()))]
 
-    sets = materialize(_per_doc(docs, "node long, s array<long>", row, shared))
-    both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("s", "sb"), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    # repeated rows of one id give repeated pairs
-    return materialize(both.where(den * inter >= num * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct())
+    return materialize(_per_doc(docs, "node long, s array<long>", row, shared))
 
 
 def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -299,20 +306,85 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     across = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     tried = found = comps = None
-    for best_only, part in ((True, lists.where(F.pmod(F.xxhash64("key", "part"), F.lit(SOME)) == 0)), (True, lists), (False, lists)):
-        rows = _open_blocks(part, parts, comps).join(where, "node")
-        pairs = _candidates(rows, num, den, best_only)
+    for part in (lists.where(F.pmod(F.xxhash64("key", "part"), F.lit(SOME)) == 0), lists):
+        pairs = _candidates(_dealt(_open_blocks(part, parts, comps)).join(where, "node"), num, den)
         if tried is None:
             pairs = pairs.unionByName(across).distinct()
         else:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            alive = materialize(pairs)
+            pairs = alive.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         links_ = verify(docs, points, pairs, num, den)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs
         found = links_ if found is None else found.unionByName(links_)
-        if best_only:
-            comps = materialize(connected_components(found)).withColumnRenamed("component", "comp")
-    return found
+        comps = materialize(connected_components(found)).withColumnRenamed("component", "comp")
+    # a node without any partner within the bound in the second round has none now
+    nodes = materialize(alive.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    rows = _dealt(_open_blocks(lists, parts, comps).join(nodes, "node", "left_semi")).select("cell", "node", "comp").distinct()
+    return found.unionByName(_remaining(rows, _sets(docs, points, nodes), num, den))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (block, node, comp, home) of blocks that hold several components, with the cell that they are dealt to.
+
+    Blocks with the same first node go to one cell, as near copies meet in many blocks; a cell of many rows is split by block.
+    """
+    blocks = rows.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first"), F.count("*").alias("m")).where("lo != hi")
+    split = blocks.groupBy("first").agg((F.floor(F.sum("m") / CELL) + 1).alias("cuts"))
+    cells = blocks.join(split, "first").select("block", F.xxhash64("first", F.pmod(F.xxhash64("block"), F.col("cuts"))).alias("cell"))
+    return rows.join(cells, "block")
+
+
+def _remaining(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components among the nodes of a cell; rows: cell, node, comp; sets: node, s. Each cell returns a spanning forest."""
+
+    def link(node: np.ndarray, comp: np.ndarray, sets_: list[np.ndarray]) -> list[tuple[int, int]]:
+        up = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        n = np.array([x.size for x in sets_])
+        order = np.argsort(n, kind="stable")
+        node, comp, n, sets_ = node[order].tolist(), comp[order].tolist(), n[order], [sets_[k] for k in order]
+        fine = [np.frombuffer(point(x), dtype=np.uint16) for x in sets_]
+        tree, out = RTree(n, np.stack([_folded(v, GROUPS) for v in fine]), num, den), []
+        for i in range(len(node)):
+            for x in tree.search(_folded(fine[i], GROUPS), int(n[i])).tolist():
+                if x < i and root(comp[x]) != root(comp[i]):
+                    g = min(fine[i].size, fine[x].size)
+                    if (num + den) * int(np.minimum(_folded(fine[i], g), _folded(fine[x], g)).sum(dtype=np.int64)) < num * int(n[i] + n[x]):
+                        continue
+                    both = np.intersect1d(sets_[i], sets_[x], assume_unique=True).size
+                    if (num + den) * both >= num * int(n[i] + n[x]):
+                        up[root(comp[x])] = root(comp[i])
+                        out.append((node[i], node[x]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def done() -> pa.RecordBatch:
+            pairs = link(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            s = b.column(3)
+            at, values = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
+            for i, (cell, node, comp) in enumerate(zip(*[b.column(k).to_pylist() for k in range(3)])):
+                if cell != last and held:
+                    yield done()
+                    held = []
+                last = cell
+                held.append((node, comp, values[at[i] : at[i + 1]].copy()))
+        if held:
+            yield done()
+
+    dealt = rows.join(sets, "node").select("cell", "node", "comp", "s").repartition("cell").sortWithinPartitions("cell")
+    return materialize(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
 def _open_blocks(lists: DataFrame, parts: DataFrame, comps: DataFrame | None) -> DataFrame:

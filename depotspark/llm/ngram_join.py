@@ -10,8 +10,10 @@ What makes this a distributed job:
 * Equal sets are one node (a fingerprint of the set); copies are never paired.
 * Points that must meet are dealt by signature groups. Under any fixed order of shingles, two sets at threshold t
   share one of their first a - ceil(t a) + 1 shingles. The order is: shingles that few sets have in front, by hash,
-  then the frequent ones (counted over all documents). Each value is a block; equal blocks are one block; frequent
-  values are split by node hash into blocks of bounded size.
+  then the frequent ones: those that many fronts hold by hash alone, and those that many of the sets in which such a
+  one stood in front hold anywhere. Each value is a block; equal blocks are one block. Whatever the order, the values
+  are counted again in the fronts really used, and each that many sets hold is split by node hash into blocks of
+  bounded size.
 * In each block an R-tree of its points is searched. Two rounds ask only for each node's best partner in another
   component: the first in some blocks (near copies meet in very many), with one link from each part of a split value
   to the value's first node, the second in every block that still holds several components; in a split value, nodes
@@ -107,8 +109,11 @@ def _points(docs: DataFrame) -> DataFrame:
     return _per_doc(docs, "doc_id long, node long, n long, vec binary", row)
 
 
-def _signatures(docs: DataFrame, num: int, den: int, hot: np.ndarray | None) -> DataFrame:
-    """(node, n, keys): the first shingles of each set in the order; hot: sorted frequent shingles that come last."""
+def _signatures(docs: DataFrame, num: int, den: int, hot: np.ndarray | None, whole: bool = False) -> DataFrame:
+    """(node, n, keys): the first shingles of each set in the order; hot: sorted frequent shingles that come last.
+
+    whole: instead, all other shingles of the sets that hold one of hot in front by hash alone.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None and hot.size else None
 
     def row(ids, sets):
@@ -122,7 +127,9 @@ def _signatures(docs: DataFrame, num: int, den: int, hot: np.ndarray | None) ->
             if last is not None:
                 at = np.minimum(np.searchsorted(last, s), last.size - 1)
                 rare = s[last[at] != s]
-                front = rare[:p] if rare.size >= p else np.concatenate([rare, s[last[at] == s][: p - rare.size]])
+                if whole and (rare.size == n or (rare.size >= p and (rare[:p] == s[:p]).all())):
+                    continue
+                front = rare if whole else rare[:p] if rare.size >= p else np.concatenate([rare, s[last[at] == s][: p - rare.size]])
             else:
                 front = s[:p]
             nodes.append(fingerprint(s))
@@ -136,9 +143,8 @@ def _signatures(docs: DataFrame, num: int, den: int, hot: np.ndarray | None) ->
     return _per_doc(docs, "node long, n long, keys array<long>", row)
 
 
-def frequent(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, c): shingles that more than HOT signatures hold, HOT rising while there are more than MAX_HOT."""
-    keys = _signatures(docs, num, den, None).select(F.explode("keys").alias("key"))
+def _often(keys: DataFrame) -> DataFrame:
+    """(key, c): values that more than HOT rows hold, HOT rising while there are more than MAX_HOT."""
     found, least = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT)), HOT
     while found.count() > MAX_HOT:
         least *= 4
@@ -146,6 +152,19 @@ def frequent(docs: DataFrame, num: int, den: int) -> DataFrame:
     return found
 
 
+def _sorted_keys(found: DataFrame) -> np.ndarray:
+    return np.unique(np.array([r.key for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))  # bounded by MAX_HOT
+
+
+def frequent(docs: DataFrame, num: int, den: int) -> np.ndarray:
+    """Sorted shingles that come last. Moving some last brings others of the same sets in front, so those sets are counted whole."""
+    each = F.explode("keys").alias("key")
+    first = _sorted_keys(_often(_signatures(docs, num, den, None).select(each)))
+    if not first.size:
+        return first
+    return np.union1d(first, _sorted_keys(_often(_signatures(docs, num, den, first, True).select(each))))
+
+
 class RTree:
     """Static R-tree over count vectors: leaves of LEAF points in order of size, nodes keep the upper corner and the size range."""
 
@@ -286,11 +305,10 @@ def _sets(docs: DataFrame, points: DataFrame, ends: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all pairs at the threshold. docs: doc_id, text."""
-    hot = frequent(docs, num, den)
-    last = np.array(sorted(np.array([r.key for r in hot.select("key").collect()], dtype=np.int64).view(np.uint64).tolist()), dtype=np.uint64)
-    signed = _signatures(docs, num, den, last)
+    signed = _signatures(docs, num, den, frequent(docs, num, den))
+    signed = materialize(signed.groupBy("node").agg(F.first("keys").alias("keys")))  # copies have equal keys
     rows = signed.select("node", F.explode("keys").alias("key"))
-    parts = hot.select("key", (F.floor(F.col("c") / PART) + 1).alias("parts"))
+    parts = _often(rows.select("key")).select("key", (F.floor(F.col("c") / PART) + 1).alias("parts"))
     rows = rows.join(F.broadcast(parts), "key", "left")  # at most MAX_HOT rows
     # a value is a block, a part of a frequent value is one
     cell = F.when(F.col("parts").isNotNull(), F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.col("key"))

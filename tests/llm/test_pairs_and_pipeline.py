@@ -95,6 +95,32 @@ def test_join_with_few_frequent_values(spark, monkeypatch):
     check(spark, texts)
 
 
+def test_join_splits_every_frequent_value(spark, monkeypatch):
+    """Near copies of one text and texts that are mostly one passage: no block holds the whole group, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "HOT", 40)
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    sizes, opened = [], ngram_join._open_blocks
+
+    def watched(lists, parts, comps):
+        out = opened(lists, parts, comps)
+        sizes.append(out.where("home").groupBy("block").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "_open_blocks", watched)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, passage = [word() for _ in range(150)], [word() for _ in range(80)]
+    texts = []
+    for _ in range(300):
+        t = list(base)
+        for k in r.sample(range(150), r.choice([1, 2, 3])):
+            t[k] = word()
+        texts.append(" ".join(t))
+    texts += [" ".join(passage + [word() for _ in range(r.randint(8, 40))]) for _ in range(200)]
+    check(spark, texts)
+    assert max(sizes) <= 64
+
+
 def test_join_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (5, None)]
     got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -318,7 +318,8 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     lists = lists.select("nodes", F.coalesce("key", "cell").alias("key"), F.coalesce("part", F.lit(-1)).alias("part"))
     # equal lists of nodes are one block
     lists = materialize(lists.groupBy("nodes").agg(F.min(F.struct("key", "part")).alias("k"), F.collect_set(F.when(F.col("part") >= 0, F.struct("key", "part"))).alias("hot_keys")).select("nodes", "k.key", "k.part", "hot_keys"))
-    ends = lists.where(F.size("nodes") > 1).select(F.explode("nodes").alias("node")).distinct()
+    # also of one-node lists: a node alone in its part of a split value meets the nodes of the other parts
+    ends = lists.select(F.explode("nodes").alias("node")).distinct()
     where = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
     firsts = lists.select(F.explode("hot_keys").alias("k"), F.element_at("nodes", 1).alias("a")).select("k.key", "a")
     across = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -121,6 +121,19 @@ def test_join_splits_every_frequent_value(spark, monkeypatch):
     assert max(sizes) <= 64
 
 
+def test_join_of_nodes_alone_in_their_parts(spark, monkeypatch):
+    """A common line links to each text that adds one word to it, but these do not link with each other."""
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(ngram_join, "PART", 1)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(8):
+        line = " ".join(word() for _ in range(9))
+        texts += [line, *(line + " " + word() for _ in range(12))]
+    check(spark, texts)
+
+
 def test_join_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (5, None)]
     got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -23,7 +23,7 @@ What makes this a distributed job:
   verified or lies inside one component already: no link is lost, and a group never makes all its pairs.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing (component: their own id);
-repeated rows are copies; rows with a null id are returned with a null component; ties need no order; an empty
+repeated rows are copies; rows with a null id link like others and are returned with a null component; ties need no order; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -48,21 +48,14 @@ PART = 256  # nodes in a part of a frequent value
 CELL = 4_000  # rows in a cell
 SOME = 16  # one block in so many is searched in the first round
 MAX_HOT = 1_000_000  # most frequent values that are broadcast; beyond it HOT rises
-MAX_IDS = 4_000_000  # most node ids that are broadcast as a filter
 
 
-def _per_doc(docs: DataFrame, schema: str, row, only=None) -> DataFrame:
-    """Runs row(ids, sets) -> Arrow arrays over slices of each batch; docs: doc_id, text; only: a broadcast of sorted ids to take."""
+def _per_doc(docs: DataFrame, schema: str, row) -> DataFrame:
+    """Runs row(ids, sets) -> Arrow arrays over slices of each batch; docs: doc_id, text."""
     fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if only is not None:
-                known, ids = only.value, b.column(0).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-                keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, ids), known.size - 1)] == ids) if known.size else np.zeros(0, int)
-                if not keep.size:
-                    continue
-                b = b.take(pa.array(keep))
             text = b.column(1)
             for s, e in slices(text):
                 part = text.slice(s, e - s)
@@ -288,19 +281,20 @@ def verify(docs: DataFrame, points: DataFrame, pairs: DataFrame, num: int, den:
 
 
 def _sets(docs: DataFrame, points: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node, s): the exact sets of the nodes in ends."""
-    need = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
-    shared = None
-    if need.count() <= MAX_IDS:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.doc_id for r in need.collect()], dtype=np.int64)))  # bounded by MAX_IDS
-    else:
-        docs = docs.join(need, "doc_id", "left_semi")
+    """(node, s): the exact sets of the nodes in ends, and perhaps of others: ids with several texts and null ids are read whole."""
+    need = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("need")).select("need").distinct())
+    docs = docs.join(need, docs["doc_id"].eqNullSafe(need["need"]), "left_semi")
+    seen: set[int] = set()  # of one task: repeated rows with a null id give one set
 
     def row(ids, sets):
-        keep = [i for i, s in enumerate(sets) if s.size]
-        return [pa.array([fingerprint(sets[i]) for i in keep], pa.int64()), pa.array([_signed(sets[i]) for i in keep], pa.list_(pa.int64()))]
+        keep, nodes = [], []
+        for i, s in enumerate(sets):
+            if s.size and (node := fingerprint(s)) not in seen:
+                seen.add(node)
+                keep.append(i), nodes.append(node)
+        return [pa.array(nodes, pa.int64()), pa.array([_signed(sets[i]) for i in keep], pa.list_(pa.int64()))]
 
-    return materialize(_per_doc(docs, "node long, s array<long>", row, shared))
+    return materialize(_per_doc(docs, "node long, s array<long>", row))
 
 
 def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
@@ -430,9 +424,16 @@ def components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     edges = links(docs, points, num, den)
     reps = points.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     ends = edges.join(reps.withColumnRenamed("node", "a").withColumnRenamed("rep", "ra"), "a").join(reps.withColumnRenamed("node", "b").withColumnRenamed("rep", "rb"), "b")
+    ends = ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    # texts that only rows with a null id have tie their neighbours together
+    blank = points.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")).where("rep is null").select("node")
+    loose = materialize(edges.join(blank.withColumnRenamed("node", "a"), "a", "left_semi").unionByName(edges.join(blank.withColumnRenamed("node", "b"), "b", "left_semi")).distinct())
+    if not loose.isEmpty():
+        named = materialize(connected_components(loose).join(reps, "node").select("component", "rep"))
+        ends = ends.unionByName(named.join(named.groupBy("component").agg(F.min("rep").alias("b")), "component").select(F.col("rep").alias("a"), "b"))
     # an id that occurs with several texts ties them together
     same_id = points.where("n > 0 and doc_id is not null").join(reps, "node").where("doc_id != rep").groupBy("node", "doc_id", "rep").agg(F.count("*").alias("c")).join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("rep", "doc_id")
-    comps = connected_components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same_id.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
+    comps = connected_components(ends.unionByName(same_id.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     full = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     out = points.select("doc_id", "node", F.col("n").alias("n_shingles")).join(full, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

@@ -141,6 +141,15 @@ def test_join_repeated_and_null_ids(spark):
     assert ngram_join.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_near_copies_with_null_ids(spark):
+    """A null id on a near copy stops nothing, and the row still links its neighbours."""
+    w = [f"w{i}" for i in range(60)]
+    shifted = [" ".join(w[k : k + 40]) for k in (0, 3, 6)]
+    rows = [(1, shifted[0]), (None, shifted[1]), (None, shifted[1]), (3, shifted[2]), (4, " ".join(w[30:]))]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 36, 0), (0, 36, 0), (1, 36, 1), (3, 36, 1), (4, 26, 4)]
+
+
 def test_bound_is_an_upper_bound():
     r = np.random.default_rng(3)
     for _ in range(200):

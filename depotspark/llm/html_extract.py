@@ -3,24 +3,27 @@
 A page is a sequence of tokens: tags with the path of elements around them (and their class or id). For each host,
 a token's occurrence vector over the host's pages is kept as sums of hashes of (page, count), so vectors compare
 without being gathered. Tokens with equal vectors form a class; a class of two tokens or more on two pages or more is
-valid. Valid classes nest by their paths: the widest class frames the page, classes on fewer or repeated places lie in
-its slots. Text between frame tokens is slot content. Slots whose text is the same on every page of the host (three
-pages or more) belong to the template. What remains is read in page order, without elements whose name, class or role
-says menu, header, footer, sidebar, notice, advert, form, script, style or reader comments; where an article (or main)
-element exists, only slots in it remain.
+valid. Text between tokens is slot content; its slot is the token of the element around it. Slots of valid classes
+whose text is the same on every page of the host (three pages of different contents or more) belong to the template.
+What remains is read in page order, in an article or beside it, without elements whose name, class or role says menu,
+header, footer, sidebar, notice, advert, form, script, style or reader comments. A class, id or role says so only as a
+whole name (or where each part of it does), not on the root and not around the page's article.
 
 The template of a host is a short list of paths; it reaches pages by a join on the host, broadcast only if the whole
 table is below `MAX_BROADCAST` bytes. Each page is parsed alone, in linear time.
 
-Defined cases: null html is empty and gives an empty text; a null url has the empty host; a host with one page has no
-template and is read by element names alone; repeated rows count once for the template and are returned as often as
-they occur; unclosed elements end with the page; other columns are ignored.
+Defined cases: null html is empty and gives an empty text; a null url has the empty host; a host with fewer
+than three pages of different contents has no template and is read by element names alone (where article or main exist,
+what lies in them); copies of a page (equal text outside menus and the like) and repeated rows count once for the
+template and are returned as often as they occur; unclosed elements end with the page; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,41 +43,48 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "img", "label"}
 _CHROME = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
 _WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "contentinfo", "dialog", "search"}
+_ROOT = {"html", "body", "main", "article"}
 _HEAD_WORDS = {"header", "masthead", "topbar"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 
 
 class Block:
-    __slots__ = ("path", "text", "chrome", "main")
+    __slots__ = ("slot", "text", "chrome", "main")
 
-    def __init__(self, path: str, text: str, chrome: bool, main: int):
-        self.path, self.text, self.chrome, self.main = path, text, chrome, main
+    def __init__(self, slot: str, text: str, chrome: bool, main: int):
+        self.slot, self.text, self.chrome, self.main = slot, text, chrome, main
 
 
 def _labels(attrs: str) -> list[str]:
     return [x for m in _ATTR.finditer(attrs) for x in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()) if x] if attrs and "=" in attrs else []
 
 
+def _named(attrs: str, words: set[str]) -> bool:
+    """A whole class name, id or role is one of the words, or all its parts are."""
+    names = (x for m in _ATTR.finditer(attrs) for x in (m[2] or m[3] or m[4] or "").lower().split()) if attrs and "=" in attrs else ()
+    return any((parts := {y for y in _SPLIT.split(x) if y}) and parts <= words for x in names)
+
+
 def parse(page: str) -> tuple[Counter, list[Block]]:
     """Counts of the page's tokens (path and tag), and its text blocks in order; main: 2 in an article, 1 in main, else 0."""
     tokens: Counter = Counter()
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, chrome, main
+    stack: list[tuple[str, str, int, int, str]] = []  # tag, step of the path, chrome (2: by element, 1: by class), main, token
     buffer: list[str] = []
-    path, chrome, main = "", False, 0
+    path, slot, chrome, main, article = "", "", 0, 0, False
 
     def flush() -> None:
         if buffer:
             text = " ".join(_html.unescape("".join(buffer)).split())
             if text:
-                blocks.append(Block(path, text, chrome, main))
+                blocks.append(Block(slot, text, bool(chrome), main))
             buffer.clear()
 
     def settle() -> None:
-        nonlocal path, chrome, main
+        nonlocal path, slot, chrome, main
         path = "/".join(s[1] for s in stack[-12:])
-        chrome, main = (stack[-1][2], stack[-1][3]) if stack else (False, 0)
+        chrome, main, slot = stack[-1][2:] if stack else (0, 0, "")
 
     at, n = 0, len(page)
     while at < n:
@@ -91,7 +101,7 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
         if tag in _INLINE:
             if tag == "br":
                 buffer.append(" ")
-            if not closing and tag not in _VOID and (bad := not _WORDS.isdisjoint(_labels(m[3]))):
+            if not closing and tag not in _VOID and (bad := _named(m[3], _WORDS)):
                 # an inline element that is chrome by name is skipped as a whole
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if bad and end else at
@@ -118,61 +128,88 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
         labels = _labels(m[3])
         step = tag + "".join("." + x for x in labels[:4])
         settle()
-        tokens[path + ">" + step] += 1
+        token = path + ">" + step
+        tokens[token] += 1
         if tag in _VOID or m[3].rstrip().endswith("/"):
             continue
         inside = max(main, 2 if tag == "article" else 1 if tag == "main" else 0)
-        bad = chrome or tag in _CHROME or not _WORDS.isdisjoint(labels) or (not main and (tag == "header" or not _HEAD_WORDS.isdisjoint(labels)))
-        stack.append((tag, step, bad, inside))
+        if inside > main and chrome == 1 and not article:
+            # a class around the page's article says nothing
+            stack = [(t, x, 0, *rest) for t, x, _, *rest in stack]
+            settle()
+        bad = chrome
+        if tag in _CHROME or (not main and tag == "header"):
+            bad = 2
+        elif not bad and tag not in _ROOT and (_named(m[3], _WORDS) or (not main and _named(m[3], _HEAD_WORDS))):
+            bad = 1
+        article = article or (inside > 0 and not bad)
+        stack.append((tag, step, bad, inside, token))
         settle()
     flush()
     return tokens, blocks
 
 
+def _content(blocks: list[Block]) -> int:
+    """Hash of the page's text outside menus and the like: copies agree."""
+    text = "\n".join(x.text for x in blocks if not x.chrome)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, page_id, n, text): each token of each page, how often, and a hash of the text of the slot that its path is (0: none)."""
+    """(host, token, page_id, n, text, content): each token of each page, how often, and a hash of the text of the slot that it is (0: none)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
         for b in batches:
             if b.empty:
                 continue
-            hosts, ids, names, counts, texts = [], [], [], [], []
+            hosts, ids, names, counts, texts, contents = [], [], [], [], [], []
             for host, page_id, page in zip(b["host"], b["page_id"], b["html"]):
                 tokens, blocks = parse(page if isinstance(page, str) else "")
+                content = _content(blocks)
                 slots: dict[str, int] = {}
                 for x in blocks:
-                    slots[x.path] = zlib.crc32(x.text.encode("utf-8", "surrogatepass"), slots.get(x.path, 1))
-                for k, c in tokens.items():
-                    hosts.append(host), ids.append(page_id), names.append(k), counts.append(c), texts.append(0)
-                for k, c in slots.items():
-                    hosts.append(host), ids.append(page_id), names.append("=" + k), counts.append(1), texts.append(c)
-            if not hosts:
-                continue
-            yield pd.DataFrame({"host": hosts, "token": names, "page_id": pd.array(ids, "Int64"), "n": counts, "text": texts})
+                    slots[x.slot] = zlib.crc32(x.text.encode("utf-8", "surrogatepass"), slots.get(x.slot, 1))
+                # one row without a token stands for the page
+                rows = [("", 1, 0), *((k, c, 0) for k, c in tokens.items()), *(("=" + k, 1, c) for k, c in slots.items())]
+                for k, n, c in rows:
+                    hosts.append(host), ids.append(page_id), names.append(k), counts.append(n), texts.append(c), contents.append(content)
+            yield pd.DataFrame({"host": hosts, "token": names, "page_id": pd.array(ids, "Int64"), "n": counts, "text": texts, "content": contents})
 
-    return pages.select("host", "page_id", "html").mapInPandas(run, "host string, token string, page_id long, n long, text long")
+    return pages.select("host", "page_id", "html").mapInPandas(run, "host string, token string, page_id long, n long, text long, content long")
+
+
+def copies(pages: DataFrame) -> DataFrame:
+    """(host, content, m): contents that m > 1 rows of a host have."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not b.empty:
+                yield pd.DataFrame({"host": b["host"], "content": [_content(parse(x if isinstance(x, str) else "")[1]) for x in b["html"]]})
+
+    return pages.select("host", "html").mapInPandas(run, "host string, content long").groupBy("host", "content").agg(F.count("*").alias("m")).where("m > 1")
 
 
 def templates(pages: DataFrame, min_pages: int = 2, static_pages: int = 3) -> DataFrame:
-    """(host, static, frame): paths of slots whose text is the template's, and the tokens of the valid classes."""
+    """(host, static): of hosts with as many contents as static_pages, the slots of valid classes whose text is the template's."""
     h = lambda seed: F.pmod(F.xxhash64("page_id", "n", F.lit(seed)), F.lit(1 << 31))
-    one = page_tokens(pages).groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum(h(1)).alias("f1"), F.sum(h(2)).alias("f2"), F.min("text").alias("lo"), F.max("text").alias("hi"))
+    # m copies count 1 / m each
+    rows = page_tokens(pages).join(materialize(copies(pages)), ["host", "content"], "left").withColumn("w", 1.0 / F.coalesce("m", F.lit(1)))
+    one = rows.groupBy("host", "token").agg(F.round(F.sum("w")).alias("pages"), F.sum("n").alias("n"), F.sum(h(1)).alias("f1"), F.sum(h(2)).alias("f2"), F.min("text").alias("lo"), F.max("text").alias("hi"))
     one = materialize(one)
-    tags = one.where(~F.col("token").startswith("="))
+    tags = one.where(~F.col("token").startswith("=") & (F.col("token") != ""))
     classes = tags.groupBy("host", "pages", "f1", "f2").agg(F.count("*").alias("size"), F.collect_set("token").alias("tokens")).where((F.col("size") > 1) & (F.col("pages") >= min_pages))
-    frame = classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("frame"))
-    static = one.where(F.col("token").startswith("=") & (F.col("pages") >= static_pages) & (F.col("lo") == F.col("hi"))).groupBy("host").agg(F.collect_set(F.expr("substring(token, 2)")).alias("static"))
-    return frame.join(static, "host", "full_outer")
+    frame = classes.select("host", F.explode("tokens").alias("slot"))
+    slots = one.where(F.col("token").startswith("=") & (F.col("pages") >= static_pages) & (F.col("lo") == F.col("hi"))).select("host", F.expr("substring(token, 2)").alias("slot"))
+    static = slots.join(frame, ["host", "slot"], "left_semi").groupBy("host").agg(F.collect_set("slot").alias("static"))
+    hosts = one.where((F.col("token") == "") & (F.col("pages") >= static_pages)).select("host")
+    return hosts.join(static, "host", "left").select("host", F.coalesce("static", F.array().cast("array<string>")).alias("static"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_path(F.col("url"))[0])
-    found = materialize(templates(pages))
-    size = found.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("s")).first().s or 0
-    side = found.select("host", F.coalesce("static", F.array().cast("array<string>")).alias("static"), F.coalesce("frame", F.array().cast("array<string>")).alias("frame"))
+    side = materialize(templates(pages))
+    size = side.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("s")).first().s or 0
     rows = pages.join(F.broadcast(side) if size <= MAX_BROADCAST else side, "host", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,41 +217,18 @@ def extract(pages: DataFrame) -> DataFrame:
             if b.empty:
                 continue
             texts = []
-            for page, static, frame in zip(b["html"], b["static"], b["frame"]):
+            for page, static in zip(b["html"], b["static"]):
                 tokens, blocks = parse(page if isinstance(page, str) else "")
                 left = [x for x in blocks if not x.chrome]
-                top = max((x.main for x in left), default=0)
-                left = [x for x in left if x.main == top]
-                if static is not None and len(static):
+                if static is not None:
                     fixed = set(static)
-                    varying = [x for x in left if x.path not in fixed]
-                    # inside an article even a repeated sentence is the article's own
-                    left = varying if not top else left
-                if not top and frame is not None and len(frame):
-                    left = _widest_slot(left, set(frame))
+                    left = [x for x in left if x.slot not in fixed]
+                elif any(x.main for x in left):
+                    left = [x for x in left if x.main]
                 texts.append("\n".join(x.text for x in left))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.select("page_id", "url", "html", "static", "frame").mapInPandas(run, "page_id long, url string, text string, n_chars long")
-
-
-def _widest_slot(blocks: list[Block], frame: set[str]) -> list[Block]:
-    """Without an article element: the slot of the frame (deepest framed element around a block) with the most text."""
-
-    def slot(path: str) -> str:
-        steps = path.split("/")
-        for k in range(len(steps), 0, -1):
-            if "/".join(steps[: k - 1]) + ">" + steps[k - 1] in frame and not steps[k - 1].startswith(("p", "h", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "table")):
-                return "/".join(steps[:k])
-        return ""
-
-    sums: Counter = Counter()
-    for x in blocks:
-        sums[slot(x.path)] += len(x.text)
-    if not sums:
-        return blocks
-    best = max(sums, key=lambda k: (sums[k], k))
-    return [x for x in blocks if slot(x.path) == best]
+    return rows.select("page_id", "url", "html", "static").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

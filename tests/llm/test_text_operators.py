@@ -117,6 +117,17 @@ def test_html_edge_cases(spark):
     assert html_extract.extract(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, pages):
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_html_template_decides_in_articles(spark):
+    shell = "<body><main><p>Lead {0}</p><article><p>Text {0}</p><div class='x1'>Written by our team</div></article><div class='x2'>After {0}</div></main><div class='x3'>All rights</div></body>"
+    got = extracted(spark, [(i, f"http://a.b/{i}", shell.format(w)) for i, w in enumerate(("one", "two", "three", "four"))])
+    assert got[2] == "Lead three\nText three\nAfter three"
+
+
 # ---- mixing
 
 

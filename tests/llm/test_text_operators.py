@@ -128,6 +128,20 @@ def test_html_template_decides_in_articles(spark):
     assert got[2] == "Lead three\nText three\nAfter three"
 
 
+def test_html_keeps_real_text(spark):
+    """Copies are no template, several containers stay, and a part of a class name or one around the article says nothing."""
+    copy = "<body><nav>{}</nav><div class='text'><p>The same story</p></div></body>"
+    pages = [(i, f"http://copy.b/{i}", copy.format(i)) for i in range(4)] + [(4, "http://copy.b/4", copy.format(1))] * 3
+    parts = "<body><div class='part1'><p>First {0}</p></div><div class='part2'><p>Second, longer {0}</p></div></body>"
+    pages += [(10 + i, f"http://parts.b/{i}", parts.format(w)) for i, w in enumerate(("a", "b", "c", "d"))]
+    pages += [(20, "http://one.b/", "<body class='sidebar'><div class='share-price'>Up</div><div class='search'>Find<article><p>Story</p></article></div><div class='related'><article>Other</article></div></body>")]
+    pages += [(21, "http://two.b/", "<body class='menu open'><div class='share-price'>Up</div><div class='social-share'>Tell</div></body>")]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(5)] == ["The same story"] * 5
+    assert got[11] == "First b\nSecond, longer b"
+    assert got[20] == "Story" and got[21] == "Up"
+
+
 # ---- mixing
 
 

@@ -16,6 +16,8 @@ rows count as often as they occur; an empty table gives no rows; other columns s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +28,22 @@ FIXED = 1000  # fixed-point unit of the statistics
 DIMS = ("f1", "f2", "f3", "f4", "f5")
 #: Smallest standard deviation taken for each dimension: shares that are nearly always 0 would else reject any other value.
 FLOORS = (0.25, 0.06, 0.05, 0.05, 0.12)
-#: Largest squared distance kept, far beyond the 0.9999 quantile (25.7) of a normal law in five dimensions.
-CUT = 100.0
+#: Largest squared distance kept: the 0.9999 quantile of a chi-square law with five degrees. On labels of sf0.1 (3,243
+#: good, 291 bad texts above the floors) it rejects 41 good and all bad ones; 0.999 rejects 50 good, 0.99 59 good.
+CUT = 25.745
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def consistency(h: float) -> float:
+    """What the covariance of the share h of nearest rows is short by under a normal law: h / F7(q), q the h quantile of F5 (chi-square laws)."""
+    f5 = lambda x: math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    lo, hi = 0.0, 200.0
+    for _ in range(100):
+        q = (lo + hi) / 2
+        lo, hi = (q, hi) if f5(q) < h else (lo, q)
+    return h / (f5(q) - math.sqrt(2 / math.pi) * q**2.5 * math.exp(-q / 2) / 15)
+
+
 def _let(value: Column, body) -> Column:
     """Evaluates value once and hands it to body as a variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -162,15 +175,14 @@ def _weighted_quantile(counts: DataFrame, keys: list[str], value: str, share: fl
     return counts.withColumn("_run", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(Window.partitionBy(*keys))).where(F.col("_run") >= F.col("_all") * share).groupBy(*keys).agg(F.min(value).alias("q"))
 
 
-def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, cut: float = CUT, scale: float = 2.0, min_group: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, cut: float = CUT, scale: float | None = None, min_group: int = 200) -> DataFrame:
     """The rows of docs (lang, source, text) with the base counts, base_failed, distance and kept.
 
-    h: share of rows in the subset; scale: what the subset's covariance is short by (consistency at h = 0.75, five
-    dimensions); cut: largest squared distance kept.
+    h: share of rows in the subset; scale: what the subset's covariance is short by (None: `consistency(h)`); cut: largest squared distance kept.
     """
     extra = [c for c in docs.columns if c not in {*BASE, *DIMS, "n_lines", "distance", "kept"}]
     stats = vector(with_statistics(docs.select(*extra))).drop("n_lines")
-    return judge(materialize(stats), h, steps, cut, scale, min_group)
+    return judge(materialize(stats), h, steps, cut, consistency(h) if scale is None else scale, min_group)
 
 
 def judge(stats: DataFrame, h: float, steps: int, cut: float, scale: float, min_group: int) -> DataFrame:
@@ -194,5 +206,5 @@ def judge(stats: DataFrame, h: float, steps: int, cut: float, scale: float, min_
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     stats = vector(with_statistics(docs)).drop("text", "n_lines")
-    out = judge(materialize(stats), 0.75, 3, CUT, 2.0, 200)
+    out = judge(materialize(stats), 0.75, 3, CUT, consistency(0.75), 200)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")

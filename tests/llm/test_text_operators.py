@@ -327,6 +327,23 @@ def test_quality_edge_cases(spark):
     assert quality_rules.quality_rules(empty(spark)).count() == 0
 
 
+def test_quality_rejects_moderate_outliers(spark):
+    """Texts with two fifths of their lines repeated go, and few others do; the factor is that of a simulation."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    line = lambda: " ".join(word() for _ in range(10))
+    good = ["\n".join(line() for _ in range(20)) for _ in range(300)]
+    bad = []
+    for _ in range(10):
+        lines, again = [line() for _ in range(12)], "go on"
+        bad.append("\n".join(lines + [again] * 9))
+    got = {x.doc_id: x for x in quality_rules.quality_rules(frame(spark, good + bad)).collect()}
+    assert not any(got[i].base_failed for i in range(310))
+    assert all(got[i].kept for i in range(300)) and not any(got[i].kept for i in range(300, 310))
+    d = sorted((sum(r.gauss(0, 1) ** 2 for _ in range(5)) for _ in range(40000)))[:30000]
+    assert math.isclose(quality_rules.consistency(0.75), 5 / (sum(d) / len(d)), rel_tol=0.02)
+
+
 def test_quality_runs_no_python(spark):
     plan = quality_rules.with_statistics(frame(spark, ["a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -11,6 +11,8 @@ from depotspark.functions import text as T
 from depotspark.operators.abc import classes
 from depotspark.operators.graph import cut_lineage
 
+TEST_WEEKS = 13  # test length of weekly series
+
 
 def with_period(sales: DataFrame, granularity: str = "month") -> DataFrame:
     key = T.month_key(F.col("ship_date")) if granularity == "month" else T.week_key(F.col("ship_date"))
@@ -118,6 +120,15 @@ def cold_start(d: DataFrame, profile: DataFrame, recent: int = R.RECENT_PERIODS)
     return new.select("key", F.when(F.col("own").isNotNull(), "own").when(F.col("level").isNotNull(), "analogue").otherwise("none").alias("source"), F.coalesce("own", "level", F.lit(0.0)).alias("level"))
 
 
+def weekly_naive(sales: DataFrame, test: int = TEST_WEEKS) -> DataFrame:
+    """Each item's picks by week: key, n weeks, total, the naive forecast for each of the last `test` weeks, their actual sum and mean absolute error."""
+    d = dense(sales, "item_id", "cnt", "week").withColumn("k", F.greatest(F.size("s") - test, F.lit(0)))
+    d = d.withColumn("naive", S.naive(F.slice("s", F.lit(1), F.col("k")))).withColumn("last", F.slice("s", F.col("k") + 1, F.size("s")))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    error = add(F.transform("last", lambda x: F.abs(x - F.col("naive")))) / F.size("last")
+    return d.select("key", F.size("s").alias("n"), add("s").alias("total"), "naive", add("last").alias("actual"), error.alias("mae"))
+
+
 def totals_in_window(sales: DataFrame, lo: str, hi: str, granularity: str = "month") -> DataFrame:
     """Items with a positive total between two periods."""
     rows = with_period(sales, granularity).where(F.col("period").between(lo, hi) & F.col("item_id").isNotNull())

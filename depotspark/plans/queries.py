@@ -340,6 +340,11 @@ def fc_weekly_item_naive(spark, d):
     return w.select("key", F.size("s").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query
+def fc_weekly_naive_items(spark, d):
+    return rounded(forecast.weekly_naive(sales(spark, d)))
+
+
 @query
 def lifecycle(spark, d):
     return forecast.lifecycle(forecast.dense(early(spark, d), "item_id"))
@@ -372,13 +377,16 @@ def predicted_items(spark, d):
     return rounded(forecast.predicted_items(early(spark, d)), 4)
 
 
-@query
-def predicted_sku_abc(spark, d):
-    s = early(spark, d)
+def _predicted_abc(s):
     p = forecast.predicted_items(s).withColumn("value", F.round("value", 4)).join(forecast.item_profile(s).select("key", "storage_class"), "key").where("value > 0")
     return rounded(abc.classes(p, "value", "key", within="storage_class").select("key", "storage_class", "value", "rank", "cls"), 4)
 
 
+@query
+def predicted_sku_abc(spark, d):
+    return _predicted_abc(early(spark, d))
+
+
 @query
 def predicted_with_history(spark, d):
     s = early(spark, d)
@@ -386,6 +394,26 @@ def predicted_with_history(spark, d):
     return rounded(forecast.with_history(p, abc.sku_frequency(s), 9), 4)
 
 
+# the same over all sales, without an SQL
+
+
+@query
+def predicted_items_all(spark, d):
+    return rounded(forecast.predicted_items(sales(spark, d)), 4)
+
+
+@query
+def predicted_sku_abc_all(spark, d):
+    return _predicted_abc(sales(spark, d))
+
+
+@query
+def predicted_with_history_all(spark, d):
+    s = sales(spark, d)
+    p = forecast.predicted_items(s, "cnt").where("is_new = 0").select("key", "value")
+    return rounded(forecast.with_history(p, abc.sku_frequency(s), forecast.calendar(s).count()), 4)
+
+
 # ---- waves, plans, KPIs ------------------------------------------------------------------------------------
 
 

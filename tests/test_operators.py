@@ -128,3 +128,32 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/clean")).count() == 1
     assert sinks.json_rows(spark.sql("select double('NaN') as x, date'2024-01-02' as d")).first()[0] == '{"x":null,"d":"2024-01-02"}'
     assert len(R.CATEGORIES) == 69
+
+
+def test_weekly_naive_for_all_items(spark):
+    """Every item, 13 test weeks, against brute force; queries over all sales see every item."""
+    import datetime
+    import random
+
+    r, start = random.Random(4), datetime.date(2024, 1, 1)
+    sold = [(r.randrange(1, 8), r.randrange(0, 30 * 7)) for _ in range(400)] + [(1, 0), (1, 209)]
+    df = spark.createDataFrame([(i, start + datetime.timedelta(days=x), 1.0) for i, x in sold], "item_id long, ship_date date, qty double")
+    got = {x.key: x for x in forecast.weekly_naive(df).collect()}
+    assert set(got) == {i for i, _ in sold}
+    for i, x in got.items():
+        s = [sum(1 for j, k in sold if j == i and k // 7 == w) for w in range(30)]
+        assert (x.n, x.total, x.naive, x.actual) == (30, sum(s), s[16], sum(s[17:]))
+        assert abs(x.mae - sum(abs(v - s[16]) for v in s[17:]) / 13) < 1e-9
+    short = forecast.weekly_naive(df.where("ship_date < date'2024-01-20'")).first()
+    assert (short.n, short.naive) == (3, 0.0)
+
+
+def test_forecast_queries_over_all_sales(spark):
+    from conftest import SF
+
+    from depotspark.plans.queries import QUERIES
+    from depotspark.sources.star import sales
+
+    items = sales(spark, SF).where("ship_date is not null and qty > 0 and item_id is not null").select("item_id").distinct().count()
+    assert QUERIES["fc_weekly_naive_items"](spark, SF).count() == items
+    assert QUERIES["predicted_items_all"](spark, SF).count() >= QUERIES["predicted_items"](spark, SF).count()

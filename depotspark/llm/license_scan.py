@@ -109,37 +109,6 @@ def matches(h: np.ndarray, first: np.ndarray, known: list[Family], share: float)
     return found
 
 
-def scan(self, s: np.ndarray, share: float) -> dict[str, float]:
-        """Best containment of each license in one text; s: its positional shingles."""
-        found: dict[str, float] = {}
-        if not s.size:
-            return found
-        starts = np.arange(0, s.size, self.step)
-        hit = np.zeros((len(self.members), starts.size), dtype=bool)
-        with np.errstate(over="ignore"):
-            for k, a in enumerate(self.odd):
-                low = np.minimum.reduceat(s * a, starts)
-                low[:-1] = np.minimum(low[:-1], low[1:])
-                hit |= low[None, :] == self.minima[:, k, None]
-        for m, w in zip(*np.nonzero(hit)):
-            name, t = self.members[m]
-            part = s[starts[w] : starts[w] + 2 * self.step]
-            c = float(np.isin(t, part).sum()) / t.size
-            if c >= share:
-                found[name] = max(c, found.get(name, 0.0))
-        return found
-
-
-def families(templates: dict[str, list[str]], share: float) -> list[Family]:
-    by: dict[int, list] = {}
-    for name, texts in templates.items():
-        for t in texts:
-            s = np.unique(positional(words(pa.array([t]))[0]))
-            if s.size:
-                by.setdefault(max(3, math.ceil(math.log2(s.size + K - 1))), []).append((name, s))
-    return [Family(m, share) for _, m in sorted(by.items())]
-
-
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, share: float = 0.8) -> DataFrame:
     """doc_id, n_licenses, licenses (ids, sorted, comma-joined), containment (the best) for each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(families(templates or TEMPLATES, share))

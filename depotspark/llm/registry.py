@@ -16,6 +16,5 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op5_license_scan": license_scan.op5_license_scan,
     "op6_url_filter": url_filter.SQL,
 }

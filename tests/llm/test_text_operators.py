@@ -394,3 +394,11 @@ def test_bpe_words_by_higher_order_functions(spark, reference):
     out = out.withColumn("back", byte_bpe.decode_pieces(out["pieces"]))
     got = {r.word: r for r in out.collect()}
     assert all(got[w].ids == reference.encode_ordinary(w) and bytes(got[w].back) == w.encode() for w in words)
+
+
+def test_oracles_are_sql():
+    from depotspark.llm import registry
+
+    assert all(isinstance(x, str) for x in registry.ORACLE_SQL.values())
+    source = open(license_scan.__file__).read()
+    assert source.count("def families(") == 1 and source.count("def scan(") == 1

@@ -40,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="depotspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -53,7 +55,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote, once everything read from them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def n_words(text: Column) -> Column:
@@ -88,16 +100,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     child = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return child.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(child.select("node"), "node", "left_anti"))
-
-
-def exact_quantile_bin(df: DataFrame, keys: list[str], bin_col: str, share: float) -> DataFrame:
-    """Per key the smallest bin at which the running share of rows reaches `share`; bins are counted, never sorted row by row."""
-    from pyspark.sql import Window
-
-    counts = df.groupBy(*keys, bin_col).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*keys)
-    return (
-        counts.withColumn("_run", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(every))
-        .where(F.col("_run") >= F.col("_all") * share).groupBy(*keys).agg(F.min(bin_col).alias("q"))
-    )

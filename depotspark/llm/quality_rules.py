@@ -1,14 +1,17 @@
 """Quality rules: plain floors first, then robust outliers by minimum covariance determinant per language and source.
 
 Every text gives a vector of transformed statistics (log words, log mean word length, symbol, repeated-line and
-repeated-word shares). Per (lang, source) a deterministic minimum-covariance-determinant estimate is taken: start
-from medians and median deviations, then concentration steps, each of which takes mean and covariance of the rows
-with the smallest distances (a share `h`). A row is rejected where its squared Mahalanobis distance to the final
-estimate, scaled for consistency, exceeds `cut`. Only DataFrame functions run, no Python. Quantiles come from counts
-of fixed-width bins and sums are over fixed-point integers, so that reruns and other partitionings agree.
-
-Groups with fewer than `min_group` rows that pass the floors use the estimate over all rows. Ties fall into one bin
-and are kept or left together.
+repeated-word shares). For each (lang, source), and for all rows together, a minimum covariance determinant estimate is
+taken over the rows that pass the floors: three starts (median and median deviations alone; with the spatial sign
+covariance; with the covariance of hyperbolic tangents), two concentration steps from each, then the start with the
+smallest determinant goes on until a step no longer lowers its determinant. A concentration step takes mean and
+covariance of the share `h` of rows with the smallest distances. The estimate of a group of m chosen rows is then mixed
+with that of all rows as if it held `prior` more rows like those: weights m / (m + prior) and prior / (m + prior), a
+smooth function of the group's size. A row is rejected where its squared Mahalanobis distance, scaled for consistency,
+exceeds `cut`. Only DataFrame functions run, no Python. Quantiles come from counts of fixed-width bins and sums are over
+fixed-point integers, so that reruns and other partitionings agree.
+
+Ties fall into one bin and are taken or left together.
 
 Defined cases: a null text has no words and fails the floors; null lang or source form groups of their own; repeated
 rows count as often as they occur; an empty table gives no rows; other columns stay, except those of the names made here.
@@ -18,10 +21,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotspark.llm.common import SPACES, exact_quantile_bin, materialize, table
+from depotspark.llm.common import SPACES, materialize, release, table
 
 SYMBOLS = "#*$%&|<>"
 FIXED = 1000  # fixed-point unit of the statistics
@@ -31,6 +34,8 @@ FLOORS = (0.25, 0.06, 0.05, 0.05, 0.12)
 #: Largest squared distance kept: the 0.9999 quantile of a chi-square law with five degrees. On labels of sf0.1 (3,243
 #: good, 291 bad texts above the floors) it rejects 41 good and all bad ones; 0.999 rejects 50 good, 0.99 59 good.
 CUT = 25.745
+#: Rows of all groups that are mixed into the estimate of each.
+PRIOR = 100
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -96,24 +101,42 @@ def vector(df: DataFrame) -> DataFrame:
     )
 
 
-def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    d = len(DIMS)
-    aggs = [F.count("*").alias("m")] + [F.sum(x).alias(f"s_{x}") for x in DIMS]
-    aggs += [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p_{i}{j}") for i in range(d) for j in range(i + 1)]
-    return df.groupBy(*keys).agg(*aggs)
+def with_group(df: DataFrame) -> DataFrame:
+    """grp: the exact text of (lang, source); the empty text stands for all rows."""
+    return df.withColumn("grp", F.to_json(F.struct("lang", "source")))
+
+
+def _lower(name) -> list:
+    return [name(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, ys: tuple[str, ...]) -> DataFrame:
+    """(grp, start): rows m, sums s_i and sums of products p_ij of the fixed-point columns ys."""
+    aggs = [F.count("*").alias("m")] + [F.sum(x).alias(f"s_{i}") for i, x in enumerate(ys)]
+    return rows.groupBy("grp", "start").agg(*aggs, *_lower(lambda i, j: F.sum(F.col(ys[i]) * F.col(ys[j])).alias(f"p_{i}{j}")))
+
 
+def _covariance(mom: DataFrame) -> DataFrame:
+    """(grp, start, m) with means c_i and covariances v_ij."""
+    m = F.col("m").cast("double") * FIXED
+    mean = [F.col(f"s_{i}") / m for i in range(len(DIMS))]
+    return mom.select("grp", "start", "m", *[c.alias(f"c_{i}") for i, c in enumerate(mean)], *_lower(lambda i, j: (F.col(f"p_{i}{j}") / m / FIXED - mean[i] * mean[j]).alias(f"v_{i}{j}")))
 
-def _estimate(mom: DataFrame, keys: list[str]) -> DataFrame:
-    """Means c_i and the lower Cholesky factor l_ij of the covariance, with floors added on its diagonal."""
-    m, d = F.col("m").cast("double"), len(DIMS)
-    out = mom.select(*keys, "m", *[(F.col(f"s_{x}") / m / FIXED).alias(f"c_{i}") for i, x in enumerate(DIMS)], *[(F.col(f"p_{i}{j}") / m / FIXED**2 - F.col(f"s_{DIMS[i]}") / m / FIXED * F.col(f"s_{DIMS[j]}") / m / FIXED).alias(f"v_{i}{j}") for i in range(d) for j in range(i + 1)])
-    for i in range(d):
+
+def _factor(est: DataFrame) -> DataFrame:
+    """est (grp, start, m, c_i, v_ij) with the lower Cholesky factor l_ij of the covariance, floors added on its diagonal, and logdet."""
+    names = est.columns
+    for i in range(len(DIMS)):
+        row = []
         for j in range(i + 1):
-            v = F.col(f"v_{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+            v = F.col(f"v_{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
-                v = v - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}{j}"))
-    return out.select(*keys, "m", *[f"c_{i}" for i in range(d)], *[f"l_{i}{j}" for i in range(d) for j in range(i + 1)])
+                v = v - row[k] * (F.col(f"l_{j}{k}") if j < i else row[k])
+            row.append(F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}{j}"))
+        # one projection for each row of the factor: the next one reads its columns
+        est = est.select("*", *[x.alias(f"l_{i}{j}") for j, x in enumerate(row)])
+    logdet = sum((F.log(F.col(f"l_{i}{i}")) for i in range(len(DIMS))), F.lit(0.0)) * 2
+    return est.select(*names, *_lower(lambda i, j: f"l_{i}{j}"), logdet.alias("logdet"))
 
 
 def _distance() -> Column:
@@ -130,81 +153,112 @@ def _distance() -> Column:
     return out
 
 
-def _bin(distance: Column) -> Column:
-    """Distances in bins of about 3 % width."""
-    return F.round(F.log1p(distance) * 32).cast("int")
-
-
-def _by(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with a table of one row for each group; nulls are equal. The group count is unknown, so Spark chooses the join by size."""
-    if not keys:
-        return rows.crossJoin(F.broadcast(small))  # one row
-    renamed = small.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
-    on = [rows[k].eqNullSafe(renamed[f"k_{k}"]) for k in keys]
-    return rows.join(renamed, on).drop(*[f"k_{k}" for k in keys])
+def _quantile(counts: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """Per key the smallest value q at which the running share of the counts _c reaches `share`."""
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("_run", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(Window.partitionBy(*keys))).where(F.col("_run") >= F.col("_all") * share).groupBy(*keys).agg(F.min(value).alias("q"))
 
 
-def _mcd(rows: DataFrame, keys: list[str], h: float, steps: int) -> DataFrame:
-    """Final estimates per key: c_i, l_ij, m rows in the subset."""
-    d = len(DIMS)
+def _centres(good: DataFrame) -> DataFrame:
+    """(grp, mid_i, s_i): medians and median deviations with floors, for each group and for all rows (grp '')."""
     width = FIXED // 50
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(x) / width).cast("long").alias("b")) for i, x in enumerate(DIMS)])).alias("x")
-    long = rows.select(*keys, pairs).select(*keys, "x.*").groupBy(*keys, "dim", "b").agg(F.count("*").alias("_c"))
-    long = materialize(long)
-    med = _weighted_quantile(long, [*keys, "dim"], "b", 0.5)
-    dev = _by(long, med, [*keys, "dim"]).withColumn("e", F.abs(F.col("b") - F.col("q"))).drop("q")
-    mad = _weighted_quantile(dev.groupBy(*keys, "dim", "e").agg(F.sum("_c").alias("_c")), [*keys, "dim"], "e", 0.5)
-    start = _by(med.withColumnRenamed("q", "mid"), mad, [*keys, "dim"])
-    zero = [F.lit(0.0).alias(f"l_{i}{j}") for i in range(d) for j in range(i)]
+    counts = good.select("grp", pairs).select("grp", "x.*").groupBy("grp", "dim", "b").agg(F.count("*").alias("_c"))
+    every = F.explode(F.array("grp", F.lit(""))).alias("grp")
+    counts = materialize(counts.select(every, "dim", "b", "_c").groupBy("grp", "dim", "b").agg(F.sum("_c").alias("_c")))
+    med = _quantile(counts, ["grp", "dim"], "b", 0.5)
+    dev = counts.join(med, ["grp", "dim"]).withColumn("e", F.abs(F.col("b") - F.col("q")))
+    mad = _quantile(dev.groupBy("grp", "dim", "e", F.col("q").alias("mid")).agg(F.sum("_c").alias("_c")), ["grp", "dim", "mid"], "e", 0.5)
     one = lambda i, c: F.max(F.when(F.col("dim") == i, c))
-    est = start.groupBy(*keys).agg(
-        *[one(i, (F.col("mid") + 0.5) * width / FIXED).alias(f"c_{i}") for i in range(d)],
-        *[one(i, F.sqrt(F.pow(F.col("q") * width / FIXED * 1.4826, 2) + FLOORS[i] ** 2)).alias(f"l_{i}{i}") for i in range(d)],
-    ).select("*", *zero)
-    for _ in range(steps):
-        near = _by(rows, est, keys).withColumn("_b", _bin(_distance())).select(*keys, *DIMS, "_b")
-        limit = exact_quantile_bin(near, keys, "_b", h)
-        est = materialize(_estimate(_moments(_by(near, limit, keys).where(F.col("_b") <= F.col("q")), keys), keys))
-    return est
-
-
-def _weighted_quantile(counts: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    from pyspark.sql import Window
-
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("_run", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(Window.partitionBy(*keys))).where(F.col("_run") >= F.col("_all") * share).groupBy(*keys).agg(F.min(value).alias("q"))
+    out = mad.groupBy("grp").agg(
+        *[one(i, (F.col("mid") + 0.5) * width / FIXED).alias(f"mid_{i}") for i in range(len(DIMS))],
+        *[one(i, F.sqrt(F.pow(F.col("q") * width / FIXED * 1.4826, 2) + FLOORS[i] ** 2)).alias(f"s_{i}") for i in range(len(DIMS))],
+    )
+    out = materialize(out)
+    release(counts)
+    return out
 
 
-def quality_rules(docs: DataFrame, h: float = 0.75, steps: int = 3, cut: float = CUT, scale: float | None = None, min_group: int = 200) -> DataFrame:
+def _starts(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Three estimates for each group: median deviations alone (0), with spatial signs (1), with hyperbolic tangents (2)."""
+    d = len(DIMS)
+    z = rows.join(centres, "grp").select("grp", *[((F.col(x) / FIXED - F.col(f"mid_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, x in enumerate(DIMS)])
+    z = z.withColumn("norm", F.greatest(F.lit(1e-9), F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(d)), F.lit(0.0)))))
+    fixed = lambda c, i: F.round(c * FIXED).cast("long").alias(f"y_{i}")
+    kinds = F.explode(F.array(F.struct(F.lit(1).alias("start"), *[fixed(F.col(f"z_{i}") / F.col("norm"), i) for i in range(d)]), F.struct(F.lit(2).alias("start"), *[fixed(F.tanh(f"z_{i}"), i) for i in range(d)]))).alias("y")
+    mom = _moments(z.select("grp", kinds).select("grp", "y.*"), tuple(f"y_{i}" for i in range(d)))
+    m = F.col("m").cast("double") * FIXED * FIXED
+    # second moments about the median; unit vectors have 1 / d of the variance in each direction
+    second = F.when(F.col("start") == 1, F.lit(float(d))).otherwise(F.lit(1.0)) / m
+    scaled = mom.drop(*[f"s_{i}" for i in range(d)]).join(centres, "grp")
+    centre = [F.col(f"mid_{i}").alias(f"c_{i}") for i in range(d)]
+    spread = scaled.select("grp", "start", "m", *centre, *_lower(lambda i, j: (F.col(f"p_{i}{j}") * second * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"v_{i}{j}")))
+    alone = centres.select("grp", F.lit(0).alias("start"), F.lit(0).cast("long").alias("m"), *centre, *_lower(lambda i, j: (F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else F.lit(0.0)).alias(f"v_{i}{j}")))
+    return materialize(_factor(alone.unionByName(spread)))
+
+
+def _concentrated(rows: DataFrame, est: DataFrame, h: float) -> DataFrame:
+    """One concentration step for each row of est (grp, start). Distances are counted in bins of about 3 % width."""
+    near = rows.join(est, "grp").select("grp", "start", *DIMS, F.round(F.log1p(_distance()) * 32).cast("int").alias("_b"))
+    limit = _quantile(near.groupBy("grp", "start", "_b").agg(F.count("*").alias("_c")), ["grp", "start"], "_b", h)
+    return _factor(_covariance(_moments(near.join(limit, ["grp", "start"]).where(F.col("_b") <= F.col("q")), DIMS)))
+
+
+def estimates(good: DataFrame, h: float, starts: int = 2, least: float = 1e-3) -> DataFrame:
+    """(grp, m, c_i, v_ij, logdet): for each group of good (grp and DIMS) and for all rows (grp ''), the estimate of the smallest determinant.
+
+    starts: steps from each start; least: what a further step must take off the log determinant to count.
+    """
+    rows = good.select(F.explode(F.array("grp", F.lit(""))).alias("grp"), *DIMS)
+    centres = _centres(good)
+    est = _starts(rows, centres)
+    for _ in range(starts):
+        last, est = est, materialize(_concentrated(rows, est, h))
+        release(last)
+    columns = est.columns
+    best = est.groupBy("grp").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e")).select("e.*")
+    best = materialize(best.withColumn("open", F.lit(True)))
+    release(centres, est)
+    # groups that a step no longer improves are left out of the next; a determinant can't fall for ever
+    while not best.where("open").isEmpty():
+        step = _concentrated(rows, best.where("open").drop("open"), h)
+        both = best.select("grp", F.struct(*columns).alias("old")).join(step.select("grp", F.struct(*columns).alias("new")), "grp", "left")
+        better = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - least, F.lit(False))
+        last, best = best, materialize(both.select(F.when(better, F.col("new")).otherwise(F.col("old")).alias("e"), better.alias("open")).select("e.*", "open"))
+        release(last)
+    return best
+
+
+def quality_rules(docs: DataFrame, h: float = 0.75, prior: int = PRIOR, cut: float = CUT, scale: float | None = None) -> DataFrame:
     """The rows of docs (lang, source, text) with the base counts, base_failed, distance and kept.
 
-    h: share of rows in the subset; scale: what the subset's covariance is short by (None: `consistency(h)`); cut: largest squared distance kept.
+    h: share of rows in the subset; prior: rows of all groups mixed into each estimate; cut: largest squared distance kept;
+    scale: what the subset's covariance is short by (None: `consistency(h)`).
     """
-    extra = [c for c in docs.columns if c not in {*BASE, *DIMS, "n_lines", "distance", "kept"}]
-    stats = vector(with_statistics(docs.select(*extra))).drop("n_lines")
-    return judge(materialize(stats), h, steps, cut, consistency(h) if scale is None else scale, min_group)
-
-
-def judge(stats: DataFrame, h: float, steps: int, cut: float, scale: float, min_group: int) -> DataFrame:
-    """stats: rows with lang, source, the base columns and DIMS."""
-    keys = ["lang", "source"]
-    good = stats.where(~F.col("base_failed")).select(*keys, *DIMS)
-    sizes = good.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    own = _mcd(_by(good, sizes.where(F.col("_rows") >= min_group), keys).drop("_rows"), keys, h, steps).withColumn("_own", F.lit(True)).drop("m")
-    every = _mcd(good, [], h, steps).drop("m")
-    cols = [c for c in every.columns]
-    # one row, or none where no row passes the floors
-    groups = stats.select(*keys).distinct().join(F.broadcast(every.select(*[F.col(c).alias(f"all_{c}") for c in cols])), F.lit(True), "left")
-    named = own.select(*[F.col(k).alias(f"o_{k}") for k in keys], "_own", *cols)
-    full = groups.join(named, [groups[k].eqNullSafe(named[f"o_{k}"]) for k in keys], "left")
-    est = materialize(full.select(*keys, *[F.coalesce(F.when(F.col("_own"), F.col(c)), F.col(f"all_{c}")).alias(c) for c in cols]))
-    out = _by(stats, est, keys).withColumn("distance", F.round(_distance() / scale, 6))
+    made = {*BASE, *DIMS, "n_lines", "distance", "kept", "grp"}
+    stats = vector(with_statistics(docs.select(*[c for c in docs.columns if c not in made]))).drop("n_lines")
+    return judge(materialize(with_group(stats)), h, prior, cut, consistency(h) if scale is None else scale)
+
+
+def judge(stats: DataFrame, h: float, prior: int, cut: float, scale: float) -> DataFrame:
+    """stats: rows with grp, the base columns and DIMS; a table that can be read again and again."""
+    d = len(DIMS)
+    est = estimates(stats.where(~F.col("base_failed")).select("grp", *DIMS), h)
+    # groups none of whose rows passes the floors have no estimate and need none
+    every = est.where("grp = ''").select(*[F.col(f"c_{i}").alias(f"a_{i}") for i in range(d)], *_lower(lambda i, j: F.col(f"v_{i}{j}").alias(f"w_{i}{j}")))
+    own = est.where("grp != ''").join(F.broadcast(every))  # one row
+    a, b = F.col("m") / (F.col("m") + prior), prior / (F.col("m") + prior)
+    shift = [F.col(f"c_{i}") - F.col(f"a_{i}") for i in range(d)]
+    mixed = _lower(lambda i, j: (a * F.col(f"v_{i}{j}") + b * F.col(f"w_{i}{j}") + a * b * shift[i] * shift[j]).alias(f"v_{i}{j}"))
+    final = materialize(_factor(own.select("grp", F.lit(0).alias("start"), "m", *[(a * F.col(f"c_{i}") + b * F.col(f"a_{i}")).alias(f"c_{i}") for i in range(d)], *mixed)).select("grp", *[f"c_{i}" for i in range(d)], *_lower(lambda i, j: f"l_{i}{j}")))
+    release(est)
+    out = stats.join(final, "grp", "left").withColumn("distance", F.round(_distance() / scale, 6))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
-    return out.withColumn("kept", kept).drop(*DIMS, *cols)
+    return out.withColumn("kept", kept).drop("grp", *DIMS, *final.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    stats = vector(with_statistics(docs)).drop("text", "n_lines")
-    out = judge(materialize(stats), 0.75, 3, CUT, consistency(0.75), 200)
+    stats = with_group(vector(with_statistics(docs))).drop("text", "n_lines", "lang", "source")
+    out = judge(materialize(stats), 0.75, PRIOR, CUT, consistency(0.75))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")

@@ -6,11 +6,16 @@ is above. A source's words are taken floor(target / source) times over, and the
 each document has the key -ln(u) / w (u from a hash of its id, w its quality weight), keys ascend, and a prefix sum
 of words is cut at the rest. The document at the cut gives only the words that are missing.
 
-The order of keys is dealt in two steps so that no source is one task: keys fall into range buckets, whose totals
-are summed first; a window then runs inside each (source, bucket) only. Reruns agree: the hash decides.
+Nothing is sorted whole. Keys are counted in cells of ln(key): under any mixture of weights a cell of width d holds
+at most d / e of a source's rows in expectation, as the logarithm of an exponential variate has a density of 1 / e at
+most. The cell in which a source's cut falls is cut into finer cells, and those once more, so that the last step orders
+only the distinct (key, id, size) of a few rows for each source. The result is one cut for each source; every row
+compares itself with its source's cut, and no row but the source's few at the cut is shuffled. Reruns agree: the hash
+decides.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, last in order; repeated ids
-with equal text get equal keys and are ordered by size (they are interchangeable); an empty table gives no rows.
+with equal text get equal keys, and where they stand at the cut they share its words equally (a rest of fewer words
+than there are copies is left); rows of equal key and different size are ordered by size; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +23,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotspark.llm.common import WORD, materialize, n_words, table
+from depotspark.llm.common import materialize, n_words, release, table
 
 WEIGHTS = (3, 1, 2)
 SEED = "mix-1"
-#: Rows that a bucket holds on average; the number of buckets of a source follows its rows.
-BUCKET_ROWS = 4096
+#: Cells for each unit of ln(key), and cells that a cell is cut into each time.
+CELLS = 64
+FINER = 1024
 
 
 def targets(sizes: list[tuple], budget: float, weights=WEIGHTS, max_epochs: int = 2) -> list[float]:
@@ -44,41 +50,96 @@ def targets(sizes: list[tuple], budget: float, weights=WEIGHTS, max_epochs: int
             return cap
 
 
-def with_sizes(docs: DataFrame) -> DataFrame:
-    """size: words; weight: quality weight in (0, 1], the share of words without symbol characters, smoothed."""
+def with_keys(docs: DataFrame) -> DataFrame:
+    """size: words; weight: quality weight in (0, 1], the share of words without symbol characters, smoothed; key: -ln(u) / weight."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bad = F.regexp_count(text, F.lit(r"[#*$%&|<>]+"))
-    size = n_words(F.col("text"))
-    return docs.withColumn("size", size).withColumn("weight", F.greatest(F.lit(0.05), (1.0 + F.col("size") - F.least(F.col("size"), bad)) / (1.0 + F.col("size"))))
-
-
-def mix(docs: DataFrame, budget: float = 1.5, weights=WEIGHTS, max_epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and the columns in `keep`."""
-    spark = docs.sparkSession
-    rows = materialize(with_sizes(docs).select("doc_id", "source", "size", "weight", *keep))
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    # the source list is a dimension; it is ordered on the driver, and only while it is a few thousand long
-    known = sorted(per.limit(100_001).collect(), key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
-    if len(known) > 100_000:
-        raise ValueError("more than 100,000 sources")
-    aims = targets([(r.source, r.source_size) for r in known], budget, weights, max_epochs)
-    plan = []
-    for r, t in zip(known, aims):
-        epochs = min(max_epochs, int(t // r.source_size)) if r.source_size else 0
-        plan.append((r.source, r.source_size, float(t), epochs, int(round(t - epochs * r.source_size)), max(1, -(-r.n_rows // BUCKET_ROWS))))
-    dim = F.broadcast(spark.createDataFrame(plan, "p_source string, source_size long, target double, epochs long, rest long, buckets long"))
+    docs = docs.withColumn("size", n_words(F.col("text")))
+    weight = F.greatest(F.lit(0.05), (1.0 + F.col("size") - F.least(F.col("size"), bad)) / (1.0 + F.col("size")))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = rows.join(dim, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source").withColumn("key", F.round(-F.log(u) / F.col("weight"), 9))
-    # 1 - exp(-key) rises with the key and is near uniform for weights near 1
-    keyed = keyed.withColumn("bucket", F.least(F.col("buckets") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets"))).cast("long"))
-    totals = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("b_size").over(order), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    run = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    run = run.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inner")))
-    return run.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *keep)
+    return docs.withColumn("weight", weight).withColumn("key", F.greatest(F.lit(1e-9), F.round(-F.log(u) / F.col("weight"), 9)))
+
+
+def _first_over(cells: DataFrame, rest: DataFrame, value: str) -> DataFrame:
+    """cells (source_, value, words) -> per source the first value at which the running words pass rest, and the words before it."""
+    upto = Window.partitionBy("source_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = cells.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(rest, "source_")
+    last = run.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    return last.select("source_", value, (F.col("rest") - F.col("before")).alias("rest"))
+
+
+def cuts(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """(source_, cut, each): per source the first (key, doc_id, size) that the prefix sum cuts, and the words each row of it gives.
+
+    rows: source_, key, doc_id, size, read several times; rest: source_, rest (words to draw). A source with less than
+    rest has no row here: all of it is taken.
+    """
+    log_cell = lambda n: F.floor(F.log("key") * n).cast("long")
+    n, left = CELLS, rest
+    inside = rows.where("size > 0")
+    for k in range(3):
+        cell = inside.groupBy("source_", log_cell(n).alias("cell")).agg(F.sum("size").alias("words"))
+        left = materialize(_first_over(cell, left, "cell"))
+        inside = inside.join(left.select("source_", "cell"), "source_").where(log_cell(n) == F.col("cell")).drop("cell")
+        left, n = left.select("source_", "rest"), n * FINER
+    at = F.struct("key", "doc_id", "size").alias("cut")
+    ties = inside.groupBy("source_", at).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    upto = Window.partitionBy("source_").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    run = ties.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(left, "source_")
+    over = run.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    return over.select("source_", "cut", F.floor((F.col("rest") - F.col("before")) / F.col("n")).cast("long").alias("each"))
+
+
+def _placed(per: DataFrame) -> DataFrame:
+    """per with place: the rank of each source in code point order, null last, from range partitions and their sizes."""
+    order = F.col("source").asc_nulls_last()
+    dealt = materialize(per.repartitionByRange(order).withColumn("part_", F.spark_partition_id()))
+    sizes = dealt.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offset = sizes.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy(order))
+    return dealt.join(offset, "part_").withColumn("place", F.col("offset_") + inside - 1).drop("part_", "offset_")
+
+
+def source_targets(rows: DataFrame, budget: float, weights, max_epochs: int) -> DataFrame:
+    """One row for each source: source_, source_size, target, epochs, rest; `targets` over a table. rows: source_, source, size."""
+    per = _placed(rows.groupBy("source_", "source").agg(F.sum("size").alias("source_size")))
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = materialize(per.select("source_", "source_size", w.alias("w"), (F.col("source_size") * max_epochs).alias("cap")))
+    total = (per.agg(F.sum("source_size")).first()[0] or 0) * budget
+    full, before = F.lit(False), -1
+    while True:
+        r = per.agg(F.sum(F.when(full, F.col("cap")).otherwise(0)).alias("cap"), F.sum(F.when(full, 0).otherwise(F.col("w"))).alias("w"), F.count_if(full).alias("n")).first()
+        if r.n == before or not r.w:
+            break
+        before, share = r.n, F.lit(float(total - r.cap)) * F.col("w") / F.lit(r.w)
+        full = full | (share > F.col("cap"))
+    target = F.when(full, F.col("cap").cast("double")).otherwise(share) if before >= 0 else F.col("cap").cast("double")
+    epochs = F.coalesce(F.least(F.lit(max_epochs), F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))), F.lit(0)).cast("long")
+    plan = per.withColumn("target", target).withColumn("epochs", epochs)
+    return plan.select("source_", "source_size", "target", "epochs", F.bround(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long").alias("rest"))
+
+
+def mixed(docs: DataFrame, budget: float = 1.5, weights=WEIGHTS, max_epochs: int = 2) -> DataFrame:
+    """row_ (each row of docs as a struct), size, source_size, target, taken."""
+    base = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", F.col("source").cast("string").alias("source"), "text")
+    # an exact name for each source that is never null
+    keyed = with_keys(base).withColumn("source_", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    rows = materialize(keyed.select("source_", "source", "key", "doc_id", "size"))
+    plan = materialize(source_targets(rows, budget, weights, max_epochs))
+    plan = materialize(plan.join(cuts(rows.drop("source"), plan.select("source_", "rest")), "source_", "left"))
+    release(rows)
+    out = keyed.join(plan, "source_", "left")
+    own = F.struct("key", "doc_id", "size")
+    part = F.when(F.col("cut").isNull() | (own < F.col("cut")), F.col("size")).when(own == F.col("cut"), F.col("each")).otherwise(F.lit(0))
+    part = F.when(F.col("rest") > 0, part).otherwise(F.lit(0))
+    return out.select("row_", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, budget: float = 1.5, weights=WEIGHTS, max_epochs: int = 2) -> DataFrame:
+    """The rows of docs (doc_id, source, text and others; columns of the names made here are replaced) with size, source_size, target and taken."""
+    made = ("size", "source_size", "target", "taken")
+    return mixed(docs, budget, weights, max_epochs).select(*[F.col("row_")[c].alias(c) for c in docs.columns if c not in made], *made)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,9 +236,9 @@ def test_pipeline(spark):
     _, comp = brute([d.text[i] for i in ids])
     assert sorted(r.doc_id for r in single.select("doc_id").collect()) == [ids[k] for k in sorted(set(comp))]
     assert clean.count() == single.count() and clean.where("text rlike '@mail[0-9]'").count() == 0
-    sizes = {r.doc_id: r["size"] for r in mixing.with_sizes(clean).collect()}
+    sizes = {r.doc_id: r["size"] for r in mixing.with_keys(clean).collect()}
     got = collections.Counter()
-    for r in mixing.with_sizes(mixed).collect():
+    for r in mixing.with_keys(mixed).collect():
         got[r.doc_id] += r["size"]
     assert all(n <= 2 * sizes[i] for i, n in got.items())
     assert abs(sum(got.values()) - sum(r.taken for r in mixing.mix(clean).collect())) == 0

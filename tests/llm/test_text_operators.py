@@ -11,6 +11,7 @@ import zlib
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from depotspark.llm import byte_bpe, hmm_lm, html_extract, license_scan, mixing, pii, quality_rules, url_filter
 
@@ -174,8 +175,8 @@ def test_mixing_query(spark):
 def test_mixing_order_is_the_weighted_sample(spark):
     """Within the fractional part, what is taken is a prefix in order of -ln(u) / w."""
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7) + "# " * (i % 3), "s" if i % 5 else None) for i in range(400)], "doc_id long, text string, source string")
-    rows = mixing.mix(docs, budget=0.5, keep=("weight",) if False else ()).toPandas()
-    w = mixing.with_sizes(docs).toPandas().set_index("doc_id").weight
+    rows = mixing.mix(docs, budget=0.5).toPandas()
+    w = mixing.with_keys(docs).toPandas().set_index("doc_id").weight
     for _, g in rows.groupby(rows.source.fillna("~")):
         u = g.doc_id.map(lambda i: (int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
         key = (-u.map(math.log) / g.doc_id.map(w)).round(9)
@@ -191,6 +192,28 @@ def test_mixing_edge_cases(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_of_low_weights_and_ties(spark):
+    """Junk of weight 0.05 spreads over many cells of keys; copies at the cut share its words; sources are water-filled as `targets` says."""
+    junk = [(i, "# " * (20 + i % 5), "junk") for i in range(3000)] + [(5000 + i, f"w{i} " * 9, "good") for i in range(500)]
+    ties = [(9000, "t " * 10, "ties")] * 300
+    docs = spark.createDataFrame(junk + ties, "doc_id long, text string, source string")
+    rows = mixing.with_keys(docs).where("source = 'junk'")
+    assert rows.agg(F.max("weight")).first()[0] <= 0.05
+    cells = rows.groupBy(F.floor(F.log("key") * 64)).count().agg(F.max("count"), F.count("*")).first()
+    assert cells[0] <= 3000 / 64 * 2 and cells[1] > 100
+    got = mixing.mix(docs, budget=0.7).toPandas()
+    sums = [(s, int(g["size"].sum())) for s, g in sorted(got.groupby("source"))]
+    aims = dict(zip([s for s, _ in sums], mixing.targets(sums, 0.7)))
+    for s, g in got.groupby("source"):
+        assert math.isclose(g.target.iloc[0], aims[s]) and abs(g.taken.sum() - aims[s]) <= (300 if s == "ties" else 1)
+    assert got[got.source == "ties"].taken.nunique() == 1
+    many = spark.createDataFrame([(i, "w " * (i % 11), f"s{i * 7919 % 997:03}") for i in range(3000)] + [(-1, "w w", None)], "doc_id long, text string, source string")
+    got = mixing.mix(many).toPandas()
+    sums = got.fillna({"source": "~"}).groupby("source")["size"].sum().sort_index()
+    aims = dict(zip(sums.index, mixing.targets(list(sums.items()), 1.5)))
+    assert all(math.isclose(r.target, aims[r.source], abs_tol=1e-6) for r in got.fillna({"source": "~"}).itertuples())
+
+
 # ---- licenses
 
 

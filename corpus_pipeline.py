@@ -5,7 +5,8 @@ as the next stage's docs. All stages but the last return the columns of document
 
 Defined cases, in each stage: an empty table gives an empty result; null and empty texts count as empty; extra columns
 pass through the filters under their own names. Rows with a null id can't be named in a group and stay. A document
-that occurs several times with one id stays once at the near-duplicate stage.
+that occurs several times with one id stays once at the near-duplicate stage; of different texts under one id, which are
+one group, that of the smallest fingerprint.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotspark.llm import byte_bpe, mixing, ngram_join, pii, quality_rules
-from depotspark.llm.common import SPACES, materialize, ship
+from depotspark.llm.common import SPACES, materialize, release, ship
 
 #: No SQL: the stages hold trained and iterated estimates; tests compare them with brute force.
 ORACLE_SQL = None
@@ -30,13 +31,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of the smallest id, of each group linked at Jaccard 0.8 or more over 5-word shingles."""
     ship(spark)
     found = materialize(ngram_join.components(docs))
-    stays = found.where("doc_id = component_id").select("doc_id")
-    repeated = stays.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    # texts are moved once, by id; rows without an id take part with a random partition's share of the work
-    kept = docs.where("doc_id is not null").join(stays.distinct(), "doc_id", "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    stays = materialize(found.where("doc_id = component_id").select("doc_id").distinct())
+    # texts move once, by id, and at every size in the same way; rows without an id stay where they are
+    named = docs.where("doc_id is not null").join(stays.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        named = _one_for_each_id(named)
+    release(found)
+    return named.unionByName(docs.where("doc_id is null").select(*docs.columns))
+
+
+def _one_for_each_id(docs: DataFrame) -> DataFrame:
+    """Rows of one id with the same text are one document; of several texts under one id that of the smallest fingerprint stays, as they are one group."""
+    print_ = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("f"), F.xxhash64(*docs.columns).alias("x"))
+    least = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.min(print_).alias("_f"))
+    return docs.join(least, (F.col("doc_id") == F.col("_id")) & (print_ == F.col("_f"))).dropDuplicates(["_id"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,20 +59,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and for the one at a source's cut the words still missing."""
     ship(spark)
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).where("taken > 0")
-    # repeated rows of one id are alike to the mix and share its decision
-    taken = materialize(taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_source", "_size"]))
-    rows = docs.withColumn("_n", mixing.n_words(F.col("text")))
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(taken["_id"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_n"] == taken["_size"]))
-    shares = F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_taken") / F.col("_size")) - 1), lambda k: F.least(F.col("_size"), F.col("_taken") - k * F.col("_size")))
-    rows = rows.withColumn("_share", F.explode(shares))
-    part = F.regexp_extract("text", rf"^[{SPACES}]*", 0)
-    words = F.array_remove(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), "")
-    cut = F.concat(part, F.array_join(F.slice(words, 1, F.col("_share").cast("int")), " "))
-    rows = rows.withColumn("text", F.when(F.col("_share") == F.col("_size"), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = mixing.mixed(docs).where("taken > 0")
+    share = lambda k: F.least(F.col("size"), F.col("taken") - k * F.col("size"))
+    rows = rows.withColumn("share", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("taken") / F.col("size")) - 1), share)))
+    text = F.col("row_")["text"]
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    cut = F.concat(F.regexp_extract(text, rf"^[{SPACES}]*", 0), F.array_join(F.slice(words, 1, F.col("share").cast("int")), " "))
+    text = F.when(F.col("share") == F.col("size"), text).otherwise(cut)
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[made.get(c, F.col("row_")[c]).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

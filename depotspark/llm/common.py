@@ -73,7 +73,7 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an undirected edge list (a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star rounds on the edge table until it no longer changes. Each round is
@@ -83,7 +83,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     spark = edges.sparkSession
     e = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:  # each round lowers the sum of the ends until the stars are settled
         # large star: every larger neighbour of u points at the smallest of u and its neighbours
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -91,12 +91,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # small star: u and its smaller neighbours point at the smallest of them
         low2 = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.where("u != v").distinct())
+        before, e = e, materialize(small.where("u != v").distinct())
+        release(before)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if last is not None and tuple(now) == last:
             break
         last = tuple(now)
-    else:
-        raise RuntimeError("connected components did not settle")
     child = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return child.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(child.select("node"), "node", "left_anti"))

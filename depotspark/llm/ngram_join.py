@@ -10,14 +10,14 @@ What makes this a distributed job:
 * Equal sets are one node (a fingerprint of the set); copies are never paired.
 * Points that must meet are dealt by signature groups. Under any fixed order of shingles, two sets at threshold t
   share one of their first a - ceil(t a) + 1 shingles. The order is: shingles that few sets have in front, by hash,
-  then the frequent ones: those that many fronts hold by hash alone, and those that many of the sets in which such a
-  one stood in front hold anywhere. Each value is a block; equal blocks are one block. Whatever the order, the values
+  then the frequent ones: those that many fronts hold by hash alone, and those that many of the fronts hold that come
+  about when those are moved last. Each value is a block; equal blocks are one block. Whatever the order, the values
   are counted again in the fronts really used, and each that many sets hold is split by node hash into blocks of
   bounded size.
 * In each block an R-tree of its points is searched. Two rounds ask only for each node's best partner in another
   component: the first in some blocks (near copies meet in very many), with one link from each part of a split value
   to the value's first node, the second in every block that still holds several components; in a split value, nodes
-  outside its commonest component are sent to all of its parts. Their pairs are verified and joined to components. The
+  outside its commonest component are sent to all of its parts, in groups of bounded size. Their pairs are verified and joined to components. The
   last round takes the nodes that had any partner within the bound and the blocks that are open still, brings the exact
   sets together, and returns a forest of the links between different components. Every pair at the threshold is thus
   verified or lies inside one component already: no link is lost, and a group never makes all its pairs.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotspark.llm.common import connected_components, materialize, table
+from depotspark.llm.common import connected_components, materialize, release, table
 from depotspark.llm.tokens import mix, shingles, slices, words
 
 GROUPS = 64  # coordinates of the R-tree
@@ -46,6 +46,7 @@ LEAF = 16
 HOT = 200  # a value that more sets have is frequent
 PART = 256  # nodes in a part of a frequent value
 CELL = 4_000  # rows in a cell
+GUESTS = 1024  # nodes from elsewhere that are compared with a part at once
 SOME = 16  # one block in so many is searched in the first round
 MAX_HOT = 1_000_000  # most frequent values that are broadcast; beyond it HOT rises
 
@@ -102,10 +103,10 @@ def _points(docs: DataFrame) -> DataFrame:
     return _per_doc(docs, "doc_id long, node long, n long, vec binary", row)
 
 
-def _signatures(docs: DataFrame, num: int, den: int, hot: np.ndarray | None, whole: bool = False) -> DataFrame:
+def _signatures(docs: DataFrame, num: int, den: int, hot: np.ndarray | None, moved: bool = False) -> DataFrame:
     """(node, n, keys): the first shingles of each set in the order; hot: sorted frequent shingles that come last.
 
-    whole: instead, all other shingles of the sets that hold one of hot in front by hash alone.
+    moved: only of sets that hold one of hot in front by hash alone, and only what came in front instead.
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot) if hot is not None and hot.size else None
 
@@ -119,10 +120,14 @@ def _signatures(docs: DataFrame, num: int, den: int, hot: np.ndarray | None, who
             p = n - -(-num * n // den) + 1
             if last is not None:
                 at = np.minimum(np.searchsorted(last, s), last.size - 1)
-                rare = s[last[at] != s]
-                if whole and (rare.size == n or (rare.size >= p and (rare[:p] == s[:p]).all())):
-                    continue
-                front = rare if whole else rare[:p] if rare.size >= p else np.concatenate([rare, s[last[at] == s][: p - rare.size]])
+                often = last[at] == s
+                rare = s[~often]
+                if moved:
+                    front = rare[p - int(np.count_nonzero(often[:p])) : p]
+                    if not front.size:
+                        continue
+                else:
+                    front = rare[:p] if rare.size >= p else np.concatenate([rare, s[often][: p - rare.size]])
             else:
                 front = s[:p]
             nodes.append(fingerprint(s))
@@ -141,21 +146,27 @@ def _often(keys: DataFrame) -> DataFrame:
     found, least = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT)), HOT
     while found.count() > MAX_HOT:
         least *= 4
-        found = found.where(F.col("c") > least)
+        last, found = found, materialize(found.where(F.col("c") > least))
+        release(last)
     return found
 
 
 def _sorted_keys(found: DataFrame) -> np.ndarray:
-    return np.unique(np.array([r.key for r in found.select("key").collect()], dtype=np.int64).view(np.uint64))  # bounded by MAX_HOT
+    return np.unique(found.select("key").toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))  # bounded by MAX_HOT
 
 
 def frequent(docs: DataFrame, num: int, den: int) -> np.ndarray:
-    """Sorted shingles that come last. Moving some last brings others of the same sets in front, so those sets are counted whole."""
+    """Sorted shingles that come last. Moving some last brings others of the same sets in front, which are counted as well."""
     each = F.explode("keys").alias("key")
-    first = _sorted_keys(_often(_signatures(docs, num, den, None).select(each)))
-    if not first.size:
-        return first
-    return np.union1d(first, _sorted_keys(_often(_signatures(docs, num, den, first, True).select(each))))
+    first = _often(_signatures(docs, num, den, None).select(each))
+    keys = _sorted_keys(first)
+    release(first)
+    if not keys.size:
+        return keys
+    second = _often(_signatures(docs, num, den, keys, True).select(each))
+    keys = np.union1d(keys, _sorted_keys(second))
+    release(second)
+    return keys
 
 
 class RTree:
@@ -277,7 +288,9 @@ def verify(docs: DataFrame, points: DataFrame, pairs: DataFrame, num: int, den:
     both = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("s", "sa"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("s", "sb"), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     # repeated rows of one id give repeated pairs
-    return materialize(both.where(den * inter >= num * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct())
+    linked = materialize(both.where(den * inter >= num * (F.size("sa") + F.size("sb") - inter)).select("a", "b").distinct())
+    release(sets)
+    return linked
 
 
 def _sets(docs: DataFrame, points: DataFrame, ends: DataFrame) -> DataFrame:
@@ -318,6 +331,7 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     firsts = lists.select(F.explode("hot_keys").alias("k"), F.element_at("nodes", 1).alias("a")).select("k.key", "a")
     across = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    release(signed)
     tried = found = comps = None
     for part in (lists.where(F.pmod(F.xxhash64("key", "part"), F.lit(SOME)) == 0), lists):
         pairs = _candidates(_dealt(_open_blocks(part, parts, comps)).join(where, "node"), num, den)
@@ -334,7 +348,10 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     # a node without any partner within the bound in the second round has none now
     nodes = materialize(alive.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     rows = _dealt(_open_blocks(lists, parts, comps).join(nodes, "node", "left_semi")).select("cell", "node", "comp").distinct()
-    return found.unionByName(_remaining(rows, _sets(docs, points, nodes), num, den))
+    sets = _sets(docs, points, nodes)
+    last = _remaining(rows, sets, num, den)
+    release(sets, lists, where, nodes, alive)
+    return found.unionByName(last)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -411,9 +428,15 @@ def _open_blocks(lists: DataFrame, parts: DataFrame, comps: DataFrame | None) ->
     several = plain.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("block")
     plain = plain.join(several, "block", "left_semi").select("block", "node", "comp", F.lit(True).alias("home"))
     many = rows.where(F.size("hot_keys") > 0).select("node", "comp", F.explode("hot_keys").alias("k")).select("node", "comp", "k.key", "k.part")
-    tops = many.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1").join(parts, "key")
-    many = many.join(tops, "key").withColumn("to", F.when(F.col("comp") == F.col("top"), F.array("part")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    many = many.select("key", "node", "comp", "part", F.explode("to").alias("there")).select(F.xxhash64("key", F.col("there").cast("long")).alias("block"), "node", "comp", (F.col("part") == F.col("there")).alias("home"))
+    tops = many.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("others")).where("k > 1").join(parts, "key")
+    tops = tops.select("key", "top", "parts", (F.floor(F.col("others") / GUESTS) + 1).alias("groups"))
+    many = many.join(tops, "key").withColumn("guest", F.col("comp") != F.col("top"))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # a part's own nodes meet each group of guests; a guest is in one group, in all parts
+    many = many.withColumn("there", F.explode(F.when(F.col("guest"), numbers(F.col("parts"))).otherwise(F.array("part"))))
+    own = F.col("part") == F.col("there")
+    many = many.withColumn("group", F.explode(F.when(own, numbers(F.col("groups"))).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(3)), F.col("groups"))))))
+    many = many.select(F.xxhash64("key", F.col("there").cast("long"), F.col("group").cast("long")).alias("block"), "node", "comp", own.alias("home"))
     return plain.unionByName(many)
 
 

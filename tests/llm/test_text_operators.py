@@ -143,6 +143,42 @@ def test_html_keeps_real_text(spark):
     assert got[20] == "Story" and got[21] == "Up"
 
 
+def test_html_template_without_any_names(spark):
+    """Element and class names are random: only the template tells boilerplate, navigation and text apart."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    pages, want = [], {}
+    for host in range(4):
+        a, b, c, d = (word() + "x" for _ in range(4))
+        notice, foot = prose(9), prose(7)
+        for k in range(12):
+            blocks = [prose(r.randint(5, 40)) for _ in range(r.randint(1, 6))]
+            links = "".join(f"<{b}><a href='/{word()}'>{prose(2)}</a></{b}>" for _ in range(r.randint(3, 7)))
+            body = "".join(f"<p>{x}</p>" for x in blocks)
+            page = f"<html><body><{a} class={c}>{links}</{a}><{a} class={d}-{k}>{body}</{a}><{b} id={word()}>{notice}</{b}><{d}>{foot}</{d}></body></html>"
+            pages.append((host * 100 + k, f"http://h{host}.b/{k}", page))
+            want[host * 100 + k] = "\n".join(blocks)
+    pages += [pages[5]] * 3  # repeated rows
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = html_extract.extract(df).collect()
+    assert len(got) == len(pages) and all(r.text == want[r.page_id] for r in got)
+    assert all(r.text != want[r.page_id] for r in html_extract.extract(df, use_template=False).collect())
+
+
+def test_html_classes_are_valid_in_order_and_span():
+    """A class is known by one order, and no span of one crosses another's."""
+    kinds = {1: 10, 2: 10, 3: 20, 4: 20, 5: 30, 6: 30}
+    of = lambda *t: html_extract._orders(list(t), list(range(len(t))), kinds)
+    assert of(1, 3, 4, 2)[20] == of(1, 5, 6, 3, 4, 2)[20] != of(1, 4, 3, 2)[20]
+    assert not any(x[1] for x in of(1, 3, 4, 2, 5, 6).values()) and of(1, 3, 2, 4)[20][1]
+
+
+def test_html_names_in_other_attributes_say_nothing(spark):
+    got = extracted(spark, [(1, "http://a.b", "<body><div data-role='menu' title='id=ad'><p>Text</p></div><div ROLE=navigation>Go</div></body>")])
+    assert got[1] == "Text"
+
+
 # ---- mixing
 
 

@@ -60,6 +60,14 @@ def storage_class(volume: Column, edge: Column) -> Column:
     return F.when(F.coalesce(pallet, F.lit(True)), "棧板").otherwise("貨架")
 
 
+def storage_reason(volume: Column, edge: Column) -> Column:
+    """Why: the limits that are passed, or that both hold, or that a dimension is missing."""
+    whole = lambda c: F.bround(c).cast("long").cast("string")
+    v, e = f"{R.SHELF_MAX_VOLUME / 1000:.0f}L", f"{R.SHELF_MAX_EDGE:.0f}cm"
+    over = F.concat_ws(";", F.when(volume > R.SHELF_MAX_VOLUME, F.concat(F.lit("材積"), whole(volume / 1000), F.lit(f"L>{v}"))), F.when(edge > R.SHELF_MAX_EDGE, F.concat(F.lit("最長邊"), whole(edge), F.lit(f"cm>{e}"))))
+    return F.when(volume.isNull(), "缺尺寸暫歸棧板(待量測)").when(over != "", over).otherwise(f"材積≤{v}且最長邊≤{e}")
+
+
 def category_label(category: Column, name: Column) -> Column:
     """name（id）, （空白） without a category."""
     return F.when(category.isNull(), F.lit("(空白)")).when(name.isNull(), category.cast("string")).otherwise(F.concat(name, F.lit("（"), category.cast("string"), F.lit("）")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
+from depotspark.operators.graph import cut_lineage
 
 
 def sku_frequency(sales: DataFrame) -> DataFrame:
@@ -25,19 +26,31 @@ def category_frequency(freq: DataFrame) -> DataFrame:
 def classes(df: DataFrame, value: str, key: str, a: float = R.ABC_A, b: float = R.ABC_B, within: str | None = None) -> DataFrame:
     """Adds rank, share, cum and cls: A up to a percent of the running total, B up to b, else C. Ties by key.
 
-    The frame is one row for each item or category, so the running sum is over aggregates, not over order lines.
+    No task sees all items: rows are dealt by ranges of (value, key), a window runs inside each range, and what lies
+    before a range comes from the ranges' sums.
     """
     part = [within] if within else []
-    w = Window.partitionBy(*part).orderBy(F.desc(value), key)
-    total = F.sum(value).over(Window.partitionBy(*part))
-    total = F.when(total == 0, 1).otherwise(total)
-    run = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("rank", F.row_number().over(w)).withColumn("share", F.lit(100.0) * F.col(value) / total).withColumn("cum", F.lit(100.0) * run / total)
+    dealt = cut_lineage(df.repartitionByRange(*[F.col(c) for c in part], F.desc(value), F.asc(key)).withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy("_p", *part).agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
+    before = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range and group
+    every = Window.partitionBy(*part)
+    sums = sums.select("_p", *part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_v0"), F.sum("_v").over(every).alias("_all"))
+    named = [F.col(c).alias(f"_g_{c}") for c in part]
+    sums = sums.select("_p", *named, "_n0", "_v0", "_all").withColumnRenamed("_p", "_q")
+    on = F.col("_p") == F.col("_q")
+    for c in part:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    inside = Window.partitionBy("_p", *part).orderBy(F.desc(value), key)
+    df = dealt.withColumn("_r", F.row_number().over(inside)).withColumn("_s", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sums, on)
+    total = F.when(F.col("_all") == 0, 1).otherwise(F.col("_all"))
+    df = df.withColumn("rank", (F.col("_n0") + F.col("_r")).cast("int")).withColumn("share", F.lit(100.0) * F.col(value) / total).withColumn("cum", F.lit(100.0) * (F.col("_v0") + F.col("_s")) / total)
+    df = df.drop("_p", "_q", "_r", "_s", "_n0", "_v0", "_all", *[f"_g_{c}" for c in part])
     return df.withColumn("cls", F.when(F.col("cum") <= a, "A").when(F.col("cum") <= b, "B").otherwise("C"))
 
 
 def pareto(classed: DataFrame, points: int = R.PARETO_POINTS) -> DataFrame:
     """rank and cum at evenly spaced ranks, first and last included."""
+    classed = cut_lineage(classed.select("rank", "cum", "cls"))
     n = classed.agg(F.count("*").alias("n"))
     wanted = n.where("n > 0").select(F.explode(F.when(F.col("n") <= points, F.sequence(F.lit(1).cast("long"), F.col("n"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long")), lambda k: F.bround(k / F.lit(points - 1.0) * (F.col("n") - 1)).cast("long") + 1))).alias("rank")).distinct()

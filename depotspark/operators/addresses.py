@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from depotspark import reference_values as R
 from depotspark.functions import address as A
 from depotspark.functions import text as T
+from depotspark.operators.graph import cut_lineage
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """rows (row_id, ship_no, store_code, address) with norm, city, district, rest, ship_date. Each distinct address is parsed once."""
-    one = rows.where("address is not null").select("address").distinct().withColumn("norm", A.normalize(F.col("address")))
-    one = one.select("address", "norm", A.city(F.col("norm")).alias("city"), A.district(F.col("norm")).alias("district"), A.rest(F.col("norm")).alias("rest"))
-    return rows.join(one, "address", "left").withColumn("rest", F.coalesce("rest", F.lit(""))).withColumn("ship_date", T.ship_date(F.col("ship_no")))
+def pairs(rows: DataFrame) -> DataFrame:
+    """rows (row_id, ship_no, store_code, address) -> one row for each (address, store_code): rows n, dated rows, first and last date,
+    and the address parsed. Everything about addresses is taken from these; a hot address or store is combined before it is shuffled."""
+    dated = rows.select("address", "store_code", T.ship_date(F.col("ship_no")).alias("ship_date"))
+    every = cut_lineage(dated.groupBy("address", "store_code").agg(F.count("*").alias("n"), F.count("ship_date").alias("dated"), F.min("ship_date").alias("lo"), F.max("ship_date").alias("hi")))
+    one = every.where("address is not null").select("address").distinct().withColumn("norm", A.normalize(F.col("address")))
+    one = cut_lineage(one.select("address", "norm", A.city(F.col("norm")).alias("city"), A.district(F.col("norm")).alias("district"), A.rest(F.col("norm")).alias("rest")))
+    return every.join(one, "address", "left").withColumn("rest", F.coalesce("rest", F.lit("")))
 
 
 def shared_addresses(p: DataFrame) -> DataFrame:
-    """(norm, store_code) pairs with few rows, of full addresses that many stores share so sparsely: likely defaults."""
-    pairs = p.where("city is not null and district is not null and store_code is not null").groupBy("norm", "store_code").agg(F.count("*").alias("n")).where(F.col("n") <= R.SHARED_ADDRESS_ROWS)
-    many = pairs.groupBy("norm").agg(F.count("*").alias("stores")).where(F.col("stores") >= R.SHARED_ADDRESS_STORES).select("norm")
-    return pairs.join(many, "norm", "left_semi").select("norm", "store_code")
+    """(norm, store_code) pairs with few rows, of full addresses that many stores share so sparsely: likely defaults. p: see pairs."""
+    sparse = p.where("city is not null and district is not null and store_code is not null").groupBy("norm", "store_code").agg(F.sum("n").alias("n")).where(F.col("n") <= R.SHARED_ADDRESS_ROWS)
+    many = sparse.groupBy("norm").agg(F.count("*").alias("stores")).where(F.col("stores") >= R.SHARED_ADDRESS_STORES).select("norm")
+    return sparse.join(many, "norm", "left_semi").select("norm", "store_code")
 
 
-def trusted_rows(p: DataFrame) -> DataFrame:
+def trusted(p: DataFrame) -> DataFrame:
     """p with placeholder and trusted flags."""
     bad = shared_addresses(p).withColumn("placeholder", F.lit(True))
     out = p.join(bad, ["norm", "store_code"], "left").withColumn("placeholder", F.coalesce("placeholder", F.lit(False)))
@@ -32,16 +36,19 @@ def trusted_rows(p: DataFrame) -> DataFrame:
 
 
 def variants(t: DataFrame) -> DataFrame:
-    """Trusted versions of each store's address: first and last date, rows."""
-    return t.where("trusted").groupBy("store_code", "city", "district", "rest").agg(F.min("ship_date").alias("lo"), F.max("ship_date").alias("hi"), F.count("ship_date").alias("n"))
+    """Trusted versions of each store's address: first and last date, dated rows."""
+    return t.where("trusted").groupBy("store_code", "city", "district", "rest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("dated").alias("n"))
 
 
 def backfill(rows: DataFrame) -> DataFrame:
-    """rows with address_final, address_source, address_pending and region."""
-    t = trusted_rows(parsed(rows))
+    """rows with address_final, address_source, address_pending and region. Rows are read twice and joined once, with their (address, store_code)."""
+    rows = rows.select("row_id", "ship_no", "store_code", "address")
+    t = trusted(pairs(rows))
     v = variants(t).select(F.col("store_code"), F.struct("city", "district", "rest", "lo", "hi", "n").alias("v"))
     versions = v.groupBy("store_code").agg(F.sort_array(F.collect_list("v")).alias("versions"))  # a store's versions, not its rows
-    t = t.join(versions, "store_code", "left")
+    known = cut_lineage(t.join(versions, "store_code", "left").select(F.col("address").alias("_address"), F.col("store_code").alias("_store"), "norm", "city", "district", "rest", "placeholder", "trusted", "versions"))
+    on = rows["address"].eqNullSafe(known["_address"]) & rows["store_code"].eqNullSafe(known["_store"])
+    t = rows.join(known, on).drop("_address", "_store").withColumn("ship_date", T.ship_date(F.col("ship_no")))
     many = F.size("versions") > 1
     day, none = F.col("ship_date"), F.lit(1 << 30)
     gap = lambda x: F.when((day >= x["lo"]) & (day <= x["hi"]), 0).otherwise(F.coalesce(F.least(F.abs(F.datediff(day, x["lo"])), F.abs(F.datediff(day, x["hi"]))), none))
@@ -61,17 +68,36 @@ def backfill(rows: DataFrame) -> DataFrame:
     return t.withColumn("region", F.when(F.col("address_pending") == 0, region)).select("row_id", "store_code", "ship_date", "address", "address_final", "address_source", "address_pending", "region", "rest")
 
 
+def _places(df: DataFrame, name: str) -> DataFrame:
+    """city, district and name without variants of 台; district from its own column, else what follows the city in site_id (or all of it)."""
+    of = lambda c: A.canonical(F.trim(F.col(c)))
+    site = of("site_id") if "site_id" in df.columns else None
+    district = of("district") if "district" in df.columns else F.when(site.startswith(of("city")), site.substr(F.length(of("city")) + 1, F.length(site))).otherwise(site)
+    return df.select(of("city").alias("city"), district.alias("district"), of(name).alias(name)).where(f"city <> '' and district <> '' and {name} <> ''")
+
+
 def gazetteer(roads: DataFrame | None, villages: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(road -> regions, village -> regions, triples); None when neither file is there. roads: city, site_id, road; villages: city, district, village."""
+    """(road -> regions, village -> regions, triples); None when neither file is there; one of them may be absent.
+
+    roads: city, site_id, road; villages: city, district (or site_id), village.
+    """
     if roads is None and villages is None:
         return None
-    r = roads.select(A.canonical(F.col("city")).alias("city"), A.canonical(F.col("site_id")).alias("site_id"), A.canonical(F.col("road")).alias("road"))
-    r = r.withColumn("district", F.when(F.col("site_id").startswith(F.col("city")), F.col("site_id").substr(F.length("city") + 1, F.lit(100)))).where("city <> '' and district <> '' and road <> ''")
-    v = villages.select(A.canonical(F.col("city")).alias("city"), A.canonical(F.col("district")).alias("district"), A.canonical(F.col("village")).alias("village")).where("city <> '' and district <> '' and village <> ''")
+    spark = (roads if roads is not None else villages).sparkSession
+    none = lambda name: spark.createDataFrame([], f"city string, district string, {name} string")
+    r = _places(roads if roads is not None else none("road"), "road")
+    v = _places(villages if villages is not None else none("village"), "village")
     by = lambda df, k: df.groupBy(k).agg(F.collect_set(F.concat("city", "district")).alias(f"{k}_regions"))
     return by(r, "road"), by(v, "village"), r.select("city", "district", "road").distinct()
 
 
+def match_counts(resolved: DataFrame) -> DataFrame:
+    """Rows by what the gazetteer found, all kinds listed."""
+    kinds = resolved.sparkSession.createDataFrame([(k,) for k in ("未載入參考資料", "未比對", "路名回推補齊", "路名相符(已驗證)")], "address_match string")
+    n = resolved.groupBy("address_match").agg(F.count("*").alias("n"))
+    return kinds.join(n, "address_match", "left").select("address_match", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def resolve(filled: DataFrame, names: tuple[DataFrame, DataFrame, DataFrame] | None) -> DataFrame:
     """filled (see backfill) with address_match; regions of incomplete addresses come from unique roads and villages."""
     if names is None:

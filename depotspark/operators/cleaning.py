@@ -5,11 +5,12 @@ One DataFrame carries clean and isolated rows; the reason is a nullable column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
 from depotspark.functions import text as T
+from depotspark.operators.graph import cut_lineage
 
 RAW_COLUMNS = ["ship_no", "store_order_no", "store_code", "address", "item_id", "item_code", "item_name", "category_id", "qty", "unit", "len_cm", "wid_cm", "hgt_cm", "weight_kg"]
 
@@ -23,32 +24,66 @@ def require_columns(df: DataFrame) -> DataFrame:
     return df.select("row_id", *RAW_COLUMNS)
 
 
-def is_repeat(columns: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*columns).orderBy("row_id")) > 1
+def row_key(columns: list[str]) -> list[Column]:
+    """Two independent 64-bit hashes of the columns, nulls told apart from texts: rows with equal keys are equal."""
+    same = [x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]
+    return [F.xxhash64(*same).alias("_k1"), F.xxhash64(F.lit(1), *same).alias("_k2")]
+
+
+def repeats(rows: DataFrame, name: str) -> DataFrame:
+    """rows (row_id, _k1, _k2) -> (_k1, _k2, name): of keys that several rows have, the smallest row_id. Map-side combining shrinks hot keys."""
+    return rows.groupBy("_k1", "_k2").agg(F.min("row_id").alias(name), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+
+
+def with_repeat(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """rows with `name`: an earlier row is equal in the columns. rows is a table that can be read twice."""
+    keyed = rows.select("*", *row_key(columns))
+    first = repeats(keyed.select("row_id", "_k1", "_k2"), "_first")
+    return keyed.join(first, ["_k1", "_k2"], "left").withColumn(name, F.coalesce(F.col("row_id") > F.col("_first"), F.lit(False))).drop("_k1", "_k2", "_first")
 
 
 def normalize(raw: DataFrame) -> DataFrame:
     """Typed columns; qty_raw keeps the text, raw_dup marks repeats of an earlier raw row."""
-    df = require_columns(raw).withColumn("raw_dup", is_repeat(RAW_COLUMNS))
-    return df.select(
+    df = require_columns(raw)
+    typed = df.select(
         "row_id", "ship_no", T.null_tokens(F.col("store_order_no")).alias("store_order_no"), "store_code", "address",
         T.to_int(F.col("item_id")).alias("item_id"), T.strip(F.col("item_code")).alias("item_code"), T.strip(F.col("item_name")).alias("item_name"),
         T.to_int(F.col("category_id")).cast("int").alias("category_id"), F.col("qty").alias("qty_raw"), T.number(F.col("qty")).alias("qty"),
-        T.strip(F.col("unit")).alias("unit"), *RAW_COLUMNS[10:], "raw_dup",
+        T.strip(F.col("unit")).alias("unit"), *RAW_COLUMNS[10:], *row_key(RAW_COLUMNS),
     )
+    typed = cut_lineage(typed)  # read for the repeats, the modes and the rows
+    first = repeats(typed.select("row_id", "_k1", "_k2"), "_first")
+    return typed.join(first, ["_k1", "_k2"], "left").withColumn("raw_dup", F.coalesce(F.col("row_id") > F.col("_first"), F.lit(False))).drop("_k1", "_k2", "_first")
+
+
+def mode_of(counts: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """counts (key, value, n) -> the value with the largest sum of n for each key; ties to the smallest text. Nulls don't count."""
+    sums = counts.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.sum("n").alias("_n"))
+    return sums.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value).cast("string"))).alias(name))
 
 
 def mode_by(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Most frequent value for each key; ties to the smallest text. Nulls don't count."""
-    counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    return counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value).cast("string"))).alias(name))
+    return mode_of(df.select(key, value, F.lit(1).alias("n")), key, value, name)
+
+
+def _left(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that may be null in many rows: those get a second key of their own and meet nothing, so they aren't one hot group."""
+    lone = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("row_id"), F.lit(1 << 16)) + 1).otherwise(F.lit(0))
+    side = side.withColumnRenamed(key, "_side").withColumn("_s", F.lit(0).cast("long"))
+    filler = F.coalesce(F.col(key), F.lit("" if dict(df.dtypes)[key] == "string" else 0).cast(dict(df.dtypes)[key]))
+    keyed = df.withColumn("_s0", lone).withColumn("_key", filler)
+    return keyed.join(side, (F.col("_key") == F.col("_side")) & (F.col("_s0") == F.col("_s")), "left").drop("_s0", "_key", "_side", "_s")
 
 
 def fill(df: DataFrame) -> DataFrame:
-    """Names by the item's mode, categories by the item's mode and then by the name's; modes over all rows."""
-    df = df.join(mode_by(df, "item_id", "item_name", "_name"), "item_id", "left").join(mode_by(df, "item_id", "category_id", "_cat"), "item_id", "left")
-    df = df.withColumn("name_filled", F.coalesce("item_name", "_name")).withColumn("_c1", F.coalesce("category_id", "_cat"))
-    df = df.join(mode_by(df, "name_filled", "_c1", "_by_name"), "name_filled", "left")
+    """Names by the item's mode, categories by the item's mode and then by the name's; modes over all rows, from one table of counts."""
+    counts = cut_lineage(df.groupBy("item_id", "item_name", "category_id").agg(F.count("*").alias("n")))
+    items = mode_of(counts, "item_id", "item_name", "_name").join(mode_of(counts, "item_id", "category_id", "_cat"), "item_id", "full_outer")
+    items = cut_lineage(items)
+    named = counts.join(items, "item_id", "left").select(F.coalesce("item_name", "_name").alias("name_filled"), F.coalesce("category_id", "_cat").alias("c"), "n")
+    df = _left(df, items, "item_id").withColumn("name_filled", F.coalesce("item_name", "_name")).withColumn("_c1", F.coalesce("category_id", "_cat"))
+    df = _left(df, mode_of(named, "name_filled", "c", "_by_name"), "name_filled")
     return df.withColumn("category_filled", F.coalesce("_c1", "_by_name")).drop("_name", "_cat", "_c1", "_by_name")
 
 
@@ -64,7 +99,7 @@ def isolate(raw: DataFrame) -> DataFrame:
     """All rows with filled columns and isolation_reason: the first rule hit, null for clean rows."""
     df = fill(normalize(raw))
     same = ["ship_no", "store_order_no", "store_code", "address", "item_id", "item_code", "name_filled", "category_filled", "qty_raw", "unit", "len_cm", "wid_cm", "hgt_cm", "weight_kg"]
-    df = df.withColumn("norm_dup", is_repeat(same))
+    df = with_repeat(df, same, "norm_dup")
     reason = (
         F.when(~F.coalesce(F.col("ship_no").rlike(R.SHIP_NO), F.lit(False)), "bad_ship_no")
         .when(F.col("raw_dup"), "duplicate").when(F.col("item_id").isNull(), "no_item").when(F.col("name_filled").isNull(), "no_name")

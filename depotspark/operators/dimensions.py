@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
 from depotspark.functions import text as T
-from depotspark.operators.cleaning import mode_by
+from depotspark.operators.cleaning import _left
 from depotspark.operators.graph import cut_lineage
 
 EDGES = ["len_cm", "wid_cm", "hgt_cm"]
@@ -22,33 +22,60 @@ def typed(df: DataFrame) -> DataFrame:
     return df
 
 
-def _valid(c: str) -> Column:
-    return F.when(~F.col(f"x_{c}"), F.col(c))
+def value_counts(df: DataFrame) -> DataFrame:
+    """(item_id, category_final, c, v, x, n, row_id): how often each item and category have each value of each column, x above the limit, and the first row."""
+    long = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"), F.col(f"x_{c}").alias("x")) for c in ALL]))
+    rows = df.select("row_id", "item_id", "category_final", long).where("v is not null")
+    return rows.groupBy("item_id", "category_final", "c", "v", "x").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
+
+
+def weighted_median(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts (keys, v, n) -> (keys, med, n): exact medians, the mean of both middle values, from running counts over distinct values."""
+    per = counts.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = per.withColumn("hi", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+    # places of the middle values, from 1
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
+    holds = lambda at: (F.col("hi") >= at) & (F.col("hi") - F.col("n") < at)
+    mid = run.groupBy(*keys).agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"), F.sum("n").alias("n"))
+    return mid.select(*keys, ((F.col("a") + F.col("b")) / 2).alias("med"), "n")
+
+
+def category_medians(counts: DataFrame) -> DataFrame:
+    """One row for each category: exact median and number of valid rows of each column."""
+    med = weighted_median(counts.where("not x and category_final is not null"), ["category_final", "c"])
+    one = lambda c, x: F.max(F.when(F.col("c") == c, F.col(x)))
+    return med.groupBy("category_final").agg(*[a for c in ALL for a in (one(c, "med").alias(f"med_{c}"), F.coalesce(one(c, "n"), F.lit(0)).alias(f"n_{c}"))])
 
 
 def category_statistics(df: DataFrame) -> DataFrame:
-    """Per category: exact median and number of valid rows of each column."""
-    aggs = [a for c in ALL for a in (F.median(_valid(c)).alias(f"med_{c}"), F.count(_valid(c)).alias(f"n_{c}"))]
-    return df.where("category_final is not null").groupBy("category_final").agg(*aggs)
+    """Per category of the rows: exact median and number of valid rows of each column."""
+    every = df.where("category_final is not null").select("category_final").distinct()
+    out = every.join(category_medians(value_counts(df)), "category_final", "left")
+    return out.select("category_final", *[x for c in ALL for x in (f"med_{c}", F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}"))])
+
+
+def shared_extremes(counts: DataFrame) -> DataFrame:
+    """(c, v): extreme values that are the first extreme value of many items: likely defaults."""
+    first = counts.where("x").groupBy("item_id", "c").agg(F.min_by("v", "row_id").alias("v"))
+    return first.groupBy("c", "v").agg(F.count("*").alias("items")).where(F.col("items") >= R.SHARED_VALUE_ITEMS).select("c", "v")
 
 
 def shared_values(df: DataFrame, c: str) -> DataFrame:
-    """Extreme values that are the first extreme value of many items: likely defaults."""
-    first = df.where(F.col(f"x_{c}")).groupBy("item_id").agg(F.min_by(c, "row_id").alias("v"))
-    return first.groupBy("v").agg(F.count("*").alias("items")).where(F.col("items") >= R.SHARED_VALUE_ITEMS).select(F.col("v").alias(f"shared_{c}"))
+    return shared_extremes(value_counts(df)).where(F.col("c") == c).select(F.col("v").alias(f"shared_{c}"))
 
 
 def repair(cleaned: DataFrame) -> DataFrame:
-    """Each column and its <col>_source: original, item mode, category range ÷f, excluded, missing or extreme."""
-    df = cut_lineage(typed(cleaned))  # read once for each statistic below
-    modes = None
-    for c in ALL:
-        one = mode_by(df.select("item_id", _valid(c).alias("v")), "item_id", "v", f"mode_{c}")
-        modes = one if modes is None else modes.join(one, "item_id", "full_outer")
-    out = df.join(modes, "item_id", "left").join(category_statistics(df), "category_final", "left")
+    """Each column and its <col>_source: original, item mode, category range ÷f, excluded, missing or extreme. All statistics come from one table of counts."""
+    df = cut_lineage(typed(cleaned))
+    counts = cut_lineage(value_counts(df))
+    one = lambda c: F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"mode_{c}")
+    sums = counts.where("not x and item_id is not null").groupBy("item_id", "c", "v").agg(F.sum("n").alias("n"))
+    modes = sums.groupBy("item_id", "c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v").cast("string"))).alias("v")).groupBy("item_id").agg(*[one(c) for c in ALL])
+    shared = cut_lineage(shared_extremes(counts))  # values, each shared by ten items or more
+    out = _left(df, modes, "item_id").join(category_medians(counts), "category_final", "left")
     for c in ALL:
-        shared = shared_values(df, c)
-        out = out.join(F.broadcast(shared), out[c] == shared[f"shared_{c}"], "left")  # values, at most the items over ten
+        out = out.join(shared.where(F.col("c") == c).select(F.col("v").alias(f"shared_{c}")), out[c] == F.col(f"shared_{c}"), "left")
         v, extreme, mode, med = F.col(c), F.col(f"x_{c}"), F.col(f"mode_{c}"), F.col(f"med_{c}")
         suspect = extreme & F.col(f"shared_{c}").isNotNull()
         need = v.isNull() | extreme
@@ -62,7 +89,7 @@ def repair(cleaned: DataFrame) -> DataFrame:
             f"{c}_source",
             F.when(~need, "original").when(by_item, "item mode").when(suspect, "excluded").when(F.col("_f").isNotNull(), F.concat(F.lit("category range /"), F.col("_f").cast("string"))).when(v.isNull(), "missing").otherwise("extreme"),
         )
-        out = out.withColumn(c, F.when(by_item, mode).when(suspect, None).when(F.col("_f").isNotNull(), v / F.col("_f")).otherwise(v))
+        out = out.withColumn(f"{c}_before", v).withColumn(c, F.when(by_item, mode).when(suspect, None).when(F.col("_f").isNotNull(), v / F.col("_f")).otherwise(v))
         out = out.withColumn(f"x_{c}", F.col(f"{c}_source") == "extreme").drop("_f", f"mode_{c}", f"med_{c}", f"n_{c}", f"shared_{c}")
     return out
 
@@ -70,8 +97,11 @@ def repair(cleaned: DataFrame) -> DataFrame:
 def impute(repaired: DataFrame) -> DataFrame:
     """Missing edges take the category's median over item medians, from three items on. Weight is never imputed."""
     repaired = cut_lineage(repaired)
-    per_item = repaired.where("category_final is not null and item_id is not null").groupBy("category_final", "item_id").agg(*[F.median(_valid(c)).alias(c) for c in EDGES])
-    stats = per_item.groupBy("category_final").agg(*[a for c in EDGES for a in (F.median(c).alias(f"m_{c}"), F.count(c).alias(f"k_{c}"))])
+    counts = value_counts(repaired).where("not x and category_final is not null and item_id is not null").where(F.col("c").isin(EDGES))
+    items = weighted_median(counts, ["category_final", "item_id", "c"]).select("category_final", "c", F.col("med").alias("v"), F.lit(1).alias("n"))
+    per = weighted_median(items, ["category_final", "c"])
+    one = lambda c, x: F.max(F.when(F.col("c") == c, F.col(x)))
+    stats = per.groupBy("category_final").agg(*[a for c in EDGES for a in (one(c, "med").alias(f"m_{c}"), one(c, "n").alias(f"k_{c}"))])
     out = repaired.join(stats, "category_final", "left")
     for c in EDGES:
         use = F.col(c).isNull() & (F.coalesce(F.col(f"k_{c}"), F.lit(0)) >= R.MIN_CATEGORY_ITEMS)
@@ -87,16 +117,32 @@ def with_volume(df: DataFrame) -> DataFrame:
     return df.withColumn("volume_cm3", volume).withColumn("volume_source", F.when(volume.isNull(), "無法計算").when(guessed, "類別推估").otherwise("實測")).withColumn("volume_review", odd.cast("int"))
 
 
+SOURCES = ["len_cm_source", "wid_cm_source", "hgt_cm_source", "weight_kg_source", "volume_source"]
+
+
 def item_master(df: DataFrame) -> DataFrame:
-    """One row for each item: modes, volume, longest edge, sources, conflicts and storage class."""
-    items = cut_lineage(df.where("item_id is not null").select("item_id", "volume_source", "name_filled", "category_final", *ALL))
-    out = items.groupBy("item_id").agg(
-        F.count("*").alias("n_rows"), *[(F.count_distinct(c) > 1).cast("int").alias(f"{c}_conflict") for c in EDGES],
-        F.max((F.col("volume_source") == "類別推估").cast("int")).alias("any_imputed"),
+    """One row for each item: modes, volume, longest edge, what each dimension comes from, conflicts, storage class and its reason.
+
+    Every column is unpivoted once into counts of (item, column, value); modes, conflicts and sources are aggregations of those.
+    """
+    texts = ["name_filled", "category_final", *ALL, *SOURCES]
+    long = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in texts]))
+    counts = df.where("item_id is not null").select("item_id", long).where("v is not null").groupBy("item_id", "c", "v").agg(F.count("*").alias("n"))
+    told = F.col("c").isin(SOURCES)
+    tops = counts.groupBy("item_id", "c").agg(
+        F.min_by("v", F.struct(-F.col("n"), "v")).alias("v"), F.count("*").alias("k"), F.sort_array(F.collect_list(F.when(told, F.struct((-F.col("n")).alias("m"), "v")))).alias("s"), F.max(F.col("v") == "category median").alias("guessed"),
+    )
+    tops = tops.withColumn("s", F.transform("s", lambda x: F.concat(x["v"], F.lit("×"), (-x["m"]).cast("string"))))
+    tops = tops.withColumn("s", F.array_join(F.when(F.col("c") == "volume_source", F.sort_array("s")).otherwise(F.col("s")), "; "))
+    one = lambda c, x="v": F.max(F.when(F.col("c") == c, F.col(x)))
+    edge_guess = F.coalesce(F.max(F.when(F.col("c").isin([f"{c}_source" for c in EDGES]), F.col("guessed"))), F.lit(False))
+    out = tops.groupBy("item_id").agg(
+        one("name_filled").alias("item_name"), one("category_final").cast("int").alias("category_id"), *[one(c).cast("double").alias(c) for c in ALL],
+        *[(F.coalesce(one(c, "k"), F.lit(0)) > 1).cast("int").alias(f"{c}_conflict") for c in ALL], *[one(c, "s").alias("sources" if c == "volume_source" else f"{c}s") for c in SOURCES], edge_guess.alias("guessed"),
     )
-    sources = items.groupBy("item_id", "volume_source").agg(F.count("*").alias("k")).groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("volume_source", F.lit("×"), F.col("k").cast("string")))), "; ").alias("sources"))
-    out = out.join(sources, "item_id")
-    for c, name in (("name_filled", "item_name"), ("category_final", "category_id"), *((c, c) for c in ALL)):
-        out = out.join(mode_by(items, "item_id", c, name), "item_id", "left")
+    rows = df.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_rows"), F.max((F.col("volume_source") == "類別推估").cast("int")).alias("any_imputed"))
+    out = rows.join(out, "item_id")
     out = out.withColumn("volume_cm3", F.col("len_cm") * F.col("wid_cm") * F.col("hgt_cm")).withColumn("edge_cm", F.greatest(*EDGES))
-    return out.withColumn("storage_class", T.storage_class(F.col("volume_cm3"), F.col("edge_cm")))
+    size = F.when(F.col("volume_cm3").isNull(), "無法計算(缺維度)").when(F.col("guessed"), "類別推估").otherwise("實測")
+    out = out.withColumn("size_source", size).withColumn("volume_usable", F.col("volume_cm3").isNotNull()).drop("guessed")
+    return out.withColumn("storage_class", T.storage_class(F.col("volume_cm3"), F.col("edge_cm"))).withColumn("class_reason", T.storage_reason(F.col("volume_cm3"), F.col("edge_cm")))

@@ -1,26 +1,33 @@
-"""Connected components by repeated minimum labels."""
+"""Tables that cut lineage, and connected components by repeated minimum labels."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder of spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """A Parquet table in the folder of spark.checkpoint.dir, read back; later reads prune its columns. Only a local session may leave the folder unset."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="depotspark-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="depotspark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id), edges (a, b) -> id, component: the smallest id reachable. Labels jump along their own labels, so rounds grow with the logarithm of a path."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.select("id").distinct().withColumn("component", F.col("id")))
-    for _ in range(max_rounds):
+    while True:  # labels fall until each component has one
         near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         new = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = new.toDF("component", "root")
@@ -29,4 +36,3 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         labels = new
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
+from depotspark.operators.graph import cut_lineage
 
 
 def rollup(sales: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,6 +62,7 @@ def seed_rounds(orders: DataFrame, items: DataFrame, places: DataFrame, zones: D
 
 def wave_table(waved: DataFrame, seeds: DataFrame, zones: DataFrame) -> DataFrame:
     """One row for each wave: orders, lines, items, rounds and distance. A wave without items counts one round."""
+    seeds = cut_lineage(seeds)
     base = waved.groupBy(*WAVE).agg(F.count("*").alias("orders"), F.sum("lines").alias("lines"))
     picks = seeds.groupBy(*WAVE).agg(F.count("*").alias("sku_count"), F.count_distinct("round").alias("rounds"))
     dist = distance(seeds, [*WAVE, "round"], "zone", zones).groupBy(*WAVE).agg(F.sum("dist").alias("wave_dist"))
@@ -70,10 +72,12 @@ def wave_table(waved: DataFrame, seeds: DataFrame, zones: DataFrame) -> DataFram
 
 def strategies(sales: DataFrame, zones: DataFrame, threshold: int = R.WAVE_THRESHOLD, capacity: int = R.CAPACITY) -> DataFrame:
     """One row: order-by-order picking (before and after the new places) against seeded waves over the window."""
-    orders, items = rollup(sales)
-    waved = waves(in_window(orders), threshold)
+    sales = cut_lineage(sales.select("row_id", "ship_no", "ship_date", "city", "district", "item_id", "qty", "zone", "before_zone"))  # read for orders, items and places
+    orders, items = (cut_lineage(x) for x in rollup(sales))
+    waved = cut_lineage(waves(in_window(orders), threshold))
     held = items.join(waved.select("ship_no"), "ship_no", "left_semi")
     places = sales.where("item_id is not null").groupBy("item_id").agg(F.min_by("zone", "row_id").alias("zone"), F.min_by("before_zone", "row_id").alias("before_zone"))
+    held, places = cut_lineage(held), cut_lineage(places)
     table = wave_table(waved, seed_rounds(waved, held, places.select("item_id", "zone"), zones, capacity), zones)
     seed = table.agg(F.sum("orders").alias("orders"), F.sum("lines").alias("lines"), F.sum("rounds").alias("seed_rounds"), F.sum("wave_dist").alias("seed_dist"), F.sum("sku_count").alias("seed_picks"), F.median("sku_count").alias("median_skus"), F.count_if(F.col("sku_count") > capacity).alias("bound_waves"), F.count("*").alias("waves"))
     located = held.join(places, "item_id")

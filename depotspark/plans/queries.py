@@ -11,6 +11,7 @@ from depotspark import reference_values as R
 from depotspark.functions import address as A
 from depotspark.functions import text as T
 from depotspark.operators import abc, addresses, cleaning, copick, dimensions, forecast, layout, quality, waves
+from depotspark.operators.graph import cut_lineage
 from depotspark.sources import files
 from depotspark.sources.star import raw_lines, sales
 
@@ -165,7 +166,16 @@ def volume_source(spark, d):
 
 @query
 def sku_master(spark, d):
-    return rounded(dimensions.item_master(measured(spark, d)))
+    """The columns that ABC and layout read; the whole master is sku_master_full."""
+    dims = [*dimensions.ALL, "volume_cm3", "edge_cm", "storage_class"]
+    return rounded(dimensions.item_master(measured(spark, d)).select("item_id", "n_rows", *[f"{c}_conflict" for c in dimensions.EDGES], "any_imputed", "sources", "item_name", "category_id", *dims))
+
+
+@query
+def sku_master_full(spark, d):
+    out = dimensions.item_master(measured(spark, d))
+    texts = [x for c in dimensions.ALL for x in (f"{c}_sources", f"{c}_conflict")]
+    return rounded(out.select("item_id", "item_name", "category_id", *dimensions.ALL, "volume_cm3", "edge_cm", "size_source", "storage_class", "class_reason", "volume_usable", "n_rows", *texts))
 
 
 # ---- addresses ---------------------------------------------------------------------------------------------
@@ -195,18 +205,18 @@ def region_split(spark, d):
     return n.select("address", city.alias("city"), district.alias("district"))
 
 
-def _parsed(spark, d):
-    return addresses.parsed(raw_lines(spark, d).select("row_id", "ship_no", "store_code", "address"))
+def _pairs(spark, d):
+    return addresses.pairs(raw_lines(spark, d).select("row_id", "ship_no", "store_code", "address"))
 
 
 @query
 def shared_addresses(spark, d):
-    return addresses.shared_addresses(_parsed(spark, d))
+    return addresses.shared_addresses(_pairs(spark, d))
 
 
 @query
 def address_variants(spark, d):
-    v = addresses.variants(addresses.trusted_rows(_parsed(spark, d)))
+    v = addresses.variants(addresses.trusted(_pairs(spark, d)))
     return v.withColumn("lo", F.date_format("lo", "yyyy-MM-dd")).withColumn("hi", F.date_format("hi", "yyyy-MM-dd"))
 
 
@@ -231,6 +241,11 @@ def gazetteer_stats(spark, d):
     return n(roads, "road").crossJoin(n(villages, "village")).crossJoin(triples.agg(F.count("*").alias("triples")))
 
 
+@query
+def gazetteer_matches(spark, d):
+    return addresses.match_counts(addresses.resolve(_filled(spark, d), addresses.gazetteer(*roads_villages(spark))))
+
+
 @query
 def address_source_buckets(spark, d):
     return addresses.source_buckets(addresses.resolve(_filled(spark, d), addresses.gazetteer(*roads_villages(spark))))
@@ -440,9 +455,10 @@ def wave_split(spark, d):
 
 @query
 def wave_rounds(spark, d):
-    orders, items = waves.rollup(sales(spark, d))
+    s = cut_lineage(sales(spark, d).select("row_id", "ship_no", "ship_date", "city", "district", "item_id", "qty", "zone"))
+    orders, items = (cut_lineage(x) for x in waves.rollup(s))
     waved = waves.waves(waves.in_window(orders), 2)
-    places = sales(spark, d).groupBy("item_id").agg(F.min_by("zone", "row_id").alias("zone"))
+    places = s.groupBy("item_id").agg(F.min_by("zone", "row_id").alias("zone"))
     z = layout.zones(spark)
     return rounded(waves.wave_table(waved, waves.seed_rounds(waved, items, places, z, 5), z))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -68,6 +69,13 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files and broadcasts of steps whose results are written. Its cleaner acts on what the driver's
+    garbage collector finds, which by itself may take until spark.cleaner.periodicGC.interval is over."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

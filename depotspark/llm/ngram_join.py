@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotspark.llm.common import connected_components, materialize, release, table
+from depotspark.llm.common import connected_components, materialize, release, table, tidy
 from depotspark.llm.tokens import mix, shingles, slices, words
 
 GROUPS = 64  # coordinates of the R-tree
@@ -345,6 +345,7 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
         tried = pairs
         found = links_ if found is None else found.unionByName(links_)
         comps = materialize(connected_components(found)).withColumnRenamed("component", "comp")
+        tidy(docs.sparkSession)
     # a node without any partner within the bound in the second round has none now
     nodes = materialize(alive.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     rows = _dealt(_open_blocks(lists, parts, comps).join(nodes, "node", "left_semi")).select("cell", "node", "comp").distinct()
@@ -444,7 +445,8 @@ def components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets link when den * shared >= num * all."""
     docs = docs.select("doc_id", "text")
     points = materialize(_points(docs))
-    edges = links(docs, points, num, den)
+    edges = materialize(links(docs, points, num, den))
+    tidy(docs.sparkSession)
     reps = points.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     ends = edges.join(reps.withColumnRenamed("node", "a").withColumnRenamed("rep", "ra"), "a").join(reps.withColumnRenamed("node", "b").withColumnRenamed("rep", "rb"), "b")
     ends = ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))

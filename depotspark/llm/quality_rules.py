@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotspark.llm.common import SPACES, materialize, release, table
+from depotspark.llm.common import SPACES, materialize, release, table, tidy
 
 SYMBOLS = "#*$%&|<>"
 FIXED = 1000  # fixed-point unit of the statistics
@@ -198,10 +198,13 @@ def _starts(rows: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def _concentrated(rows: DataFrame, est: DataFrame, h: float) -> DataFrame:
-    """One concentration step for each row of est (grp, start). Distances are counted in bins of about 3 % width."""
+    """One concentration step for each row of est (grp, start). Distances are counted in bins of about 3 % width; the table of
+    limits is written first, so that rows meet it without a shuffle."""
     near = rows.join(est, "grp").select("grp", "start", *DIMS, F.round(F.log1p(_distance()) * 32).cast("int").alias("_b"))
-    limit = _quantile(near.groupBy("grp", "start", "_b").agg(F.count("*").alias("_c")), ["grp", "start"], "_b", h)
-    return _factor(_covariance(_moments(near.join(limit, ["grp", "start"]).where(F.col("_b") <= F.col("q")), DIMS)))
+    limit = materialize(_quantile(near.groupBy("grp", "start", "_b").agg(F.count("*").alias("_c")), ["grp", "start"], "_b", h))
+    out = materialize(_factor(_covariance(_moments(near.join(limit, ["grp", "start"]).where(F.col("_b") <= F.col("q")), DIMS))))
+    release(limit)
+    return out
 
 
 def estimates(good: DataFrame, h: float, starts: int = 2, least: float = 1e-3) -> DataFrame:
@@ -213,7 +216,7 @@ def estimates(good: DataFrame, h: float, starts: int = 2, least: float = 1e-3) -
     centres = _centres(good)
     est = _starts(rows, centres)
     for _ in range(starts):
-        last, est = est, materialize(_concentrated(rows, est, h))
+        last, est = est, _concentrated(rows, est, h)
         release(last)
     columns = est.columns
     best = est.groupBy("grp").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e")).select("e.*")
@@ -225,7 +228,7 @@ def estimates(good: DataFrame, h: float, starts: int = 2, least: float = 1e-3) -
         both = best.select("grp", F.struct(*columns).alias("old")).join(step.select("grp", F.struct(*columns).alias("new")), "grp", "left")
         better = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - least, F.lit(False))
         last, best = best, materialize(both.select(F.when(better, F.col("new")).otherwise(F.col("old")).alias("e"), better.alias("open")).select("e.*", "open"))
-        release(last)
+        release(last, step)
     return best
 
 
@@ -244,6 +247,7 @@ def judge(stats: DataFrame, h: float, prior: int, cut: float, scale: float) -> D
     """stats: rows with grp, the base columns and DIMS; a table that can be read again and again."""
     d = len(DIMS)
     est = estimates(stats.where(~F.col("base_failed")).select("grp", *DIMS), h)
+    tidy(stats.sparkSession)
     # groups none of whose rows passes the floors have no estimate and need none
     every = est.where("grp = ''").select(*[F.col(f"c_{i}").alias(f"a_{i}") for i in range(d)], *_lower(lambda i, j: F.col(f"v_{i}{j}").alias(f"w_{i}{j}")))
     own = est.where("grp != ''").join(F.broadcast(every))  # one row

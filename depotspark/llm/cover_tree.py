@@ -1,19 +1,23 @@
 """Embedding near-duplicates: exact pairs at a cosine threshold by dual traversal of a cover tree.
 
-On unit vectors cosine >= t means distance <= sqrt(2 - 2 t). The tree's nested centres, with radii that halve from
-level to level, are chosen from a bounded sample (`SAMPLE` distinct vectors, by hash); every vector is then sent down
-to a leaf, and covering radii are taken over all members of each node, so the tree holds every vector and its bounds
-are exact. The dual traversal walks pairs of nodes from the root and drops a pair where the centres are farther apart
-than both covering radii and the threshold distance; what is left are pairs of leaves, cut into blocks of at most
-`BLOCK` vectors. A task gets two packed blocks and compares them in double precision. Traversal state is the tree's
-nodes only, whose number is bounded by the sample; vectors never reach the driver.
+On unit vectors cosine >= t means distance <= sqrt(2 - 2 t). There is one tree for each length of vectors. It grows in
+rounds, as tables: a node with more than `LEAF` vectors whose covering radius is above half the threshold distance gets
+children, centres more than half of that radius apart from each other, its own centre among them. They are chosen from
+about `SAMPLE` of its vectors and the farthest one; then every vector goes to the nearest child, and the covering radius
+is taken over all vectors of each node, so the tree holds every vector and its bounds are exact.
+
+The dual traversal walks down pairs of nodes, level by level, as a table as well. A pair goes where the centres are
+farther apart than both covering radii and the threshold distance; it is settled where centres and radii show that all
+of its vectors link; pairs of leaves that are neither are compared in double precision. For that, sibling leaves are
+packed into blocks of a bounded number of bytes, and a task gets two blocks.
 
 Equal vectors are one point with a multiplicity. A task returns, per point, the number of linked vectors, and as edges
-only a spanning forest of the links it saw, so that a large group of near copies doesn't return all its pairs.
+only stars over the components it saw, so that a large group of near copies doesn't return all its pairs.
 
-Defined cases: null vectors, zero vectors, vectors with null or non-finite components or of another length than the
-commonest link with nothing and are their own component; repeated rows of one id count as separate vectors of equal
-content; rows with a null id are returned, never as a component; an empty table gives no rows.
+Defined cases: null and empty vectors, zero vectors and vectors with null or non-finite components link with nothing and
+are their own component; vectors of different length don't link; finite vectors of any magnitude are scaled before their
+norm is taken; repeated rows of one id count as separate vectors of equal content; rows with a null id link like others
+and join their neighbours, but name no component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,228 +26,286 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depotspark.llm.common import connected_components, materialize, table
-
-SAMPLE = 4096
-BLOCK = 1024
-MAX_LEAVES = 512
-SLACK = 1e-9  # rounding allowed for in bounds
-
-
-class CoverTree:
-    """Nested centres: a node's children are centres of half its radius; its own centre is among them."""
-
-    def __init__(self, sample: np.ndarray, smallest: float, max_leaves: int):
-        self.center: list[int] = [0]
-        self.children: list[list[int]] = [[]]
-        self.points = sample
-        frontier, radius = [(0, np.arange(sample.shape[0]))], 2.0
-        while frontier and radius > smallest:
-            radius /= 2
-            grown: list[tuple[int, np.ndarray]] = []
-            leaves = len(frontier)
-            for node, members in frontier:
-                rest, kids = members, []
-                c = self.center[node]
-                while rest.size:
-                    d = self._distance(sample[c], sample[rest])
-                    inside = d <= radius
-                    kids.append((c, rest[inside]))
-                    rest = rest[~inside]
-                    if rest.size:
-                        c = int(rest[0])
-                if leaves + len(kids) - 1 > max_leaves:
-                    continue
-                leaves += len(kids) - 1
-                if len(kids) == 1:
-                    grown.append((node, members))
-                    continue
-                for c, inside in kids:
-                    self.center.append(c)
-                    self.children.append([])
-                    self.children[node].append(len(self.center) - 1)
-                    grown.append((len(self.center) - 1, inside))
-            frontier = grown
-        self.parent = [-1] * len(self.center)
-        for p, kids in enumerate(self.children):
-            for k in kids:
-                self.parent[k] = p
-
-    @staticmethod
-    def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (b @ a)))
-
-    def leaf_of(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each row: at each level the child with the nearest centre."""
-        at = np.zeros(x.shape[0], dtype=np.int64)
-        open_ = [0] if self.children[0] else []
-        while open_:
-            nxt = []
-            for node in open_:
-                rows = np.flatnonzero(at == node)
-                kids = np.array(self.children[node])
-                if rows.size:
-                    at[rows] = kids[np.argmax(x[rows] @ self.points[[self.center[k] for k in kids]].T, axis=1)]
-                nxt += [k for k in kids.tolist() if self.children[k]]
-            open_ = nxt
-        return at
-
-    def paths(self, leaf: int) -> list[int]:
-        out = []
-        while leaf >= 0:
-            out.append(leaf)
-            leaf = self.parent[leaf]
-        return out
-
-    def dual(self, radius: dict[int, float], reach: float) -> list[tuple[int, int]]:
-        """Pairs of leaves (a <= b) that can hold points within reach; radius: covering radius of each node with members."""
-        out, stack = [], [(0, 0)] if 0 in radius else []
-        while stack:
-            a, b = stack.pop()
-            if a not in radius or b not in radius:
-                continue
-            if a != b:
-                d = float(self._distance(self.points[self.center[a]], self.points[self.center[b]][None])[0])
-                if d > radius[a] + radius[b] + reach + SLACK:
-                    continue
-            ka, kb = self.children[a], self.children[b]
-            if not ka and not kb:
-                out.append((min(a, b), max(a, b)))
-            elif a == b:
-                stack += [(ka[i], ka[j]) for i in range(len(ka)) for j in range(i, len(ka))]
-            elif not kb or (ka and radius[a] >= radius[b]):
-                stack += [(k, b) for k in ka]
-            else:
-                stack += [(a, k) for k in kb]
-        return sorted(set(out))
-
-
-def _unit(blobs, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), dtype=np.float64).reshape(-1, dim)
+from depotspark.llm.common import connected_components, materialize, release, table, tidy
+
+LEAF = 1024  # vectors that a node may keep
+SAMPLE = 256  # vectors of a node that children are chosen from, on average
+BLOCK = 2 << 20  # bytes of vectors in a block
+DEALT = 50_000  # vectors of a node that one task sends down
+SLACK = 1e-6  # rounding allowed for in bounds
+
+
+def unit(blobs, kind: str, dim: int) -> np.ndarray:
+    """Unit vectors in double precision; the largest component is brought to 1 first, so no norm overflows or vanishes."""
+    x = np.frombuffer(b"".join(blobs), dtype=kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _spanning(rows: list[int], cols: list[int]) -> list[int]:
-    """Indexes of links that join two trees so far."""
-    up: dict[int, int] = {}
+def distance(cos: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * cos))
 
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    out = []
-    for i, (a, b) in enumerate(zip(rows, cols)):
-        a, b = root(a), root(b)
-        if a != b:
-            up[b] = a
-            out.append(i)
+def pick(x: np.ndarray, radius: float) -> list[int]:
+    """Rows that are centres: each is farther than radius from those before it. The first row is one."""
+    near = x @ x[0]
+    limit = 1 - radius * radius / 2
+    out = [0]
+    while near.size and (rest := np.flatnonzero(near < limit)).size:
+        k = int(rest[0])
+        out.append(k)
+        near = np.maximum(near, x @ x[k])
     return out
 
 
-def _compare(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each end to the smallest end of its component, for links (a, b)."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: a.size], at[a.size :]
+    low = np.arange(ends.size)
+    while True:
+        new = low.copy()
+        both = np.minimum(low[i], low[j])
+        np.minimum.at(new, i, both)
+        np.minimum.at(new, j, both)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    far = low != np.arange(ends.size)
+    return ends[far], ends[low[far]]
+
+
+def compare(x: np.ndarray, y: np.ndarray, same: bool, threshold: float, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs with cosine >= threshold; products near the threshold are taken again one by one in a fixed order."""
-    cos = x @ y.T
-    a, b = np.nonzero(cos >= threshold - 1e-9)
-    if same:
-        a, b = a[a < b], b[a < b]
-    if a.size:
-        close = np.abs(cos[a, b] - threshold) < 1e-9
+    for s in range(0, x.shape[0], tile):
+        cos = x[s : s + tile] @ y.T
+        a, b = np.nonzero(cos >= threshold - 1e-9)
         exact = cos[a, b]
+        a = a + s
+        if same:
+            keep = a < b
+            a, b, exact = a[keep], b[keep], exact[keep]
+        close = np.abs(exact - threshold) < 1e-9
         exact[close] = (x[a[close]] * y[b[close]]).sum(1)
         keep = exact >= threshold
-        a, b = a[keep], b[keep]
-    return a, b
+        if keep.any():
+            yield a[keep], b[keep]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda v: v.cast("double")).alias("v"))
+def _points(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """(rows: vec_id, point, or null for what can't link), (points: point, dim, mult, rep, x), element type of x."""
+    kind, single = ("<f4", "float") if dict(vectors.dtypes)[vec_col] == "array<float>" else ("<f8", "double")
+    zero = F.lit(0).cast(single)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda v: v.cast(single) + zero).alias("v"))  # -0 becomes 0
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("v", lambda v: v != 0)
-    rows = materialize(rows.withColumn("ok", F.coalesce(ok, F.lit(False))))
-    size = rows.where("ok").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not size:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dim = size[0].d
-    good = rows.where(F.col("ok") & (F.size("v") == dim))
-    # one point for each distinct vector
-    points = good.groupBy("v").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep")).withColumn("point", F.xxhash64("v"))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = rows.withColumn("point", F.when(F.coalesce(ok, F.lit(False)), F.xxhash64("v")))
+    points = rows.where("point is not null").groupBy("point").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep"), F.first("v").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"point": b["point"], "mult": b["mult"], "rep": b["rep"], "x": [np.asarray(v, dtype=np.float64).tobytes() for v in b["v"]]})
+            v = b.column(3)
+            flat, at = v.values.to_numpy(zero_copy_only=False).astype(kind), v.offsets.to_numpy()
+            blobs = pa.array([flat[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), b.column(1), b.column(2), blobs], names=["point", "dim", "mult", "rep", "x"])
+
+    return materialize(rows.select("vec_id", "point")), materialize(points.mapInArrow(pack, "point long, dim long, mult long, rep long, x binary")), kind
+
+
+def _stats(placed: DataFrame) -> DataFrame:
+    """Per node: members n, vectors m, covering radius and the farthest member."""
+    return placed.groupBy("node").agg(F.count("*").alias("n"), F.sum("mult").alias("m"), F.max("d").alias("radius"), F.max_by("x", F.struct("d", "point")).alias("far"))
 
-    points = materialize(points.mapInPandas(pack, "point long, mult long, rep long, x binary"))
-    n = points.count()
-    chosen = points.orderBy(F.xxhash64("point")).limit(sample).select("x").collect()
-    leaves = min(MAX_LEAVES, max(2, -(-n // (block // 2))))
-    tree = CoverTree(_unit([r.x for r in chosen], dim), float(np.sqrt(2 - 2 * threshold)) / 2, leaves)
-    shared = spark.sparkContext.broadcast(tree)
 
-    def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
+def _centres(placed: DataFrame, open_: DataFrame, kind: str) -> DataFrame:
+    """(parent, node, dim, x): children of the open nodes. open_: node, dim, x, n, radius, far."""
+    share = F.pmod(F.xxhash64("point", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    some = placed.join(open_.select("node", "n"), "node").where(share < SAMPLE / F.col("n")).select("node", "point", "x")
+    own = open_.select("node", F.lit(None).cast("long").alias("point"), F.explode(F.array("x", "far")).alias("x"))
+    rows = own.unionByName(some).join(open_.select("node", "dim", "radius"), "node")
+
+    def choose(b: pd.DataFrame) -> pd.DataFrame:
+        dim, radius, node = int(b["dim"].iloc[0]), float(b["radius"].iloc[0]), int(b["node"].iloc[0])
+        # the node's own centre and its farthest member are far enough apart for both to be kept; then the sample by hash
+        b = b.sort_values(["point", "x"], na_position="first")
+        kept = [b["x"].iloc[k] for k in pick(unit(b["x"].tolist(), kind, dim), radius / 2)]
+        return pd.DataFrame({"parent": node, "at": range(len(kept)), "dim": dim, "x": kept})
+
+    found = rows.groupBy("node").applyInPandas(choose, "parent long, at long, dim long, x binary")  # about SAMPLE rows for each node
+    return found.select("parent", F.xxhash64("parent", "at").alias("node"), "dim", "x")
+
+
+def _sent_down(placed: DataFrame, kids: DataFrame, open_: DataFrame, kind: str) -> DataFrame:
+    """Members of open nodes at their nearest child. A node's members are dealt to as many tasks as they need; its children go to each."""
+    deals = open_.select("node", (F.floor(F.col("n") / DEALT) + 1).alias("deals"))
+    members = placed.join(deals, "node").select("node", F.pmod(F.xxhash64("point", F.lit(7)), F.col("deals")).alias("deal"), F.lit(1).alias("member"), "point", "mult", "x", F.lit(0).cast("long").alias("dim"))
+    centres = kids.join(deals.withColumnRenamed("node", "parent"), "parent").select(F.col("parent").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("member"), F.col("node").alias("point"), F.lit(0).cast("long").alias("mult"), "x", "dim")
+    rows = centres.unionByName(members).repartition("node", "deal").sortWithinPartitions("node", "deal", "member")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, ids, centre = None, [], []  # children of the group that is read
+        for b in batches:
+            out = []
+            for (node, deal, member), g in b.groupby(["node", "deal", "member"], sort=False):
+                if (node, deal) != last:
+                    last, ids, centre, dim = (node, deal), [], [], 0
+                if member == 0:
+                    dim = int(g["dim"].iloc[0])
+                    ids += g["point"].tolist()
+                    centre.append(unit(g["x"].tolist(), kind, dim))
+                else:
+                    cos = unit(g["x"].tolist(), kind, dim) @ np.concatenate(centre).T
+                    best = cos.argmax(1)
+                    out.append(pd.DataFrame({"point": g["point"], "mult": g["mult"], "x": g["x"], "node": np.array(ids, dtype=np.int64)[best], "d": distance(cos.max(1))}))
+            if out:
+                yield pd.concat(out)
+
+    return materialize(rows.mapInPandas(run, "point long, mult long, x binary, node long, d double"))
+
+
+def grow(points: DataFrame, kind: str, reach: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """(nodes: node, parent, dim, x, n, m, radius, leaf), (members: point, mult, x, node) of all leaves."""
+    roots = materialize(points.groupBy("dim").agg(F.min_by("x", "point").alias("x")).select(F.lit(None).cast("long").alias("parent"), F.col("dim").alias("node"), "dim", "x"))
+    level = roots
+    placed = _sent_down(points.select("point", "mult", "x", F.col("dim").alias("node")), roots.withColumn("parent", F.col("node")), points.groupBy(F.col("dim").alias("node")).agg(F.count("*").alias("n")), kind)
+    nodes, leaves = None, None
+    while True:
+        known = materialize(level.join(_stats(placed), "node").withColumn("leaf", (F.col("n") <= leaf) | (F.col("radius") <= reach / 2 - SLACK)))
+        named = known.drop("far")
+        nodes = named if nodes is None else nodes.unionByName(named)
+        done = placed.join(known.where("leaf").select("node"), "node", "left_semi").select("point", "mult", "x", "node")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        open_ = known.where("not leaf")
+        if open_.isEmpty():
+            return nodes, leaves
+        level = materialize(_centres(placed, open_, kind))
+        placed = _sent_down(placed.join(open_.select("node"), "node", "left_semi"), level, open_, kind)
+
+
+def _judged(pairs: DataFrame, nodes: DataFrame, kind: str, reach: float) -> DataFrame:
+    """pairs (a, b) of nodes that can hold links; leaf: both are leaves; inside: they are, and all vectors of one link with all of the other."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("x").alias(f"x{s}"), F.col("radius").alias(f"r{s}"), F.col("leaf").alias(f"l{s}"), *(["dim"] if s == "a" else []))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = _unit(b["x"], dim)
-            leaf = t.leaf_of(x)
-            far = [[float(t._distance(t.points[t.center[k]], x[i][None])[0]) for k in t.paths(int(leaf[i]))] for i in range(len(x))]
-            yield b.assign(leaf=leaf, far=far)
-
-    placed = materialize(points.mapInPandas(descend, "point long, mult long, rep long, x binary, leaf long, far array<double>"))
-    radius: dict[int, float] = {}
-    sizes: dict[int, int] = {}
-    per_leaf = placed.select("leaf", F.posexplode("far").alias("up", "d")).groupBy("leaf", "up").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect()
-    for r in per_leaf:  # one row for each node above a leaf: bounded by the tree
-        node = tree.paths(r.leaf)[r.up]
-        radius[node] = max(radius.get(node, 0.0), r.d)
-        if r.up == 0:
-            sizes[r.leaf] = r.n
+            for dim, g in b.groupby("dim"):
+                cos = (unit(g["xa"].tolist(), kind, int(dim)) * unit(g["xb"].tolist(), kind, int(dim))).sum(1)
+                d, r = distance(cos), (g["ra"] + g["rb"]).to_numpy()
+                d[(g["a"] == g["b"]).to_numpy()] = 0.0
+                near = d <= r + reach + SLACK
+                both = (g["la"] & g["lb"]).to_numpy()
+                yield pd.DataFrame({"a": g["a"], "b": g["b"], "inside": both & (d + r <= reach - SLACK), "leaf": both})[near]
+
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    return materialize(rows.mapInPandas(run, "a long, b long, inside boolean, leaf boolean"))
+
+
+def dual(nodes: DataFrame, kind: str, reach: float) -> DataFrame:
+    """(a, b, inside) pairs of leaves: settled ones, and those to compare; a <= b. One round for each level."""
+    kids = nodes.where("parent is not null").select("parent", "node")
+    found = None
+    pairs = nodes.where("parent is null").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    while True:
+        judged = _judged(pairs, nodes, kind, reach)
+        done = judged.where("leaf").select("a", "b", "inside")
+        found = done if found is None else found.unionByName(done)
+        rest = judged.where("not leaf")
+        if rest.isEmpty():
+            return found
+        down = lambda df, s: df.join(kids.select(F.col("parent").alias(s), F.col("node").alias(f"k{s}")), s, "left").withColumn(f"k{s}", F.coalesce(f"k{s}", s))
+        both = down(down(rest, "a"), "b").where("a != b or ka <= kb")
+        pairs = materialize(both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")))
+
+
+def _blocks(nodes: DataFrame, kind: str, block: int) -> DataFrame:
+    """(node, block, cuts): sibling leaves in blocks of a bounded number of bytes; a larger leaf is cut into blocks of its own."""
+    most = F.greatest(F.lit(1), F.floor(F.lit(block) / (F.col("dim") * int(kind[2:]))))
+    leaves = nodes.where("leaf").withColumn("most", most)
+    before = Window.partitionBy("parent", "dim").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    small = F.when(F.col("n") < F.col("most"), F.col("n")).otherwise(0)
+    place = F.floor(F.coalesce(F.sum(small).over(before), F.lit(0)) / F.col("most"))
+    name = F.when(F.col("n") < F.col("most"), F.xxhash64(F.coalesce("parent", "node"), "dim", place)).otherwise(F.xxhash64("node", F.lit("own")))
+    return materialize(leaves.select("node", "dim", name.alias("block"), F.when(F.col("n") < F.col("most"), 1).otherwise(F.ceil(F.col("n") / F.col("most"))).cast("long").alias("cuts")))
+
+
+def _settled(inside: DataFrame, nodes: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(point, k) and edges (a, b) of pairs of leaves all of whose vectors link: each point with the other leaf's first."""
+    ends = inside.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(inside.where("a != b").select(F.col("b").alias("node"), F.col("a").alias("other")))
+    others = nodes.where("leaf").select(F.col("node").alias("other"), F.col("m").alias("other_m")).join(placed.groupBy(F.col("node").alias("other")).agg(F.min("point").alias("b")), "other")
+    rows = placed.select("point", "mult", "node").join(ends.join(others, "other"), "node")
+    counts = rows.groupBy("point").agg(F.sum(F.col("other_m") - F.when(F.col("node") == F.col("other"), F.col("mult")).otherwise(0)).alias("k"))
+    return counts, rows.where("point != b").select(F.col("point").alias("a"), "b").distinct()
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors."""
+    rows, points, kind = _points(vectors, id_col, vec_col)
     reach = float(np.sqrt(2 - 2 * threshold))
-    leaf_pairs = spark.createDataFrame(tree.dual(radius, reach) or [(-1, -1)], "la long, lb long")
-    cuts = spark.createDataFrame([(k, -(-m // block)) for k, m in sizes.items()], "leaf long, cuts long")
-    part = F.pmod(F.xxhash64("point", F.lit(1)), F.col("cuts"))
-    blocks = placed.join(F.broadcast(cuts), "leaf").withColumn("part", part)
-    packed = materialize(blocks.groupBy("leaf", "part").agg(F.collect_list(F.struct("point", "mult", "x")).alias("members")))
-    ids = packed.select("leaf", "part")
-    pairs = leaf_pairs.join(ids.withColumnRenamed("leaf", "la").withColumnRenamed("part", "pa"), "la").join(ids.withColumnRenamed("leaf", "lb").withColumnRenamed("part", "pb"), "lb").where("la < lb or pa <= pb")
-    left = packed.select(F.col("leaf").alias("la"), F.col("part").alias("pa"), F.col("members").alias("ma"))
-    right = packed.select(F.col("leaf").alias("lb"), F.col("part").alias("pb"), F.col("members").alias("mb"))
-    work = pairs.join(left, ["la", "pa"]).join(right, ["lb", "pb"]).repartition("la", "pa", "lb", "pb").select((F.col("la") == F.col("lb")) & (F.col("pa") == F.col("pb")), "ma", "mb").toDF("same", "ma", "mb")
-
-    def compare(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    nodes, placed = grow(points, kind, reach, leaf)
+    nodes, placed = materialize(nodes), materialize(placed)
+    found = materialize(dual(nodes, kind, reach))
+    tidy(vectors.sparkSession)
+    inside, compared = found.where("inside"), found.where("not inside")
+    blocks = _blocks(nodes, kind, block)
+    dealt = placed.join(blocks, "node").withColumn("part", F.pmod(F.xxhash64("point", F.lit(1)), F.col("cuts")))
+    packed = materialize(dealt.groupBy("block", "part").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("point", "mult", "node", "x")).alias("members")))
+    end = lambda s: blocks.select(F.col("node").alias(s), F.col("block").alias(f"b{s}"), F.col("cuts").alias(f"c{s}"))
+    parts = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    named = compared.join(end("a"), "a").join(end("b"), "b").select("ba", "ca", "bb", "cb").distinct()
+    named = named.withColumn("pa", parts("ca")).withColumn("pb", parts("cb"))
+    low, high = F.struct(F.col("ba").alias("block"), F.col("pa").alias("part")), F.struct(F.col("bb").alias("block"), F.col("pb").alias("part"))
+    pairs = named.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("h")).distinct()
+    # pairs of leaves that are settled may lie in blocks that are compared: what is counted there is left out here
+    settled = inside.join(end("a"), "a").join(end("b"), "b").groupBy(F.least("ba", "bb").alias("la"), F.greatest("ba", "bb").alias("lb")).agg(F.collect_set(F.struct("a", "b")).alias("settled"))
+    side = lambda s: packed.select(F.struct("block", "part").alias(s), F.col("members").alias(f"m{s}"), *(["dim"] if s == "l" else []))
+    work = pairs.join(settled, (F.col("l.block") == F.col("la")) & (F.col("h.block") == F.col("lb")), "left")
+    work = work.join(side("l"), "l").join(side("h"), "h").repartition("l", "h").select((F.col("l") == F.col("h")).alias("same"), "dim", "settled", "ml", "mh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                same = batch.column(0)[i].as_py()
-                a, b = batch.column(1)[i].values, batch.column(2)[i].values
-                side = [(s.field("point").to_numpy(zero_copy_only=False), s.field("mult").to_numpy(zero_copy_only=False), _unit([v.as_py() for v in s.field("x")], dim)) for s in (a, b)]
-                (pa_, ma, xa), (pb, mb, xb) = side
-                r, c = _compare(xa, xb, same, threshold)
-                if not r.size:
-                    continue
-                found: dict[int, int] = {}
-                na, nb = np.bincount(r, weights=mb[c], minlength=pa_.size), np.bincount(c, weights=ma[r], minlength=pb.size)
-                for p, k in [*zip(pa_[na > 0].tolist(), na[na > 0].tolist()), *zip(pb[nb > 0].tolist(), nb[nb > 0].tolist())]:
-                    found[p] = found.get(p, 0) + int(k)
-                keep = _spanning(pa_[r].tolist(), pb[c].tolist())
-                one = list(found)
-                yield pa.RecordBatch.from_arrays([pa.array(one + pa_[r[keep]].tolist(), pa.int64()), pa.array([None] * len(one) + pb[c[keep]].tolist(), pa.int64()), pa.array([found[p] for p in one] + [0] * len(keep), pa.int64())], names=["a", "b", "k"])
-
-    found = materialize(work.mapInArrow(compare, "a long, b long, k long"))
-    counts = found.where("b is null").groupBy(F.col("a").alias("point")).agg(F.sum("k").alias("k"))
-    named = points.select("point", "rep")
-    edges = found.where("b is not null").join(named.toDF("a", "ra"), "a").join(named.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a is not null and b is not null")
-    comps = connected_components(edges)
-    each = points.select("point", "mult", "rep").join(counts, "point", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    each = each.select("point", (F.col("mult") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.select("vec_id", F.xxhash64("v").alias("point")).join(each, "point").drop("point")
-    alone = rows.where(~(F.col("ok") & (F.size("v") == dim))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+                same, dim, skip = (batch.column(k)[i].as_py() for k in range(3))
+                side_ = []
+                for k in (3, 4):
+                    s = batch.column(k)[i].values
+                    side_.append((*(s.field(c).to_numpy(zero_copy_only=False) for c in ("point", "mult", "node")), unit(s.field("x").to_pylist(), kind, dim)))
+                (pl, ml, nl, xl), (ph, mh, nh, xh) = side_
+                skip = {(x["a"], x["b"]) for x in skip or []}
+                kl, kh, links = np.zeros(pl.size), np.zeros(ph.size), []
+                for r, c in compare(xl, xh, same, threshold):
+                    if skip:
+                        lo, hi = np.minimum(nl[r], nh[c]), np.maximum(nl[r], nh[c])
+                        code, at = np.unique(np.stack([lo, hi]), axis=1, return_inverse=True)
+                        keep = ~np.array([(int(a), int(b)) in skip for a, b in code.T])[at.ravel()]
+                        r, c = r[keep], c[keep]
+                    if r.size:
+                        kl += np.bincount(r, weights=mh[c], minlength=pl.size)
+                        kh += np.bincount(c, weights=ml[r], minlength=ph.size)
+                        links.append(stars(pl[r], ph[c]))
+                point, k = np.concatenate([pl[kl > 0], ph[kh > 0]]), np.concatenate([kl[kl > 0], kh[kh > 0]]).astype(np.int64)
+                a, b = (np.concatenate([x[j] for x in links]) if links else np.zeros(0, np.int64) for j in (0, 1))
+                if links:
+                    a, b = stars(a, b)
+                nothing = [None] * point.size
+                yield pa.RecordBatch.from_arrays([pa.array(point.tolist() + a.tolist(), pa.int64()), pa.array(nothing + b.tolist(), pa.int64()), pa.array(k.tolist() + [0] * a.size, pa.int64())], names=["a", "b", "k"])
+
+    seen = materialize(work.mapInArrow(run, "a long, b long, k long"))
+    more, edges = _settled(inside, nodes, placed)
+    counts = seen.where("b is null").select(F.col("a").alias("point"), "k").unionByName(more).groupBy("point").agg(F.sum("k").alias("k"))
+    comps = connected_components(seen.where("b is not null").select("a", "b").unionByName(edges))
+    # ids of a component come from its points; those of rows without an id name none
+    comps = materialize(comps.select(F.col("node").alias("point"), F.col("component").alias("c")))
+    names = points.select("point", "rep").join(comps, "point").groupBy("c").agg(F.min("rep").alias("name"))
+    each = points.select("point", "mult", "rep").join(counts, "point", "left").join(comps.join(names, "c"), "point", "left")
+    each = materialize(each.select("point", (F.col("mult") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("name", "rep").alias("component_id")))
+    release(packed, seen, found, placed)
+    out = rows.where("point is not null").join(each, "point").select("vec_id", "n_links", "component_id")
+    alone = rows.where("point is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 
 import corpus_pipeline
 from depotspark.llm import common, cover_tree, mixing, ngram_join
@@ -171,54 +172,73 @@ def test_components(spark):
 
 
 def vectors_brute(rows, t=0.95):
-    ok = [i for i, (_, v) in enumerate(rows) if v is not None and len(v) == 4 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    x = np.array([rows[i][1] for i in ok], dtype=float)
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    near = [(ok[i], ok[j]) for i in range(len(ok)) for j in range(i) if float((x[i] * x[j]).sum()) >= t]
+    ok = [i for i, (_, v) in enumerate(rows) if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    x = {i: np.array(rows[i][1], dtype=float) / np.abs(rows[i][1]).max() for i in ok}
+    x = {i: v / np.sqrt((v * v).sum()) for i, v in x.items()}
+    near = [(i, j) for i in ok for j in ok if j < i and x[i].size == x[j].size and float((x[i] * x[j]).sum()) >= t]
     n = collections.Counter(k for e in near for k in e)
     ids = [r[0] for r in rows]
     comp = groups(len(rows), near)
     low = {}
     for i, c in enumerate(comp):
-        low[c] = min(low.get(c, ids[i]), ids[i])
-    return [(ids[i], n[i], low[c]) for i, c in enumerate(comp)]
+        if ids[i] is not None:
+            low[c] = min(low.get(c, ids[i]), ids[i])
+    return [(ids[i], n[i], low.get(c)) for i, c in enumerate(comp)]
 
 
-def test_cover_tree(spark):
+def by_id(rows):
+    return sorted(((a, n, c) for a, n, c in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2] is None, x[2] or 0))
+
+
+@pytest.mark.parametrize("leaf,block", [(16, 32 * 32), (8, 32 * 400), (1024, 1 << 21)])
+def test_cover_tree(spark, leaf, block):
     r = np.random.default_rng(4)
     rows = [(i, r.normal(size=4).round(3).tolist()) for i in range(400)]
     rows += [(1000 + i, (np.array(rows[i % 9][1]) + r.normal(size=4) * 0.05).tolist()) for i in range(200)] + [(2000 + i, rows[3][1]) for i in range(30)]
+    rows += [(2100 + i, (np.array(rows[5][1]) + r.normal(size=4) * 0.001).tolist()) for i in range(60)]  # all within half of the reach
     rows += [(3000, None), (3001, [0.0] * 4), (3002, [1.0, None, 0.0, 0.0]), (3003, [float("nan")] * 4), (3004, [float("inf"), 0.0, 0.0, 0.0]), (3005, [1.0]), (3006, [])]
+    rows += [(4000 + i, (r.normal(size=2) * 10.0 ** r.integers(-200, 200)).tolist()) for i in range(40)] + [(4100, [1e200, 1e200, 0.0]), (4101, [1e-200, 1e-200, 0.0]), (4102, [1e-308, 1e-308, -0.0])]
+    rows += [(None, rows[0][1]), (None, (np.array(rows[1][1]) * 2).tolist())]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<double>, n_links int")
-    got = sorted((x.vec_id, x.n_links, x.component_id) for x in cover_tree.near_duplicates(df, sample=64, block=32).collect())
-    assert got == sorted(vectors_brute(rows))
+    got = by_id((x.vec_id, x.n_links, x.component_id) for x in cover_tree.near_duplicates(df, leaf=leaf, block=block).collect())
+    assert got == by_id(vectors_brute(rows))
+
+
+def test_cover_tree_empty(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     assert cover_tree.near_duplicates(spark.createDataFrame([(1, None), (None, None)], "vec_id long, embedding array<double>")).count() == 2
 
 
+def test_cover_tree_chain_through_rows_without_id(spark):
+    turn = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    rows = [(7, turn(0.0)), (None, turn(0.3)), (9, turn(0.6))]
+    got = {(x.vec_id, x.n_links, x.component_id) for x in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(7, 1, 7), (None, 2, 7), (9, 1, 7)}
+
+
 def test_cover_tree_query(spark):
     e = pd.read_parquet(f"{SF}/embeddings.parquet")
     got = cover_tree.op9_cover_tree(spark, SF).toPandas().set_index("vec_id")
-    x = np.array([np.asarray(v, dtype=float) for v in e.embedding])
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    links = (x @ x.T >= 0.95).sum(1) - 1
-    assert (got.n_links.loc[e.vec_id].values == links).all() and (got.kept == (got.index == got.component_id)).all()
+    want = {a: (n, c) for a, n, c in vectors_brute([(int(a), np.asarray(v, dtype=float).tolist()) for a, v in zip(e.vec_id, e.embedding)])}
+    assert {a: (r.n_links, r.component_id) for a, r in got.iterrows()} == want and (got.kept == (got.index == got.component_id)).all()
 
 
-def test_tree_prunes_and_bounds():
-    """On clustered vectors the traversal drops node pairs and keeps every pair within reach."""
+def test_tree_prunes_and_settles(spark):
+    """On clustered vectors the traversal drops node pairs, settles tight clusters, and keeps every pair within reach."""
     r = np.random.default_rng(6)
-    x = np.repeat(np.eye(8), 40, 0) + r.normal(size=(320, 8)) * 0.02
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    tree = cover_tree.CoverTree(x[::3], 0.15, 64)
-    leaf = tree.leaf_of(x)
-    radius = {}
-    for i, k in enumerate(leaf):
-        for node in tree.paths(int(k)):
-            radius[node] = max(radius.get(node, 0.0), float(tree._distance(tree.points[tree.center[node]], x[i][None])[0]))
-    pairs, n = set(tree.dual(radius, 0.316)), len(set(leaf))
-    assert len(pairs) < n * (n + 1) / 2
-    assert all((min(leaf[i], leaf[j]), max(leaf[i], leaf[j])) in pairs for i, j in zip(*np.nonzero(x @ x.T >= 0.95)))
+    x = np.repeat(np.eye(8), 40, 0) + r.normal(size=(320, 8)) * 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows, points, kind = cover_tree._points(df, "vec_id", "embedding")
+    nodes, members = cover_tree.grow(points, kind, 0.316, 16)
+    found = cover_tree.dual(common.materialize(nodes), kind, 0.316).collect()
+    leaf_of = {m.point: m.node for m in members.collect()}
+    assert len(leaf_of) == 320 and nodes.where("parent is not null").join(nodes.selectExpr("node as parent", "radius as above"), "parent").where("radius > 1.5 * above").count() == 0
+    n = len(set(leaf_of.values()))
+    assert n >= 8 and len(found) < n * (n + 1) / 4 and sum(f.inside for f in found) >= 8
+    at = {p.vec_id: leaf_of[p.point] for p in rows.collect()}
+    pairs = {(f.a, f.b) for f in found}
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    assert all((min(at[i], at[j]), max(at[i], at[j])) in pairs for i, j in zip(*np.nonzero(u @ u.T >= 0.95)))
 
 
 # ---- pipeline

@@ -7,16 +7,21 @@ any of them meet. b follows from the least Jaccard similarity that a window with
 match is missed with probability below `MISS`. Candidates are verified: at least `share` of the template's shingles
 must stand in the window, in one text. Minima are taken over many texts at once; a window over two texts is harmless.
 
+Words are runs of letters and digits without regard to case, so punctuation and quotes don't matter. Numbers do: each
+number of a template (a version) must stand in the matched part after a word that it follows in the template, so one
+version is never taken for another.
+
 Templates are a short parameter and travel with the code; texts are scanned whole, row by row, in linear time.
 
 Defined cases: null and empty texts match nothing; texts of fewer than five words have no shingle; a license found in
 several places is one row entry with its best containment; repeated rows give repeated results; other columns are
-ignored; an empty table gives no rows.
+ignored, also those of the names made here; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +29,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from depotspark.llm.common import table
-from depotspark.llm.tokens import mix, slices, words
+from depotspark.llm.tokens import PUNCTUATION, mix, slices, words
 
 MISS = 1e-6
 K = 5
-#: License statements by SPDX id, as commonly written in sources and pages.
+#: License statements by SPDX id, as commonly written in sources and pages. Fixed texts.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MIT": [
+        "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": ["modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "EPL-1.0": ["made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"],
+    "EPL-2.0": ["made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "BSD-2-Clause": ["2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Licensed under CC0 1.0 Universal."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License."],
 }
 _U = np.uint64
 
@@ -49,22 +84,59 @@ def positional(h: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def _hashes(text: str) -> np.ndarray:
+    return words(pa.array([text]), PUNCTUATION)[0]
+
+
+def numbers(text: str) -> list[set[tuple[int, int]]]:
+    """For each number of a template, what may say it, a word and the digits after it: its words and their hash."""
+    found: dict[str, set[tuple[int, int]]] = {}
+    for m in re.finditer(r"[A-Za-z]+[^A-Za-z0-9]*([0-9]+(?:\.[0-9]+)*)(?![A-Za-z0-9])", text):
+        h = _hashes(m[0])
+        found.setdefault(m[1], set()).add((h.size, phrase(h)))
+    return list(found.values())
+
+
+def phrase(h: np.ndarray) -> int:
+    out = np.uint64(h.size)
+    with np.errstate(over="ignore"):
+        for x in h:
+            out = mix(np.array([out + x], dtype=np.uint64))[0]
+    return int(out)
+
+
+class Template:
+    def __init__(self, name: str, text: str):
+        h = _hashes(text)
+        self.name, self.shingles, self.numbers = name, np.unique(positional(h)), numbers(text)
+        self.lengths = {n for x in self.numbers for n, _ in x}
+
+    def containment(self, part: np.ndarray, h: np.ndarray) -> float:
+        """Share of the shingles that stand in part; 0 where a number is missing among the words h of the part."""
+        c = float(np.isin(self.shingles, part).sum()) / self.shingles.size if part.size else 0.0
+        if c and self.numbers:
+            said = {(n, phrase(h[i : i + n])) for n in self.lengths for i in range(h.size - n + 1)}
+            if not all(said & x for x in self.numbers):
+                return 0.0
+        return c
+
+
 class Family:
     """Templates of similar length: step, blocks of a window, bands and the templates' minima."""
 
-    def __init__(self, members: list[tuple[str, np.ndarray]], share: float):
+    def __init__(self, members: list[Template], share: float):
         self.members = members
-        most = max(s.size for _, s in members)
+        most = max(t.shingles.size for t in members)
         self.step = max(1, (most + K - 1) // 4)
         self.blocks = -(-(most + self.step - 1) // self.step)
         window = self.blocks * self.step
-        need = [(s.size, math.ceil(share * s.size - 1e-9)) for _, s in members]
+        need = [(t.shingles.size, math.ceil(share * t.shingles.size - 1e-9)) for t in members]
         least = min(k / (window + t - k) for t, k in need)
         self.bands = 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
         r = np.random.default_rng(5)
         self.odd = r.integers(1, 1 << 62, self.bands, dtype=np.uint64) * _U(2) + _U(1)
         with np.errstate(over="ignore"):
-            self.minima = np.array([[(s * a).min() for a in self.odd] for _, s in members])  # members x bands
+            self.minima = np.array([[(t.shingles * a).min() for a in self.odd] for t in members])  # members x bands
 
     def candidates(self, s: np.ndarray) -> list[tuple[int, int, int]]:
         """(member, first and last shingle) of windows of the positional shingles s that share a minimum."""
@@ -82,12 +154,11 @@ class Family:
 
 
 def families(templates: dict[str, list[str]], share: float) -> list[Family]:
-    by: dict[int, list] = {}
+    by: dict[int, list[Template]] = {}
     for name, texts in templates.items():
-        for t in texts:
-            s = np.unique(positional(words(pa.array([t]))[0]))
-            if s.size:
-                by.setdefault(round(math.log(s.size, 1.5)), []).append((name, s))
+        for t in (Template(name, x) for x in texts):
+            if t.shingles.size:
+                by.setdefault(round(math.log(t.shingles.size, 1.5)), []).append(t)
     return [Family(m, share) for _, m in sorted(by.items())]
 
 
@@ -99,13 +170,13 @@ def matches(h: np.ndarray, first: np.ndarray, known: list[Family], share: float)
         return found
     for f in known:
         for m, a, z in f.candidates(s):
-            name, t = f.members[m]
+            t = f.members[m]
             # the texts that the window touches; a shingle must end within its text
             for d in range(int(np.searchsorted(first, a, side="right")) - 1, int(np.searchsorted(first, min(z, h.size) - 1, side="right"))):
-                part = s[max(a, int(first[d])) : max(0, min(z, int(first[d + 1]) - K + 1))]
-                c = float(np.isin(t, part).sum()) / t.size if part.size else 0.0
+                lo, hi = max(a, int(first[d])), max(0, min(z, int(first[d + 1]) - K + 1))
+                c = t.containment(s[lo:hi], h[lo : hi + K - 1])
                 if c >= share:
-                    found[d][name] = max(c, found[d].get(name, 0.0))
+                    found[d][t.name] = max(c, found[d].get(t.name, 0.0))
     return found
 
 
@@ -116,7 +187,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, share:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s, e in slices(b.column(1)):
-                h, first, _ = words(b.column(1).slice(s, e - s))
+                h, first, _ = words(b.column(1).slice(s, e - s), PUNCTUATION)
                 found = matches(h, first, shared.value, share)
                 names, best = [sorted(x) for x in found], [max(x.values(), default=0.0) for x in found]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array([len(x) for x in names], pa.int64()), pa.array([",".join(x) for x in names], pa.string()), pa.array(best, pa.float64())], names=["doc_id", "n_licenses", "licenses", "containment"])

@@ -17,6 +17,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and ASCII punctuation: words of letters, digits and what isn't ASCII.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
 _VALUES[65:91] = _VALUES[97:123]  # A-Z as a-z
 _powers = {"n": 0}
@@ -52,8 +55,8 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the end, bytes of each word); null texts are empty."""
+def words(texts: pa.Array, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row and the end, bytes of each word); null texts are empty. gaps: for each byte, whether it parts words."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -61,7 +64,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = at - at[0]
     if not raw.size:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
-    gap = _SPACE[raw]
+    gap = gaps[raw]
     edge = np.zeros(raw.size + 1, dtype=bool)
     edge[at] = True
     prev, nxt = np.empty(raw.size, bool), np.empty(raw.size, bool)

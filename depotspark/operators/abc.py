@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
@@ -23,31 +23,41 @@ def category_frequency(freq: DataFrame) -> DataFrame:
     return freq.where("category_id is not null").groupBy("category_id").agg(F.sum("freq").alias("freq"), F.count("*").alias("sku_count"))
 
 
-def classes(df: DataFrame, value: str, key: str, a: float = R.ABC_A, b: float = R.ABC_B, within: str | None = None) -> DataFrame:
-    """Adds rank, share, cum and cls: A up to a percent of the running total, B up to b, else C. Ties by key.
+def ranked(df: DataFrame, within: list[str], order: list[Column], name: str = "rank", value: str | None = None) -> DataFrame:
+    """df with `name`, the rank from 1 within the columns `within`, and, for a value, its running sum <name>_run and total <name>_all.
 
-    No task sees all items: rows are dealt by ranges of (value, key), a window runs inside each range, and what lies
-    before a range comes from the ranges' sums.
+    No task sees a whole group: rows are dealt by ranges, a window runs inside each range, and what lies before a range
+    comes from the ranges' counts and sums. The order must have no ties.
     """
-    part = [within] if within else []
-    dealt = cut_lineage(df.repartitionByRange(*[F.col(c) for c in part], F.desc(value), F.asc(key)).withColumn("_p", F.spark_partition_id()))
-    sums = dealt.groupBy("_p", *part).agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
-    before = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range and group
-    every = Window.partitionBy(*part)
-    sums = sums.select("_p", *part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(before), F.lit(0)).alias("_v0"), F.sum("_v").over(every).alias("_all"))
-    named = [F.col(c).alias(f"_g_{c}") for c in part]
-    sums = sums.select("_p", *named, "_n0", "_v0", "_all").withColumnRenamed("_p", "_q")
+    dealt = cut_lineage(df.repartitionByRange(*[F.col(c) for c in within], *order).withColumn("_p", F.spark_partition_id()))
+    v = F.col(value) if value else F.lit(0)
+    sums = dealt.groupBy("_p", *within).agg(F.count("*").alias("_n"), F.sum(v).alias("_v"))
+    before = Window.partitionBy(*within).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range and group
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    sums = sums.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g_{c}") for c in within], offset("_n").alias("_n0"), offset("_v").alias("_v0"), F.sum("_v").over(Window.partitionBy(*within)).alias(f"{name}_all"))
     on = F.col("_p") == F.col("_q")
-    for c in part:
+    for c in within:
         on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    inside = Window.partitionBy("_p", *part).orderBy(F.desc(value), key)
-    df = dealt.withColumn("_r", F.row_number().over(inside)).withColumn("_s", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sums, on)
-    total = F.when(F.col("_all") == 0, 1).otherwise(F.col("_all"))
-    df = df.withColumn("rank", (F.col("_n0") + F.col("_r")).cast("int")).withColumn("share", F.lit(100.0) * F.col(value) / total).withColumn("cum", F.lit(100.0) * (F.col("_v0") + F.col("_s")) / total)
-    df = df.drop("_p", "_q", "_r", "_s", "_n0", "_v0", "_all", *[f"_g_{c}" for c in part])
+    inside = Window.partitionBy("_p", *within).orderBy(*order)
+    out = dealt.withColumn("_r", F.row_number().over(inside)).withColumn("_s", F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sums, on)
+    out = out.withColumn(name, (F.col("_n0") + F.col("_r")).cast("int")).withColumn(f"{name}_run", F.col("_v0") + F.col("_s"))
+    return out.drop("_p", "_q", "_r", "_s", "_n0", "_v0", *[f"_g_{c}" for c in within], *([] if value else [f"{name}_run", f"{name}_all"]))
+
+
+def classes(df: DataFrame, value: str, key: str, a: float = R.ABC_A, b: float = R.ABC_B, within: str | None = None) -> DataFrame:
+    """Adds rank, share, cum and cls: A up to a percent of the running total, B up to b, else C. Ties by key."""
+    df = ranked(df, [within] if within else [], [F.desc(value), F.asc(key)], "rank", value)
+    total = F.when(F.col("rank_all") == 0, 1).otherwise(F.col("rank_all"))
+    df = df.withColumn("share", F.lit(100.0) * F.col(value) / total).withColumn("cum", F.lit(100.0) * F.col("rank_run") / total).drop("rank_run", "rank_all")
     return df.withColumn("cls", F.when(F.col("cum") <= a, "A").when(F.col("cum") <= b, "B").otherwise("C"))
 
 
+def class_ends(classed: DataFrame) -> DataFrame:
+    """One row: the percentage of items before the first that isn't A, and before the first C."""
+    n = F.count("*")
+    return classed.agg(n.alias("items"), (F.count_if(F.col("cls") == "A") * 100.0 / n).alias("a_pct"), (F.count_if(F.col("cls") != "C") * 100.0 / n).alias("b_pct"))
+
+
 def pareto(classed: DataFrame, points: int = R.PARETO_POINTS) -> DataFrame:
     """rank and cum at evenly spaced ranks, first and last included."""
     classed = cut_lineage(classed.select("rank", "cum", "cls"))

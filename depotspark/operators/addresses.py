@@ -41,8 +41,9 @@ def variants(t: DataFrame) -> DataFrame:
 
 
 def backfill(rows: DataFrame) -> DataFrame:
-    """rows with address_final, address_source, address_pending and region. Rows are read twice and joined once, with their (address, store_code)."""
-    rows = rows.select("row_id", "ship_no", "store_code", "address")
+    """rows (row_id, ship_no, store_code, address and others) with ship_date, address_final, address_source, address_pending, region
+    and rest. Rows are read twice and joined once, with their (address, store_code)."""
+    columns = rows.columns
     t = trusted(pairs(rows))
     v = variants(t).select(F.col("store_code"), F.struct("city", "district", "rest", "lo", "hi", "n").alias("v"))
     versions = v.groupBy("store_code").agg(F.sort_array(F.collect_list("v")).alias("versions"))  # a store's versions, not its rows
@@ -65,7 +66,7 @@ def backfill(rows: DataFrame) -> DataFrame:
     source = F.when(F.col("trusted"), F.when(F.col("norm") == F.col("address"), "原始完整").otherwise("前綴正規化")).when(F.col("best").isNull(), "無法處理").when(many, "多版本回填").otherwise("單一版本回填")
     t = t.withColumn("address_source", source)
     region = F.concat(A.city(F.col("address_final")), A.district(F.col("address_final")))
-    return t.withColumn("region", F.when(F.col("address_pending") == 0, region)).select("row_id", "store_code", "ship_date", "address", "address_final", "address_source", "address_pending", "region", "rest")
+    return t.withColumn("region", F.when(F.col("address_pending") == 0, region)).select(*columns, "ship_date", "address_final", "address_source", "address_pending", "region", "rest")
 
 
 def _places(df: DataFrame, name: str) -> DataFrame:

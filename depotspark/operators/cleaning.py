@@ -119,6 +119,16 @@ def reclassify(isolated: DataFrame) -> DataFrame:
     return df.withColumn("isolation_reason", F.when(odd, "nondescriptive_name").otherwise(F.col("isolation_reason")))
 
 
+def reclass_stats(isolated: DataFrame) -> DataFrame:
+    """One row about the rows without category: how many, moved back, test data, hit but still bad, and hit by no rule."""
+    rows = isolated.where("isolation_reason = 'no_category'").withColumn("k", T.keyword_category(F.col("name_filled")))
+    hit, bad = F.col("k") >= 0, bad_qty() | bad_unit()
+    return rows.agg(
+        F.count("*").alias("target_total"), F.count_if(hit & ~bad).alias("moved"), F.count_if(F.col("k") < 0).alias("test_placeholder"),
+        F.count_if(hit & bad).alias("still_bad"), F.count_if(F.col("k").isNull()).alias("still_unmatched"),
+    )
+
+
 def change_log(cleaned: DataFrame) -> DataFrame:
     """row_id, column, rule, before, after for every filled or repaired name and category."""
     def changed(column: str, rule: str, before: Column, after: Column) -> Column:

@@ -157,3 +157,48 @@ def with_history(predicted: DataFrame, freq: DataFrame, n_periods: int, horizon:
     """Predicted value, or history times horizon over periods for items without one."""
     out = freq.select(F.col("item_id").alias("key"), "freq").join(predicted, "key", "full_outer")
     return out.select("key", F.coalesce("value", F.col("freq") * F.lit(float(horizon)) / n_periods).alias("value"), F.col("value").isNull().cast("int").alias("from_history"))
+
+
+def context(d: DataFrame, horizon: int = 3) -> DataFrame:
+    """One row: periods, where training ends, and whether there are too few for a forecast."""
+    return d.limit(1).select(F.size("s").alias("n_periods"), (F.size("s") - horizon).alias("train_end"), F.lit(horizon).alias("horizon"), (F.size("s") < horizon + R.MIN_TRAIN).alias("insufficient"))
+
+
+def rolling(d: DataFrame, horizon: int = 3) -> DataFrame:
+    """key, h, pred, actual: the chosen model one step ahead in each test period, with the actual values up to it."""
+    chosen = select(d, horizon)
+    steps = chosen.select("key", "s", "te", "rank", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("h"))
+    past = F.slice("s", F.lit(1), F.col("te") + F.col("h"))
+    value = F.get(F.array(*[f(past) for f in S.ONE_STEP]), F.col("rank"))
+    return steps.select("key", (F.col("h") + 1).alias("h"), F.greatest(F.lit(0.0), value).alias("pred"), F.coalesce(F.get("s", F.col("te") + F.col("h")), F.lit(0.0)).alias("actual"))
+
+
+def breakdown(sales: DataFrame, names: DataFrame, target: str = "qty", horizon: int = 3) -> DataFrame:
+    """One row for each category: label, actual and predicted sums, errors and model. names: category_id, category_name."""
+    rows = accuracy(select(dense(sales, "category_id", target), horizon), horizon)
+    rows = rows.join(F.broadcast(names), rows["key"] == names["category_id"], "left")  # the list of categories
+    return rows.select("key", T.category_label(F.col("key"), F.col("category_name")).alias("label"), "actual_sum", "pred_sum", "wape", "mase", "model")
+
+
+def item_rows(sales: DataFrame, names: DataFrame, target: str = "qty", recent: int = R.RECENT_PERIODS, horizon: int = 3) -> DataFrame:
+    """One row for each item shipped: code, name, category, label, sums, errors, model, is_new. New items have a cold start and no errors."""
+    d, profile = dense(sales, "item_id", target), item_profile(sales)
+    new = cut_lineage(new_items(d, recent).select("key"))
+    mature = accuracy(select(d.join(new, "key", "left_anti"), horizon), horizon).select("key", "model", "pred_sum", "actual_sum", "wape", "tot_err", F.lit(0).alias("is_new"))
+    tail = _sum(F.slice("s", train_end("s", horizon) + 1, F.lit(horizon)))
+    cold = cold_start(d, profile, recent).join(d.select("key", tail.alias("actual_sum")), "key")
+    none = F.lit(None).cast("double")
+    cold = cold.select("key", F.concat(F.lit("cold start: "), "source").alias("model"), (F.col("level") * horizon).alias("pred_sum"), "actual_sum", none.alias("wape"), none.alias("tot_err"), F.lit(1).alias("is_new"))
+    total = d.select("key", _sum(F.col("s")).alias("total")).where("total > 0")
+    first = F.min_by(F.struct("item_code", "item_name", "category_id"), "row_id").alias("m")
+    meta = sales.where("item_id is not null").groupBy(F.col("item_id").alias("key")).agg(first).select("key", "m.*")
+    rows = cut_lineage(mature.unionByName(cold)).join(total, "key").join(meta, "key").join(F.broadcast(names), "category_id", "left")
+    return rows.select("key", F.col("item_code").alias("code"), F.col("item_name").alias("name"), "category_id", T.category_label(F.col("category_id"), F.col("category_name")).alias("label"), "total", "actual_sum", "pred_sum", "wape", "tot_err", "model", "is_new")
+
+
+def item_top(rows: DataFrame, candidates: int = 200, top: int = 20) -> DataFrame:
+    """A report in two stages: the items with the largest totals, and of these the ones with the largest actual sums. rows: see item_rows."""
+    if not (1 <= candidates <= 1000 and 1 <= top <= 100):
+        raise ValueError("candidates is 1 to 1000, top 1 to 100")
+    pool = rows.orderBy(F.desc("total"), "key").limit(candidates)
+    return pool.orderBy(F.desc("actual_sum"), "key").limit(top)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
-from depotspark.operators import copick, graph
+from depotspark.operators import graph
+from depotspark.operators.abc import ranked
 
 SECTIONS, MATERIALS = ("upper", "middle", "lower"), ("shelf", "pallet")
 
@@ -98,8 +99,8 @@ def placement_order(items: DataFrame, ab_clusters: DataFrame, category_clusters:
     cat = cat.join(category_clusters.select(F.col("id").alias("category_id"), "component"), "category_id", "left").withColumn("component", F.coalesce("component", "category_id")).withColumn("top", F.max("cat_freq").over(by_c))
     loose = items.where(soft).join(cat, ["material", "category_id"])
     loose = loose.select("id", "material", "cls", "flex", F.lit(4).alias("tier"), F.col("top").alias("g1"), F.col("component").alias("g2"), F.col("cat_freq").alias("c1"), F.col("category_id").cast("long").alias("c2"), F.col("freq").alias("f"))
-    order = Window.partitionBy("material").orderBy("tier", F.desc("g1"), "g2", F.desc("c1"), "c2", F.desc("f"), "id")
-    return hard.unionByName(loose).withColumn("pos", F.row_number().over(order) - 1).select("id", "material", "cls", "flex", "tier", "pos")
+    order = [F.asc("tier"), F.desc("g1"), F.asc("g2"), F.desc("c1"), F.asc("c2"), F.desc("f"), F.asc("id")]
+    return ranked(hard.unionByName(loose), ["material"], order).withColumn("pos", F.col("rank") - 1).select("id", "material", "cls", "flex", "tier", "pos")
 
 
 def hand_out(order: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,9 +109,9 @@ def hand_out(order: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns (item -> home zone and cell, cell -> class). With more items than cells an item has one cell, and a cell takes the class of its last item.
     """
     slot = cells.withColumn("slot", F.row_number().over(Window.partitionBy("material").orderBy("dist", "zone_id", "cell")) - 1).withColumn("t", F.count("*").over(Window.partitionBy("material")))
-    n = order.withColumn("n", F.count("*").over(Window.partitionBy("material")))
-    totals = slot.groupBy("material").agg(F.max("t").alias("t"))
-    spans = n.join(F.broadcast(totals), "material").withColumn("start", F.floor(F.col("pos") * F.col("t") / F.col("n")))
+    order = graph.cut_lineage(order)
+    totals = slot.groupBy("material").agg(F.max("t").alias("t")).join(order.groupBy("material").agg(F.count("*").alias("n")), "material")  # one row for each material
+    spans = order.join(F.broadcast(totals), "material").withColumn("start", F.floor(F.col("pos") * F.col("t") / F.col("n")))
     stop = F.floor((F.col("pos") + 1) * F.col("t") / F.col("n"))
     spans = spans.withColumn("stop", F.greatest(stop, F.least(F.col("t"), F.col("start") + 1))).withColumn("pcls", F.when(F.col("flex"), "C").otherwise(F.col("cls")))
     home = spans.join(slot.select("material", F.col("slot").alias("start"), "zone_id", "cell"), ["material", "start"]).select("id", "zone_id", "cell", "pos", "pcls")
@@ -127,8 +128,58 @@ def zone_classes(home: DataFrame) -> DataFrame:
     return out.select("zone_id", "n_a", "n_b", "n_c", lead.alias("lead"), (F.col("n_a") * 100.0 / F.col("n")).alias("a_pct"))
 
 
-def strong_pairs(sales: DataFrame, min_count: int) -> DataFrame:
-    return copick.pairs(sales, "item_id", min_count)
+def category_clusters(categories: DataFrame, pairs: DataFrame, min_lift: float = R.CLUSTER_LIFT) -> DataFrame:
+    """categories (id, material), pairs (a, b, lift) -> id, component over strong pairs of one material."""
+    of = lambda s: categories.select(F.col("id").alias(s), F.col("material").alias(f"m{s}"))
+    strong = pairs.where(F.col("lift") >= min_lift).join(of("a"), "a").join(of("b"), "b").where("ma = mb").select("a", "b")
+    return graph.components(categories.select("id"), strong)
+
+
+def class_mix(home: DataFrame, zs: DataFrame) -> DataFrame:
+    """Shares of the classes by the material of the zones that items lie in."""
+    rows = home.join(F.broadcast(zs.select("zone_id", "material")), "zone_id")  # the zones of one floor
+    share = lambda c: (F.count_if(F.col("pcls") == c) / F.count("*")).alias(f"share_{c.lower()}")
+    return rows.groupBy("material").agg(*[share(c) for c in "ABC"])
+
+
+def record(items: DataFrame, home: DataFrame, before: DataFrame, zs: DataFrame) -> DataFrame:
+    """One row for each item: category, frequency, class and placed class, place in the order, zone and cell, the zone its category had, and both distances.
+
+    before: key, zone_id by category. An item without a place lies where its category was.
+    """
+    z = lambda p: zs.select(F.col("zone_id").alias(f"{p}_zone"), F.col("distance_m").alias(f"{p}_distance"), F.col("material").alias(f"{p}_material"))
+    was = before.select(F.col("key").alias("category_id"), F.col("zone_id").alias("before_zone"))
+    rows = items.join(home.select("id", F.col("zone_id").alias("home"), "cell", "pos", "pcls"), "id", "left").join(F.broadcast(was), "category_id", "left")  # a row for each category
+    rows = rows.withColumn("after_zone", F.coalesce("home", "before_zone"))
+    return rows.join(F.broadcast(z("before")), "before_zone", "left").join(F.broadcast(z("after")), "after_zone", "left").select(
+        "id", "category_id", "material", "freq", "cls", "pcls", "flex", "pos", "before_zone", "before_distance", "after_zone", "after_material", "cell", "after_distance"
+    )
+
+
+def partner_rows(pairs: DataFrame, placed: DataFrame, item: int, min_count: int, min_lift: float = R.CLUSTER_LIFT, limit: int = 10) -> DataFrame:
+    """A report: partners of an item in its material by lift, with their zone, gap in the order, and whether they lie side by side.
+
+    pairs: a, b, count, lift; placed: id, material, zone_id, pos, cls.
+    """
+    mine = pairs.where(((F.col("a") == item) | (F.col("b") == item)) & (F.col("count") >= min_count) & (F.col("lift") >= min_lift))
+    mine = mine.select(F.when(F.col("a") == item, F.col("b")).otherwise(F.col("a")).alias("id"), "count", "lift")
+    own = placed.where(F.col("id") == item).select(F.col("material"), F.col("zone_id").alias("own_zone"), F.col("pos").alias("own_pos"))  # one row
+    rows = mine.join(placed, "id").join(F.broadcast(own), "material")
+    gap = F.abs(F.col("pos") - F.col("own_pos"))
+    return rows.select("id", "count", "lift", "cls", "zone_id", gap.alias("order_gap"), (F.col("zone_id") == F.col("own_zone")).alias("same_zone"), (gap == 1).alias("adjacent")).orderBy(F.desc("lift"), "id").limit(limit)
+
+
+def cold_start_cards(new: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for each new item: its peers (items of its category and material that aren't new), the upper median of their frequencies, and whether it is placed loosely.
+
+    new: id, flex; items: id, category_id, material, freq. Medians come from counts of distinct frequencies.
+    """
+    old = items.join(new.select("id"), "id", "left_anti").groupBy("category_id", "material", "freq").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("category_id", "material")
+    run = old.withColumn("hi", F.sum("n").over(by.orderBy("freq").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
+    at = F.floor(F.col("all") / 2)
+    mid = run.where((F.col("hi") > at) & (F.col("hi") - F.col("n") <= at)).select("category_id", "material", F.col("all").alias("peers"), F.col("freq").alias("median_freq"))
+    return items.join(new, "id").join(mid, ["category_id", "material"], "left").select("id", "category_id", "material", "flex", F.coalesce("peers", F.lit(0)).alias("peers"), "median_freq")
 
 
 def cell_distances(plan: dict, grid: float = 12.0) -> list[tuple[str, int, float]]:

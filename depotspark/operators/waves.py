@@ -126,3 +126,16 @@ def completion(sales: DataFrame, day: str, zones: DataFrame, threshold: int = R.
     done = last.groupBy(*WAVE, "round").agg(F.count("*").alias("done"))
     every = plan.select(*WAVE, "round").distinct().join(done, [*WAVE, "round"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
     return every.withColumn("cum_done", F.sum("done").over(Window.partitionBy(*WAVE).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def located(sales: DataFrame, layout_record: DataFrame) -> DataFrame:
+    """sales with zone and before_zone as a layout gives them. layout_record: id, after_zone, before_zone."""
+    places = layout_record.select(F.col("id").alias("item_id"), F.col("after_zone").alias("zone"), "before_zone")
+    return sales.drop("zone", "before_zone").join(places, "item_id", "left")
+
+
+def day_waves(sales: DataFrame, day: str, threshold: int = R.WAVE_THRESHOLD) -> DataFrame:
+    """A report: the waves of one day by their orders, with their place."""
+    waved = waves(rollup(sales)[0].where(F.col("date") == day), threshold)
+    table = waved.groupBy(*WAVE).agg(F.count("*").alias("orders"), F.sum("lines").alias("lines"))
+    return table.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("orders"), "city", "wave_district")))  # the waves of one day

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from depotspark import reference_values as R
 from depotspark.functions import address as A
 from depotspark.sources.star import RAW_SQL, SALES_SQL, plain
@@ -341,5 +343,48 @@ SQL["placement_order"] = f"with recursive {ORDER} select id, material, tier, pos
 SQL["after_layout"] = f"with recursive {ORDER} select id, zone_id, cell from ho"
 SQL["cell_classes"] = f"with recursive {ORDER} select zone_id, cell, arg_max(pcls, pos) as cell_class from s2 join ce on ce.material = s2.material and sl >= start and sl < stop group by 1, 2"
 SQL["zone_class_mix"] = f"with recursive {ORDER} select zone_id, n_a, n_b, n_c, case when n_a >= n_b and n_a >= n_c then 'A' when n_b >= n_c then 'B' else 'C' end as lead, round(n_a * 100.0::double / n, 6) as a_pct from (select zone_id, count(*) filter (pcls = 'A') as n_a, count(*) filter (pcls = 'B') as n_b, count(*) filter (pcls = 'C') as n_c, count(*) as n from ho group by 1)"
+SQL["class_mix"] = f"with recursive {ORDER} select material, round(count(*) filter (pcls = 'A') / count(*)::double, 6) as share_a, round(count(*) filter (pcls = 'B') / count(*)::double, 6) as share_b, round(count(*) filter (pcls = 'C') / count(*)::double, 6) as share_c from ho join zones using (zone_id) group by 1"
+SQL["partner_rows"] = f"""with recursive {ORDER}, {re.sub(r"\b(ok|nn|kf|pr)\b", r"\g<1>2", pair_sql('item_id', '2'))},
+me as (select item_id as x from freq order by freq desc, item_id limit 1), pz as (select po.id, po.material, po.cls, ho.zone_id, po.pos from po join ho using (id)), mine as (select * from pz where id = (select x from me))
+select p.id, count, round(lift, 6) as lift, p.cls, p.zone_id, abs(p.pos - mine.pos) as order_gap, p.zone_id = mine.zone_id as same_zone, abs(p.pos - mine.pos) = 1 as adjacent
+from (select case when a = x then b else a end as id, count, lift from pr2, me where (a = x or b = x) and count >= 2 and lift >= 1.0) q join pz p using (id) join mine on mine.material = p.material order by lift desc, id limit 10"""
+add("cold_start_cards", f"{LEVELS}, ef as (select item_id as id, count(distinct ship_no) as freq from sales group by 1)", """, pe as (select category_id, storage_class, count(*) as peers, list_sort(list(freq))[cast(floor(count(*) / 2) as int) + 1] as median_freq from ef join prof on prof.key = ef.id where id not in (select key from nw) group by 1, 2)
+select cold.key as id, prof.category_id, prof.storage_class as material, source <> 'own' as flex, coalesce(peers, 0) as peers, median_freq from cold join prof using (key) left join pe on pe.category_id = prof.category_id and pe.storage_class = prof.storage_class""")
+add("day_waves", f"{ORD}, dd as (select * from ords where date = '19960102'), {waved('dd')}", f"select *, cast(row_number() over (partition by date order by orders desc, city, wave_district) as int) as place from (select {W}, count(*) as orders, cast(sum(lines) as bigint) as lines from wo group by all)")
+_SEEDED = SEED[len(SALES) + len(ZONES) + 4:].replace("places as (select item_id, arg_min(zone, row_id) as zone, arg_min(before_zone, row_id) as before_zone from sales group by 1)", "places as (select id as item_id, zone_id as zone, zone_id as before_zone from ho)").replace(" sp as", " spx as")
+SQL["wave_rounds_layout"] = f"with recursive {ORDER}, {_SEEDED} select {W}, orders, lines, sku_count, rounds, round(wave_dist, 6) as wave_dist from wt"
+# ---- the cleaning run and its tables
+_g = " or ".join(f"{c}_source = 'category median'" for c in DIMS4[:3])
+_vol, _edge = "m2.v * m3.v * m4.v", "greatest(m2.v, m3.v, m4.v)"
+_over = f"concat_ws(';', case when {_vol} > 50000 then '材積' || cast(cast(round_even({_vol} / 1000, 0) as bigint) as varchar) || 'L>50L' end, case when {_edge} > 60 then '最長邊' || cast(cast(round_even({_edge}, 0) as bigint) as varchar) || 'cm>60cm' end)"
+MASTER = f"""{MEASURED}, {", ".join(f"so_{c} as (select item_id, string_agg(v || '×' || cast(k as varchar), '; ' order by k desc, v) as t from (select item_id, {c}_source as v, count(*) as k from measured group by 1, 2) group by 1)" for c in DIMS4)},
+gm as (select item_id, count(*) as n_rows, {", ".join(f"cast(count(distinct {c}) > 1 as int) as {c}_conflict" for c in DIMS4)}, bool_or({_g}) as guessed from measured where item_id is not null group by 1),
+master as materialized (select gm.item_id, {", ".join(f"m{i}.v as {n}" for i, n in enumerate(_modes.values()))}, {_vol} as volume_cm3, {_edge} as edge_cm, case when {_vol} is null then '無法計算(缺維度)' when guessed then '類別推估' else '實測' end as size_source,
+ case when {_vol} is null or {_vol} > 50000 or {_edge} > 60 then '棧板' else '貨架' end as storage_class, case when {_vol} is null then '缺尺寸暫歸棧板(待量測)' when {_over} <> '' then {_over} else '材積≤50L且最長邊≤60cm' end as class_reason,
+ {_vol} is not null as volume_usable, n_rows, {", ".join(f"so_{c}.t as {c}_sources, {c}_conflict" for c in DIMS4)}
+ from gm {" ".join(f"left join so_{c} on so_{c}.item_id = gm.item_id" for c in DIMS4)} {" ".join(f"left join {mode('measured', 'item_id', c)} m{i} on m{i}.item_id = gm.item_id" for i, c in enumerate(_modes))})"""
+add("sku_master_full", MASTER, "select * replace (round(volume_cm3, 6) as volume_cm3) from master")
+RUN = f"""{MASTER}{RESOLVED[len(NORM):]}, run as materialized (select m.*, f.address as address0, f.address_final, r.address_source, r.address_pending, r.address_match, r.region, coalesce(master.storage_class, '未分類(無商品ID)') as storage_class
+ from measured m join resolved r using (row_id) join (select row_id, address_final, address from filled join parsed using (row_id)) f using (row_id) left join master on master.item_id = m.item_id)"""
+add("cleaning_run", RUN, f"select row_id, isolation_reason, item_id, name_filled, category_final, {', '.join(f'round({c}, 6) as {c}, {c}_source' for c in DIMS4)}, round(volume_cm3, 6) as volume_cm3, volume_source, volume_review, address_final, address_source, address_pending, address_match, region, storage_class from run")
+_name_log = SQL["change_log"].rpartition("isolation_reason from k2)")[2]
+add("change_log_all", RUN, _name_log + " union all " + " union all ".join(f"select row_id, '{c}', r.{c}_source, cast(round(t.{c}, 6) as varchar), cast(round(r.{c}, 6) as varchar) from run r join typed t using (row_id) where r.{c}_source not in ('original', 'missing', 'extreme')" for c in DIMS4)
+    + " union all select row_id, 'address', address_source, address0, address_final from run where address_final is not null and address_final is distinct from address0")
+add("reclass_stats", CLEAN, f"select count(*) as target_total, count(*) filter (keyword >= 0 and not ({BAD_QTY} or {BAD_UNIT})) as moved, count(*) filter (keyword < 0) as test_placeholder, count(*) filter (keyword >= 0 and ({BAD_QTY} or {BAD_UNIT})) as still_bad, count(*) filter (keyword is null) as still_unmatched from k1 where reason0 = 'no_category'")
+add("gazetteer_matches", RESOLVED, "select address_match, coalesce(n, 0) as n from (values ('未載入參考資料'), ('未比對'), ('路名回推補齊'), ('路名相符(已驗證)')) t(address_match) left join (select address_match, count(*) as n from resolved group by 1) using (address_match)")
+# ---- forecast tables
+CATEGORY_NAMES = "nm as (select * from (values " + ", ".join(f"({i}, {q(n)})" for i, _, n in R.CATEGORIES) + ") t(category_id, category_name))"
+label = lambda c: f"case when {c} is null then '(空白)' when category_name is null then cast({c} as varchar) else category_name || '（' || cast({c} as varchar) || '）' end"
+add("fc_context", CATS, "select cast(len(s) as int) as n_periods, cast(len(s) - 3 as int) as train_end, 3 as horizon, len(s) < 7 as insufficient from d limit 1")
+add("fc_rolling", f"{CATS}, {selected()}, ro as (select key, hz, rank, s[1:te + hz - 1] as h, coalesce(s[te + hz], 0) as actual from (select *, unnest([1, 2, 3]) as hz from ch))", "select key, hz as h, round(greatest(0, case rank " + " ".join(f"when {i} then {m}" for i, m in enumerate(models("h"))) + " end), 6) as pred, round(actual, 6) as actual from ro")
+add("fc_breakdown", f"{CATS}, {selected()}, {CATEGORY_NAMES}", f"select key, {label('key')} as label, round(actual_sum, 6) as actual_sum, round(pred_sum, 6) as pred_sum, round(wape, 6) as wape, round(mase, 6) as mase, {MODEL_NAMES}[rank + 1] as model from ac left join nm on nm.category_id = ac.key")
+ROWS = f"""{LEVELS}, {selected(' where key not in (select key from nw)')}, {CATEGORY_NAMES}, me as (select item_id as key, arg_min(item_code, row_id) as code, arg_min(item_name, row_id) as name, arg_min(category_id, row_id) as category_id from sales group by 1),
+ir0 as (select key, {MODEL_NAMES}[rank + 1] as model, pred_sum, actual_sum, wape, tot_err, 0 as is_new from ac union all select key, 'cold start: ' || source, level * 3, list_sum(d.s[len(d.s) - 2:]), null, null, 1 from cold join d using (key)),
+ir as materialized (select key, code, name, me.category_id, {label('me.category_id')} as label, list_sum(d.s) as total, actual_sum, pred_sum, wape, tot_err, model, is_new from ir0 join d using (key) join me using (key) left join nm on nm.category_id = me.category_id where list_sum(d.s) > 0)"""
+_IR = "select key, code, name, category_id, label, round(total, 6) as total, round(actual_sum, 6) as actual_sum, round(pred_sum, 6) as pred_sum, round(wape, 6) as wape, round(tot_err, 6) as tot_err, model, is_new from "
+add("fc_sku_rows", ROWS, _IR + "ir")
+add("fc_sku_top", ROWS, _IR + "(select * from (select * from ir order by total desc, key limit 200) order by actual_sum desc, key limit 20)")
+SQL["predicted_top_per_material"] = f"select * from ({SQL['predicted_sku_abc']}) where rank <= 10"
+add("pareto_ends", FREQ, f", c as (select * from {classed('freq', 'freq', 'item_id')}) select count(*) as items, round(count(*) filter (cls = 'A') * 100.0::double / count(*), 6) as a_pct, round(count(*) filter (cls <> 'C') * 100.0::double / count(*), 6) as b_pct from c".lstrip())
 for name, sql in SQL.items():
     SQL[name] = sql.replace(") , ", "), ")

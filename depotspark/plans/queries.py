@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from depotspark import reference_values as R
 from depotspark.functions import address as A
 from depotspark.functions import text as T
-from depotspark.operators import abc, addresses, cleaning, copick, dimensions, forecast, layout, quality, waves
+from depotspark.operators import abc, addresses, cleaning, copick, dimensions, forecast, layout, pipeline, quality, waves
 from depotspark.operators.graph import cut_lineage
 from depotspark.sources import files
 from depotspark.sources.star import raw_lines, sales
@@ -532,12 +532,22 @@ def before_layout(spark, d):
     return layout.pack_before(c, layout.zones(spark))
 
 
-def _placed(spark, d):
-    s = sales(spark, d)
+def _category_clusters(s, items):
+    """Categories that are picked together, of one material: that of most of their items."""
+    shelf = F.count_if(F.col("material") == "shelf")
+    cats = items.groupBy(F.col("category_id").alias("id")).agg(F.when(2 * shelf >= F.count("*"), "shelf").otherwise("pallet").alias("material"))
+    return layout.category_clusters(cats, copick.category_matrix(s).where("a < b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "lift"))
+
+
+def _items_placed(spark, d):
+    s = cut_lineage(sales(spark, d).select("row_id", "ship_no", "item_id", "item_code", "item_name", "category_id"))
     classed = abc.classes(abc.sku_frequency(s), "freq", "item_id")
     items = classed.select(F.col("item_id").alias("id"), F.col("category_id").cast("long").alias("category_id"), F.when(F.col("item_id") % 14 < 6, "shelf").otherwise("pallet").alias("material"), "freq", "cls", (F.col("item_id") % 97 == 5).alias("flex"))
-    cats = items.select(F.col("category_id").alias("id")).distinct().withColumn("component", F.col("id"))
-    return layout.placement_order(items, _clusters(spark, d), cats)
+    return items, layout.placement_order(items, _clusters(spark, d), _category_clusters(s, items))
+
+
+def _placed(spark, d):
+    return _items_placed(spark, d)[1]
 
 
 @query
@@ -567,3 +577,127 @@ def zone_class_mix(spark, d):
 @query
 def cell_distance(spark, d):
     return spark.createDataFrame(layout.cell_distances(PLAN), "zone string, cell int, dist_m double")
+
+
+def _record(spark, d):
+    items, order = _items_placed(spark, d)
+    home = layout.hand_out(order, _cells(spark))[0]
+    return layout.record(items, home, before_layout(spark, d), layout.zones(spark))
+
+
+@query
+def layout_record(spark, d):
+    return rounded(_record(spark, d))
+
+
+@query
+def class_mix(spark, d):
+    return rounded(layout.class_mix(layout.hand_out(_placed(spark, d), _cells(spark))[0], layout.zones(spark)))
+
+
+@query
+def partner_rows(spark, d):
+    s = cut_lineage(sales(spark, d).select("ship_no", "item_id"))
+    order = cut_lineage(_placed(spark, d))
+    placed = layout.hand_out(order, _cells(spark))[0].join(order.select("id", "material", "cls"), "id")
+    item = s.groupBy("item_id").agg(F.count_distinct("ship_no").alias("f")).orderBy(F.desc("f"), "item_id").first()["item_id"]
+    return rounded(layout.partner_rows(copick.pairs(s, "item_id", 2), placed, item, 2, 1.0))
+
+
+@query
+def cold_start_cards(spark, d):
+    s = cut_lineage(early(spark, d))
+    dense = cut_lineage(forecast.dense(s, "item_id"))
+    profile = forecast.item_profile(s)
+    new = forecast.cold_start(dense, profile).select(F.col("key").alias("id"), (F.col("source") != "own").alias("flex"))
+    items = abc.sku_frequency(s).select(F.col("item_id").alias("id"), "freq").join(profile.select(F.col("key").alias("id"), "category_id", F.col("storage_class").alias("material")), "id")
+    return layout.cold_start_cards(new, items)
+
+
+@query
+def day_waves(spark, d):
+    return waves.day_waves(sales(spark, d), DAY, 2)
+
+
+@query
+def wave_rounds_layout(spark, d):
+    """Waves and rounds with the zones that the layout gives."""
+    s = cut_lineage(sales(spark, d).select("row_id", "ship_no", "ship_date", "city", "district", "item_id", "qty"))
+    orders, items = (cut_lineage(x) for x in waves.rollup(s))
+    places = layout.hand_out(_placed(spark, d), _cells(spark))[0].select(F.col("id").alias("item_id"), F.col("zone_id").alias("zone"))
+    z = layout.zones(spark)
+    return rounded(waves.wave_table(waves.waves(waves.in_window(orders), 2), waves.seed_rounds(waves.waves(waves.in_window(orders), 2), items, places, z, 5), z))
+
+
+@query
+def kpi_from_layout(spark, d):
+    """The KPIs of the computed layouts, before and after."""
+    rec = cut_lineage(_record(spark, d).select("id", "before_zone", "after_zone"))
+    return rounded(waves.kpi(waves.strategies(waves.located(sales(spark, d), rec), layout.zones(spark), 2, 5)))
+
+
+# ---- the cleaning run and its tables -----------------------------------------------------------------------
+
+RUN = ["row_id", "isolation_reason", "item_id", "name_filled", "category_final", *[x for c in dimensions.ALL for x in (c, f"{c}_source")], "volume_cm3", "volume_source", "volume_review", "address_final", "address_source", "address_pending", "address_match", "region", "storage_class"]
+
+
+@query
+def cleaning_run(spark, d):
+    return rounded(pipeline.run(raw_lines(spark, d), *roads_villages(spark))[0].select(*RUN))
+
+
+@query
+def change_log_all(spark, d):
+    return pipeline.change_log(pipeline.run(raw_lines(spark, d), *roads_villages(spark))[0])
+
+
+@query
+def reclass_stats(spark, d):
+    return cleaning.reclass_stats(cut_lineage(cleaning.isolate(raw_lines(spark, d))))
+
+
+# ---- forecast tables ---------------------------------------------------------------------------------------
+
+
+def _names(spark):
+    return spark.createDataFrame([(i, n) for i, _, n in R.CATEGORIES], "category_id int, category_name string")
+
+
+@query
+def fc_context(spark, d):
+    return forecast.context(forecast.dense(sales(spark, d), "category_id"))
+
+
+@query
+def fc_rolling(spark, d):
+    return rounded(forecast.rolling(forecast.dense(sales(spark, d), "category_id")))
+
+
+@query
+def fc_breakdown(spark, d):
+    return rounded(forecast.breakdown(sales(spark, d), _names(spark)))
+
+
+@query
+def fc_sku_rows(spark, d):
+    return rounded(forecast.item_rows(cut_lineage(early(spark, d)), _names(spark)))
+
+
+@query
+def fc_sku_top(spark, d):
+    return rounded(forecast.item_top(forecast.item_rows(cut_lineage(early(spark, d)), _names(spark))))
+
+
+@query
+def fc_sku_rows_all(spark, d):
+    return rounded(forecast.item_rows(cut_lineage(sales(spark, d)), _names(spark)))
+
+
+@query
+def predicted_top_per_material(spark, d):
+    return _predicted_abc(early(spark, d)).where(F.col("rank") <= 10)
+
+
+@query
+def pareto_ends(spark, d):
+    return rounded(abc.class_ends(abc.classes(abc.sku_frequency(sales(spark, d)), "freq", "item_id")))

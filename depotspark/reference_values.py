@@ -163,6 +163,7 @@ TEST_MONTHS, TEST_WEEKS = 3, 13
 SES_ALPHA, HOLT_ALPHA, HOLT_BETA, CROSTON_ALPHA = 0.3, 0.3, 0.15, 0.1
 LOOK_BACK = 6
 SEASON = 12
+MIN_TRAIN = 4  # periods before the horizon that a forecast needs
 RECENT_PERIODS = 3
 SLOT_AREA = 2.0
 FAR_AWAY = 9999.0

@@ -9,11 +9,6 @@ from depotspark import reference_values as R
 from depotspark.functions.text import strip
 
 CITY = "^(" + "|".join(R.CITIES) + ")"
-POSTAL = r"^\(?[0-9]{3,6}\)?[\s,，、\-]*"
-ROAD = "([一-鿿]{1,10}?(?:大道|大街|路|街|道))"
-SECTION = "[一二三四五六七八九十0-9]+段$"
-VILLAGE = "^([一-鿿]{1,8}?[村里])"
-
 _COUNTY_OF = {t: c for c, ts in R.TOWNSHIPS.items() for t in ts.split()}
 _DISTRICT_OF = {t: c + R.RENAMED_TOWNSHIPS.get(t, t[:-1] + "區") for c, ts in R.OLD_TOWNSHIPS.items() for t in ts.split()}
 
@@ -56,7 +51,7 @@ def starts_like_address(a: Column) -> Column:
 
 
 def strip_postal(a: Column) -> Column:
-    return let(F.regexp_replace(a, POSTAL, ""), lambda rest: F.when(starts_like_address(rest), rest).otherwise(a))
+    return let(F.regexp_replace(a, R.POSTAL, ""), lambda rest: F.when(starts_like_address(rest), rest).otherwise(a))
 
 
 def old_county(a: Column) -> Column:
@@ -67,7 +62,7 @@ def old_county(a: Column) -> Column:
                 district = F.coalesce(F.try_element_at(_map(R.RENAMED_TOWNSHIPS), town), F.concat(town.substr(F.lit(1), F.length(town) - 1), F.lit("區")))
                 return F.concat(F.element_at(_map(R.OLD_COUNTIES), county), F.when(town == "", rest).otherwise(F.concat(district, _from(rest, town))))
 
-            return let(F.regexp_extract(rest, r"^([^\s0-9]{1,3}?)(市|鎮|鄉)", 0), new)
+            return let(F.regexp_extract(rest, R.OLD_TOWN, 0), new)
 
         return F.when(county == "", a).otherwise(let(_from(a, county), town_of))
 
@@ -99,7 +94,7 @@ def after_city(a: Column) -> Column:
 
 def district(a: Column) -> Column:
     """Known special names first: the general pattern would stop inside them."""
-    pattern = "^(" + "|".join(R.SPECIAL_DISTRICTS) + r"|[^\s0-9]{1,4}?(?:市|鎮|鄉|區))"
+    pattern = "^(" + "|".join(R.SPECIAL_DISTRICTS) + "|" + R.DISTRICT + ")"
     return F.nullif(F.regexp_extract(after_city(a), pattern, 1), F.lit(""))
 
 
@@ -113,13 +108,13 @@ def canonical(c: Column) -> Column:
 
 
 def village(r: Column) -> Column:
-    return canonical(F.nullif(F.regexp_extract(strip(r), VILLAGE, 1), F.lit("")))
+    return canonical(F.nullif(F.regexp_extract(strip(r), R.VILLAGE, 1), F.lit("")))
 
 
 def road(r: Column) -> Column:
     """Last road token behind a leading village, without its section."""
-    found = F.regexp_extract_all(F.regexp_replace(strip(r), VILLAGE, ""), F.lit(ROAD), F.lit(1))
-    return canonical(F.nullif(F.regexp_replace(F.get(F.reverse(found), F.lit(0)), SECTION, ""), F.lit("")))
+    found = F.regexp_extract_all(F.regexp_replace(strip(r), R.VILLAGE, ""), F.lit(R.ROAD), F.lit(1))
+    return canonical(F.nullif(F.regexp_replace(F.get(F.reverse(found), F.lit(0)), R.SECTION, ""), F.lit("")))
 
 
 def split_region(region: Column) -> tuple[Column, Column]:

@@ -124,6 +124,8 @@ join (select item_id, string_agg(volume_source || '×' || cast(k as varchar), ';
 
 # ---- addresses
 CITY = A.CITY
+POSTAL = "^[(]?[\\p{Nd}]{3,6}[)]?[\\s,，、-]*"
+ROAD_TOKEN, SECTION, VILLAGE = "([一-鿿]{1,10}?(?:大道|大街|路|街|道))", "([一二三四五六七八九十]|\\p{Nd})+段$", "^([一-鿿]{1,8}?(?:村|里))"
 
 
 def values(d: dict[str, str]) -> str:
@@ -137,8 +139,8 @@ def prefix_step(src: str, out: str, pattern: str, names: dict[str, str], keep: b
 
 ANY = lambda names: "^(" + "|".join(names) + ")"
 STARTS = " or ".join(f"regexp_matches(rest, {q(p)})" for p in (CITY, ANY([*R.OLD_COUNTIES, *R.CITY_ABBREVIATIONS, *R.OLD_COUNTY_ABBREVIATIONS]), A.TOWNSHIP, A.OLD_TOWNSHIP))
-TOWN = r"^([^\s0-9]{1,3}?)(市|鎮|鄉)"
-DIST = "^(" + "|".join(R.SPECIAL_DISTRICTS) + r"|[^\s0-9]{1,4}?(?:市|鎮|鄉|區))"
+TOWN = r"^([^\s\p{Nd}]{1,3}?)(市|鎮|鄉)"
+DIST = "^(" + "|".join(R.SPECIAL_DISTRICTS) + r"|[^\s\p{Nd}]{1,4}?(?:市|鎮|鄉|區))"
 
 
 def split(src: str, col: str, out: str) -> str:
@@ -148,16 +150,16 @@ def split(src: str, col: str, out: str) -> str:
 
 
 NORMED = f"""{NORM}, a0 as (select distinct address, address as a from raw where address is not null),
-a1 as (select address, case when {STARTS} then rest else a end as a from (select *, regexp_replace(a, {q(A.POSTAL)}, '') as rest from a0)),
+a1 as (select address, case when {STARTS} then rest else a end as a from (select *, regexp_replace(a, {q(POSTAL)}, '') as rest from a0)),
 {prefix_step('a1', 'a2', ANY(R.CITY_ABBREVIATIONS), R.CITY_ABBREVIATIONS)}, {prefix_step('a2', 'a3', ANY(R.OLD_COUNTY_ABBREVIATIONS), R.OLD_COUNTY_ABBREVIATIONS)},
 a4a as (select address, a, v, substr(a, length(k) + 1) as rest from a3 left join {values(R.OLD_COUNTIES)} on starts_with(a, k)),
 a4b as (select *, regexp_extract(rest, {q(TOWN)}, 0) as town from a4a),
 a4 as (select address, case when v is null then a when town = '' then v || rest else v || case when town = '三民鄉' then '那瑪夏區' else left(town, length(town) - 1) || '區' end || substr(rest, length(town) + 1) end as a from a4b),
 {prefix_step('a4', 'a5', A.OLD_TOWNSHIP, A._DISTRICT_OF)}, {prefix_step('a5', 'a6', A.TOWNSHIP, A._COUNTY_OF, True)},
 an as materialized (select address, a as norm from a6), {split('an', 'norm', 'addr')}"""
-ROAD = f"nullif(regexp_replace(list_extract(regexp_extract_all(regexp_replace({strip('rest')}, {q(A.VILLAGE)}, ''), {q(A.ROAD)}, 1), -1), {q(A.SECTION)}, ''), '')"
+ROAD = f"nullif(regexp_replace(list_extract(regexp_extract_all(regexp_replace({strip('rest')}, {q(VILLAGE)}, ''), {q(ROAD_TOKEN)}, 1), -1), {q(SECTION)}, ''), '')"
 canon = lambda c: f"translate({c}, '臺', '台')"
-VILL = f"nullif(regexp_extract({strip('rest')}, {q(A.VILLAGE)}, 1), '')"
+VILL = f"nullif(regexp_extract({strip('rest')}, {q(VILLAGE)}, 1), '')"
 add("address_normalize", NORMED, "select address, norm from an union all select null, null where exists (select 1 from raw where address is null)")
 add("address_split", NORMED, "select distinct norm, city, district, rest from addr")
 add("road_village_tokens", NORMED, f"select distinct norm, {canon(ROAD)} as road, {canon(VILL)} as village from addr")

@@ -5,6 +5,14 @@ NULL_TOKENS = ["", "NULL", "N/A", "NA", "NONE", "-"]
 UNITS = ["個", "箱", "包", "PCS", "盒", "瓶", "桶", "條", "組", "袋", "捲", "板", "件", "支", "公斤"]
 SHIP_NO = r"^OU[0-9]{8}[0-9]{6}$"
 MIN_NAME_LETTERS = 2
+# Patterns of addresses; digits are those of any script.
+POSTAL = r"^\(?\p{Nd}{3,6}\)?[\s,，、\-]*"
+ROAD = "([一-鿿]{1,10}?(?:大道|大街|路|街|道))"
+SECTION = r"[一二三四五六七八九十\p{Nd}]+段$"
+VILLAGE = "^([一-鿿]{1,8}?[村里])"
+OLD_TOWN = r"^([^\s\p{Nd}]{1,3}?)(市|鎮|鄉)"
+DISTRICT = r"[^\s\p{Nd}]{1,4}?(?:市|鎮|鄉|區)"
+# Limits of the cleaning rules.
 TEST_CATEGORIES = [81, 82]
 EXTREME_MAX = {"len_cm": 200.0, "wid_cm": 200.0, "hgt_cm": 200.0, "weight_kg": 30.0}
 UNIT_FACTORS = [10, 100, 1000]

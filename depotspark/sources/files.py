@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotspark.operators.cleaning import RAW_COLUMNS
+from depotspark.sources.xlsx import read_workbook
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +25,7 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """By extension; spreadsheets need a reader that isn't part of this engine."""
+    """By extension: csv (also gzipped), json, parquet, and workbooks; the older binary workbooks are refused."""
     kind = path.lower().removesuffix(".gz").rpartition(".")[2]
     if kind == "csv":
         return read_csv(spark, path)
@@ -32,6 +33,10 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_json_rows(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)
+    if kind in ("xlsx", "xlsm"):
+        return read_workbook(spark, path)
+    if kind == "xls":
+        raise ValueError("binary workbooks (.xls) can't be read; save as .xlsx or .csv")
     raise ValueError(f"no reader for .{kind}")
 
 

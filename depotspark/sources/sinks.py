@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +16,29 @@ def write_tables(frames: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+BOM = "\ufeff"
+
+
 def write_csv(frames: dict[str, DataFrame], folder: str) -> None:
-    """Each frame as CSV files with header and CRLF; written by the tasks, not through the driver."""
+    """Each frame as CSV files with header and CRLF, in the order given; written by the tasks, not through the driver."""
     for name, df in frames.items():
-        df.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(f"{folder}/{name}.csv")
+        df.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").csv(f"{folder}/{name}.csv")
+
+
+def zip_csv(frames: dict[str, DataFrame], folder: str, target: str, readme: str) -> None:
+    """The frames of write_csv as one ZIP for a spreadsheet user: one file for each frame, with a byte order mark and one header,
+    and a readme. Parts are copied one after the other in chunks, so the size in memory is bounded; folder is a mounted one."""
+    write_csv(frames, folder)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("readme.txt", BOM + readme.replace("\n", "\r\n"))
+        for name in frames:
+            with z.open(f"{name}.csv", "w", force_zip64=True) as out:
+                out.write(BOM.encode())
+                for i, part in enumerate(sorted(Path(folder, f"{name}.csv").glob("part-*.csv"))):
+                    with part.open("rb") as f:
+                        if i:
+                            f.readline()  # the header again
+                        shutil.copyfileobj(f, out)
 
 
 def json_rows(df: DataFrame) -> DataFrame:

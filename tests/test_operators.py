@@ -1,6 +1,9 @@
 """Literal cases and invariants."""
 
 import math
+import random
+import statistics
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +12,8 @@ from depotspark import reference_values as R
 from depotspark.functions import address as A
 from depotspark.functions import series as S
 from depotspark.functions import text as T
-from depotspark.operators import addresses, copick, forecast, graph, layout, waves
-from depotspark.sources import files, sinks
+from depotspark.operators import abc, addresses, cleaning, copick, dimensions, forecast, graph, layout, pipeline, waves
+from depotspark.sources import files, sinks, xlsx
 from depotspark.sources.star import sales
 from conftest import SF
 
@@ -157,3 +160,99 @@ def test_forecast_queries_over_all_sales(spark):
     items = sales(spark, SF).where("ship_date is not null and qty > 0 and item_id is not null").select("item_id").distinct().count()
     assert QUERIES["fc_weekly_naive_items"](spark, SF).count() == items
     assert QUERIES["predicted_items_all"](spark, SF).count() >= QUERIES["predicted_items"](spark, SF).count()
+
+
+def test_digits_of_any_script(spark):
+    assert col(spark, ["１１１台北市士林區士東路", "(４０７６８)台中市西屯區朝富路8號"], A.normalize) == ["台北市士林區士東路", "台中市西屯區朝富路8號"]
+    assert col(spark, ["台北市１２區x", "忠孝東路４段"], A.district) == [None, None]
+    assert col(spark, ["忠孝東路４段561號"], A.road) == ["忠孝東路"]
+
+
+def test_gazetteer_with_one_file(spark):
+    rows = spark.createDataFrame([("獨有路1號", None, 1, "無法處理"), ("獨有里9號", None, 1, "無法處理"), ("特有路2號", None, 1, "無法處理")], "address_final string, region string, address_pending int, address_source string")
+    roads = spark.createDataFrame([("丙市", "丙市X區", "獨有路"), ("臺中市", "Z區", "特有路"), ("", "丙市X區", "無名路")], "city string, site_id string, road string")
+    vills = spark.createDataFrame([("戊市", "戊市Y區", "獨有里")], "city string, site_id string, village string")
+    found = lambda *g: {r.address_final: r.region for r in addresses.resolve(rows, addresses.gazetteer(*g)).collect()}
+    assert found(roads, None) == {"獨有路1號": "丙市X區", "獨有里9號": None, "特有路2號": "台中市Z區"}
+    assert found(None, vills) == {"獨有路1號": None, "獨有里9號": "戊市Y區", "特有路2號": None}
+    assert addresses.gazetteer(None, None) is None
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = [("1", "a", None), ("2", None, "a"), ("3", "a", ""), ("4", "a", None), ("5", None, None), ("6", "", "")]
+    df = spark.createDataFrame(rows, "row_id string, x string, y string")
+    assert {r.row_id for r in cleaning.with_repeat(df, ["x", "y"], "again").where("again").collect()} == {"4"}
+
+
+def test_ranks_over_ranges(spark):
+    r = random.Random(3)
+    rows = [(i, r.randrange(20), f"g{i % 2}" if i % 17 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, v long, g string").repartition(7)
+    got = abc.ranked(df, ["g"], [F.desc("v"), F.asc("id")], "rank", "v").collect()
+    for g in ("g0", "g1", None):
+        mine = sorted((x for x in rows if x[2] == g), key=lambda x: (-x[1], x[0]))
+        have = sorted((x for x in got if x.g == g), key=lambda x: x["rank"])
+        assert [x.id for x in have] == [x[0] for x in mine] and [x["rank"] for x in have] == list(range(1, len(mine) + 1))
+        assert [x.rank_run for x in have] == [sum(m[1] for m in mine[: k + 1]) for k in range(len(mine))] and {x.rank_all for x in have} == {sum(m[1] for m in mine)}
+
+
+def test_medians_from_counts(spark):
+    r = random.Random(5)
+    rows = [(k, float(r.randrange(6)), r.randrange(1, 4)) for k in "abcd" for _ in range(r.randrange(1, 9))]
+    got = {x.k: (x.med, x.n) for x in dimensions.weighted_median(spark.createDataFrame(rows, "k string, v double, n long"), ["k"]).collect()}
+    for k in "abcd":
+        every = [v for a, v, n in rows if a == k for _ in range(n)]
+        assert got[k] == (statistics.median(every), len(every))
+
+
+def test_workbook(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    sheet = lambda body: f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="other" sheetId="1" r:id="r1"/><sheet name="{xlsx.SHEET}" sheetId="2" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>item</t></si><si><r><t>q</t></r><r><t>ty</t></r></si><si><t>好</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet('<row><c t="inlineStr"><is><t>x</t></is></c></row>'))
+        z.writestr("xl/worksheets/sheet2.xml", sheet('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>2</v></c><c r="C2"><v>3.0</v></c></row><row r="3"/><row r="4"><c r="B4"><v>1.5</v></c></row>'))
+    df = files.read_any(spark, path)
+    assert df.columns == ["item", "c1", "qty"] and sorted(map(tuple, df.collect()), key=str) == [("好", None, "3"), (None, "1.5", None)]
+    assert xlsx.read_workbook(spark, path, "other").columns == ["x"]
+    with pytest.raises(ValueError):
+        next(xlsx.sheet_rows(path, "none"))
+    with pytest.raises(ValueError):
+        files.read_any(spark, "a.xls")
+
+
+def test_zip_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, 'b "x"'), (3, None)], "n int, t string").repartition(2, "n")
+    sinks.zip_csv({"clean": df, "isolated": df.limit(0)}, str(tmp_path / "out"), str(tmp_path / "x.zip"), "two\nlines")
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        assert z.namelist() == ["readme.txt", "clean.csv", "isolated.csv"] and z.read("readme.txt").decode("utf-8-sig") == "two\r\nlines"
+        raw = z.read("clean.csv")
+        assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"n,t\r\n") == 1 and raw.count(b"\r\n") == 4
+
+
+def test_cleaning_run_keeps_every_row(spark):
+    from depotspark.plans.queries import roads_villages
+    from depotspark.sources.star import raw_lines
+
+    raw = raw_lines(spark, SF)
+    rows, master = pipeline.run(raw, *roads_villages(spark))
+    assert rows.count() == raw.count() == rows.select("row_id").distinct().count()
+    assert rows.where("item_id is null and storage_class <> '未分類(無商品ID)'").count() == 0
+    frames = pipeline.result_frames(rows, master)
+    assert list(frames) == ["clean", "isolated", "changes", "items", "categories"]
+    assert frames["clean"].count() + frames["isolated"].count() == rows.count()
+    log = frames["changes"]
+    assert log.where("before <=> after").count() == 0 and {r.column for r in log.select("column").distinct().collect()} >= {"item_name", "category_id", "len_cm", "address"}
+
+
+def test_layout_record_and_kpis(spark):
+    from depotspark.plans.queries import QUERIES
+
+    rec = QUERIES["layout_record"](spark, SF).cache()
+    assert rec.count() == rec.select("id").distinct().count() == sales(spark, SF).select("item_id").distinct().count()
+    assert rec.where("after_material <> material or before_zone is null or after_zone is null").count() == 0
+    by = {r.cls: r.d for r in rec.where("not flex and material = 'shelf'").groupBy("cls").agg(F.avg("after_distance").alias("d")).collect()}
+    assert by["A"] <= by["C"]
+    assert QUERIES["kpi_from_layout"](spark, SF).count() == 1

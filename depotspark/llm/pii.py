@@ -8,8 +8,10 @@ text splits into independent pieces and the whole of it is covered. Spans of the
 added; base spans always stay.
 
 The model is trained here, once a process, on generated sentences with a fixed seed (`TRAIN_SENTENCES`, a documented
-bound): entities in base and in loose forms (numbers without "+", "name [at] host [dot] com", dotted or dashed cards)
-and look-alikes (dates, versions, decimals, order numbers, failing checks). Only its weights are sent to the tasks.
+bound): entities in base and in loose forms (national numbers, "name [at] host [dot] com", dotted or dashed cards),
+secrets (a kind of the model's own: tokens, keys, passwords), and look-alikes (dates, versions, decimals, order numbers,
+checksums, failing checks). Only its weights are sent to the tasks. An entity has `MAX_TOKENS` tokens at most, and the
+model reads `REACH` characters around a digit or at-sign, more than the longest legal mail address.
 
 Defined cases: null text is empty; empty text has no spans; very long texts are read whole, in linear time; repeated
 rows give repeated results; other columns pass through `find` untouched except those it makes.
@@ -29,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from depotspark.llm.common import table
 
-KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 16
-TRAIN_SENTENCES = 700
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+MAX_TOKENS = 32
+REACH = 254
+TRAIN_SENTENCES = 1200
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -82,18 +86,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- the semi-Markov model -------------------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}|[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
 #: Words that can stand before an entity or inside one.
-_CUES = {"mail": "email", "email": "email", "e": "email", "contact": "email", "phone": "phone", "tel": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "server": "ip", "order": "no", "no": "no", "ref": "no", "version": "no", "v": "no", "id": "no", "invoice": "no"}
-_AT = ("[at]", "(at)")
+_CUES = {
+    "mail": "email", "email": "email", "e": "email", "contact": "email", "phone": "phone", "tel": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "server": "ip",
+    "order": "no", "no": "no", "ref": "no", "version": "no", "v": "no", "id": "no", "invoice": "no", "commit": "no", "sha": "no", "hash": "no", "md": "no", "checksum": "no", "uuid": "no", "build": "no",
+    "token": "secret", "key": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "bearer": "secret", "auth": "secret", "apikey": "secret",
+}
+#: A written at-sign: in brackets, or said together with a dot.
+_AT = re.compile(r"[\[({] ?at ?[\])}]|(?<=\s)at(?=\s+[a-z0-9-]+(?:\s+dot\s|\s?[\[({] ?dot))", re.I)
+_DOT = re.compile(r"\.|\s?[\[({] ?dot ?[\])}]\s?|\s+dot\s+", re.I)
 
 
 def pieces(text: str) -> Iterator[tuple[int, int]]:
     """Stretches that can hold an entity: words with digits, "@" or a written at-sign, with two words on each side."""
-    low = text.lower() if "[at]" in text.lower() or "(at)" in text.lower() else ""
-    spots = [m.start() for m in re.finditer(r"[0-9@]+", text)]
-    for s in _AT if low else ():
-        spots += [m.start() for m in re.finditer(re.escape(s), low)]
+    spots = [m.start() for m in re.finditer(r"[0-9@]+", text)] + [m.start() for m in _AT.finditer(text)]
     if not spots:
         return
     spots.sort()
@@ -110,11 +117,11 @@ def pieces(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _widen(text: str, start: int, end: int) -> tuple[int, int]:
-    """Out to the second white space on each side, 60 characters at most, and over the run of digits at the end."""
+    """Out to the third white space on each side (the sixth after a written at-sign), REACH characters at most, and over the run of digits at the end."""
     a, b, n = start, end, len(text)
     while b < n and text[b] in "0123456789@":
         b += 1
-    left, right, seen = max(0, a - 60), min(n, b + 60), 0
+    left, right, seen, most = max(0, a - REACH), min(n, b + REACH), 0, 6 if _AT.match(text, end) else 3
     while a > left:
         a -= 1
         if text[a].isspace():
@@ -125,7 +132,7 @@ def _widen(text: str, start: int, end: int) -> tuple[int, int]:
     while b < right:
         if text[b].isspace():
             seen += 1
-            if seen == 3:
+            if seen == most:
                 break
         b += 1
     return a, b
@@ -139,22 +146,27 @@ def _features(tokens: list[str], i: int, j: int) -> list[str] | None:
     span = tokens[i:j]
     text = "".join(span)
     digits = "".join(c for c in text if "0" <= c <= "9")
-    written = "[at]" in text.lower() or "(at)" in text.lower()
+    written = len(_AT.findall(text))
     at = text.count("@") + written
-    if at != 1 and len(digits) < 7 or "\n" in text or at > 1:
+    mixed = j - i == 1 and len(text) >= 16 and not text.isalpha() and not text.isdigit()
+    if at != 1 and len(digits) < 7 and not mixed or "\n" in text or at > 1:
         return None
     alpha = any(c.isalpha() for c in text)
     seps = "".join(sorted({c for c in text if not c.isalnum()}))
     groups = [len(t) for t in span if t.isdigit()]
-    before = next((t.lower() for t in reversed(tokens[max(0, i - 4) : i]) if t.isalpha()), "")
+    before = next((t.lower() for t in reversed(tokens[max(0, i - 6) : i]) if t.isalpha()), "")
     prev, nxt = (tokens[i - 1][-1] if i else " "), (tokens[j][0] if j < len(tokens) else " ")
     f = ["bias", f"at{at}", f"alpha{alpha}", f"nd{min(len(digits), 20)}", f"seps{seps}", f"cue{_CUES.get(before, '')}"]
     f.append("left" + ("." if prev in ".-@_%" else "w" if prev.isalnum() else "+" if prev in "+(" else "o"))
     f.append("right" + ("@" if nxt in "@_" else "w" if nxt.isalnum() else "o"))
     if nxt in ".-" and j + 1 < len(tokens) and tokens[j + 1].isalnum():
         f.append("more")
+    if mixed:
+        f += [f"mixed{_CUES.get(before, '')}", f"long{min(len(text) // 8, 8)}", f"hex{all(c in '0123456789abcdef' for c in text.lower())}", f"cases{text.lower() != text != text.upper()}"]
+    elif alpha and not at:
+        f.append("words")
     if not alpha:
-        f += ["groups" + "-".join(map(str, groups[:7])), f"ng{min(len(groups), 8)}"]
+        f += [f"lead{digits[0] if digits[0] in '01' else ''}", f"lead{digits[0] if digits[0] in '01' else ''}{seps}{len(digits)}", "groups" + "-".join(map(str, groups[:7])), f"ng{min(len(groups), 8)}"]
         if 16 <= len(digits) <= 19:
             f.append(f"luhn{luhn(digits)}")
         if len(groups) == 4 and seps == "." and all(g <= 3 for g in groups):
@@ -164,10 +176,11 @@ def _features(tokens: list[str], i: int, j: int) -> list[str] | None:
         if text.count("(") != text.count(")"):
             f.append("unbalanced")
     elif at:
-        host = re.split(r"@|\[at\]|\(at\)", text.lower())[-1]
-        parts = re.split(r"\.|\[dot\]|\(dot\)", host.replace(" ", ""))
-        f.append(f"host{min(len(parts), 4)}{all(re.fullmatch('[a-z0-9-]+', p) for p in parts)}")
-        f.append(f"blanks{min(4, text.count(' '))}{written}")
+        user, host = (x.strip() for x in (text.split("@", 1) if not written else _AT.split(text, maxsplit=1)))
+        parts = _DOT.split(host)
+        f.append(f"host{min(len(parts), 4)}{all(re.fullmatch('[A-Za-z0-9-]+', p) for p in parts)}")
+        f.append(f"user{bool(re.fullmatch('[A-Za-z0-9._%+-]+', user))}{written}")
+        f.append(f"top{parts[-1].isalpha() and 2 <= len(parts[-1]) <= 6}")
     return f
 
 
@@ -241,21 +254,29 @@ def _sentences(seed: int, n: int) -> Iterator[tuple[str, list[tuple[int, int, in
         return base + (good if valid else str((int(good) + r.randint(1, 9)) % 10))
 
     def entity() -> tuple[str, int]:
-        kind = r.randrange(4)
+        kind = r.randrange(5)
         if kind == 0:
-            user, host = word() + r.choice(["", "." + d(2), d(2)]), word() + r.choice(["", d(1)])
-            at, dot = r.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", ".")])
-            return user + at + host + dot + r.choice(["example", word()]) + dot + r.choice(["com", "org", "net"]), 0
+            user = word() + r.choice(["", "." + d(2), d(2), "." + word(), "_" + word(), "-" + word()])
+            host = word() + r.choice(["", d(1), "-" + word()]) + r.choice(["", "", "." + word()])
+            at, dot = r.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), (" at ", " dot "), ("{at}", "{dot}"), (" AT ", " DOT ")])
+            host = host if r.random() < 0.5 else host.replace(".", dot)
+            return user + at + host + dot + r.choice(["example", word()]) + dot + r.choice(["com", "org", "net", "io", "info"]), 0
         if kind == 1:
             return ".".join(str(r.randint(1, 255)) for _ in range(4)), 1
         if kind == 2:
             c, s = card(True), r.choice(["", " ", "-", "."])
             return s.join(c[k : k + 4] for k in range(0, 16, 4)), 2
-        a, b, c = d(3), d(3), d(4)
-        return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"1-{a}-{b}-{c}"]), 3
+        if kind == 3:
+            a, b, c, g = d(3), d(3), d(4), r.choice(" -.")
+            return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"1-{a}-{b}-{c}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)}{g}{b}{g}{c}", f"0{d(2)}{g}{d(7)}", f"(0{d(2)}) {d(4)} {d(4)}", f"00{r.randint(10, 99)} {a} {d(7)}", f"{a}.{b}.{c}", f"+{r.randint(10, 99)}{d(10)}"]), 3
+        many = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        return r.choice([random_text("0123456789abcdef", r.choice([32, 40, 64])), random_text(many, r.randint(20, 48)), random_text(many[:36], r.randint(20, 40))]), 4
+
+    def random_text(letters: str, k: int) -> str:
+        return "a1" + "".join(r.choice(letters) for _ in range(k - 2))
 
     def other() -> str:
-        return r.choice([f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)}.{d(2)}", f"{d(8)}", f"{d(10)}", f"{d(12)}", card(False), f"{d(3)}.{r.randint(256, 999)}.{d(1)}.{d(2)}", f"{d(4)}-{d(4)}", f"{d(2)}:{d(2)}:{d(2)}.{d(3)}", f"{d(5)} {d(5)} {d(2)}", "@" + word(), f"{d(7)}", f"a{d(4)}bf{d(3)}c", f"{d(20)}", f"{d(3)} {d(3)} {d(3)} {d(3)}", word() + "@" + word()])
+        return r.choice([f"20{d(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(3)}.{d(2)}", f"{d(8)}", f"{d(10)}", f"{d(12)}", card(False), f"{d(3)}.{r.randint(256, 999)}.{d(1)}.{d(2)}", f"{d(4)}-{d(4)}", f"{d(2)}:{d(2)}:{d(2)}.{d(3)}", f"{d(5)} {d(5)} {d(2)}", "@" + word(), f"{d(7)}", f"a{d(4)}bf{d(3)}c", f"{d(20)}", f"{d(3)} {d(3)} {d(3)} {d(3)}", word() + "@" + word(), f"{r.choice(['commit', 'sha', 'hash', 'checksum', 'build'])} {random_text('0123456789abcdef', r.choice([32, 40]))}", f"at {word()} {d(2)}", f"{word()} at {word()} and {word()} {d(2)}", f"{d(4)} {d(4)} {d(4)}"])
 
     for _ in range(n):
         text, spans = word(), []
@@ -265,8 +286,10 @@ def _sentences(seed: int, n: int) -> Iterator[tuple[str, list[tuple[int, int, in
                 text += r.choice(list(_CUES)) + r.choice([" ", ": "])
             if r.random() < 0.5:
                 e, k = entity()
+                if k == 4:
+                    text += r.choice(["token", "key", "secret", "password", "api_key", "Bearer", "auth"]) + r.choice([" = \"", ": ", "=", " ", "='"])
                 spans.append((len(text), len(text) + len(e), k))
-                text += e + r.choice(["", "", ".", ",", "!!", "###", "%%%"])
+                text += e + ("\" " if k == 4 and text.endswith('"') else "") + r.choice(["", "", ".", ",", "!!", "###", "%%%"])
             else:
                 text += other()
         yield text + " " + word(), spans
@@ -328,7 +351,7 @@ def model_spans(text: str, weights: dict[str, list[float]]) -> list[tuple[str, i
 
 def spans_of(text: str, weights: dict[str, list[float]]) -> tuple[list, list]:
     """(base spans, all spans), each by kind as listed, then start."""
-    if not text or not (_ANY.search(text) or "[at]" in text.lower() or "(at)" in text.lower()):
+    if not text or not (_ANY.search(text) or _AT.search(text)):
         return [], []
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
@@ -353,7 +376,7 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[end:]
 
 
-MADE = ("n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans", "redacted")
+MADE = ("n_email", "n_ip", "n_card", "n_phone", "n_spans", "base_spans", "spans", "redacted")
 
 
 def find(docs: DataFrame, text_col: str = "text", weights: dict | None = None) -> DataFrame:
@@ -368,11 +391,11 @@ def find(docs: DataFrame, text_col: str = "text", weights: dict | None = None) -
                 continue
             texts = [t if isinstance(t, str) else None for t in b[text_col]]
             found = [spans_of(t or "", w) for t in texts]
-            made = {f"n_{k}": [sum(s[0] == k for s in f[0]) for f in found] for k in KINDS}
-            yield b.assign(**made, base_spans=[_joined(f[0]) for f in found], spans=[_joined(f[1]) for f in found], redacted=[redact(t, f[1]) for t, f in zip(texts, found)])
+            made = {f"n_{k}": [sum(s[0] == k for s in f[0]) for f in found] for k in BASE_KINDS}
+            yield b.assign(**made, n_spans=[len(f[1]) for f in found], base_spans=[_joined(f[0]) for f in found], spans=[_joined(f[1]) for f in found], redacted=[redact(t, f[1]) for t, f in zip(texts, found)])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{kept}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, redacted string")
+    return docs.mapInPandas(run, f"{kept}, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_spans string, spans string, redacted string")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,8 +407,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             if b.empty:
                 continue
             found = [spans_of(t if isinstance(t, str) else "", w) for t in b["text"]]
-            made = {f"n_{k}": [sum(s[0] == k for s in f[0]) for f in found] for k in KINDS}
-            yield pd.DataFrame({"doc_id": b["doc_id"], **made, "base_sha256": [hashlib.sha256(_joined(f[0]).encode()).hexdigest() for f in found], "spans": [_joined(f[1]) for f in found], "n_added": [len(f[1]) - len(f[0]) for f in found]})
+            made = {f"n_{k}": [sum(s[0] == k for s in f[0]) for f in found] for k in BASE_KINDS}
+            yield pd.DataFrame({"doc_id": b["doc_id"], **made, "base_sha256": [hashlib.sha256(_joined(f[0]).encode()).hexdigest() for f in found], "spans": [_joined(f[1]) for f in found], "n_spans": [len(f[1]) for f in found], "n_added": [len(f[1]) - len(f[0]) for f in found]})
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")

@@ -67,7 +67,7 @@ def test_pii_query(spark):
     assert len(got) == len(d)
     for i, t in zip(d.doc_id, d.text):
         base = base_brute(t)
-        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(b[0] == k for b in base) for k in pii.BASE_KINDS]
         joined = [f"{k}:{a}:{b}" for k, a, b in base]
         assert got[i].base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
         assert set(joined) <= set(filter(None, got[i].spans.split(",")))
@@ -78,7 +78,36 @@ def test_pii_model_held_out():
     for text, spans in pii._sentences(99, 200):
         want, got = {(pii.KINDS[k], a, b) for a, b, k in spans}, set(pii.model_spans(text, weights))
         right, gold, found = right + len(want & got), gold + len(want), found + len(got)
-    assert right / found > 0.95 and right / gold > 0.85
+    assert right / found > 0.93 and right / gold > 0.9
+
+
+#: Written by hand, not by the generator.
+PLANTED = [
+    ("Write to john.smith [at] host.example [dot] com today", "email", "john.smith [at] host.example [dot] com"), ("mail: jane_doe (at) uni-x.edu", "email", "jane_doe (at) uni-x.edu"), ("ask bob at example dot org please", "email", "bob at example dot org"),
+    ("reach anna[at]lab[dot]net now", "email", "anna[at]lab[dot]net"), ("mary {at} site {dot} io !", "email", "mary {at} site {dot} io"), ("Ring 020 7946 0958 after six", "phone", "020 7946 0958"), ("call (555) 123-4567.", "phone", "(555) 123-4567"),
+    ("Tel 0171-5550123", "phone", "0171-5550123"), ("fax: 0049 30 5550199", "phone", "0049 30 5550199"), ("phone 555-867-5309", "phone", "555-867-5309"), ("mobile 07700 900123", "phone", "07700 900123"), ("dial 1-800-555-0199 x", "phone", "1-800-555-0199"),
+    ("our number is (020) 7946 0018", "phone", "(020) 7946 0018"), ("card 4111-1111-1111-1111 ok", "card", "4111-1111-1111-1111"), ("paid with 5500.0000.0000.0004", "card", "5500.0000.0000.0004"), ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', "secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"),
+    ("api_key: Zx81kLm20PqRsT45uVwXy9", "secret", "Zx81kLm20PqRsT45uVwXy9"), ("password=Tr0ub4dor3Horse9Battery1", "secret", "Tr0ub4dor3Horse9Battery1"), ("secret 9f8e7d6c5b4a39281706f5e4d3c2b1a0", "secret", "9f8e7d6c5b4a39281706f5e4d3c2b1a0"), ("Bearer eyJhbGciOiJIUzI1NiJ9abcdef12", "secret", "eyJhbGciOiJIUzI1NiJ9abcdef12"),
+]
+PLAIN = [
+    "released 2024-11-28 at noon", "version 3.11.4 and 10.2.1", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", "pi is 3.14159265", "order 12345678 shipped", "from 1990 to 1999 there were 1200", "sha 9f8e7d6c5b4a39281706f5e4d3c2b1a0", "at noon dot dot dot", "12:30:45.123 start",
+    "the score was 21-19, 18-21, 21-17", "ISBN 978-3-16-148410-0", "population 7 000 000 000", "1,234,567.89 euros", "id 20241128123456", "at home 24 people", "10000000 rows", "2 + 2 = 4", "x@y", "we met at the dot on the map", "page 12 of 345",
+]
+
+
+def test_pii_planted_outside_the_generator():
+    weights = pii.train()
+    hits = sum((k, x.index(w), x.index(w) + len(w)) in pii.spans_of(x, weights)[1] for x, k, w in PLANTED)
+    assert hits >= 0.9 * len(PLANTED)
+    assert sum(bool(pii.spans_of(x, weights)[1]) for x in PLAIN) <= 0.1 * len(PLAIN)
+
+
+def test_pii_long_forms():
+    """Entities and the words around them may be long."""
+    weights = pii.train()
+    mail = "very.long.name-with_parts [at] deep.host.of.example [dot] co [dot] uk"
+    assert any(k == "email" and "[at]" in ("x " * 300 + mail + " y")[a:b] and b - a >= len(mail) - 16 for k, a, b in pii.spans_of("x " * 300 + mail + " y", weights)[1])
+    assert pii.spans_of("b" * 100 + " token: " + "a1" * 30, weights)[1] == [("secret", 108, 168)]
 
 
 def test_pii_edge_cases(spark):

@@ -110,6 +110,11 @@ def _lower(name) -> list:
     return [name(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Writes a table of a few rows for each group to a few files, so that its size, not its footers, decides how it is joined."""
+    return materialize(df.coalesce(8))
+
+
 def _moments(rows: DataFrame, ys: tuple[str, ...]) -> DataFrame:
     """(grp, start): rows m, sums s_i and sums of products p_ij of the fixed-point columns ys."""
     aggs = [F.count("*").alias("m")] + [F.sum(x).alias(f"s_{i}") for i, x in enumerate(ys)]
@@ -174,7 +179,7 @@ def _centres(good: DataFrame) -> DataFrame:
         *[one(i, (F.col("mid") + 0.5) * width / FIXED).alias(f"mid_{i}") for i in range(len(DIMS))],
         *[one(i, F.sqrt(F.pow(F.col("q") * width / FIXED * 1.4826, 2) + FLOORS[i] ** 2)).alias(f"s_{i}") for i in range(len(DIMS))],
     )
-    out = materialize(out)
+    out = _small(out)
     release(counts)
     return out
 
@@ -194,15 +199,15 @@ def _starts(rows: DataFrame, centres: DataFrame) -> DataFrame:
     centre = [F.col(f"mid_{i}").alias(f"c_{i}") for i in range(d)]
     spread = scaled.select("grp", "start", "m", *centre, *_lower(lambda i, j: (F.col(f"p_{i}{j}") * second * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"v_{i}{j}")))
     alone = centres.select("grp", F.lit(0).alias("start"), F.lit(0).cast("long").alias("m"), *centre, *_lower(lambda i, j: (F.col(f"s_{i}") * F.col(f"s_{i}") if i == j else F.lit(0.0)).alias(f"v_{i}{j}")))
-    return materialize(_factor(alone.unionByName(spread)))
+    return _small(_factor(alone.unionByName(spread)))
 
 
 def _concentrated(rows: DataFrame, est: DataFrame, h: float) -> DataFrame:
     """One concentration step for each row of est (grp, start). Distances are counted in bins of about 3 % width; the table of
     limits is written first, so that rows meet it without a shuffle."""
     near = rows.join(est, "grp").select("grp", "start", *DIMS, F.round(F.log1p(_distance()) * 32).cast("int").alias("_b"))
-    limit = materialize(_quantile(near.groupBy("grp", "start", "_b").agg(F.count("*").alias("_c")), ["grp", "start"], "_b", h))
-    out = materialize(_factor(_covariance(_moments(near.join(limit, ["grp", "start"]).where(F.col("_b") <= F.col("q")), DIMS))))
+    limit = _small(_quantile(near.groupBy("grp", "start", "_b").agg(F.count("*").alias("_c")), ["grp", "start"], "_b", h))
+    out = _small(_factor(_covariance(_moments(near.join(limit, ["grp", "start"]).where(F.col("_b") <= F.col("q")), DIMS))))
     release(limit)
     return out
 
@@ -220,14 +225,14 @@ def estimates(good: DataFrame, h: float, starts: int = 2, least: float = 1e-3) -
         release(last)
     columns = est.columns
     best = est.groupBy("grp").agg(F.min_by(F.struct(*columns), F.struct("logdet", "start")).alias("e")).select("e.*")
-    best = materialize(best.withColumn("open", F.lit(True)))
+    best = _small(best.withColumn("open", F.lit(True)))
     release(centres, est)
     # groups that a step no longer improves are left out of the next; a determinant can't fall for ever
     while not best.where("open").isEmpty():
         step = _concentrated(rows, best.where("open").drop("open"), h)
         both = best.select("grp", F.struct(*columns).alias("old")).join(step.select("grp", F.struct(*columns).alias("new")), "grp", "left")
         better = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - least, F.lit(False))
-        last, best = best, materialize(both.select(F.when(better, F.col("new")).otherwise(F.col("old")).alias("e"), better.alias("open")).select("e.*", "open"))
+        last, best = best, _small(both.select(F.when(better, F.col("new")).otherwise(F.col("old")).alias("e"), better.alias("open")).select("e.*", "open"))
         release(last, step)
     return best
 
@@ -254,7 +259,7 @@ def judge(stats: DataFrame, h: float, prior: int, cut: float, scale: float) -> D
     a, b = F.col("m") / (F.col("m") + prior), prior / (F.col("m") + prior)
     shift = [F.col(f"c_{i}") - F.col(f"a_{i}") for i in range(d)]
     mixed = _lower(lambda i, j: (a * F.col(f"v_{i}{j}") + b * F.col(f"w_{i}{j}") + a * b * shift[i] * shift[j]).alias(f"v_{i}{j}"))
-    final = materialize(_factor(own.select("grp", F.lit(0).alias("start"), "m", *[(a * F.col(f"c_{i}") + b * F.col(f"a_{i}")).alias(f"c_{i}") for i in range(d)], *mixed)).select("grp", *[f"c_{i}" for i in range(d)], *_lower(lambda i, j: f"l_{i}{j}")))
+    final = _small(_factor(own.select("grp", F.lit(0).alias("start"), "m", *[(a * F.col(f"c_{i}") + b * F.col(f"a_{i}")).alias(f"c_{i}") for i in range(d)], *mixed)).select("grp", *[f"c_{i}" for i in range(d)], *_lower(lambda i, j: f"l_{i}{j}")))
     release(est)
     out = stats.join(final, "grp", "left").withColumn("distance", F.round(_distance() / scale, 6))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)

@@ -45,7 +45,7 @@ FINEST = 4096  # most groups that a point is kept with
 LEAF = 16
 HOT = 200  # a value that more sets have is frequent
 PART = 256  # nodes in a part of a frequent value
-CELL = 4_000  # rows in a cell
+CELL = 1_000  # rows in a cell
 GUESTS = 1024  # nodes from elsewhere that are compared with a part at once
 SOME = 16  # one block in so many is searched in the first round
 MAX_HOT = 1_000_000  # most frequent values that are broadcast; beyond it HOT rises

@@ -6,9 +6,12 @@ times its add-one share within the class. So the likelihood of a text is a forwa
 times factors that need the word's training count, and those counts are joined, not broadcast: the `KNOWN` most
 frequent tokens (a fixed bound) travel as a table, every other word of a text meets its count in a shuffle join.
 
-Counting, training and scoring cover all rows. A Baum-Welch round maps over training sequences, cut into pieces of
-`PIECE` tokens as independent sequences, sums expected counts for each symbol across partitions, and re-estimates on
-the driver over the bounded alphabet. Scoring does not cut: the forward recursion runs over each whole text.
+Counting, training and scoring cover all rows. States start from texts far apart (a bounded sample of `ANCHORS` texts) and
+mostly stay where they are. A Baum-Welch round maps over all training sequences, in pieces of `PIECE` tokens that see
+`CONTEXT` more tokens on both sides, counts each token and move once, sums expected counts for each symbol across
+partitions, and re-estimates on the driver over the bounded alphabet; rounds go on while the log likelihood of a
+training token rises by `GAIN` or more (`ROUNDS` at most). Scoring does not cut: the forward recursion runs over each
+whole text.
 
 Words are identified by 64-bit hashes (see tokens). Defined cases: null and empty texts consist of the end token;
 unseen words have count 0; a null id counts as the empty string for the fold; repeated rows are counted as often as
@@ -30,10 +33,12 @@ from depotspark.llm.tokens import slices, words
 
 STATES = 8
 SYMBOLS = 8192
-KNOWN = 1 << 17
+KNOWN = 1 << 15
 CLASSES = 24
-ROUNDS = 3
-PIECE = 256
+ROUNDS = 6
+GAIN = 0.002
+ANCHORS = 256
+PIECE, CONTEXT = 512, 64
 END = 1  # stands for the end token among word hashes
 FOLDS, HELD = 7, 2
 
@@ -124,12 +129,30 @@ class Model:
         self.start, self.move, self.emit = start, move, emit  # emit: symbols x states, columns sum to 1
 
     @classmethod
-    def first(cls, counts: np.ndarray, states: int, seed: int = 11) -> Model:
-        """Unigram shares, tilted differently for each state."""
-        r = np.random.default_rng(seed)
-        emit = (counts[:, None] + 0.5) * r.uniform(0.5, 1.5, (counts.size, states))
-        move = r.uniform(0.5, 1.5, (states, states))
-        return cls(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    def first(cls, counts: np.ndarray, states: int, texts: list[np.ndarray] | None = None, stay: float = 0.9) -> Model:
+        """Unigram shares, mixed with those of texts that are far apart: the next text is the one farthest from all before."""
+        unigram = (counts + 0.5) / (counts + 0.5).sum()
+        texts = [x for x in texts or [] if x.size]
+        if not texts:
+            texts = [np.arange(k, counts.size, states) for k in range(states)]
+        seen = np.array([np.bincount(x, minlength=counts.size) / x.size for x in texts])
+        root = np.sqrt(seen)
+        near = root @ np.sqrt(unigram)
+        chosen = [int(near.argmax())]
+        near = root @ root[chosen[0]]
+        while len(chosen) < states:
+            chosen.append(int(near.argmin()))
+            near = np.maximum(near, root @ root[chosen[-1]])
+        emit = 0.5 * unigram[:, None] + 0.5 * seen[chosen].T
+        # states that start from the same text are told apart
+        emit *= np.random.default_rng(11).uniform(0.9, 1.1, emit.shape)
+        move = np.full((states, states), (1 - stay) / states) + stay * np.eye(states)
+        return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
+
+
+def pieces_of(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """(tokens, first and end of those that count): pieces with context on both sides."""
+    return [(s[max(0, k - CONTEXT) : k + PIECE + CONTEXT], min(k, CONTEXT), min(k, CONTEXT) + min(PIECE, s.size - k)) for k in range(0, s.size, PIECE)]
 
 
 def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +188,19 @@ def log_likelihoods(model: Model, seqs: list[np.ndarray], width: int = 1024) ->
     return out
 
 
-def expected_counts(model: Model, seqs: list[np.ndarray], width: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (symbols x states) by the forward-backward recursion."""
+def expected_counts(model: Model, pieces: list[tuple[np.ndarray, int, int]], width: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions (symbols x states) of the tokens that count, by the forward-backward recursion, and their log10 likelihood."""
     states = model.start.size
-    starts, moves = np.zeros(states), np.zeros((states, states))
+    starts, moves, log = np.zeros(states), np.zeros((states, states)), 0.0
     emits = np.zeros((model.emit.shape[0], states))
-    seqs = sorted((s for s in seqs if s.size), key=lambda s: -s.size)
-    for k in range(0, len(seqs), width):
-        sym, sizes = _padded(seqs[k : k + width])
+    pieces = sorted((p for p in pieces if p[0].size), key=lambda p: -p[0].size)
+    for k in range(0, len(pieces), width):
+        group = pieces[k : k + width]
+        sym, sizes = _padded([p[0] for p in group])
+        lo, hi = np.array([p[1] for p in group]), np.array([p[2] for p in group])
         steps = sym.shape[0]
         live = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(steps)]
+        counted = [((lo[:n] <= t) & (t < hi[:n]))[:, None] for t, n in enumerate(live)]
         alphas, scales = [], []
         for t in range(steps):
             e = model.emit[sym[t, : live[t]]]
@@ -182,66 +208,77 @@ def expected_counts(model: Model, seqs: list[np.ndarray], width: int = 2048) ->
             c = a.sum(1, keepdims=True)
             alphas.append(a / c)
             scales.append(c)
+            log += float(np.log10(c[counted[t]]).sum())
         beta = np.ones((live[-1], states))
         for t in range(steps - 1, -1, -1):
             gamma = alphas[t] * beta
-            gamma /= gamma.sum(1, keepdims=True)
-            for z in range(states):
-                emits[:, z] += np.bincount(sym[t, : live[t]], weights=gamma[:, z], minlength=emits.shape[0]) if live[t] > 4096 else 0
-            if live[t] <= 4096:
-                alphas[t] = gamma  # collected below in one go
-            if t == 0:
+            gamma *= counted[t] / gamma.sum(1, keepdims=True)
+            if t:
+                right = model.emit[sym[t, : live[t]]] * beta / scales[t]
+                moves += model.move * (alphas[t - 1][: live[t]].T @ (right * counted[t]))
+                full = np.ones((live[t - 1], states))
+                full[: live[t]] = right @ model.move.T
+                beta = full
+            else:
                 starts += gamma.sum(0)
-                break
-            right = model.emit[sym[t, : live[t]]] * beta / scales[t]
-            moves += model.move * (alphas[t - 1][: live[t]].T @ right)
-            full = np.ones((live[t - 1], states))
-            full[: live[t]] = right @ model.move.T
-            beta = full
-        where = np.concatenate([sym[t, : live[t]] for t in range(steps) if live[t] <= 4096] or [np.zeros(0, np.int64)])
-        if where.size:
-            g = np.concatenate([alphas[t] for t in range(steps) if live[t] <= 4096])
-            for z in range(states):
-                emits[:, z] += np.bincount(where, weights=g[:, z], minlength=emits.shape[0])
-    return starts, moves, emits
-
-
-def baum_welch(seqs: DataFrame, model: Model, rounds: int) -> Model:
-    """seqs: symbols of training rows. Each round sums expected counts over all partitions, keyed by symbol."""
+            alphas[t] = gamma
+        where, g = np.concatenate([sym[t, : live[t]] for t in range(steps)]), np.concatenate(alphas)
+        for z in range(states):
+            emits[:, z] += np.bincount(where, weights=g[:, z], minlength=emits.shape[0])
+    return starts, moves, emits, log
+
+
+def baum_welch(seqs: DataFrame, model: Model, rounds: int, tokens: int, gain: float = GAIN) -> Model:
+    """seqs: symbols of training rows (tokens in all). Each round sums expected counts over all partitions, keyed by symbol."""
     spark = seqs.sparkSession
     states, size = model.start.size, model.emit.shape[0]
+    last = -np.inf
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            sums = None
+            sums, held, n = None, [], 0
+
+            def add() -> None:
+                nonlocal sums, held, n
+                got = expected_counts(m, held)
+                sums, held, n = got if sums is None else tuple(x + y for x, y in zip(sums, got)), [], 0
+
             for b in batches:
-                parts = []
                 for x in b.column(0):
                     s = np.frombuffer(x.as_py(), dtype=np.uint16).astype(np.int64)
-                    parts += [s[k : k + PIECE] for k in range(0, s.size, PIECE)]
-                got = expected_counts(m, parts)
-                sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
+                    held += pieces_of(s)
+                    n += s.size
+                    if n > 1 << 19:  # bounds what is held, and keeps many pieces side by side
+                        add()
+            if held:
+                add()
             if sums is not None:
-                starts, moves, emits = sums
-                keys = np.concatenate([[-1], -2 - np.arange(states), np.flatnonzero(emits.any(1))])
-                values = np.concatenate([starts[None], moves, emits[keys[1 + states :]]])
+                starts, moves, emits, log = sums
+                keys = np.concatenate([[-1], -2 - np.arange(states), [-2 - states], np.flatnonzero(emits.any(1))])
+                values = np.concatenate([starts[None], moves, np.full((1, states), log), emits[keys[2 + states :]]])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *[pa.array(values[:, z]) for z in range(states)]], names=["key", *[f"s{z}" for z in range(states)]])
 
         cols = [f"s{z}" for z in range(states)]
-        found = seqs.select("symbols").mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in cols)).groupBy("key").agg(*[F.round(F.sum(c), 6).alias(c) for c in cols]).collect()
-        starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-        for r in found:  # at most the alphabet and the states
+        found = seqs.select("symbols").mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in cols)).groupBy("key").agg(*[F.round(F.sum(c), 6).alias(c) for c in cols]).toPandas()  # at most the alphabet and the states
+        shared.destroy()
+        starts, moves, emits, log = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
+        for r in found.itertuples(index=False):
             v = np.array(r[1:])
             if r.key == -1:
                 starts = v
+            elif r.key == -2 - states:
+                log = v[0] / max(1, tokens)
             elif r.key < -1:
                 moves[-2 - r.key] = v
             else:
                 emits[r.key] = v
         start, move, emit = starts + 0.1, moves + 0.1, emits + 0.1 * model.emit + 1e-6
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        if log - last < gain:
+            break
+        last = log
     return model
 
 
@@ -254,7 +291,7 @@ def score(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, known:
     counts = materialize(token_counts(docs.where(~F.col("held_out"))))
     by_class = {r.cls: (r.n, r.v) for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     n, v = sum(x[0] for x in by_class.values()), sum(x[1] for x in by_class.values())
-    top = counts.orderBy(F.desc("c"), "w").limit(known).collect()
+    top = list(counts.orderBy(F.desc("c"), "w").limit(known).toPandas().itertuples(index=False))  # a fixed number of tokens
     vocabulary = Vocabulary(top, symbols)
     shared = spark.sparkContext.broadcast(vocabulary)
     seqs = materialize(sequences(docs, shared).withColumn("row", F.monotonically_increasing_id()))
@@ -270,7 +307,9 @@ def score(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, known:
     first = np.zeros(vocabulary.n + CLASSES + 1)
     first[: vocabulary.n] = [r.c for r in top[: vocabulary.n]]
     first[vocabulary.n : -1] = rest_n
-    model = baum_welch(seqs.where(~F.col("held_out")), Model.first(first, states), rounds)
+    train = seqs.where(~F.col("held_out"))
+    some = train.where(F.col("n_tokens") > 20).orderBy(F.xxhash64("symbols")).limit(ANCHORS).select(F.substring("symbols", 1, 4096).alias("s")).collect()
+    model = baum_welch(train, Model.first(first, states, [np.frombuffer(r.s, dtype=np.uint16).astype(np.int64) for r in some]), rounds, n)
     sent = spark.sparkContext.broadcast((model, np.log10(rest_n + rest_v + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -403,10 +403,93 @@ def test_baum_welch_raises_the_likelihood(spark):
     seqs = [[(k + i) % 2 * 2 + r.randrange(2) for i in range(40)] for k in range(60)]
     df = spark.createDataFrame([(bytearray(np.array(s, np.uint16).tobytes()),) for s in seqs], "symbols binary")
     first = hmm_lm.Model.first(np.bincount(np.concatenate(seqs), minlength=4).astype(float), 2)
-    like = [hmm_lm.log_likelihoods(hmm_lm.baum_welch(df, first, k), [np.array(s) for s in seqs]).sum() for k in (0, 2, 25)]
+    like = [hmm_lm.log_likelihoods(hmm_lm.baum_welch(df, first, k, 2400, -1.0), [np.array(s) for s in seqs]).sum() for k in (0, 2, 25)]
     assert like[0] < like[1] < like[2]
 
 
+def test_expected_counts_are_sums_over_state_paths():
+    import itertools
+
+    import numpy as np
+
+    m = hmm_lm.Model.first(np.array([5.0, 3.0, 2.0, 1.0]), 2)
+    seqs = [[0], [1, 2, 3], [3, 3, 0, 1]]
+    starts, moves, emits, log = hmm_lm.expected_counts(m, [(np.array(s), 0, len(s)) for s in seqs])
+    want = [np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0]
+    for s in seqs:
+        paths = {p: m.start[p[0]] * m.emit[s[0], p[0]] * math.prod(m.move[a, b] * m.emit[x, b] for a, b, x in zip(p, p[1:], s[1:])) for p in itertools.product(range(2), repeat=len(s))}
+        total = sum(paths.values())
+        want[3] += math.log10(total)
+        for p, v in paths.items():
+            want[0][p[0]] += v / total
+            for a, b in zip(p, p[1:]):
+                want[1][a, b] += v / total
+            for x, z in zip(s, p):
+                want[2][x, z] += v / total
+    assert all(np.allclose(a, b) for a, b in zip((starts, moves, emits, log), want))
+
+
+def test_pieces_count_each_token_and_move_once(monkeypatch):
+    """Training in pieces with context is close to training on whole texts."""
+    import numpy as np
+
+    monkeypatch.setattr(hmm_lm, "PIECE", 40)
+    monkeypatch.setattr(hmm_lm, "CONTEXT", 16)
+    r = np.random.default_rng(2)
+    seqs = [np.concatenate([r.integers(0, 4, 60) + 4 * (k % 2) for k in range(r.integers(1, 6))]) for _ in range(20)]
+    m = hmm_lm.Model.first(np.bincount(np.concatenate(seqs), minlength=8).astype(float), 2, seqs)
+    parts = [p for s in seqs for p in hmm_lm.pieces_of(s)]
+    assert sum(hi - lo for _, lo, hi in parts) == sum(s.size for s in seqs)
+    got, whole = hmm_lm.expected_counts(m, parts), hmm_lm.expected_counts(m, [(s, 0, s.size) for s in seqs])
+    assert math.isclose(got[1].sum(), sum(s.size - 1 for s in seqs)) and np.abs(got[1] - whole[1]).max() < 0.01 * whole[1].sum()
+    assert np.abs(got[2] - whole[2]).max() < 0.01 * whole[2].sum()
+
+
+def test_hmm_score_as_a_whole(spark, monkeypatch):
+    """Scores against sums over all state paths, rare words by their share in their class; the model is the one that training starts from."""
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    from depotspark.llm.tokens import words
+
+    box = []
+    monkeypatch.setattr(hmm_lm, "baum_welch", lambda seqs, model, rounds, n: box.append(model) or model)
+    texts = {1: "aa bb aa cc", 2: "bb Aa ddd", 3: "aa eeee ddd ff", 4: "", 5: "gg aa", 6: "eeee hhhhh aa bb"}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    got = {r.doc_id: r.score for r in hmm_lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), states=2, symbols=3).collect()}
+    toks = {i: WORD.findall(t.lower()) + [None] for i, t in texts.items()}
+    c = collections.Counter(w for i, ws in toks.items() if not held[i] for w in ws)
+    code = {w: 1 if w is None else int(words(pa.array([w]))[0].view(np.int64)[0]) for ws in toks.values() for w in ws}
+    own = {w: k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], code[w]))[:3])}
+    rest = collections.defaultdict(lambda: [0, 0])
+    for w in c:
+        if w not in own:
+            cls = hmm_lm.CLASSES if w is None else len(w.encode()) - 1
+            rest[cls][0] += c[w]
+            rest[cls][1] += 1
+    m = box[0]
+
+    def emit(w, z):
+        if w in own:
+            return m.emit[own[w], z]
+        if w is None:
+            return m.emit[3 + hmm_lm.CLASSES, z]
+        cls = len(w.encode()) - 1
+        return m.emit[3 + cls, z] * (c[w] + 1) / (sum(rest[cls]) + 1)
+
+    for i, ws in toks.items():
+        total = sum(m.start[p[0]] * emit(ws[0], p[0]) * math.prod(m.move[a, b] * emit(w, b) for a, b, w in zip(p, p[1:], ws[1:])) for p in itertools.product(range(2), repeat=len(ws)))
+        assert math.isclose(got[i], math.log10(total), rel_tol=1e-6), i
+
+
+def test_hmm_gains_on_held_out_texts(spark):
+    """Texts of several languages: states learn them, and held-out texts are likelier than under the base."""
+    rows = hmm_lm.op7_hmm_lm(spark, SF).where("held_out and n_tokens > 20").groupBy().sum("score", "base_score", "n_tokens").first()
+    assert (rows[0] - rows[1]) / rows[2] > 0.05
+
+
 def test_hmm_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b a", "x"), (3, "a b a", "x"), (None, "zz " * 3000, "x")], "doc_id long, text string, score string")
     got = hmm_lm.score(docs).collect()

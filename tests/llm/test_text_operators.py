@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from depotspark.llm import byte_bpe, hmm_lm, html_extract, license_scan, mixing, pii, quality_rules, url_filter
+from depotspark.llm import byte_bpe, common, hmm_lm, html_extract, license_scan, mixing, pii, quality_rules, url_filter
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -537,6 +537,60 @@ def test_quality_edge_cases(spark):
     assert quality_rules.quality_rules(empty(spark)).count() == 0
 
 
+def mcd_brute(x, h, floors, starts, seed):
+    """Smallest log determinant and its estimate over concentration steps from random rows, with exact order statistics."""
+    import numpy as np
+
+    r, best, k = np.random.default_rng(seed), None, int(np.ceil(h * len(x)))
+    for _ in range(starts):
+        rows = r.choice(len(x), 8, replace=False)
+        last = np.inf
+        while True:
+            c, v = x[rows].mean(0), np.cov(x[rows].T, bias=True) + np.diag(np.square(floors))
+            det = np.linalg.slogdet(v)[1]
+            if len(rows) == k and det > last - 1e-9:
+                break
+            last = det if len(rows) == k else np.inf
+            d = np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(v), x - c)
+            rows = np.argsort(d, kind="stable")[:k]
+        if best is None or det < best[0]:
+            best = (det, c, v)
+    return best
+
+
+def test_quality_estimate_against_random_starts(spark):
+    """The determinants are those of a search from many random starts, and verdicts agree; groups are mixed with all rows by size."""
+    import numpy as np
+
+    q = quality_rules
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    stats = common.materialize(q.with_group(q.vector(q.with_statistics(docs))).drop("text", "n_lines"))
+    rows = stats.where("not base_failed").toPandas()
+    x = rows[list(q.DIMS)].to_numpy() / q.FIXED
+    est = {r.grp: r for r in q.estimates(stats.where("not base_failed").select("grp", *q.DIMS), 0.75).collect()}
+    d = len(q.DIMS)
+    matrix = lambda r: np.array([[r[f"v_{max(i, j)}{min(i, j)}"] for j in range(d)] for i in range(d)])
+    centre = lambda r: np.array([r[f"c_{i}"] for i in range(d)])
+    floors = np.diag(np.square(q.FLOORS))
+    det, c, v = mcd_brute(x, 0.75, q.FLOORS, 40, 1)
+    assert abs(est[""].logdet - det) < 0.1 and math.isclose(est[""].logdet, np.linalg.slogdet(matrix(est[""]) + floors)[1], abs_tol=1e-6)
+    distance = lambda c, v: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(v), x - c) / q.consistency(0.75)
+    assert ((distance(c, v) <= q.CUT) == (distance(centre(est[""]), matrix(est[""]) + floors) <= q.CUT)).mean() > 0.99
+    # the verdict of the operator: each group's estimate mixed with that of all rows
+    kept = {r.doc_id: r.kept for r in q.judge(stats, 0.75, q.PRIOR, q.CUT, q.consistency(0.75)).collect()}
+    every = est[""]
+    for grp, g in rows.groupby("grp"):
+        e = est[grp]
+        a, b = e.m / (e.m + q.PRIOR), q.PRIOR / (e.m + q.PRIOR)
+        shift = centre(e) - centre(every)
+        mixed = a * matrix(e) + b * matrix(every) + a * b * np.outer(shift, shift) + floors
+        z = g[list(q.DIMS)].to_numpy() / q.FIXED - (a * centre(e) + b * centre(every))
+        far = np.einsum("ij,jk,ik->i", z, np.linalg.inv(mixed), z) / q.consistency(0.75)
+        assert [kept[i] for i in g.doc_id] == (np.round(far, 6) <= q.CUT).tolist()
+        if len(g) >= 25:
+            assert e.logdet <= mcd_brute(g[list(q.DIMS)].to_numpy() / q.FIXED, 0.75, q.FLOORS, 10, 2)[0] + 0.6
+
+
 def test_quality_rejects_moderate_outliers(spark):
     """Texts with two fifths of their lines repeated go, and few others do; the factor is that of a simulation."""
     r = random.Random(3)

@@ -195,15 +195,15 @@ def _slices(texts: list, most: int = 1 << 20) -> Iterator[list[str]]:
         yield run
 
 
-_OWN: dict[int, Encoder] = {}
+_OWN: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
-    """One for each worker process and broadcast."""
-    if id(shared) not in _OWN:
+def _encoder(shared, path: str, pattern: str) -> Encoder:
+    """One for each worker process, vocabulary file and pattern."""
+    if (path, pattern) not in _OWN:
         _OWN.clear()
-        _OWN[id(shared)] = Encoder(shared.value, pattern)
-    return _OWN[id(shared)]
+        _OWN[path, pattern] = Encoder(shared.value, pattern)
+    return _OWN[path, pattern]
 
 
 def _settings(path: str | None, pattern: str | None) -> tuple[str, str]:
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     docs = docs.select(*[c for c in docs.columns if c not in ("n_tokens", "ids")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(shared, pattern)
+        enc = _encoder(shared, path, pattern)
         for b in batches:
             if b.empty:
                 continue
@@ -241,7 +241,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     encoded = encoded.select(*[c for c in encoded.columns if c != "decoded"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(shared, pattern)
+        enc = _encoder(shared, path, pattern)
         for b in batches:
             if b.empty:
                 continue
@@ -256,7 +256,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoder(shared, pattern)
+        enc = _encoder(shared, path, pattern)
         for b in batches:
             if b.empty:
                 continue

@@ -87,21 +87,19 @@ def build_level(keys: DataFrame, n_keys: int, rate: float, level: int, max_bits:
 class Cascade:
     """Exact membership over a universe. listed and universe: DataFrames with a string column `key`."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 22, max_levels: int = 24):
+    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 24):
         listed = listed.where("key is not null").distinct()
         # the universe's share of the list itself doesn't count as false positive
-        others = materialize(universe.where("key is not null").distinct().join(F.broadcast(listed) if listed.limit(100_001).count() <= 100_000 else listed, "key", "left_anti"))
+        others = materialize(universe.where("key is not null").distinct().join(listed, "key", "left_anti"))
         n, rest, n_rest = listed.count(), others, others.count()
         self.levels: list[Level] = []
         current, n_current = listed, n
-        while n_current and len(self.levels) < max_levels:
+        while n_current:  # each level has hashes of its own and leaves fewer keys
             rate = 0.5 if self.levels else min(0.5, max(2.0**-30, n_current / max(1, n_rest) / 2))
             one = build_level(current, n_current, rate, len(self.levels), max_bits)
             self.levels.append(one)
             wrong = materialize(rest.where(one.holds(F.col("key"))))
             current, n_current, rest = wrong, wrong.count(), current
-        if n_current:
-            raise RuntimeError("the cascade did not end")
 
     def holds(self, key: Column) -> Column:
         """Walks the levels: leaving at an even level means not listed, at an odd one listed."""
@@ -112,12 +110,15 @@ class Cascade:
 
 
 def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_DOMAINS, url_col: str = "url") -> DataFrame:
-    """Adds host, path, rule, listed and verdict to the rows; other columns stay (those of the same names are replaced)."""
+    """Adds host, path, rule, listed and verdict to the rows; other columns stay (those of the same names are replaced).
+
+    blocked: domains, as a list or as a table with a column `key`.
+    """
     spark = pages.sparkSession
     host, path = host_path(F.col(url_col))
     rows = pages.withColumn("host", host).withColumn("path", path)
     universe = rows.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    listed = spark.createDataFrame([(x,) for x in blocked], "key string")
+    listed = blocked.select("key") if isinstance(blocked, DataFrame) else spark.createDataFrame([(x,) for x in blocked], "key string")
     cascade = Cascade(listed, universe)
     hit = F.exists(suffixes(F.col("host")), cascade.holds)
     rule = rule_for(F.col("host"), F.col("path"), rules)

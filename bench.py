@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from depotspark.plans.queries import QUERIES  # noqa: E402
 
 HEADLINE = ["sku_abc", "brand_pairs", "fc_select", "predicted_category_abc", "isolation_reasons", "sku_master", "address_backfill", "wave_rounds", "kpi"]
+MORE = ["predicted_items", "cleaning_run"]  # timed as well, not part of the total
 
 
 def main() -> None:
@@ -27,14 +28,14 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
-    for name in HEADLINE:
+    for name in HEADLINE + MORE:
         runs = []
         for _ in range(3 + 1):
             start = time.time()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.time() - start)
         times[name] = round(statistics.median(runs[1:]), 3)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rpartition("sf")[2]}))
+    print(json.dumps({"metric": "total_seconds", "value": round(sum(times[n] for n in HEADLINE), 3), "unit": "sec", "queries": times, "sf": sf_dir.rpartition("sf")[2]}))
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
+from depotspark.operators.graph import cut_lineage
 
 
 def order_keys(sales: DataFrame, key: str) -> DataFrame:
@@ -17,7 +18,7 @@ def pairs(sales: DataFrame, key: str = "item_id", min_count: int | None = None)
 
     An order of k keys makes k (k - 1) / 2 rows before they are counted; they are counted on the map side.
     """
-    keys = order_keys(sales, key)
+    keys = cut_lineage(order_keys(sales, key))  # read for the orders, the frequencies and both sides of the pairs
     n = keys.select("ship_no").distinct().agg(F.count("*").alias("n"))
     freq = keys.groupBy("k").agg(F.count("*").alias("f"))
     left, right = keys.withColumnRenamed("k", "a"), keys.withColumnRenamed("k", "b")

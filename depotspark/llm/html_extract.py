@@ -3,14 +3,15 @@
 A page is a sequence of tokens: elements, each with the path of elements around it (names, class words, ids, roles;
 digits count as 0) and text blocks. For each host, a token's occurrence vector
 over the host's different pages is kept as sums of hashes of (page, count), so vectors compare without being gathered.
-Tokens with equal vectors form a class. A class is valid if it has two tokens or more on two pages or more, its tokens
-stand in the same order on all of its pages, and its span crosses that of no other class. The elements of valid classes
+Tokens with equal vectors form a class. A class is valid if it has two tokens or more on two pages or more (and on a
+twentieth of the host's pages), its tokens stand in the same order on all of its pages, and its span crosses that of no other class. The elements of valid classes
 nest into the host's template. What lies between them are slots: a block belongs to the innermost element of a valid
 class around it.
 
 The template decides, on hosts with pages of three different contents or more:
 
-* a block that itself belongs to a valid class which is on all pages is part of the template and goes;
+* a block that itself belongs to a valid class which is on all pages is part of the template and goes (other blocks bound
+  no slots);
 * a slot most of whose text, over all pages of the host, is links, is navigation and goes, unless it holds most of the
   text that varies;
 * a slot that element and class names call a menu, header, footer, sidebar, notice, advert, form or reader comments
@@ -48,6 +49,7 @@ from depotspark.llm.url_filter import host_path
 #: Templates are broadcast while they have fewer bytes than this; more of them go through a shuffle.
 MAX_BROADCAST = 32 << 20
 CONTENTS = 3  # different contents that a host needs for a template
+SUPPORT = 0.05  # share of a host's pages that a template's token is on, so that a template is not longer than twenty pages
 LINKS = 0.6  # share of link text that makes a slot navigation
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -62,12 +64,12 @@ _HEAD_WORDS = {"header", "masthead", "topbar"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 _CLOSED_BY = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
-PAGE = 1  # the token that stands for the page itself
+PAGE = 2  # the token that stands for the page itself
 
 
 def _hash(text: str, seed: int) -> int:
-    """Signed 64-bit hash."""
-    return ((xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed & 0xFFFFFFFFFFFFFFFF) + (1 << 63)) % (1 << 64)) - (1 << 63)
+    """Signed 64-bit hash, even: of an element. The next odd number stands for a text."""
+    return -2 & ((xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed & 0xFFFFFFFFFFFFFFFF) + (1 << 63)) % (1 << 64)) - (1 << 63)
 
 
 class Block:
@@ -76,7 +78,7 @@ class Block:
     __slots__ = ("token", "element", "text", "links", "chrome", "main")
 
     def __init__(self, element: int, text: str, links: int, chrome: bool, main: int):
-        self.token, self.element, self.text, self.links, self.chrome, self.main = _hash(text, PAGE), element, text, min(links, len(text)), chrome, main
+        self.token, self.element, self.text, self.links, self.chrome, self.main = _hash(text, PAGE) + 1, element, text, min(links, len(text)), chrome, main
 
 
 def _names(attrs: str) -> list[str]:
@@ -237,7 +239,10 @@ def classes(seen: DataFrame, least: int = 2) -> DataFrame:
     each = seen.select("host", "page", F.explode(F.arrays_zip("tokens", "count")).alias("t")).select("host", "page", "t.tokens", "t.count")
     h = lambda seed: F.pmod(F.xxhash64("page", "count", F.lit(seed)), F.lit(1 << 31))
     one = each.groupBy("host", F.col("tokens").alias("token")).agg(F.count("*").alias("pages"), F.sum(h(1)).alias("f1"), F.sum(h(2)).alias("f2")).where(F.col("pages") >= least)
-    one = one.join(pages, "host").select("host", "token", (F.col("pages") == F.col("all")).alias("every"), F.xxhash64("pages", "f1", "f2").alias("class"))
+    # a text that isn't on all pages bounds no slot and is no template
+    text = F.pmod("token", F.lit(2)) == 1
+    one = one.join(pages, "host").where((F.col("pages") >= F.col("all") * SUPPORT) & (~text | (F.col("pages") == F.col("all"))))
+    one = one.select("host", "token", (F.col("pages") == F.col("all")).alias("every"), F.xxhash64("pages", "f1", "f2").alias("class"))
     groups = one.groupBy("host", "class").agg(F.collect_set("token").alias("tokens"), F.first("every").alias("every")).where(F.size("tokens") > 1)
     groups = materialize(groups)
     side = groups.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("frame"), F.flatten(F.collect_list(F.transform("tokens", lambda t: F.col("class")))).alias("class_of"))

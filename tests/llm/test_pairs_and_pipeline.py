@@ -266,6 +266,19 @@ def test_pipeline(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, out.collect()))
 
 
+def test_one_id_with_several_texts(spark):
+    """The texts of an id are one group; reruns keep the same one, and columns of any name pass through."""
+    r = random.Random(7)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(60))
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a, "x"), (1, b, "x"), (2, b + " end", "x"), (3, c, "x"), (3, c, "x"), (4, prose(), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_ string")
+    found = {(x.doc_id, x.component_id) for x in ngram_join.components(docs).collect()}
+    assert found == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    kept = [sorted(corpus_pipeline.near_duplicates(spark, docs.repartition(k), SF).collect()) for k in (1, 5)]
+    assert kept[0] == kept[1] and [x.doc_id for x in kept[0]] == [1, 3, 4] and kept[0][0].text in (a, b) and docs.columns == list(kept[0][0].asDict())
+
+
 def test_pipeline_edge_cases(spark):
     r = random.Random(5)
     prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))

@@ -42,9 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def _one_for_each_id(docs: DataFrame) -> DataFrame:
     """Rows of one id with the same text are one document; of several texts under one id that of the smallest fingerprint stays, as they are one group."""
-    print_ = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias("f"), F.xxhash64(*docs.columns).alias("x"))
-    least = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.min(print_).alias("_f"))
-    return docs.join(least, (F.col("doc_id") == F.col("_id")) & (print_ == F.col("_f"))).dropDuplicates(["_id"]).select(*docs.columns)
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*docs.columns))
+    rows = docs.select(F.col("doc_id").alias("id_"), F.struct(*docs.columns).alias("row_"), order.alias("order_"))
+    return rows.groupBy("id_").agg(F.min_by("row_", "order_").alias("row_")).select("row_.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

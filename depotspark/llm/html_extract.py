@@ -1,10 +1,10 @@
 """HTML extraction by equivalence classes of template tokens.
 
 A page is a sequence of tokens: elements, each with the path of elements around it (names, class words, ids, roles;
-digits count as 0) and text blocks. For each host, a token's occurrence vector
-over the host's different pages is kept as sums of hashes of (page, count), so vectors compare without being gathered.
-Tokens with equal vectors form a class. A class is valid if it has two tokens or more on two pages or more (and on a
-twentieth of the host's pages), its tokens stand in the same order on all of its pages, and its span crosses that of no other class. The elements of valid classes
+digits count as 0) and text blocks. For each host, a token's occurrence vector over the host's different pages is kept
+as sums of hashes of (page, count), so vectors compare without being gathered. Tokens with equal vectors form a class.
+A class is valid if it has two tokens or more on two pages or more (and on a twentieth of the host's pages), its tokens
+stand in the same order on all of its pages, and its span crosses that of no other class. The elements of valid classes
 nest into the host's template. What lies between them are slots: a block belongs to the innermost element of a valid
 class around it.
 
@@ -32,6 +32,7 @@ are returned as often as they occur; unclosed elements end with the page; other
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import re
 from collections.abc import Iterator
@@ -88,9 +89,14 @@ def _names(attrs: str) -> list[str]:
     return [x for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id", "role") for x in (m[2] or m[3] or m[4] or "").lower().split()]
 
 
+@functools.lru_cache(1 << 16)
+def _step(tag: str, names: tuple[str, ...], element: int) -> int:
+    return _hash(tag + "".join("." + _DIGITS.sub("0", x) for x in names), element)
+
+
 def _named(names: list[str], words: set[str]) -> bool:
     """A whole name is one of the words, or all its parts are."""
-    return any((parts := {y for y in _SPLIT.split(x) if y}) and parts <= words for x in names)
+    return bool(names) and any((parts := {y for y in _SPLIT.split(x) if y}) and parts <= words for x in names)
 
 
 class Page:
@@ -148,7 +154,7 @@ class Page:
             if m[2] is None:
                 continue
             tag, closing = m[2].lower(), bool(m[1])
-            names = [] if closing else _names(m[3])
+            names = [] if closing or not m[3] else _names(m[3])
             if tag in _INLINE:
                 if tag == "br":
                     buffer.append(" ")
@@ -179,7 +185,7 @@ class Page:
             elif stack and stack[-1][0] == "p":
                 stack.pop()
             settle()
-            token = _hash(tag + "".join("." + _DIGITS.sub("0", x) for x in names), element)
+            token = _step(tag, tuple(names), element)
             self._see(token, element)
             if tag in _VOID or m[3].rstrip().endswith("/"):
                 continue
@@ -250,8 +256,11 @@ def classes(seen: DataFrame, least: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for host, tokens, last, frame, class_of in zip(*[b.column(k).to_pylist() for k in range(5)]):
-                for c, (order, crossed) in _orders(tokens, last, dict(zip(frame, class_of))).items():
+            known: dict[int, dict[int, int]] = {}  # of this batch
+            for at, (host, tokens, last) in enumerate(zip(*[b.column(k).to_pylist() for k in range(3)])):
+                if host not in known:
+                    known[host] = dict(zip(b.column(3)[at].as_py(), b.column(4)[at].as_py()))
+                for c, (order, crossed) in _orders(tokens, last, known[host]).items():
                     out[0].append(host), out[1].append(c), out[2].append(order), out[3].append(crossed)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["host", "class", "order", "crossed"])
 
@@ -270,7 +279,7 @@ def _orders(tokens: list[int], last: list[int], class_of: dict[int, int]) -> dic
     for at, (t, z) in enumerate(zip(tokens, last)):
         c = class_of.get(t)
         if c is not None:
-            order[c] = _hash(str(t), order.get(c, 0))
+            order[c] = hash((order.get(c, 0), t))  # of integers: the same in every process
             s = spans.setdefault(c, [at, at])
             s[1] = at
     crossed = set()
@@ -294,8 +303,11 @@ def templates(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
-            for host, tokens, parent, block, around, chars, links, chrome, frame, fixed in zip(*[b.column(k).to_pylist() for k in range(10)]):
-                frame, fixed, sums = set(frame), set(fixed), {}
+            known: dict[int, tuple[set[int], set[int]]] = {}  # of this batch
+            for row, (host, tokens, parent, block, around, chars, links, chrome) in enumerate(zip(*[b.column(k).to_pylist() for k in range(8)])):
+                if host not in known:
+                    known[host] = set(b.column(8)[row].as_py()), set(b.column(9)[row].as_py())
+                (frame, fixed), sums = known[host], {}
                 for at, element, n, m, bad in zip(block, around, chars, links, chrome):
                     static = tokens[at] in fixed
                     s = sums.setdefault((0 if static else _slot(tokens, parent, element, frame), bad, static), [0, 0])

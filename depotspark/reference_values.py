@@ -34,7 +34,8 @@ CITY_ABBREVIATIONS = {"北市": "台北市", "新北": "新北市", "桃市": "
 SPECIAL_DISTRICTS = ["前鎮區", "平鎮區", "左鎮區"]
 RENAMED_TOWNSHIPS = {"三民鄉": "那瑪夏區"}
 
-# Townships whose name is unique in the country, by county.
+# Townships whose name is unique in the country. The table is (township, county), written by county so that
+# each county stands once; nothing else about it is changed.
 TOWNSHIPS = {
     "新竹縣": "竹北市 竹東鎮 新埔鎮 關西鎮 湖口鄉 新豐鄉 芎林鄉 橫山鄉 北埔鄉 寶山鄉 峨眉鄉 尖石鄉 五峰鄉",
     "苗栗縣": "苗栗市 頭份市 苑裡鎮 通霄鎮 竹南鎮 後龍鎮 卓蘭鎮 大湖鄉 公館鄉 銅鑼鄉 南庄鄉 頭屋鄉 三義鄉 西湖鄉 造橋鄉 三灣鄉 獅潭鄉 泰安鄉",
@@ -51,7 +52,8 @@ TOWNSHIPS = {
     "連江縣": "南竿鄉 北竿鄉 莒光鄉 東引鄉",
 }
 
-# Townships merged into municipalities; the district has the name with its last character as 區.
+# Townships merged into municipalities. The table is (township, municipality and district), written by
+# municipality; the district has the township's name with its last character as 區.
 OLD_TOWNSHIPS = {
     "高雄市": "鳳山市 岡山鎮 旗山鎮 美濃鎮 林園鄉 大寮鄉 大樹鄉 大社鄉 仁武鄉 鳥松鄉 橋頭鄉 燕巢鄉 田寮鄉 阿蓮鄉 路竹鄉 湖內鄉 茄萣鄉 永安鄉 彌陀鄉 梓官鄉 六龜鄉 甲仙鄉 杉林鄉 內門鄉 茂林鄉 桃源鄉 三民鄉",
     "台南市": "新營市 鹽水鎮 白河鎮 柳營鄉 後壁鄉 東山鄉 麻豆鎮 下營鄉 六甲鄉 官田鄉 大內鄉 佳里鎮 學甲鎮 西港鄉 七股鄉 將軍鄉 北門鄉 新化鎮 善化鎮 新市鄉 安定鄉 山上鄉 玉井鄉 楠西鄉 南化鄉 左鎮鄉 仁德鄉 歸仁鄉 關廟鄉 龍崎鄉 永康市",

@@ -356,6 +356,11 @@ def test_url_edge_cases(spark):
     assert got[4:9] == [("www.example.org", "/es/x", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("xexample.org", "/es/1", "org/", "allow"), ("a.com", "/de/", "com/de/", "block"), ("a.com", "/fr/", "com/fr/", "allow")]
     assert [x[3] for x in got[9:]] == ["block", "block", "allow"]
     assert url_filter.judge_urls(empty(spark, "page_id long, url string")).count() == 0
+    long = "http://" + "a." * 200 + "spam-farm.example.org/" + "x" * 100_000
+    rows = url_filter.judge_urls(spark.createDataFrame([(1, long), (1, long), (None, long)], "page_id long, url string")).collect()
+    assert len(rows) == 3 and all(r.verdict == "block" and len(r.path) == 100_001 for r in rows)
+    table = spark.createDataFrame([("b.org", 1)], "key string, other int")
+    assert [r.listed for r in url_filter.judge_urls(spark.createDataFrame([(1, "http://a.b.org")], "page_id long, url string"), blocked=table).collect()] == [True]
 
 
 def test_cascade_is_exact(spark):
@@ -649,6 +654,9 @@ def test_bpe_edge_cases(spark):
     got = byte_bpe.digests(frame(spark, [None, "", "x"])).orderBy("doc_id").collect()
     assert [r.n_tokens for r in got] == [0, 0, 1] and got[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert byte_bpe.digests(empty(spark)).count() == 0
+    clash = frame(spark, ["a b", "a b"]).withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit(-1))
+    rows = byte_bpe.decode(byte_bpe.encode(clash.unionAll(clash.limit(1)))).collect()
+    assert len(rows) == 3 and all(bytes(r.decoded) == b"a b" and r.n_tokens == len(r.ids) for r in rows)
 
 
 def test_bpe_words_by_higher_order_functions(spark, reference):

@@ -68,28 +68,66 @@ def mean_abs_diff(h: Column) -> Column:
     return F.when(n < 2, 0.0).otherwise(F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / (n - 1))
 
 
-def select_model(s: Column, te: Column) -> Column:
-    """struct(mase, rank): the model with the least walk-forward error over the last periods of training; ties to the earlier."""
+def _walk_start(s: Column) -> Column:
+    zero, none = F.lit(0.0), F.lit(0)
+    return F.struct(
+        none.alias("t"), zero.alias("ses"), zero.alias("level"), zero.alias("trend"), zero.alias("z"), zero.alias("x"), F.lit(-1).alias("hit"), zero.alias("diff"), *[zero.alias(f"e{k}") for k in range(len(ONE_STEP))]
+    )
+
+
+def _next(s: Column, a: Column, steps: int = 1) -> list[Column]:
+    """What each model says `steps` periods after the a.t values walked so far, from its state alone (s is read at single places). a.t is at least 1."""
+    t = a["t"]
+    back = lambda k: F.get(s, t - k)
+    place = t + (steps - 1) - R.SEASON
+    seasonal = F.when(place >= 0, F.get(s, place)).otherwise(back(1))
+    mean = F.when(t >= 3, (F.lit(0.0) + back(3) + back(2) + back(1)) / 3).when(t == 2, (F.lit(0.0) + back(2) + back(1)) / 2).otherwise(back(1))
+    line = F.when(t == 1, back(1)).otherwise(F.greatest(F.lit(0.0), a["level"] + F.lit(steps) * a["trend"]))
+    return [back(1), seasonal, mean, a["ses"], line, F.when(a["hit"] < 0, 0.0).when(a["x"] > 0, a["z"] / a["x"]).otherwise(0.0)]
+
+
+def walk(s: Column, te: Column) -> Column:
+    """struct: the states of all models after the first te values of s, and what was met on the way: `diff`, the sum of absolute
+    differences, and e0.. , the sums of the models' one-step errors over the last periods of training. One pass over the series.
+    """
     start = F.greatest(F.lit(3), te - R.LOOK_BACK)
-    origins = F.when(start < te, F.sequence(start, te - 1)).otherwise(F.array().cast("array<int>"))
-    denom = mean_abs_diff(F.slice(s, 1, te))
 
-    def error(model) -> Column:
-        total = F.aggregate(F.transform(origins, lambda t: F.abs(F.get(s, t) - model(F.slice(s, 1, t)))), F.lit(0.0), lambda a, x: a + x)
-        mae = total / F.size(origins)
-        return F.when(F.size(origins) == 0, F.lit(float("inf"))).otherwise(F.when(denom > 0, mae / denom).otherwise(mae))
+    def step(a: Column, v: Column) -> Column:
+        t, last = a["t"], F.get(s, a["t"] - 1)
+        asked = t >= start
+        errors = [F.when(asked, a[f"e{k}"] + F.abs(v - p)).otherwise(a[f"e{k}"]).alias(f"e{k}") for k, p in enumerate(_next(s, a))]
+        ses = F.when(t == 0, v).otherwise(F.lit(R.SES_ALPHA) * v + F.lit(1 - R.SES_ALPHA) * a["ses"])
+        # from two values on; the first difference is the trend with which the second value is met
+        level0 = F.when(t == 1, last).otherwise(a["level"])
+        trend0 = F.when(t == 1, v - last).otherwise(a["trend"])
+        level = F.when(t == 0, v).otherwise(F.lit(R.HOLT_ALPHA) * v + F.lit(1 - R.HOLT_ALPHA) * (level0 + trend0))
+        trend = F.when(t == 0, 0.0).otherwise(F.lit(R.HOLT_BETA) * (level - level0) + F.lit(1 - R.HOLT_BETA) * trend0)
+        hit, first = v > 0, a["hit"] < 0
+        z = F.when(~hit, a["z"]).when(first, v).otherwise(F.lit(R.CROSTON_ALPHA) * v + F.lit(1 - R.CROSTON_ALPHA) * a["z"])
+        x = F.when(~hit, a["x"]).when(first, (t + 1).cast("double")).otherwise(F.lit(R.CROSTON_ALPHA) * (t - a["hit"]) + F.lit(1 - R.CROSTON_ALPHA) * a["x"])
+        diff = F.when(t == 0, 0.0).otherwise(a["diff"] + F.abs(v - last))
+        return F.struct((t + 1).alias("t"), ses.alias("ses"), level.alias("level"), trend.alias("trend"), z.alias("z"), x.alias("x"), F.when(hit, t).otherwise(a["hit"]).alias("hit"), diff.alias("diff"), *errors)
 
-    return F.array_min(F.array(*[F.struct(error(m).alias("mase"), F.lit(k).alias("rank")) for k, m in enumerate(ONE_STEP)]))
+    return F.aggregate(F.slice(s, F.lit(1), F.greatest(te, F.lit(0))), _walk_start(s), step)
 
 
-def multi_step(s: Column, te: Column, rank: Column, horizon: int) -> Column:
-    """array of predictions 1..horizon from te with the model of that rank, not below 0."""
-    h = F.slice(s, 1, te)
+def denominator(w: Column) -> Column:
+    """Mean absolute difference of the walked values; 0 for fewer than two."""
+    return F.when(w["t"] < 2, 0.0).otherwise(w["diff"] / (w["t"] - 1))
 
-    def at(k: int) -> Column:
-        j = te + k - 1
-        seasonal = F.when(j - R.SEASON >= 0, F.get(s, j - R.SEASON)).otherwise(naive(h))
-        value = F.when(rank == 0, naive(h)).when(rank == 1, seasonal).when(rank == 2, ma3(h)).when(rank == 3, ses(h)).when(rank == 4, holt(h, k)).otherwise(croston(h))
-        return F.greatest(F.lit(0.0), value)
 
+def select_model(w: Column, te: Column) -> Column:
+    """struct(mase, rank) from a walk: the model with the least walk-forward error over the last periods of training; ties to the earlier."""
+    n, denom = te - F.greatest(F.lit(3), te - R.LOOK_BACK), denominator(w)
+
+    def error(k: int) -> Column:
+        mae = w[f"e{k}"] / n
+        return F.when(n <= 0, F.lit(float("inf"))).otherwise(F.when(denom > 0, mae / denom).otherwise(mae))
+
+    return F.array_min(F.array(*[F.struct(error(k).alias("mase"), F.lit(k).alias("rank")) for k in range(len(ONE_STEP))]))
+
+
+def multi_step(s: Column, w: Column, rank: Column, horizon: int) -> Column:
+    """array of predictions 1..horizon after a walk with the model of that rank, not below 0; 0 after no values."""
+    at = lambda k: F.when(w["t"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.get(F.array(*_next(s, w, k)), rank)))
     return F.array(*[at(k) for k in range(1, horizon + 1)])

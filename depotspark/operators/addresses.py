@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
@@ -40,23 +40,80 @@ def variants(t: DataFrame) -> DataFrame:
     return t.where("trusted").groupBy("store_code", "city", "district", "rest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("dated").alias("n"))
 
 
+
+
+def _text() -> Column:
+    return F.struct("city", "district", "rest")
+
+
+def _day(c: str) -> Column:
+    return F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+
+
+def _blocks(lo: Column, hi: Column) -> Column:
+    """The days lo..hi as blocks (level, block) of 2**level days, aligned: at most two of each level."""
+    empty = F.array().cast("array<struct<level:int,block:int>>")
+    one = lambda at, level: F.array(F.struct(level.cast("int").alias("level"), at.cast("int").alias("block")))
+
+    def step(a: Column, level: Column) -> Column:
+        some, left, right = a["l"] < a["r"], F.pmod(a["l"], F.lit(2)) == 1, F.pmod(a["r"], F.lit(2)) == 1
+        blocks = F.concat(a["out"], F.when(some & left, one(a["l"], level)).otherwise(empty), F.when(some & right, one(a["r"] - 1, level)).otherwise(empty))
+        return F.struct(F.shiftright(F.when(left, a["l"] + 1).otherwise(a["l"]), 1).alias("l"), F.shiftright(F.when(right, a["r"] - 1).otherwise(a["r"]), 1).alias("r"), blocks.alias("out"))
+
+    start = F.struct(lo.cast("int").alias("l"), (hi + 1).cast("int").alias("r"), empty.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(23)), start, step, lambda a: a["out"])
+
+
+def nearest_versions(asks: DataFrame, v: DataFrame) -> DataFrame:
+    """asks (store_code, day), distinct, and versions v (store_code, city, district, rest, lo, hi) -> store_code, day, best: the version
+    that covers the day or else is nearest to it; ties by city, district and rest; undated versions come last.
+
+    An interval join by equality only. A version's days are cut into aligned blocks of 1, 2, 4, ... days, at most two of each
+    size, and each block keeps its first version; a day lies in one block of each size. Ends before and after a day come from
+    ordered windows over a store's days. No store's versions meet all its days, and every group is bounded by the calendar.
+    """
+    dated = v.where("lo is not null").select("store_code", _text().alias("x"), _day("lo").alias("lo"), _day("hi").alias("hi"))
+    dated = cut_lineage(dated)
+    days = asks.select("store_code", _day("day").alias("d"))
+    blocks = cut_lineage(dated.select("store_code", "x", F.inline(_blocks(F.col("lo"), F.col("hi")))).groupBy("store_code", "level", "block").agg(F.min("x").alias("x")))
+    sizes = blocks.agg(F.sort_array(F.collect_set("level")).alias("levels"))  # one row of at most 24 numbers
+    inside = days.crossJoin(F.broadcast(sizes)).select("store_code", "d", F.explode("levels").alias("level")).withColumn("block", F.expr("shiftright(d, level)"))
+    cover = inside.join(blocks, ["store_code", "level", "block"]).groupBy("store_code", "d").agg(F.min("x").alias("cover"))
+    # a store's days in order: ends of versions, starts of versions, and days asked for
+    none = F.lit(None).cast(dict(dated.dtypes)["x"])
+    ends = dated.groupBy("store_code", F.col("hi").alias("d")).agg(F.min("x").alias("end")).select("store_code", "d", "end", none.alias("start"), F.lit(False).alias("asked"))
+    starts = dated.groupBy("store_code", F.col("lo").alias("d")).agg(F.min("x").alias("start")).select("store_code", "d", none.alias("end"), "start", F.lit(False).alias("asked"))
+    line = ends.unionByName(starts).unionByName(days.select("store_code", "d", none.alias("end"), none.alias("start"), F.lit(True).alias("asked")))
+    line = line.groupBy("store_code", "d").agg(F.min("end").alias("end"), F.min("start").alias("start"), F.max("asked").alias("asked"))
+    by = Window.partitionBy("store_code").orderBy("d")
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct("d", F.col(c).alias("x")))
+    near = line.withColumn("before", F.last(at("end"), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(at("start"), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)))
+    near = near.where("asked").join(cover, ["store_code", "d"], "left")
+    side = lambda c, gap: F.when(F.col(c).isNotNull(), F.struct(gap.alias("gap"), F.col(c)["x"].alias("x")))
+    best = F.least(side("before", F.col("d") - F.col("before")["d"]), side("after", F.col("after")["d"] - F.col("d")))
+    undated = v.where("lo is null").groupBy("store_code").agg(F.min(_text()).alias("undated"))
+    out = near.join(undated, "store_code", "left")
+    return out.select("store_code", F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).alias("day"), F.coalesce("cover", best["x"], "undated").alias("best"))
+
+
 def backfill(rows: DataFrame) -> DataFrame:
     """rows (row_id, ship_no, store_code, address and others) with ship_date, address_final, address_source, address_pending, region
-    and rest. Rows are read twice and joined once, with their (address, store_code)."""
+    and rest. Rows are a table that can be read twice; they meet what is known of their (address, store_code), and those that
+    need another version what is nearest for their (store_code, day)."""
     columns = rows.columns
-    t = trusted(pairs(rows))
-    v = variants(t).select(F.col("store_code"), F.struct("city", "district", "rest", "lo", "hi", "n").alias("v"))
-    versions = v.groupBy("store_code").agg(F.sort_array(F.collect_list("v")).alias("versions"))  # a store's versions, not its rows
-    known = cut_lineage(t.join(versions, "store_code", "left").select(F.col("address").alias("_address"), F.col("store_code").alias("_store"), "norm", "city", "district", "rest", "placeholder", "trusted", "versions"))
+    t = cut_lineage(trusted(pairs(rows)))
+    v = cut_lineage(variants(t))
+    stores = v.groupBy("store_code").agg(F.count("*").alias("n_versions"), F.min(F.struct((-F.col("n")).alias("n"), _text().alias("x")))["x"].alias("common"))  # for rows without a date
+    known = t.select(F.col("address").alias("_address"), "store_code", "norm", "city", "district", "rest", "placeholder", "trusted").join(stores, "store_code", "left").withColumnRenamed("store_code", "_store")
+    known = cut_lineage(known)
     on = rows["address"].eqNullSafe(known["_address"]) & rows["store_code"].eqNullSafe(known["_store"])
     t = rows.join(known, on).drop("_address", "_store").withColumn("ship_date", T.ship_date(F.col("ship_no")))
-    many = F.size("versions") > 1
-    day, none = F.col("ship_date"), F.lit(1 << 30)
-    gap = lambda x: F.when((day >= x["lo"]) & (day <= x["hi"]), 0).otherwise(F.coalesce(F.least(F.abs(F.datediff(day, x["lo"])), F.abs(F.datediff(day, x["hi"]))), none))
-    # the nearest in time; without a date the commonest; ties to the first by city, district and rest
-    key = lambda x: F.when(day.isNull(), -x["n"]).otherwise(gap(x).cast("long"))
-    best = F.array_min(F.transform("versions", lambda x: F.struct(key(x).alias("k"), x["city"].alias("city"), x["district"].alias("district"), x["rest"].alias("rest"))))
-    t = t.withColumn("best", F.when(F.col("store_code").isNotNull(), best))
+    asking = ~F.col("trusted") & F.col("ship_date").isNotNull() & F.col("n_versions").isNotNull()
+    asks = cut_lineage(t.where(asking).select("store_code", F.col("ship_date").alias("day")).distinct())
+    nearest = cut_lineage(nearest_versions(asks, v)).select(F.col("store_code").alias("_store"), F.col("day").alias("_day"), "best")
+    t = t.join(nearest, (F.when(asking, F.col("store_code")) == F.col("_store")) & (F.col("ship_date") == F.col("_day")), "left")
+    many = F.col("n_versions") > 1
+    t = t.withColumn("best", F.when(F.col("ship_date").isNull(), F.col("common")).otherwise(F.col("best")))
     own_blank = F.trim("rest") == ""
     whole = F.col("placeholder") | own_blank
     filled = F.when(whole, F.concat("best.city", "best.district", "best.rest")).otherwise(F.concat(F.col("best.city"), F.coalesce(F.col("district"), F.col("best.district")), F.col("rest")))

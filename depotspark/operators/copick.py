@@ -1,35 +1,78 @@
-"""Items and categories picked together: count, support, lift."""
+"""Items and categories picked together: count, support, lift.
+
+An order of k keys holds k (k - 1) / 2 pairs. Two things keep that bounded. A pair can't be counted more often than its rarer
+key, so keys below the least count leave before orders meet themselves. And an order with more than BLOCK keys left is dealt
+as a triangle of blocks: its keys fall into blocks of about BLOCK by hash, and each pair of blocks is a group of its own in the
+join, so that no task makes more than about BLOCK * BLOCK rows of one order at a time; they are counted on the map side.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
 from depotspark.operators.graph import cut_lineage
 
+#: Keys of one order that meet each other in one group of the join.
+BLOCK = 500
+
 
 def order_keys(sales: DataFrame, key: str) -> DataFrame:
     return sales.where(F.col(key).isNotNull() & F.col("ship_no").isNotNull()).select("ship_no", F.col(key).alias("k")).distinct()
 
 
-def pairs(sales: DataFrame, key: str = "item_id", min_count: int | None = None) -> DataFrame:
-    """a < b in the same order: count, support (percent of orders), lift; count from min_count on (default by the number of orders).
+def _least(min_count: int | None, n: Column) -> Column:
+    """The least count of a pair, by default from the number of orders."""
+    return F.lit(min_count) if min_count else F.when(n < R.PAIR_COUNTS[0][0], R.PAIR_COUNTS[0][1]).when(n < R.PAIR_COUNTS[1][0], R.PAIR_COUNTS[1][1]).otherwise(R.PAIR_COUNTS[2][1])
+
 
-    An order of k keys makes k (k - 1) / 2 rows before they are counted; they are counted on the map side.
-    """
-    keys = cut_lineage(order_keys(sales, key))  # read for the orders, the frequencies and both sides of the pairs
+def frequencies(keys: DataFrame, min_count: int | None = None) -> DataFrame:
+    """keys (ship_no, k) -> k, f (orders that hold it), n (all orders), least (count that a pair needs)."""
     n = keys.select("ship_no").distinct().agg(F.count("*").alias("n"))
-    freq = keys.groupBy("k").agg(F.count("*").alias("f"))
-    left, right = keys.withColumnRenamed("k", "a"), keys.withColumnRenamed("k", "b")
-    both = left.join(right, "ship_no").where("a < b").groupBy("a", "b").agg(F.count("*").alias("count"))
-    both = both.crossJoin(F.broadcast(n))  # one row
-    least = F.lit(min_count) if min_count else F.when(F.col("n") < R.PAIR_COUNTS[0][0], R.PAIR_COUNTS[0][1]).when(F.col("n") < R.PAIR_COUNTS[1][0], R.PAIR_COUNTS[1][1]).otherwise(R.PAIR_COUNTS[2][1])
-    both = both.where(F.col("count") >= least)
-    both = both.join(freq.toDF("a", "fa"), "a").join(freq.toDF("b", "fb"), "b")
+    return keys.groupBy("k").agg(F.count("*").alias("f")).crossJoin(F.broadcast(n)).withColumn("least", _least(min_count, F.col("n")))  # one row
+
+
+def _blocks(keys: DataFrame, block: int) -> DataFrame:
+    """keys (ship_no, k, ...) with nb, the number of blocks of the order, and blk, the key's block."""
+    sizes = keys.groupBy("ship_no").agg(F.count("*").alias("s"))
+    large = sizes.where(F.col("s") > block).select("ship_no", F.ceil(F.col("s") / block).cast("int").alias("nb"))
+    out = keys.join(large, "ship_no", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    return out.withColumn("blk", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+
+
+def pair_rows(keys: DataFrame, block: int = BLOCK) -> DataFrame:
+    """keys (ship_no, k, f) -> one row a, b, fa, fb for each order that holds both, a < b: see the head of the module."""
+    dealt = cut_lineage(_blocks(keys, block))  # read for both sides
+    left = dealt.select("ship_no", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"), F.col("k").alias("x"), F.col("f").alias("fx"))
+    right = dealt.select("ship_no", F.explode(F.sequence(F.lit(0), "blk")).alias("i"), F.col("blk").alias("j"), F.col("k").alias("y"), F.col("f").alias("fy"))
+    met = left.join(right, ["ship_no", "i", "j"]).where("i < j or x < y")
+    turned = F.col("x") > F.col("y")
+    pick = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
+    return met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("fx", "fy").alias("fa"), pick("fy", "fx").alias("fb"))
+
+
+def pairs(sales: DataFrame, key: str = "item_id", min_count: int | None = None, block: int = BLOCK) -> DataFrame:
+    """a < b in the same order: count, support (percent of orders), lift; count from min_count on (default by the number of orders)."""
+    keys = cut_lineage(order_keys(sales, key))  # read for the orders, the frequencies and the pairs
+    freq = cut_lineage(frequencies(keys, min_count))
+    often = keys.join(freq.where("f >= least").select("k", "f"), "k")
+    both = pair_rows(often, block).groupBy("a", "b", "fa", "fb").agg(F.count("*").alias("count"))
+    both = both.crossJoin(F.broadcast(freq.limit(1).select("n", "least"))).where("count >= least")  # one row
     return both.select("a", "b", "count", (F.col("count") * 100.0 / F.col("n")).alias("support"), (F.col("count") * F.col("n") / (F.col("fa") * F.col("fb"))).alias("lift"))
 
 
+def pair_work(sales: DataFrame, key: str = "item_id", min_count: int | None = None) -> DataFrame:
+    """One row about the work of pairs(): orders, keys and those often enough, rows before counting with and without them, the largest order."""
+    keys = cut_lineage(order_keys(sales, key))
+    freq = cut_lineage(frequencies(keys, min_count))
+    often = keys.join(freq.where("f >= least").select("k", F.lit(1).alias("often")), "k", "left")
+    per = often.groupBy("ship_no").agg(F.count("*").alias("s"), F.count("often").alias("t"))
+    rows = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0)).cast("long")
+    work = per.agg(F.count("*").alias("orders"), rows("s").alias("rows_all"), rows("t").alias("rows_made"), F.coalesce(F.max("s"), F.lit(0)).alias("largest_order"))
+    return work.crossJoin(F.broadcast(freq.agg(F.count("*").alias("keys"), F.count_if(F.col("f") >= F.col("least")).alias("often"))))  # one row each
+
+
 def category_matrix(sales: DataFrame, cap: int = R.MATRIX_CAP) -> DataFrame:
     """a, b, count, lift over the categories that most orders hold; the diagonal is left out."""
     keys = order_keys(sales, "category_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
@@ -23,9 +23,10 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """(item_id, category_final, c, v, x, n, row_id): how often each item and category have each value of each column, x above the limit, and the first row."""
+    """(item_id, category_final, c, v, x, n, row_id): how often each item and category have each value of each column, null among
+    them, x above the limit, and the first row."""
     long = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"), F.col(f"x_{c}").alias("x")) for c in ALL]))
-    rows = df.select("row_id", "item_id", "category_final", long).where("v is not null")
+    rows = df.select("row_id", "item_id", "category_final", long)
     return rows.groupBy("item_id", "category_final", "c", "v", "x").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
 
 
@@ -42,16 +43,19 @@ def weighted_median(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def category_medians(counts: DataFrame) -> DataFrame:
-    """One row for each category: exact median and number of valid rows of each column."""
-    med = weighted_median(counts.where("not x and category_final is not null"), ["category_final", "c"])
-    one = lambda c, x: F.max(F.when(F.col("c") == c, F.col(x)))
-    return med.groupBy("category_final").agg(*[a for c in ALL for a in (one(c, "med").alias(f"med_{c}"), F.coalesce(one(c, "n"), F.lit(0)).alias(f"n_{c}"))])
+    """(category_final, c, med, n): exact median and number of valid rows of each category and column."""
+    return weighted_median(counts.where("not x and v is not null and category_final is not null"), ["category_final", "c"])
+
+
+def _wide(long: DataFrame, key: str, values: dict[str, str], columns: list[str]) -> DataFrame:
+    """long (key, c, values) -> one row for each key: <new>_<c> for each value and column. values: name -> new name."""
+    return long.groupBy(key).agg(*[F.max(F.when(F.col("c") == c, F.col(v))).alias(f"{new}_{c}") for c in columns for v, new in values.items()])
 
 
 def category_statistics(df: DataFrame) -> DataFrame:
     """Per category of the rows: exact median and number of valid rows of each column."""
     every = df.where("category_final is not null").select("category_final").distinct()
-    out = every.join(category_medians(value_counts(df)), "category_final", "left")
+    out = every.join(_wide(category_medians(value_counts(df)), "category_final", {"med": "med", "n": "n"}, ALL), "category_final", "left")
     return out.select("category_final", *[x for c in ALL for x in (f"med_{c}", F.coalesce(f"n_{c}", F.lit(0)).alias(f"n_{c}"))])
 
 
@@ -65,48 +69,83 @@ def shared_values(df: DataFrame, c: str) -> DataFrame:
     return shared_extremes(value_counts(df)).where(F.col("c") == c).select(F.col("v").alias(f"shared_{c}"))
 
 
-def repair(cleaned: DataFrame) -> DataFrame:
-    """Each column and its <col>_source: original, item mode, category range ÷f, excluded, missing or extreme. All statistics come from one table of counts."""
-    df = cut_lineage(typed(cleaned))
-    counts = cut_lineage(value_counts(df))
-    one = lambda c: F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"mode_{c}")
-    sums = counts.where("not x and item_id is not null").groupBy("item_id", "c", "v").agg(F.sum("n").alias("n"))
-    modes = sums.groupBy("item_id", "c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v").cast("string"))).alias("v")).groupBy("item_id").agg(*[one(c) for c in ALL])
-    shared = cut_lineage(shared_extremes(counts))  # values, each shared by ten items or more
-    out = _left(df, modes, "item_id").join(category_medians(counts), "category_final", "left")
+def _item_modes(counts: DataFrame) -> DataFrame:
+    """(item_id, c, mode): each item's commonest valid value, ties to the smallest text."""
+    sums = counts.where("not x and v is not null and item_id is not null").groupBy("item_id", "c", "v").agg(F.sum("n").alias("n"))
+    return sums.groupBy("item_id", "c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v").cast("string"))).alias("mode"))
+
+
+def _decide(v: Column, x: Column, mode: Column, med: Column, n: Column, shared: Column, limit: Column) -> tuple[Column, Column]:
+    """(source, repaired value) of a value v, x above its limit: item mode, category range ÷f, excluded, missing, extreme, or as it was."""
+    need = v.isNull() | x
+    by_item, suspect = need & mode.isNotNull(), x & shared
+    fits = lambda f: (v / f).between(med * (1.0 / R.PLAUSIBLE_RATIO), med * R.PLAUSIBLE_RATIO) & (v / f <= limit)
+    scaled = F.lit(None).cast("int")
+    for f in reversed(R.UNIT_FACTORS):
+        scaled = F.when(fits(f), F.lit(f)).otherwise(scaled)
+    factor = F.when(x & ~by_item & ~suspect & (n >= R.MIN_CATEGORY_ROWS), scaled)
+    source = (
+        F.when(~need, "original").when(by_item, "item mode").when(suspect, "excluded").when(factor.isNotNull(), F.concat(F.lit("category range /"), factor.cast("string")))
+        .when(v.isNull(), "missing").otherwise("extreme")
+    )
+    return source, F.when(by_item, mode).when(suspect, None).when(factor.isNotNull(), v / factor).otherwise(v)
+
+
+class Findings:
+    """What the counts of values say: item modes, category medians, shared extremes, and the medians that fill what is missing.
+
+    All come from one table of counts (items, categories and distinct values), never from a second look at the rows: repaired
+    values are decided for counts as they are for rows. Each is written, so that rows meet tables of known size.
+    """
+
+    def __init__(self, df: DataFrame):
+        """df: rows with typed columns, see typed."""
+        self.counts = cut_lineage(value_counts(df))
+        self.modes, self.medians, self.shared = (cut_lineage(x) for x in (_item_modes(self.counts), category_medians(self.counts), shared_extremes(self.counts)))
+
+    def decided(self) -> DataFrame:
+        """Counts with source and value after repair."""
+        marked = self.counts.join(self.modes, ["item_id", "c"], "left").join(self.medians.withColumnRenamed("n", "k"), ["category_final", "c"], "left").join(self.shared.withColumn("s", F.lit(True)), ["c", "v"], "left")
+        limit = F.create_map(*[x for c in ALL for x in (F.lit(c), F.lit(R.EXTREME_MAX[c]))])[F.col("c")]
+        source, value = _decide(F.col("v"), F.col("x"), F.col("mode"), F.col("med"), F.col("k"), F.coalesce("s", F.lit(False)), limit)
+        return marked.select("item_id", "category_final", "c", "n", source.alias("source"), value.alias("v"))
+
+    def fills(self) -> DataFrame:
+        """(category_final, c, fill, k): median over the medians of a category's items, and their number. Weight is never filled."""
+        known = self.decided().where("source <> 'extreme' and v is not null and category_final is not null and item_id is not null").where(F.col("c").isin(EDGES))
+        items = weighted_median(known, ["category_final", "item_id", "c"]).select("category_final", "c", F.col("med").alias("v"), F.lit(1).alias("n"))
+        return weighted_median(items, ["category_final", "c"]).select("category_final", "c", F.col("med").alias("fill"), F.col("n").alias("k"))
+
+
+def _repaired(df: DataFrame, found: Findings) -> DataFrame:
+    out = _left(df, cut_lineage(_wide(found.modes, "item_id", {"mode": "mode"}, ALL)), "item_id")
+    out = out.join(cut_lineage(_wide(found.medians, "category_final", {"med": "med", "n": "n"}, ALL)), "category_final", "left")
     for c in ALL:
-        out = out.join(shared.where(F.col("c") == c).select(F.col("v").alias(f"shared_{c}")), out[c] == F.col(f"shared_{c}"), "left")
-        v, extreme, mode, med = F.col(c), F.col(f"x_{c}"), F.col(f"mode_{c}"), F.col(f"med_{c}")
-        suspect = extreme & F.col(f"shared_{c}").isNotNull()
-        need = v.isNull() | extreme
-        by_item = need & mode.isNotNull()
-        fits = lambda f: (v / f).between(med * (1.0 / R.PLAUSIBLE_RATIO), med * R.PLAUSIBLE_RATIO) & (v / f <= R.EXTREME_MAX[c])
-        scaled = F.lit(None).cast("int")
-        for f in reversed(R.UNIT_FACTORS):
-            scaled = F.when(fits(f), F.lit(f)).otherwise(scaled)
-        factor = F.when(extreme & ~by_item & ~suspect & (F.col(f"n_{c}") >= R.MIN_CATEGORY_ROWS), scaled)
-        out = out.withColumn("_f", factor).withColumn(
-            f"{c}_source",
-            F.when(~need, "original").when(by_item, "item mode").when(suspect, "excluded").when(F.col("_f").isNotNull(), F.concat(F.lit("category range /"), F.col("_f").cast("string"))).when(v.isNull(), "missing").otherwise("extreme"),
-        )
-        out = out.withColumn(f"{c}_before", v).withColumn(c, F.when(by_item, mode).when(suspect, None).when(F.col("_f").isNotNull(), v / F.col("_f")).otherwise(v))
-        out = out.withColumn(f"x_{c}", F.col(f"{c}_source") == "extreme").drop("_f", f"mode_{c}", f"med_{c}", f"n_{c}", f"shared_{c}")
-    return out
-
-
-def impute(repaired: DataFrame) -> DataFrame:
-    """Missing edges take the category's median over item medians, from three items on. Weight is never imputed."""
-    repaired = cut_lineage(repaired)
-    counts = value_counts(repaired).where("not x and category_final is not null and item_id is not null").where(F.col("c").isin(EDGES))
-    items = weighted_median(counts, ["category_final", "item_id", "c"]).select("category_final", "c", F.col("med").alias("v"), F.lit(1).alias("n"))
-    per = weighted_median(items, ["category_final", "c"])
-    one = lambda c, x: F.max(F.when(F.col("c") == c, F.col(x)))
-    stats = per.groupBy("category_final").agg(*[a for c in EDGES for a in (one(c, "med").alias(f"m_{c}"), one(c, "n").alias(f"k_{c}"))])
-    out = repaired.join(stats, "category_final", "left")
+        out = out.join(found.shared.where(F.col("c") == c).select(F.col("v").alias(f"shared_{c}")), out[c] == F.col(f"shared_{c}"), "left")
+    new = {}
+    for c in ALL:
+        source, value = _decide(F.col(c), F.col(f"x_{c}"), F.col(f"mode_{c}"), F.col(f"med_{c}"), F.col(f"n_{c}"), F.col(f"shared_{c}").isNotNull(), F.lit(R.EXTREME_MAX[c]))
+        new |= {f"{c}_source": source, f"{c}_before": F.col(c), c: value, f"x_{c}": source == "extreme"}
+    return out.withColumns(new).drop(*[f"{p}_{c}" for c in ALL for p in ("mode", "med", "n", "shared")])
+
+
+def repair(cleaned: DataFrame) -> DataFrame:
+    """Each column and its <col>_source: original, item mode, category range ÷f, excluded, missing or extreme. cleaned is read for the counts and for the rows."""
+    df = typed(cleaned)
+    return _repaired(df, Findings(df))
+
+
+def measure(cleaned: DataFrame) -> DataFrame:
+    """repair, missing edges filled by the category's median over item medians from three items on, and volumes. Rows are read twice and not written in between."""
+    df = typed(cleaned)
+    found = Findings(df)
+    fills = cut_lineage(_wide(found.fills(), "category_final", {"fill": "m", "k": "k"}, EDGES))
+    out = _repaired(df, found).join(fills, "category_final", "left")
+    new = {}
     for c in EDGES:
         use = F.col(c).isNull() & (F.coalesce(F.col(f"k_{c}"), F.lit(0)) >= R.MIN_CATEGORY_ITEMS)
-        out = out.withColumn(f"{c}_source", F.when(use, "category median").otherwise(F.col(f"{c}_source"))).withColumn(c, F.when(use, F.col(f"m_{c}")).otherwise(F.col(c)))
-    return out.drop(*[f"{p}_{c}" for c in EDGES for p in ("m", "k")])
+        new |= {f"{c}_source": F.when(use, "category median").otherwise(F.col(f"{c}_source")), c: F.when(use, F.col(f"m_{c}")).otherwise(F.col(c))}
+    return with_volume(out.withColumns(new).drop(*[f"{p}_{c}" for c in EDGES for p in ("m", "k")]))
 
 
 def with_volume(df: DataFrame) -> DataFrame:
@@ -126,11 +165,12 @@ def item_master(df: DataFrame) -> DataFrame:
     Every column is unpivoted once into counts of (item, column, value); modes, conflicts and sources are aggregations of those.
     """
     texts = ["name_filled", "category_final", *ALL, *SOURCES]
-    long = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in texts]))
+    # the rows are read once: their number is that of a text which every row has
+    long = F.inline(F.array(F.struct(F.lit("row").alias("c"), F.lit("").alias("v")), *[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in texts]))
     counts = df.where("item_id is not null").select("item_id", long).where("v is not null").groupBy("item_id", "c", "v").agg(F.count("*").alias("n"))
     told = F.col("c").isin(SOURCES)
     tops = counts.groupBy("item_id", "c").agg(
-        F.min_by("v", F.struct(-F.col("n"), "v")).alias("v"), F.count("*").alias("k"), F.sort_array(F.collect_list(F.when(told, F.struct((-F.col("n")).alias("m"), "v")))).alias("s"), F.max(F.col("v") == "category median").alias("guessed"),
+        F.min_by("v", F.struct(-F.col("n"), "v")).alias("v"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max(F.col("v") == "類別推估").alias("imputed"), F.sort_array(F.collect_list(F.when(told, F.struct((-F.col("n")).alias("m"), "v")))).alias("s"), F.max(F.col("v") == "category median").alias("guessed"),
     )
     tops = tops.withColumn("s", F.transform("s", lambda x: F.concat(x["v"], F.lit("×"), (-x["m"]).cast("string"))))
     tops = tops.withColumn("s", F.array_join(F.when(F.col("c") == "volume_source", F.sort_array("s")).otherwise(F.col("s")), "; "))
@@ -139,9 +179,8 @@ def item_master(df: DataFrame) -> DataFrame:
     out = tops.groupBy("item_id").agg(
         one("name_filled").alias("item_name"), one("category_final").cast("int").alias("category_id"), *[one(c).cast("double").alias(c) for c in ALL],
         *[(F.coalesce(one(c, "k"), F.lit(0)) > 1).cast("int").alias(f"{c}_conflict") for c in ALL], *[one(c, "s").alias("sources" if c == "volume_source" else f"{c}s") for c in SOURCES], edge_guess.alias("guessed"),
+        one("row", "n").alias("n_rows"), F.max(F.when(F.col("c") == "volume_source", F.col("imputed"))).cast("int").alias("any_imputed"),
     )
-    rows = df.where("item_id is not null").groupBy("item_id").agg(F.count("*").alias("n_rows"), F.max((F.col("volume_source") == "類別推估").cast("int")).alias("any_imputed"))
-    out = rows.join(out, "item_id")
     out = out.withColumn("volume_cm3", F.col("len_cm") * F.col("wid_cm") * F.col("hgt_cm")).withColumn("edge_cm", F.greatest(*EDGES))
     size = F.when(F.col("volume_cm3").isNull(), "無法計算(缺維度)").when(F.col("guessed"), "類別推估").otherwise("實測")
     out = out.withColumn("size_source", size).withColumn("volume_usable", F.col("volume_cm3").isNotNull()).drop("guessed")

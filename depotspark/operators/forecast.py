@@ -65,11 +65,12 @@ def one_step(d: DataFrame) -> DataFrame:
 
 
 def select(d: DataFrame, horizon: int = 3) -> DataFrame:
-    """Adds te, the chosen model's rank and name, its walk-forward mase, denom and predictions."""
-    d = d.withColumn("te", train_end("s")).withColumn("best", S.select_model(F.col("s"), F.col("te")))
-    d = d.withColumn("rank", F.col("best.rank")).withColumn("train_mase", F.col("best.mase")).drop("best")
-    d = d.withColumn("model", F.get(F.array(*[F.lit(m) for m in R.MODELS]), F.col("rank"))).withColumn("denom", S.mean_abs_diff(F.slice("s", 1, F.col("te"))))
-    return d.withColumn("pred", S.multi_step(F.col("s"), F.col("te"), F.col("rank"), horizon)).withColumn("actual", F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda k: F.coalesce(F.get("s", F.col("te") + k), F.lit(0.0))))
+    """Adds te, the chosen model's rank and name, its walk-forward mase, denom and predictions. Each series is walked once."""
+    d = d.withColumn("te", train_end("s")).withColumn("w", S.walk(F.col("s"), F.col("te"))).withColumn("best", S.select_model(F.col("w"), F.col("te")))
+    d = d.withColumn("rank", F.col("best.rank")).withColumn("train_mase", F.col("best.mase"))
+    d = d.withColumn("model", F.get(F.array(*[F.lit(m) for m in R.MODELS]), F.col("rank"))).withColumn("denom", S.denominator(F.col("w")))
+    d = d.withColumn("pred", S.multi_step(F.col("s"), F.col("w"), F.col("rank"), horizon)).withColumn("actual", F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda k: F.coalesce(F.get("s", F.col("te") + k), F.lit(0.0))))
+    return d.drop("w", "best")
 
 
 def _sum(a):
@@ -120,9 +121,9 @@ def cold_start(d: DataFrame, profile: DataFrame, recent: int = R.RECENT_PERIODS)
     return new.select("key", F.when(F.col("own").isNotNull(), "own").when(F.col("level").isNotNull(), "analogue").otherwise("none").alias("source"), F.coalesce("own", "level", F.lit(0.0)).alias("level"))
 
 
-def weekly_naive(sales: DataFrame, test: int = TEST_WEEKS) -> DataFrame:
-    """Each item's picks by week: key, n weeks, total, the naive forecast for each of the last `test` weeks, their actual sum and mean absolute error."""
-    d = dense(sales, "item_id", "cnt", "week").withColumn("k", F.greatest(F.size("s") - test, F.lit(0)))
+def weekly_naive(sales: DataFrame, key: str = "item_id", test: int = TEST_WEEKS) -> DataFrame:
+    """Picks of each item (or category) by week: key, n weeks, total, the naive forecast for each of the last `test` weeks, their actual sum and mean absolute error."""
+    d = dense(sales, key, "cnt", "week").withColumn("k", F.greatest(F.size("s") - test, F.lit(0)))
     d = d.withColumn("naive", S.naive(F.slice("s", F.lit(1), F.col("k")))).withColumn("last", F.slice("s", F.col("k") + 1, F.size("s")))
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     error = add(F.transform("last", lambda x: F.abs(x - F.col("naive")))) / F.size("last")

@@ -6,16 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotspark.operators import addresses, cleaning, dimensions
-from depotspark.operators.graph import cut_lineage
+from depotspark.operators.cache import cached
+
+
+def cleaned(raw: DataFrame) -> DataFrame:
+    """Isolation reasons and final categories; the isolation runs once for the session."""
+    return cleaning.reclassify(cached(cleaning.isolate, raw))
+
+
+def measured(raw: DataFrame) -> DataFrame:
+    """cleaned with repaired dimensions and volumes."""
+    return dimensions.measure(cleaned(raw))
+
+
+def master(raw: DataFrame) -> DataFrame:
+    """The item master of the measured rows, which are made once for the session."""
+    return dimensions.item_master(cached(measured, raw))
 
 
 def run(raw: DataFrame, roads: DataFrame | None = None, villages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, master): every raw row once, clean and isolated, with its isolation reason, filled and repaired columns, volume,
     address and the storage class of its item; and the item master. Rows without a known item are 未分類(無商品ID)."""
-    measured = cut_lineage(dimensions.with_volume(dimensions.impute(dimensions.repair(cleaning.reclassify(cleaning.isolate(raw))))))
-    master = cut_lineage(dimensions.item_master(measured))
-    rows = addresses.resolve(addresses.backfill(measured), addresses.gazetteer(roads, villages))
-    return cut_lineage(with_storage_class(rows, master)), master
+    items = cached(master, raw)
+    rows = addresses.resolve(addresses.backfill(cached(measured, raw)), addresses.gazetteer(roads, villages))
+    return with_storage_class(rows, items), items
 
 
 def with_storage_class(rows: DataFrame, master: DataFrame) -> DataFrame:

@@ -216,6 +216,9 @@ def pair_sql(key: str, least: str) -> str:
 BY_N = "(case when n < 3000 then 3 when n < 20000 then 10 else 20 end)"
 P_SEL = "select a, b, count, round(support, 6) as support, round(lift, 6) as lift from pr"
 add("sku_pairs_min3", f"{SALES}, {pair_sql('item_id', '3')}", P_SEL)
+add("pair_work", SALES, """, ok as materialized (select distinct ship_no, item_id as k from sales), kf as (select k, count(*) as f from ok group by 1),
+per as (select ship_no, count(*) as s, count(*) filter (f >= 12) as t from ok join kf using (k) group by 1)
+select count(*) as orders, cast(sum(s * (s - 1) // 2) as bigint) as rows_all, cast(sum(t * (t - 1) // 2) as bigint) as rows_made, max(s) as largest_order, any_value(x.keys) as keys, any_value(x.often) as often from per, (select count(*) as keys, count(*) filter (f >= 12) as often from kf) x""".lstrip())
 add("brand_pairs", f"{SALES}, {pair_sql('category_id', BY_N)}", P_SEL)
 add("top_lift_pairs", f"{SALES}, {pair_sql('category_id', BY_N)}", P_SEL + " order by count desc, a, b limit 40")
 add("category_partners", f"{SALES}, {pair_sql('category_id', BY_N)}", "select case when a = 11 then b else a end as partner, count, round(lift, 6) as lift from pr where a = 11 or b = 11 order by lift desc, partner limit 10")
@@ -267,14 +270,27 @@ CATS = f"{SALES}, {CAL}, {dense('category_id')}"
 add("period_totals", SALES, """, x as (select *, strftime(ship_date, '%Y-%m') as period from sales where qty > 0)
 select 'all' as level, cast(null as bigint) as key, period, round(sum(qty), 6) as qty, count(*) as cnt from x group by period union all select 'category', category_id, period, round(sum(qty), 6), count(*) from x group by category_id, period union all select 'item', item_id, period, round(sum(qty), 6), count(*) from x group by item_id, period""")
 add("calendar_months", f"{SALES}, {CAL}", "select idx, period from cal")
-add("calendar_weeks", SALES, "select cast(row_number() over (order by d) - 1 as int) as idx, strftime(d, '%Y-%m-%d') as period from (select unnest(generate_series(date_trunc('week', min(ship_date)), date_trunc('week', max(ship_date)), interval 7 day)) as d from sales)")
+WEEKS = "select cast(row_number() over (order by d) - 1 as int) as idx, strftime(d, '%Y-%m-%d') as period from (select unnest(generate_series(date_trunc('week', min(ship_date)), date_trunc('week', max(ship_date)), interval 7 day)) as d from sales)"
+add("calendar_weeks", SALES, WEEKS)
 add("item_totals_window", SALES, "select item_id, round(sum(qty), 6) as total from sales where strftime(ship_date, '%Y-%m') between '1996-01' and '1996-03' group by 1")
 add("fc_one_step", CATS, "select key, " + ", ".join(f"round({m}, 6) as {n}" for n, m in zip(NAMES, models("h"))) + " from (select key, s[1:len(s) - 3] as h from d)")
 add("fc_select", f"{CATS}, {selected()}", f"select key, {MODEL_NAMES}[rank + 1] as model, round(train_mase, 6) as train_mase, round(denom, 6) as denom from ch")
 add("fc_multistep", f"{CATS}, {selected()}", "select key, hz as h, round(pred, 6) as pred, round(actual, 6) as actual from pr")
 ACC = f"select key, {MODEL_NAMES}[rank + 1] as model, round(wape, 6) as wape, round(mase, 6) as mase, round(tot_err, 6) as tot_err, round(pred_sum, 6) as pred_sum, round(actual_sum, 6) as actual_sum from ac"
 add("fc_accuracy", f"{CATS}, {selected()}", ACC)
-add("fc_weekly_item_naive", SALES, ", w as (select * from sales where item_id % 50 = 7) select category_id as key, cast((select datediff('day', date_trunc('week', min(ship_date)), date_trunc('week', max(ship_date))) / 7 + 1 from w) as int) as n, round(cast(count(*) as double), 6) as total from w group by 1")
+
+
+def weekly_naive(key: str) -> str:
+    week = "strftime(date_trunc('week', ship_date), '%Y-%m-%d')"
+    return f"""with {SALES}, cal as materialized ({WEEKS}),
+g as (select {key} as key, {week} as period, cast(count(*) as double) as v from sales where qty > 0 and {key} is not null group by 1, 2),
+d as (select key, list(coalesce(v, 0.0::double) order by idx) as s from (select ks.key, idx, v from (select distinct key from g) ks cross join cal left join g on g.key = ks.key and g.period = cal.period) group by 1),
+e as (select key, s, greatest(len(s) - 13, 0) as k from d), f as (select key, s, s[k + 1:] as tail, case when k > 0 then s[k] else 0.0 end as naive from e)
+select key, cast(len(s) as int) as n, round(list_sum(s), 6) as total, round(naive, 6) as naive, round(list_sum(tail), 6) as actual, round(list_sum(list_transform(tail, lambda x: abs(x - naive))) / len(tail), 6) as mae from f"""
+
+
+for _name, _key in {"fc_weekly_item_naive": "item_id", "fc_weekly_naive_items": "item_id", "fc_weekly_category_naive": "category_id"}.items():
+    SQL[_name] = weekly_naive(_key)
 ITEMS = f"{EARLY}, {CAL}, {dense('item_id')}, prof as (select item_id as key, arg_min(category_id, row_id) as category_id, arg_min(storage_class, row_id) as storage_class from sales group by 1), fl as materialized (select key, s, list_position(list_transform(s, lambda v: v > 0), true) - 1 as first, len(s) - list_position(list_reverse(list_transform(s, lambda v: v > 0)), true) as last from d where list_max(s) > 0), nw as (select key, first from fl where first >= len(s) - 3 - 3)"
 add("lifecycle", ITEMS, "select key, cast(first as int) as first, cast(last as int) as last, cast(len(s) - 1 - last as int) as dormant, case when first >= len(s) - 6 then '新品' when last <= len(s) - 4 then '滯銷' else '正常' end as stage from fl")
 add("new_items", ITEMS, "select key, cast(first as int) as first from nw")
@@ -386,6 +402,8 @@ ir as materialized (select key, code, name, me.category_id, {label('me.category_
 _IR = "select key, code, name, category_id, label, round(total, 6) as total, round(actual_sum, 6) as actual_sum, round(pred_sum, 6) as pred_sum, round(wape, 6) as wape, round(tot_err, 6) as tot_err, model, is_new from "
 add("fc_sku_rows", ROWS, _IR + "ir")
 add("fc_sku_top", ROWS, _IR + "(select * from (select * from ir order by total desc, key limit 200) order by actual_sum desc, key limit 20)")
+for _name in ("predicted_items", "predicted_sku_abc", "predicted_with_history", "fc_sku_rows"):  # the same over all sales
+    SQL[f"{_name}_all"] = SQL[_name].replace(EARLY, SALES).replace("freq * 3.0::double / 9)", "freq * 3.0::double / (select count(*) from cal))")
 SQL["predicted_top_per_material"] = f"select * from ({SQL['predicted_sku_abc']}) where rank <= 10"
 add("pareto_ends", FREQ, f", c as (select * from {classed('freq', 'freq', 'item_id')}) select count(*) as items, round(count(*) filter (cls = 'A') * 100.0::double / count(*), 6) as a_pct, round(count(*) filter (cls <> 'C') * 100.0::double / count(*), 6) as b_pct from c".lstrip())
 for name, sql in SQL.items():

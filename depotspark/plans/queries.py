@@ -11,6 +11,7 @@ from depotspark import reference_values as R
 from depotspark.functions import address as A
 from depotspark.functions import text as T
 from depotspark.operators import abc, addresses, cleaning, copick, dimensions, forecast, layout, pipeline, quality, waves
+from depotspark.operators.cache import cached
 from depotspark.operators.graph import cut_lineage
 from depotspark.sources import files
 from depotspark.sources.star import raw_lines, sales
@@ -40,18 +41,24 @@ def early(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.reclassify(cleaning.isolate(raw_lines(spark, d)))
+    return pipeline.cleaned(raw_lines(spark, d))
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    return dimensions.with_volume(dimensions.impute(dimensions.repair(cleaned(spark, d))))
+    return cached(pipeline.measured, raw_lines(spark, d))
+
+
+def the_run(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the cleaning run, made once for the session."""
+    return cached(pipeline.run, raw_lines(spark, d), *roads_villages(spark))[0]
 
 
 def roads_villages(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """A small gazetteer: unique and shared names, one city with 臺."""
     roads = [("臺北市", "臺北市士林區", "士東路"), ("台北市", "台北市中正區", "忠孝路"), ("台北市", "台北市大安區", "忠孝東路"), ("高雄市", "高雄市橋頭區", "大學南路"), ("甲市", "甲市A區", "中山路"), ("甲市", "甲市B區", "中山路"), ("乙市", "乙市C區", "中山路"), ("丙市", "丙市X區", "獨有路"), ("台中市", "台中市西屯區", "朝富路"), ("", "x", "y")]
     villages = [("甲市", "B區", "光復里"), ("丁市", "D區", "光復里"), ("戊市", "Y區", "獨有里"), ("台南市", "左鎮區", "光榮里")]
-    return spark.createDataFrame(roads, "city string, site_id string, road string"), spark.createDataFrame(villages, "city string, district string, village string")
+    literal = lambda data, names: spark.sql(f"select * from values {', '.join(map(str, data))} as t({names})")  # noqa: E731  a plan of literals: equal plans are known as equal
+    return literal(roads, "city, site_id, road"), literal(villages, "city, district, village")
 
 
 # ---- projections and cleaning ------------------------------------------------------------------------------
@@ -116,7 +123,7 @@ def mode_fill(spark, d):
 
 @query
 def isolation_reasons(spark, d):
-    return cleaning.isolate(raw_lines(spark, d)).select("row_id", "isolation_reason")
+    return cached(cleaning.isolate, raw_lines(spark, d)).select("row_id", "isolation_reason")
 
 
 @query
@@ -168,12 +175,12 @@ def volume_source(spark, d):
 def sku_master(spark, d):
     """The columns that ABC and layout read; the whole master is sku_master_full."""
     dims = [*dimensions.ALL, "volume_cm3", "edge_cm", "storage_class"]
-    return rounded(dimensions.item_master(measured(spark, d)).select("item_id", "n_rows", *[f"{c}_conflict" for c in dimensions.EDGES], "any_imputed", "sources", "item_name", "category_id", *dims))
+    return rounded(cached(pipeline.master, raw_lines(spark, d)).select("item_id", "n_rows", *[f"{c}_conflict" for c in dimensions.EDGES], "any_imputed", "sources", "item_name", "category_id", *dims))
 
 
 @query
 def sku_master_full(spark, d):
-    out = dimensions.item_master(measured(spark, d))
+    out = cached(pipeline.master, raw_lines(spark, d))
     texts = [x for c in dimensions.ALL for x in (f"{c}_sources", f"{c}_conflict")]
     return rounded(out.select("item_id", "item_name", "category_id", *dimensions.ALL, "volume_cm3", "edge_cm", "size_source", "storage_class", "class_reason", "volume_usable", "n_rows", *texts))
 
@@ -220,8 +227,12 @@ def address_variants(spark, d):
     return v.withColumn("lo", F.date_format("lo", "yyyy-MM-dd")).withColumn("hi", F.date_format("hi", "yyyy-MM-dd"))
 
 
+def _backfilled(raw):
+    return addresses.backfill(cut_lineage(raw))
+
+
 def _filled(spark, d):
-    return addresses.backfill(raw_lines(spark, d).select("row_id", "ship_no", "store_code", "address"))
+    return cached(_backfilled, raw_lines(spark, d).select("row_id", "ship_no", "store_code", "address"))
 
 
 @query
@@ -285,6 +296,12 @@ def sku_pairs_min3(spark, d):
     return rounded(copick.pairs(sales(spark, d), "item_id", 3))
 
 
+@query
+def pair_work(spark, d):
+    """Rows that the pairs of items make before they are counted, for a least count of 12."""
+    return copick.pair_work(sales(spark, d), "item_id", 12)
+
+
 @query
 def brand_pairs(spark, d):
     return rounded(copick.pairs(sales(spark, d), "category_id"))
@@ -351,13 +368,18 @@ def fc_accuracy(spark, d):
 
 @query
 def fc_weekly_item_naive(spark, d):
-    w = forecast.dense(sales(spark, d).where("item_id % 50 = 7"), "category_id", "cnt", "week")
-    return w.select("key", F.size("s").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return rounded(forecast.weekly_naive(sales(spark, d)))
 
 
 @query
 def fc_weekly_naive_items(spark, d):
-    return rounded(forecast.weekly_naive(sales(spark, d)))
+    """The same under its earlier name."""
+    return fc_weekly_item_naive(spark, d)
+
+
+@query
+def fc_weekly_category_naive(spark, d):
+    return rounded(forecast.weekly_naive(sales(spark, d), "category_id"))
 
 
 @query
@@ -409,7 +431,7 @@ def predicted_with_history(spark, d):
     return rounded(forecast.with_history(p, abc.sku_frequency(s), 9), 4)
 
 
-# the same over all sales, without an SQL
+# the same over all sales
 
 
 @query
@@ -643,17 +665,17 @@ RUN = ["row_id", "isolation_reason", "item_id", "name_filled", "category_final",
 
 @query
 def cleaning_run(spark, d):
-    return rounded(pipeline.run(raw_lines(spark, d), *roads_villages(spark))[0].select(*RUN))
+    return rounded(the_run(spark, d).select(*RUN))
 
 
 @query
 def change_log_all(spark, d):
-    return pipeline.change_log(pipeline.run(raw_lines(spark, d), *roads_villages(spark))[0])
+    return pipeline.change_log(the_run(spark, d))
 
 
 @query
 def reclass_stats(spark, d):
-    return cleaning.reclass_stats(cut_lineage(cleaning.isolate(raw_lines(spark, d))))
+    return cleaning.reclass_stats(cached(cleaning.isolate, raw_lines(spark, d)))
 
 
 # ---- forecast tables ---------------------------------------------------------------------------------------

@@ -3,15 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and reads it back
 as the next stage's docs. All stages but the last return the columns of documents, with n_chars following the text.
 
-Defined cases, in each stage: an empty table gives an empty result; null and empty texts count as empty; extra columns
-pass through the filters under their own names. Rows with a null id can't be named in a group and stay. A document
-that occurs several times with one id stays once at the near-duplicate stage; of different texts under one id, which are
-one group, that of the smallest fingerprint.
+Defined cases, in each stage: an empty table gives an empty result; null and empty texts count as empty; extra columns of any
+name and type pass through the filters as they are: what a stage adds never meets them. Rows without an id take part in the
+near-duplicate stage under a fingerprint of their text, above all ids, so one of several copies stays and a copy with an id goes
+before one without. A document that occurs several times with one id stays once there; of different texts under one id,
+which are one group, that of the smallest fingerprint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotspark.llm import byte_bpe, mixing, ngram_join, pii, quality_rules
@@ -21,23 +22,41 @@ from depotspark.llm.common import SPACES, materialize, release, ship
 ORACLE_SQL = None
 
 
+#: Ids of rows without one start here.
+UNNAMED = 1 << 62
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but those that stages read under names that no stage makes, and the names: theirs -> ours."""
+    names = {c: c if c in ("doc_id", "text", "lang", "source") else f"_column{i}_" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _back(names: dict[str, str]) -> list[Column]:
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    rows, names = _aside(docs)
+    return quality_rules.quality_rules(rows).where("kept").select(*_back(names))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked at Jaccard 0.8 or more over 5-word shingles."""
     ship(spark)
-    found = materialize(ngram_join.components(docs))
+    rows, names = _aside(docs)
+    own_id = F.lit(UNNAMED) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(UNNAMED >> 1))
+    rows = rows.withColumn("_given_", F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", own_id))
+    found = materialize(ngram_join.components(rows.select("doc_id", "text")))
     stays = materialize(found.where("doc_id = component_id").select("doc_id").distinct())
-    # texts move once, by id, and at every size in the same way; rows without an id stay where they are
-    named = docs.where("doc_id is not null").join(stays.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    # texts move once, by id, and at every size in the same way
+    left = rows.join(stays.hint("shuffle_hash"), "doc_id", "left_semi").select(*rows.columns)
     if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = _one_for_each_id(named)
+        left = _one_for_each_id(left)
     release(found)
-    return named.unionByName(docs.where("doc_id is null").select(*docs.columns))
+    return left.select(*_back(names | {"doc_id": "_given_"}))
 
 
 def _one_for_each_id(docs: DataFrame) -> DataFrame:
@@ -50,10 +69,9 @@ def _one_for_each_id(docs: DataFrame) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each span of personal data replaced by its kind in brackets."""
     ship(spark)
-    out = pii.find(docs).withColumn("text", F.col("redacted"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    rows, names = _aside(docs)
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return pii.find(rows).select(*[new[c].alias(c) if c in new else F.col(n).alias(c) for c, n in names.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,7 +104,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if last is not None:
+            release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -293,3 +293,28 @@ def test_pipeline_edge_cases(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_columns_of_any_name_survive_every_stage(spark):
+    r = random.Random(8)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(120))
+    names = ["distance", "n_words", "spans", "kept", "n_email", "redacted", "grp", "_given_", "_column5_", "base_failed", "share", "size"]
+    rows = [(i, prose() + f" mail{i}@example.org", "en", "s", 1, *[f"{c} {i}" for c in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join([DOCS, *[f"{c} string" for c in names]]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, SF))
+        assert docs.columns[5:] == names and all(t == "string" for _, t in docs.dtypes[5:]), name
+    got = docs.collect()
+    assert got and all(x[c] == f"{c} {x.doc_id}" for x in got for c in names)
+    assert all("@" not in x.text for x in got)
+
+
+def test_copies_without_an_id(spark):
+    r = random.Random(9)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(60))
+    a, b = prose(), prose()
+    rows = [(None, a, 1), (None, a, 2), (None, a + " end", 3), (7, b, 4), (None, b, 5), (8, prose(), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_shingles long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(x.doc_id for x in got if x.doc_id is not None) == [7, 8] and [x.text[: len(a)] for x in got if x.doc_id is None] == [a]
+    assert all((x.doc_id, x.text, x.n_shingles) in rows for x in got)

@@ -32,9 +32,11 @@ are returned as often as they occur; unclosed elements end with the page; other
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +55,9 @@ CONTENTS = 3  # different contents that a host needs for a template
 SUPPORT = 0.05  # share of a host's pages that a template's token is on, so that a template is not longer than twenty pages
 LINKS = 0.6  # share of link text that makes a slot navigation
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_START = re.compile(r"</?[a-zA-Z][a-zA-Z0-9:-]*|<!--|<!\[CDATA\[|<[!?]")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>")  # one without < in it: looks no further than the next <
+_SPECIAL = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -99,6 +103,86 @@ def _named(names: list[str], words: set[str]) -> bool:
     return bool(names) and any((parts := {y for y in _SPLIT.split(x) if y}) and parts <= words for x in names)
 
 
+class Scanner:
+    """The tags of a page, one after the other. What a search to the end of the page has found is remembered, so that all
+    searches together are linear in the page, whatever stands in it."""
+
+    def __init__(self, page: str):
+        self.page, self.absent, self.special = page, set(), None
+
+    def _prepare(self) -> None:
+        page = self.page
+        self.special = [m.start() for m in _SPECIAL.finditer(page)]  # where tags end and values begin or end
+        kinds = [page[at] for at in self.special]
+        self.after: list[int] = [0] * len(kinds)  # place after the same quote's next occurrence, 0: none
+        seen: dict[str, int] = {}
+        for k in range(len(kinds) - 1, -1, -1):
+            self.after[k] = seen.get(kinds[k], -1) + 1
+            seen[kinds[k]] = k
+        self.ends: dict[int, int] = {}
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at `at`: the first > outside quoted values; -1: nowhere."""
+        if self.special is None:
+            self._prepare()
+        k, chain = bisect.bisect_left(self.special, at), []
+        while True:
+            if k in self.ends:
+                end = self.ends[k]
+                break
+            if k >= len(self.special):
+                end = -1
+                break
+            chain.append(k)
+            if self.page[self.special[k]] == ">":
+                end = self.special[k]
+                break
+            k = self.after[k]
+            if not k:  # a quote that nothing closes
+                end = -1
+                break
+        for c in chain:
+            self.ends[c] = end
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag, whether it closes, attributes) of the first tag or comment (tag "") from `at` on."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if m := _TAG.match(page, at):
+                return at, m.end(), m[2].lower(), bool(m[1]), m[3]
+            if not (m := _START.match(page, at)):
+                at += 1
+                continue
+            start, at, head = m.start(), m.end(), m[0]
+            if head[1] in "!?":
+                closed = {"<!--": "-->", "<![CDATA[": "]]>"}.get(head)
+                end = page.find(closed or ">", at) if (closed or ">") not in self.absent else -1
+                if end >= 0:
+                    return start, end + len(closed or ">"), "", False, ""
+                self.absent.add(closed or ">")
+                if closed:
+                    return start, len(page), "", False, ""
+            elif (end := self._end(at)) >= 0:
+                close = head[1] == "/"
+                return start, end + 1, head[1 + close :].lower(), close, page[at:end]
+        return None
+
+    def past(self, tag: str, at: int) -> int:
+        """Behind the next closing tag of that name; -1: there is none."""
+        if tag in self.absent:
+            return -1
+        m = _closing(tag).search(self.page, at)
+        if not m:
+            self.absent.add(tag)
+        return m.end() if m else -1
+
+
+@functools.lru_cache(256)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
 class Page:
     """Tokens of a page in order of first appearance, and its text blocks."""
 
@@ -142,19 +226,19 @@ class Page:
             nonlocal element, chrome, main
             element, chrome, main = stack[-1][1:] if stack else (PAGE, 0, 0)
 
-        at, n = 0, len(page)
+        at, n, scan, opened = 0, len(page), Scanner(page), Counter()  # opened: how often each tag is on the stack
         while at < n:
-            m = _TAG.search(page, at)
+            m = scan.next(at)
             if not m:
                 say(page[at:])
                 break
-            if m.start() > at:
-                say(page[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            start, end, tag, closing, attrs = m
+            if start > at:
+                say(page[at:start])
+            at = end
+            if not tag:
                 continue
-            tag, closing = m[2].lower(), bool(m[1])
-            names = [] if closing or not m[3] else _names(m[3])
+            names = [] if closing or not attrs else _names(attrs)
             if tag in _INLINE:
                 if tag == "br":
                     buffer.append(" ")
@@ -162,32 +246,33 @@ class Page:
                     links = max(0, links + (-1 if closing else 1))
                 if not closing and tag not in _VOID and _named(names, _WORDS):
                     # an inline element that is chrome by name is skipped as a whole
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at, links = end.end() if end else at, max(0, links - (tag == "a" and bool(end)))
+                    end = scan.past(tag, at)
+                    at, links = max(end, at), max(0, links - (tag == "a" and end >= 0))
                 continue
             flush()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened[tag]:
+                    while stack:
+                        opened[stack[-1][0]] -= 1
+                        if stack.pop()[0] == tag:
+                            break
                 links = 0
                 settle()
                 continue
             if tag in _RAW:
                 self._see(_hash(tag, element), element)
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                end = scan.past(tag, at)
+                at = end if end >= 0 else n
                 continue
             if tag in _CLOSED_BY:
                 while stack and stack[-1][0] in _CLOSED_BY[tag]:
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
             elif stack and stack[-1][0] == "p":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             settle()
             token = _step(tag, tuple(names), element)
             self._see(token, element)
-            if tag in _VOID or m[3].rstrip().endswith("/"):
+            if tag in _VOID or attrs.rstrip().endswith("/"):
                 continue
             inside = max(main, 2 if tag == "article" else 1 if tag == "main" else 0)
             if inside > main and chrome == 1 and not article:
@@ -201,6 +286,7 @@ class Page:
                 bad = 1
             article = article or (inside > 0 and not bad)
             stack.append((tag, token, bad, inside))
+            opened[tag] += 1
             settle()
         flush()
 
@@ -308,9 +394,10 @@ def templates(pages: DataFrame) -> DataFrame:
                 if host not in known:
                     known[host] = set(b.column(8)[row].as_py()), set(b.column(9)[row].as_py())
                 (frame, fixed), sums = known[host], {}
+                slots = _slots(tokens, parent, frame)
                 for at, element, n, m, bad in zip(block, around, chars, links, chrome):
                     static = tokens[at] in fixed
-                    s = sums.setdefault((0 if static else _slot(tokens, parent, element, frame), bad, static), [0, 0])
+                    s = sums.setdefault((0 if static else slots[element], bad, static), [0, 0])
                     s[0] += n
                     s[1] += m
                 for (slot, bad, static), (n, m) in sums.items():
@@ -337,11 +424,12 @@ def templates(pages: DataFrame) -> DataFrame:
     return out
 
 
-def _slot(tokens: list[int], parent: list[int], at: int, frame: set[int]) -> int:
-    """Token of the innermost element of the frame around; the page itself is the outermost."""
-    while at > 0 and tokens[at] not in frame:
-        at = parent[at]
-    return tokens[max(at, 0)]
+def _slots(tokens: list[int], parent: list[int], frame: set[int]) -> list[int]:
+    """For each token that of the innermost element of the frame around it, itself included; the page itself is the outermost."""
+    out = tokens[:1]
+    for token, around in zip(tokens[1:], parent[1:]):  # an element stands before what is in it
+        out.append(token if token in frame else out[around])
+    return out
 
 
 def _read(page: str, template: tuple | None) -> str:
@@ -352,11 +440,11 @@ def _read(page: str, template: tuple | None) -> str:
             left = [x for x in left if x.main]
         return "\n".join(x.text for x in left)
     frame, fixed, drop, keep = template
-    tokens, left = list(p.tokens), []
+    slots, left = _slots(list(p.tokens), p.parent, frame), []
     for x in p.blocks:
         if x.token in fixed:
             continue
-        slot = _slot(tokens, p.parent, p.tokens[x.element], frame) if drop or keep else PAGE
+        slot = slots[p.tokens[x.element]] if drop or keep else PAGE
         if slot in keep if x.chrome else slot not in drop:
             left.append(x.text)
     return "\n".join(left)

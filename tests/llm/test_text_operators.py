@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import pandas as pd
@@ -674,3 +675,24 @@ def test_oracles_are_sql():
     assert all(isinstance(x, str) for x in registry.ORACLE_SQL.values())
     source = open(license_scan.__file__).read()
     assert source.count("def families(") == 1 and source.count("def scan(") == 1
+
+
+@pytest.mark.parametrize("text", ["<a " * 60000, '<a b="' * 60000, "<span class=ad>x" * 60000, "<!x" * 60000, "<div>" * 30000 + "</x>" * 30000, "<a " * 60000 + '">', "<a '" * 30000 + '<a "' * 30000 + ">"])
+def test_html_odd_pages_take_linear_time(text):
+    start = time.time()
+    page = html_extract.Page(text)
+    assert time.time() - start < 10 and page.tokens
+
+
+def test_html_scanner_finds_what_the_pattern_finds():
+    """A tag ends at the first > outside quoted values; what has no end is text."""
+    pattern = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    r = random.Random(1)
+    bits = ["<", "a ", "<a ", "</a>", ">", '"', "'", "<div class=ad>", "<!--", "-->", "x ", "<!x", "=", "<br/>", "<![CDATA[", "]]>", "</", "?"]
+    for _ in range(5000):
+        page = "".join(r.choice(bits) for _ in range(r.randint(1, 30)))
+        scan, at, found = html_extract.Scanner(page), 0, []
+        while m := scan.next(at):
+            found.append(m)
+            at = m[1]
+        assert found == [(m.start(), m.end(), (m[2] or "").lower(), bool(m[1]), m[3] or "") for m in pattern.finditer(page)], page

@@ -51,6 +51,6 @@ def change_log(rows: DataFrame) -> DataFrame:
 
 
 def result_frames(rows: DataFrame, master: DataFrame) -> dict[str, DataFrame]:
-    """The tables of an export in their order: clean rows, isolated rows, changes, items, categories."""
+    """The tables of an export in their order: clean rows, isolated rows, categories, changes, items. R.SHEETS has their names as sheets."""
     categories = rows.where("isolation_reason is null").groupBy("category_final").agg(F.count("*").alias("n_rows"), F.count_distinct("item_id").alias("n_items"))
-    return {"clean": rows.where("isolation_reason is null"), "isolated": rows.where("isolation_reason is not null"), "changes": change_log(rows), "items": master, "categories": categories}
+    return {"clean": rows.where("isolation_reason is null"), "isolated": rows.where("isolation_reason is not null"), "categories": categories, "changes": change_log(rows), "items": master}

@@ -182,3 +182,6 @@ WALK_SPEED, HANDLE_SECONDS = 1.0, 12.0
 KPI_TARGETS = {"dist": 10.0, "rounds": 10.0, "worktime": 5.0}
 PARETO_POINTS = 220
 MODELS = ["Naive", "季節Naive", "MA3", "SES", "Holt", "Croston"]
+
+# Names of an export's sheets, in their order.
+SHEETS = {"clean": "乾淨資料", "isolated": "隔離資料", "categories": "商品類別對應表", "changes": "逐筆變更紀錄", "items": "商品材積主檔"}

@@ -64,9 +64,16 @@ def parse_plan(text: str) -> dict:
     return json.loads(text[text.index("{") : text.rindex("}") + 1])
 
 
-def preview(df: DataFrame, n: int = 20) -> tuple[DataFrame, list[str]]:
-    """The first rows and the required columns that are missing."""
-    return df.limit(n), [c for c in RAW_COLUMNS if c not in df.columns]
+def suggested_mapping(columns: list[str]) -> dict[str, str | None]:
+    """For each required column the file's column of the same trimmed name, None where the user has to choose."""
+    trimmed = {c.strip(): c for c in reversed(columns)}
+    return {c: trimmed.get(c) for c in RAW_COLUMNS}
+
+
+def preview(df: DataFrame, n: int = 20) -> dict:
+    """What a user sees of a file before mapping it: trimmed columns, number of rows, missing required columns, suggested mapping, first rows."""
+    mapping = suggested_mapping(df.columns)
+    return {"columns": [c.strip() for c in df.columns], "row_count": df.count(), "missing": [c for c, v in mapping.items() if v is None], "mapping": mapping, "rows": df.limit(n)}
 
 
 def page(df: DataFrame, order: str, limit: int, offset: int) -> DataFrame:

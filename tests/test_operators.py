@@ -225,7 +225,7 @@ def test_workbook(spark, tmp_path):
 
 def test_zip_export(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, 'b "x"'), (3, None)], "n int, t string").repartition(2, "n")
-    sinks.zip_csv({"clean": df, "isolated": df.limit(0)}, str(tmp_path / "out"), str(tmp_path / "x.zip"), "two\nlines")
+    sinks.zip_csv({"clean": df, "isolated": df.limit(0)}, str(tmp_path / "x.zip"), "two\nlines")
     with zipfile.ZipFile(tmp_path / "x.zip") as z:
         assert z.namelist() == ["readme.txt", "clean.csv", "isolated.csv"] and z.read("readme.txt").decode("utf-8-sig") == "two\r\nlines"
         raw = z.read("clean.csv")
@@ -241,7 +241,7 @@ def test_cleaning_run_keeps_every_row(spark):
     assert rows.count() == raw.count() == rows.select("row_id").distinct().count()
     assert rows.where("item_id is null and storage_class <> '未分類(無商品ID)'").count() == 0
     frames = pipeline.result_frames(rows, master)
-    assert list(frames) == ["clean", "isolated", "changes", "items", "categories"]
+    assert list(frames) == ["clean", "isolated", "categories", "changes", "items"] == list(R.SHEETS)
     assert frames["clean"].count() + frames["isolated"].count() == rows.count()
     log = frames["changes"]
     assert log.where("before <=> after").count() == 0 and {r.column for r in log.select("column").distinct().collect()} >= {"item_name", "category_id", "len_cm", "address"}

@@ -1,10 +1,7 @@
-"""Slots, largest-remainder shares, item clusters, placement before and after, zone classes, cell distances."""
+"""Slots, largest-remainder shares, item clusters, placement before and after and zone classes; distances over a plan are in geometry."""
 
 from __future__ import annotations
 
-import heapq
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -180,46 +177,3 @@ def cold_start_cards(new: DataFrame, items: DataFrame) -> DataFrame:
     at = F.floor(F.col("all") / 2)
     mid = run.where((F.col("hi") > at) & (F.col("hi") - F.col("n") <= at)).select("category_id", "material", F.col("all").alias("peers"), F.col("freq").alias("median_freq"))
     return items.join(new, "id").join(mid, ["category_id", "material"], "left").select("id", "category_id", "material", "flex", F.coalesce("peers", F.lit(0)).alias("peers"), "median_freq")
-
-
-def cell_distances(plan: dict, grid: float = 12.0) -> list[tuple[str, int, float]]:
-    """(zone, cell, metres) of a floor plan: walking distance over a grid with eight neighbours from the nearest gate.
-
-    plan: width, height, px_per_m, gates [(x, y)], blockers [(x, y, w, h)], zones {code: [(x, y, w, h)]}. A plan is a drawing
-    of one floor, so this runs where it is read. A blocked cell takes the distance of its nearest walkable neighbour.
-    """
-    nx, ny = math.ceil(plan["width"] / grid), math.ceil(plan["height"] / grid)
-    solid = [[any(x <= (i + 0.5) * grid < x + w and y <= (j + 0.5) * grid < y + h for x, y, w, h in plan["blockers"]) for j in range(ny)] for i in range(nx)]
-    far = math.inf
-    dist = [[far] * ny for _ in range(nx)]
-    heap = []
-    for x, y in plan["gates"]:
-        i, j = min(nx - 1, int(x // grid)), min(ny - 1, int(y // grid))
-        if not solid[i][j]:
-            dist[i][j] = 0.0
-            heap.append((0.0, i, j))
-    heapq.heapify(heap)
-    while heap:
-        d, i, j = heapq.heappop(heap)
-        if d > dist[i][j]:
-            continue
-        for di in (-1, 0, 1):
-            for dj in (-1, 0, 1):
-                a, b = i + di, j + dj
-                if (di or dj) and 0 <= a < nx and 0 <= b < ny and not solid[a][b]:
-                    if di and dj and solid[a][j] and solid[i][b]:
-                        continue  # not between two blocked corners
-                    step = d + (math.sqrt(2) if di and dj else 1.0)
-                    if step < dist[a][b]:
-                        dist[a][b] = step
-                        heapq.heappush(heap, (step, a, b))
-    out = []
-    for code, cells in plan["zones"].items():
-        for k, (x, y, w, h) in enumerate(cells):
-            i, j = min(nx - 1, int((x + w / 2) // grid)), min(ny - 1, int((y + h / 2) // grid))
-            best, ring = far, 0
-            while best == far and ring <= max(nx, ny):
-                best = min((dist[a][b] + ring for a in range(max(0, i - ring), min(nx, i + ring + 1)) for b in range(max(0, j - ring), min(ny, j + ring + 1))), default=far)
-                ring += 1
-            out.append((code, k, R.FAR_AWAY if best == far else best * grid / plan["px_per_m"]))
-    return out

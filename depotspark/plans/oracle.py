@@ -188,7 +188,8 @@ RESOLVED = f"""{FILLED}, {GAZ}, g0 as (select *, {canon(ROAD)} as road, {canon(V
 g1 as (select g0.*, case when city is null or district is null then case when len(list_intersect(rs, vs)) = 1 then list_intersect(rs, vs)[1] when len(rs) = 1 then rs[1] when len(vs) = 1 then vs[1] end end as found, exists (select 1 from roads r where r.city = {canon('g0.city')} and r.district = {canon('g0.district')} and r.road = g0.road) as known from g0 left join rr using (road) left join vv using (village)),
 resolved as (select row_id, coalesce(region, found) as region, case when found is not null then 0 else address_pending end as address_pending, case when found is not null then '路名回推補齊' when known then '路名相符(已驗證)' else '未比對' end as address_match, case when found is not null then address_source || '；路名回推' else address_source end as address_source from g1)"""
 add("gazetteer_resolve", RESOLVED, "select row_id, region, address_pending, address_match from resolved")
-add("gazetteer_stats", GAZ, "select (select count(*) from rr) as roads, (select count(*) from rr where len(rs) = 1) as unique_roads, (select count(*) from vv) as villages, (select count(*) from vv where len(vs) = 1) as unique_villages, (select count(*) from (select distinct * from roads)) as triples")
+PLACES = "pl as (select n_nationkey, trim(r_name) as city, trim(n_name) as district from nation join region on n_regionkey = r_regionkey), ro as (select distinct city, district, c_mktsegment || (c_custkey % 40)::varchar || '路' as road from customer join pl on c_nationkey = n_nationkey), vi as (select distinct city, district, (s_suppkey % 60)::varchar || '里' as village from supplier join pl on s_nationkey = n_nationkey)"
+add("gazetteer_stats", PLACES, "select (select count(distinct road) from ro) as roads, (select count(*) from (select road from ro group by road having count(distinct city || district) = 1)) as unique_roads, (select count(distinct village) from vi) as villages, (select count(*) from (select village from vi group by village having count(distinct city || district) = 1)) as unique_villages, (select count(*) from ro) as triples")
 add("address_source_buckets", RESOLVED, "select case when suffix(address_source, '路名回推') then '路名回推' when starts_with(address_source, '原始') then '原始' when starts_with(address_source, '前綴') then '正規化' when starts_with(address_source, '單一') then '單一版本' when starts_with(address_source, '多版本') then '多版本' when starts_with(address_source, '無法') then '待確認' else '其他' end as bucket, count(*) as n from resolved group by 1")
 add("quality_scorecard", MEASURED, """select count(*) as n_rows, round(count(volume_cm3) * 100.0::double / count(*), 6) as coverage, round(count(*) filter (isolation_reason is null) * 100.0::double / count(*), 6) as accuracy,
 round(count(*) filter (sd between date '1994-06-30' and date '1999-06-30') * 100.0::double / count(sd), 6) as timeliness, round(count(*) filter (volume_review = 1) * 100.0::double / count(*), 6) as review
@@ -342,7 +343,10 @@ add("order_completion", DAYP, f", lr as (select {W}, ship_no, max(round) as roun
 
 # ---- layout
 POOL = f"{ZONES}, pool as materialized (select *, cast(row_number() over (order by distance_m, zone_id, cell) - 1 as int) as slot from (select zone_id, material, distance_m, cast(unnest(range(0, greatest(1, cast(round_even(area_m2 / 2, 0) as bigint)))) as int) as cell from zones))"
-add("slot_pool", POOL, "select slot, zone_id, cell from pool")
+add("slot_pool", f"{SALES}, {POOL}".replace(ZONES, ZONES.replace("zones as (", "zones0 as (") + ", zones as (select z.zone_id, material, coalesce(n * 4.0::double, area_m2) as area_m2, distance_m from zones0 z left join (select zone as zone_id, count(distinct item_id) as n from sales group by 1) using (zone_id))"), "select slot, zone_id, cell from pool")
+add("plan_cells", """b as (select cast(substr(p_brand, 7) as int) as b, count(*) as n from part group by 1), z as (select dense_rank() over (order by b) - 1 as i, ceil(max(n) over () / 20) * 14 as high from b), v as (select max(84 + (i // 5 + 1) * (high + 48)) as vh, max(high) as high from z),
+g as (select gx, gy, gx * 12 + 6 as x, gy * 12 + 6 as y, vh from v, range(0, 144) a(gx), range(0, cast((select ceil(vh / 12) from v) as int)) c(gy)),
+k as (select g.*, y < vh and not (x between 400 and 424 and y between 6 and 36) and not exists (select 1 from z where x between 60 + i % 5 * 328 and 340 + i % 5 * 328 and y between 60 + i // 5 * (high + 48) and 60 + i // 5 * (high + 48) + high) as walk from g)""", "select cast(gy as int) as gy, count(*) as cells, count(*) filter (walk) as walkable from k group by 1")
 REM = f"{FREQ}, {POOL}, pn as (select count(*) as n from pool), lr0 as (select category_id as key, freq, n * freq // sum(freq) over () as base, n * freq % sum(freq) over () as frac, n from cfreq, pn), lr1 as (select *, base + cast(row_number() over (order by frac desc, freq desc, key) <= n - sum(base) over () as int) as cell_count from lr0), lr2 as (select *, sum(cell_count) over (order by freq desc, key rows unbounded preceding) as stop from lr1), lr as materialized (select key, freq, cast(cell_count as bigint) as cell_count, avg(distance_m) as avg_dist, min(distance_m) as min_dist, max(distance_m) as max_dist from lr2 left join pool on slot >= stop - cell_count and slot < stop group by 1, 2, 3)"
 add("largest_remainder", REM, "select key, freq, cell_count, round(avg_dist, 6) as avg_dist, round(min_dist, 6) as min_dist, round(max_dist, 6) as max_dist from lr")
 add("category_layout_summary", REM, "select round(baseline, 6) as baseline, round(weighted, 6) as weighted, round((baseline - weighted) * 100 / baseline, 6) as improvement, round(used * 100.0::double / slots, 6) as coverage from (select avg(distance_m) as baseline, count(*) as slots from pool), (select sum(avg_dist * freq) / sum(freq) as weighted, sum(cell_count) as used from lr where cell_count > 0)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from depotspark import reference_values as R
 from depotspark.functions import address as A
 from depotspark.functions import text as T
-from depotspark.operators import abc, addresses, cleaning, copick, dimensions, forecast, layout, pipeline, quality, waves
+from depotspark.operators import abc, addresses, cleaning, copick, dimensions, forecast, geometry, layout, pipeline, quality, waves
 from depotspark.operators.cache import cached
-from depotspark.operators.graph import cut_lineage
+from depotspark.operators.graph import cut_lineage, shared_dir
 from depotspark.sources import files
 from depotspark.sources.star import raw_lines, sales
 
@@ -21,10 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Items whose first shipment lies late need a view that ends early.
 EARLY = "1995-10-01"
 DAY = "19960102"
-PLAN = {
-    "width": 600.0, "height": 480.0, "px_per_m": 10.0, "gates": [(6.0, 6.0)], "blockers": [(120.0, 0.0, 24.0, 360.0), (300.0, 120.0, 24.0, 360.0)],
-    "zones": {z: [(x + 30.0 * k, y, 28.0, 24.0) for k in range(6)] for z, x, y in (("R00", 160.0, 24.0), ("R01", 160.0, 240.0), ("L00", 380.0, 48.0), ("L01", 380.0, 400.0))},
-}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -245,9 +242,18 @@ def gazetteer_resolve(spark, d):
     return addresses.resolve(_filled(spark, d), addresses.gazetteer(*roads_villages(spark))).select("row_id", "region", "address_pending", "address_match")
 
 
+def customer_places(spark, d):
+    """Roads and villages of the customers' and suppliers' nations, some names of which several nations have."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.trim("r_name").alias("city"), F.concat(F.trim("r_name"), F.trim("n_name")).alias("site_id"))
+    roads = t("customer").select(F.col("c_nationkey").alias("n_nationkey"), F.concat("c_mktsegment", (F.col("c_custkey") % 40).cast("string"), F.lit("路")).alias("road"))
+    villages = t("supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.concat((F.col("s_suppkey") % 60).cast("string"), F.lit("里")).alias("village"))
+    return roads.join(places, "n_nationkey").select("city", "site_id", "road"), villages.join(places, "n_nationkey").select("city", "site_id", "village")
+
+
 @query
 def gazetteer_stats(spark, d):
-    roads, villages, triples = addresses.gazetteer(*roads_villages(spark))
+    roads, villages, triples = addresses.gazetteer(*customer_places(spark, d))
     n = lambda df, c: df.agg(F.count("*").alias(f"{c}s"), F.count_if(F.size(f"{c}_regions") == 1).alias(f"unique_{c}s"))
     return n(roads, "road").crossJoin(n(villages, "village")).crossJoin(triples.agg(F.count("*").alias("triples")))
 
@@ -518,9 +524,15 @@ def order_completion(spark, d):
 # ---- layout ------------------------------------------------------------------------------------------------
 
 
+def zones_by_items(spark, d):
+    """The zones with room for twice the items that the sales have in them."""
+    room = sales(spark, d).groupBy(F.col("zone").alias("zone_id")).agg((F.count_distinct("item_id") * 4.0).alias("room"))
+    return layout.zones(spark).join(room, "zone_id", "left").withColumn("area_m2", F.coalesce("room", "area_m2")).drop("room")
+
+
 @query
 def slot_pool(spark, d):
-    return layout.slot_pool(layout.zones(spark)).select("slot", "zone_id", "cell")
+    return layout.slot_pool(zones_by_items(spark, d)).select("slot", "zone_id", "cell")
 
 
 def _category_freq(spark, d):
@@ -596,9 +608,41 @@ def zone_class_mix(spark, d):
     return rounded(layout.zone_classes(layout.hand_out(_placed(spark, d), _cells(spark))[0]))
 
 
+def plan_file(spark: SparkSession, d: str) -> str:
+    """A floor plan as a file in the shared folder: a zone for each brand with a storage cell for each of its parts, five zones in a row."""
+    cells = spark.sql("""
+      with p as (select cast(substr(p_brand, 7) as int) as b, row_number() over (partition by p_brand order by p_partkey) - 1 as k from {part}),
+      z as (select b, dense_rank() over (order by b) - 1 as i, collect_list(array(cast(k % 20 * 14 as double), cast(floor(k / 20) * 14 as double), 14D, 14D)) as cells, count(*) as n from p group by b),
+      h as (select *, cast(ceil(max(n) over () / 20) * 14 as double) as high from z)
+      select i, high, struct('B' || b as code, 60D + i % 5 * 328 as x, 60D + floor(i / 5) * (high + 48) as y, 280D as w, high as h, cells) as zone from h""", part=spark.read.parquet(f"{d}/part.parquet"))
+    whole = cells.agg(F.max("high").alias("high"), F.max("i").alias("last"), F.sort_array(F.collect_list("zone")).alias("zones"))  # a plan is one drawing
+    high = F.lit(84.0) + (F.floor(F.col("last") / 5) + 1) * (F.col("high") + 48)
+    rect = lambda x, y, w, h: [F.lit(x).alias("x"), F.lit(y).alias("y"), w.alias("w"), h.alias("h")]
+    point = lambda x, y: F.array(F.lit(x), y)
+    desk, gate = (F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), *rect(x, 6.0, F.lit(24.0), F.lit(30.0))) for n, k, x in (("desk", "office", 400.0), ("gate", "origin", 6.0)))
+    plan = whole.select(
+        F.struct(F.lit(40.0).alias("pxPerMeter")).alias("meta"), F.struct(*rect(0.0, 0.0, F.lit(1728.0), high)).alias("viewBox"),
+        F.array(point(0.0, F.lit(0.0)), point(1728.0, F.lit(0.0)), point(1728.0, high), point(0.0, high)).alias("outline"), F.array(desk, gate).alias("facilities"), "zones",
+    )
+    path = f"{shared_dir(spark)}/tables/plan-{uuid.uuid4().hex}"
+    plan.select(F.concat(F.lit("const PLAN = "), F.to_json(F.struct("*")), F.lit(";")).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def _plan(spark, d):
+    return files.read_plan(spark, plan_file(spark, d)).where("zones is not null")
+
+
 @query
 def cell_distance(spark, d):
-    return spark.createDataFrame(layout.cell_distances(PLAN), "zone string, cell int, dist_m double")
+    plan = cut_lineage(_plan(spark, d))
+    return rounded(geometry.cell_distances(plan, geometry.distances(plan)))
+
+
+@query
+def plan_cells(spark, d):
+    """Cells of the plan's grid, and those one can walk, by row of the grid."""
+    return geometry.grid(_plan(spark, d)).groupBy("gy").agg(F.count("*").alias("cells"), F.count_if("walk").alias("walkable"))
 
 
 def _record(spark, d):

@@ -185,3 +185,7 @@ MODELS = ["Naive", "季節Naive", "MA3", "SES", "Holt", "Croston"]
 
 # Names of an export's sheets, in their order.
 SHEETS = {"clean": "乾淨資料", "isolated": "隔離資料", "categories": "商品類別對應表", "changes": "逐筆變更紀錄", "items": "商品材積主檔"}
+
+# Fixed values of floor plans: side of a grid cell, and the lines between halls (y) with the gates (from x, to x) through them.
+GRID_STEP = 12.0
+GATES = {985.0: [(865.0, 1000.0), (1430.0, 1558.0)], 1278.0: [(808.0, 1012.0)]}

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotspark.operators.cleaning import RAW_COLUMNS
+from depotspark.operators.geometry import PLAN
 from depotspark.sources.xlsx import read_workbook
 
 
@@ -59,9 +58,10 @@ def read_zones(spark: SparkSession, path: str, means: DataFrame | None = None) -
     return z.join(F.broadcast(means), "zone_id", "left").withColumn("distance_m", F.coalesce(F.round("d", 2), "distance_m")).drop("d")
 
 
-def parse_plan(text: str) -> dict:
-    """The JSON of a plan, bare or assigned to a JavaScript constant."""
-    return json.loads(text[text.index("{") : text.rindex("}") + 1])
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
+    """One row: a floor plan (see geometry.PLAN), bare JSON or assigned to a JavaScript constant."""
+    text = spark.read.option("wholetext", True).text(path).select(F.regexp_extract("value", r"(?s)\{.*\}", 0).alias("t"))
+    return text.select(F.from_json("t", PLAN).alias("p")).select("p.*")
 
 
 def suggested_mapping(columns: list[str]) -> dict[str, str | None]:

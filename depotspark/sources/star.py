@@ -48,7 +48,7 @@ select {ROW_ID} as row_id, l_orderkey,
   case when o_orderkey % 101 = 0 then 'XX' when o_orderkey % 211 = 5 then 'OU20019999' else 'OU' || {DAY} end || lpad(cast(o_orderkey as string), 6, '0') as ship_no,
   case o_orderkey % 9 when 0 then ' n/a ' when 1 then '-' when 2 then '' when 3 then null else 'SO' || cast(o_orderkey as string) end as store_order_no,
   case when o_custkey % 53 = 0 then null else 'S' || lpad(cast(o_custkey % 300 as string), 4, '0') end as store_code,
-  case when o_orderkey % 61 = 1 then null when o_orderkey % 19 = 3 then '共用市場路1號' when o_custkey % 300 < 12 then '台北市中正區忠孝路1號' else {_PICK} end as address,
+  case when o_orderkey % 61 = 1 then null when o_orderkey % 499 = 7 and l_linenumber = 1 then '台北市信義區預設路1號' when o_orderkey % 19 = 3 then '共用市場路1號' when o_custkey % 300 < 12 then '台北市中正區忠孝路1號' else {_PICK} end as address,
   case when o_orderkey % 97 = 3 then null when o_orderkey % 97 = 4 then 'A1' when l_partkey % 5 = 0 then cast(l_partkey as string) || '.0' else cast(l_partkey as string) end as item_id,
   case when l_partkey % 6 = 0 then '  P' || cast(l_partkey as string) || ' ' else 'P' || cast(l_partkey as string) end as item_code,
   case when l_orderkey % 31 = 1 then null else {_NAME} end as item_name,

@@ -9,8 +9,8 @@ from depotspark import reference_values as R
 from depotspark.functions.text import strip
 
 CITY = "^(" + "|".join(R.CITIES) + ")"
-_COUNTY_OF = {t: c for c, ts in R.TOWNSHIPS.items() for t in ts.split()}
-_DISTRICT_OF = {t: c + R.RENAMED_TOWNSHIPS.get(t, t[:-1] + "區") for c, ts in R.OLD_TOWNSHIPS.items() for t in ts.split()}
+_COUNTY_OF = dict(R.TOWNSHIPS)
+_DISTRICT_OF = {town: city + district for town, city, district in R.OLD_TOWNSHIPS}
 
 
 def _any_of(names) -> str:

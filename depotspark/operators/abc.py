@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
+from depotspark.operators.errors import RequestError
 from depotspark.operators.graph import cut_lineage
 
 
@@ -46,6 +47,8 @@ def ranked(df: DataFrame, within: list[str], order: list[Column], name: str = "r
 
 def classes(df: DataFrame, value: str, key: str, a: float = R.ABC_A, b: float = R.ABC_B, within: str | None = None) -> DataFrame:
     """Adds rank, share, cum and cls: A up to a percent of the running total, B up to b, else C. Ties by key."""
+    if not 0 < a < b < 100:
+        raise RequestError(f"0 < a < b < 100, not {a} and {b}")
     df = ranked(df, [within] if within else [], [F.desc(value), F.asc(key)], "rank", value)
     total = F.when(F.col("rank_all") == 0, 1).otherwise(F.col("rank_all"))
     df = df.withColumn("share", F.lit(100.0) * F.col(value) / total).withColumn("cum", F.lit(100.0) * F.col("rank_run") / total).drop("rank_run", "rank_all")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
+from depotspark.operators.errors import one_of, within
 from depotspark.operators.graph import cut_lineage
 
 #: Keys of one order that meet each other in one group of the join.
@@ -87,8 +88,8 @@ def category_matrix(sales: DataFrame, cap: int = R.MATRIX_CAP) -> DataFrame:
 
 def top_pairs(p: DataFrame, by: str = "lift", limit: int = 50) -> DataFrame:
     """A report: the first pairs by count or lift."""
-    if by not in ("count", "lift") or not 1 <= limit <= 500:
-        raise ValueError("by is count or lift, limit 1 to 500")
+    one_of("by", by, ("count", "lift"))
+    within("limit", limit, 1, 500)
     return p.orderBy(F.desc(by), "a", "b").limit(limit)
 
 

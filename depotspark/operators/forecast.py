@@ -9,6 +9,7 @@ from depotspark import reference_values as R
 from depotspark.functions import series as S
 from depotspark.functions import text as T
 from depotspark.operators.abc import classes
+from depotspark.operators.errors import NotFound, TooFewPeriods, one_of, within
 from depotspark.operators.graph import cut_lineage
 
 TEST_WEEKS = 13  # test length of weekly series
@@ -44,9 +45,9 @@ def _all():
     return Window.partitionBy(F.lit(1))  # over the calendar: as many rows as periods
 
 
-def dense(sales: DataFrame, key: str, target: str = "qty", granularity: str = "month") -> DataFrame:
-    """key, s: array of the target for every period of the calendar, 0 where nothing was shipped."""
-    cal = F.broadcast(calendar(sales, granularity))  # one row for each period
+def dense(sales: DataFrame, key: str, target: str = "qty", granularity: str = "month", cal: DataFrame | None = None) -> DataFrame:
+    """key, s: array of the target for every period of the calendar (by default that of the sales), 0 where nothing was shipped."""
+    cal = F.broadcast(calendar(sales, granularity) if cal is None else cal)  # one row for each period
     value = F.sum("qty") if target == "qty" else F.count("*").cast("double")
     got = with_period(sales, granularity).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), "period").agg(value.alias("v")).join(cal, "period")
     n = cal.agg(F.count("*").cast("int").alias("n"))
@@ -66,7 +67,7 @@ def one_step(d: DataFrame) -> DataFrame:
 
 def select(d: DataFrame, horizon: int = 3) -> DataFrame:
     """Adds te, the chosen model's rank and name, its walk-forward mase, denom and predictions. Each series is walked once."""
-    d = d.withColumn("te", train_end("s")).withColumn("w", S.walk(F.col("s"), F.col("te"))).withColumn("best", S.select_model(F.col("w"), F.col("te")))
+    d = d.withColumn("te", train_end("s", horizon)).withColumn("w", S.walk(F.col("s"), F.col("te"))).withColumn("best", S.select_model(F.col("w"), F.col("te")))
     d = d.withColumn("rank", F.col("best.rank")).withColumn("train_mase", F.col("best.mase"))
     d = d.withColumn("model", F.get(F.array(*[F.lit(m) for m in R.MODELS]), F.col("rank"))).withColumn("denom", S.denominator(F.col("w")))
     d = d.withColumn("pred", S.multi_step(F.col("s"), F.col("w"), F.col("rank"), horizon)).withColumn("actual", F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda k: F.coalesce(F.get("s", F.col("te") + k), F.lit(0.0))))
@@ -174,6 +175,37 @@ def rolling(d: DataFrame, horizon: int = 3) -> DataFrame:
     return steps.select("key", (F.col("h") + 1).alias("h"), F.greatest(F.lit(0.0), value).alias("pred"), F.coalesce(F.get("s", F.col("te") + F.col("h")), F.lit(0.0)).alias("actual"))
 
 
+def series(sales: DataFrame, item: int | None = None, category: int | None = None, target: str = "qty", granularity: str = "month", recent: int = R.RECENT_PERIODS, horizon: int = 3) -> DataFrame:
+    """One series, of an item, a category or of all: idx, period, actual, in_test, pred (in the test periods), model, wape, mase, is_new.
+
+    A new item (by month) has its cold start for a prediction and no errors. RequestError: parameters out of bounds;
+    TooFewPeriods: the calendar is too short; NotFound: nothing was shipped.
+    """
+    one_of("granularity", granularity, ("month", "week"))
+    one_of("target", target, ("qty", "cnt"))
+    within("recent", recent, 1, 24)
+    within("horizon", horizon, 1, R.TEST_MONTHS)
+    cal = cut_lineage(calendar(sales, granularity))
+    if cal.count() < horizon + R.MIN_TRAIN:
+        raise TooFewPeriods(f"fewer than {horizon + R.MIN_TRAIN} periods")
+    mine = sales.where(F.col("item_id") == item) if item is not None else sales.where(F.col("category_id") == category) if category is not None else sales
+    d = cut_lineage(dense(mine.withColumn("_key", F.lit(0)), "_key", target, granularity, cal).where(F.exists("s", lambda v: v > 0)))
+    if d.isEmpty():
+        raise NotFound(f"nothing shipped of {'item ' + str(item) if item is not None else 'category ' + str(category) if category is not None else 'anything'}")
+    chosen = select(d, horizon)
+    told = chosen.join(accuracy(chosen, horizon).select("key", "wape", "mase"), "key").select("s", "te", "pred", "model", "wape", "mase", F.lit(0).alias("is_new"))
+    if item is not None and granularity == "month":
+        every, profile = dense(sales, "item_id", target), item_profile(sales)
+        cold = cut_lineage(cold_start(every, profile, recent).where(F.col("key") == item))
+        if not cold.isEmpty():
+            none = F.lit(None).cast("double")
+            flat = F.array_repeat("level", horizon)
+            told = d.join(cold.select("source", "level")).select("s", train_end("s", horizon).alias("te"), flat.alias("pred"), F.concat(F.lit("cold start: "), "source").alias("model"), none.alias("wape"), none.alias("mase"), F.lit(1).alias("is_new"))  # one row each
+    rows = told.select("te", "pred", "model", "wape", "mase", "is_new", F.posexplode("s").alias("idx", "actual")).join(F.broadcast(cal), "idx")
+    test = F.col("idx") >= F.col("te")
+    return rows.select("idx", "period", "actual", test.alias("in_test"), F.when(test, F.get("pred", F.col("idx") - F.col("te"))).alias("pred"), "model", "wape", "mase", "is_new")
+
+
 def breakdown(sales: DataFrame, names: DataFrame, target: str = "qty", horizon: int = 3) -> DataFrame:
     """One row for each category: label, actual and predicted sums, errors and model. names: category_id, category_name."""
     rows = accuracy(select(dense(sales, "category_id", target), horizon), horizon)
@@ -199,7 +231,7 @@ def item_rows(sales: DataFrame, names: DataFrame, target: str = "qty", recent: i
 
 def item_top(rows: DataFrame, candidates: int = 200, top: int = 20) -> DataFrame:
     """A report in two stages: the items with the largest totals, and of these the ones with the largest actual sums. rows: see item_rows."""
-    if not (1 <= candidates <= 1000 and 1 <= top <= 100):
-        raise ValueError("candidates is 1 to 1000, top 1 to 100")
+    within("candidates", candidates, 1, 1000)
+    within("top", top, 1, 100)
     pool = rows.orderBy(F.desc("total"), "key").limit(candidates)
     return pool.orderBy(F.desc("actual_sum"), "key").limit(top)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depotspark.operators import addresses, cleaning, dimensions
 from depotspark.operators.cache import cached
+from depotspark.operators.graph import cut_lineage
 
 
 def cleaned(raw: DataFrame) -> DataFrame:
@@ -32,6 +33,30 @@ def run(raw: DataFrame, roads: DataFrame | None = None, villages: DataFrame | No
     return with_storage_class(rows, items), items
 
 
+REASONS = ["bad_ship_no", "duplicate", "no_item", "no_name", "no_category", "bad_qty", "bad_unit", "normalized_duplicate", "test_category", "nondescriptive_name"]
+
+
+def metrics() -> list[Column]:
+    """What a run tells about itself, as aggregations over its rows."""
+    reason, hit, bad = F.col("isolation_reason"), F.col("keyword") >= 0, cleaning.bad_qty() | cleaning.bad_unit()
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    return [
+        F.count(F.lit(1)).alias("n_rows"), n(reason.isNull(), "n_clean"), n(reason.isNotNull(), "n_isolated"), *[n(reason == r, f"reason_{r}") for r in REASONS],
+        n(F.col("keyword").isNotNull() | (reason == "no_category"), "reclass_target"), n(hit & ~bad, "reclass_moved"), n(F.col("keyword") < 0, "reclass_test"), n(hit & bad, "reclass_still_bad"),
+        *[n(F.col("address_match") == m, f"match_{k}") for k, m in (("filled", "路名回推補齊"), ("verified", "路名相符(已驗證)"), ("none", "未比對"), ("absent", "未載入參考資料"))],
+        n(F.col("address_pending") == 1, "address_pending"), n(F.col("volume_review") == 1, "volume_review"),
+    ]
+
+
+def observed_run(raw: DataFrame, roads: DataFrame | None = None, villages: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """run, and one row of its metrics, which are filled while the rows are written: no second look at them."""
+    rows, items = run(raw, roads, villages)
+    seen = Observation("run")
+    rows = cut_lineage(rows.observe(seen, *metrics()))
+    told = seen.get
+    return rows, items, raw.sparkSession.createDataFrame([tuple(told.values())], ", ".join(f"{k} long" for k in told))
+
+
 def with_storage_class(rows: DataFrame, master: DataFrame) -> DataFrame:
     found = cleaning._left(rows, master.select("item_id", "storage_class"), "item_id")
     return found.withColumn("storage_class", F.coalesce("storage_class", F.lit("未分類(無商品ID)")))

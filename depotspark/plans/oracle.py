@@ -392,6 +392,11 @@ add("cleaning_run", RUN, f"select row_id, isolation_reason, item_id, name_filled
 _name_log = SQL["change_log"].rpartition("isolation_reason from k2)")[2]
 add("change_log_all", RUN, _name_log + " union all " + " union all ".join(f"select row_id, '{c}', r.{c}_source, cast(round(t.{c}, 6) as varchar), cast(round(r.{c}, 6) as varchar) from run r join typed t using (row_id) where r.{c}_source not in ('original', 'missing', 'extreme')" for c in DIMS4)
     + " union all select row_id, 'address', address_source, address0, address_final from run where address_final is not null and address_final is distinct from address0")
+_no = "isolation_reason"
+REASONS = ["bad_ship_no", "duplicate", "no_item", "no_name", "no_category", "bad_qty", "bad_unit", "normalized_duplicate", "test_category", "nondescriptive_name"]
+add("run_metrics", RUN, f"select count(*) as n_rows, count(*) filter ({_no} is null) as n_clean, count(*) filter ({_no} is not null) as n_isolated, " + ", ".join(f"count(*) filter ({_no} = '{r}') as reason_{r}" for r in REASONS)
+    + f", count(*) filter (reason0 = 'no_category') as reclass_target, count(*) filter (keyword >= 0 and not ({BAD_QTY} or {BAD_UNIT})) as reclass_moved, count(*) filter (keyword < 0) as reclass_test, count(*) filter (keyword >= 0 and ({BAD_QTY} or {BAD_UNIT})) as reclass_still_bad, "
+    + ", ".join(f"count(*) filter (address_match = '{m}') as match_{k}" for k, m in {"filled": "路名回推補齊", "verified": "路名相符(已驗證)", "none": "未比對", "absent": "未載入參考資料"}.items()) + ", count(*) filter (address_pending = 1) as address_pending, count(*) filter (volume_review = 1) as volume_review from run")
 add("reclass_stats", CLEAN, f"select count(*) as target_total, count(*) filter (keyword >= 0 and not ({BAD_QTY} or {BAD_UNIT})) as moved, count(*) filter (keyword < 0) as test_placeholder, count(*) filter (keyword >= 0 and ({BAD_QTY} or {BAD_UNIT})) as still_bad, count(*) filter (keyword is null) as still_unmatched from k1 where reason0 = 'no_category'")
 add("gazetteer_matches", RESOLVED, "select address_match, coalesce(n, 0) as n from (values ('未載入參考資料'), ('未比對'), ('路名回推補齊'), ('路名相符(已驗證)')) t(address_match) left join (select address_match, count(*) as n from resolved group by 1) using (address_match)")
 # ---- forecast tables
@@ -399,6 +404,9 @@ CATEGORY_NAMES = "nm as (select * from (values " + ", ".join(f"({i}, {q(n)})" fo
 label = lambda c: f"case when {c} is null then '(空白)' when category_name is null then cast({c} as varchar) else category_name || '（' || cast({c} as varchar) || '）' end"
 add("fc_context", CATS, "select cast(len(s) as int) as n_periods, cast(len(s) - 3 as int) as train_end, 3 as horizon, len(s) < 7 as insufficient from d limit 1")
 add("fc_rolling", f"{CATS}, {selected()}, ro as (select key, hz, rank, s[1:te + hz - 1] as h, coalesce(s[te + hz], 0) as actual from (select *, unnest([1, 2, 3]) as hz from ch))", "select key, hz as h, round(greatest(0, case rank " + " ".join(f"when {i} then {m}" for i, m in enumerate(models("h"))) + " end), 6) as pred, round(actual, 6) as actual from ro")
+_SERIES = f"select x.idx, period, round(x.actual, 6) as actual, x.idx >= te as in_test, round(pr.pred, 6) as pred, {MODEL_NAMES}[x.rank + 1] as model, round(wape, 6) as wape, round(mase, 6) as mase, 0 as is_new from (select key, te, rank, unnest(s) as actual, unnest(range(len(s))) as idx from ch) x join cal using (idx) join ac using (key) left join pr on pr.hz = x.idx - te + 1"
+for _name, _view, _key, _value, _where in (("fc_series_all", SALES, "0", "sum(qty)", ""), ("fc_series_category", SALES, "category_id", "count(*)", " where key = 11"), ("fc_series_item", EARLY, "item_id", "sum(qty)", " where key = 7")):
+    add(_name, f"{_view}, {CAL}, {dense(_key, _value)}, {selected(_where)}", _SERIES)
 add("fc_breakdown", f"{CATS}, {selected()}, {CATEGORY_NAMES}", f"select key, {label('key')} as label, round(actual_sum, 6) as actual_sum, round(pred_sum, 6) as pred_sum, round(wape, 6) as wape, round(mase, 6) as mase, {MODEL_NAMES}[rank + 1] as model from ac left join nm on nm.category_id = ac.key")
 ROWS = f"""{LEVELS}, {selected(' where key not in (select key from nw)')}, {CATEGORY_NAMES}, me as (select item_id as key, arg_min(item_code, row_id) as code, arg_min(item_name, row_id) as name, arg_min(category_id, row_id) as category_id from sales group by 1),
 ir0 as (select key, {MODEL_NAMES}[rank + 1] as model, pred_sum, actual_sum, wape, tot_err, 0 as is_new from ac union all select key, 'cold start: ' || source, level * 3, list_sum(d.s[len(d.s) - 2:]), null, null, 1 from cold join d using (key)),

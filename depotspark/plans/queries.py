@@ -47,7 +47,7 @@ def measured(spark: SparkSession, d: str) -> DataFrame:
 
 def the_run(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the cleaning run, made once for the session."""
-    return cached(pipeline.run, raw_lines(spark, d), *roads_villages(spark))[0]
+    return cached(pipeline.observed_run, raw_lines(spark, d), *roads_villages(spark))[0]
 
 
 def roads_villages(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -712,6 +712,12 @@ def cleaning_run(spark, d):
     return rounded(the_run(spark, d).select(*RUN))
 
 
+@query
+def run_metrics(spark, d):
+    """What the cleaning run told about itself while its rows were written."""
+    return cached(pipeline.observed_run, raw_lines(spark, d), *roads_villages(spark))[2]
+
+
 @query
 def change_log_all(spark, d):
     return pipeline.change_log(the_run(spark, d))
@@ -739,6 +745,23 @@ def fc_rolling(spark, d):
     return rounded(forecast.rolling(forecast.dense(sales(spark, d), "category_id")))
 
 
+@query
+def fc_series_all(spark, d):
+    return rounded(forecast.series(sales(spark, d)))
+
+
+@query
+def fc_series_category(spark, d):
+    """The picks of one category."""
+    return rounded(forecast.series(sales(spark, d), category=11, target="cnt"))
+
+
+@query
+def fc_series_item(spark, d):
+    """The series of one item, in the view in which items are new."""
+    return rounded(forecast.series(early(spark, d), item=7))
+
+
 @query
 def fc_breakdown(spark, d):
     return rounded(forecast.breakdown(sales(spark, d), _names(spark)))

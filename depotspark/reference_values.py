@@ -27,40 +27,339 @@ SHARED_ADDRESS_STORES = 5
 SHARED_ADDRESS_ROWS = 3
 
 # Cities, old counties, abbreviations and special district names.
-CITIES = "台北市 臺北市 新北市 桃園市 台中市 臺中市 台南市 臺南市 高雄市 基隆市 新竹市 新竹縣 嘉義市 嘉義縣 苗栗縣 彰化縣 南投縣 雲林縣 屏東縣 宜蘭縣 花蓮縣 台東縣 臺東縣 澎湖縣 金門縣 連江縣".split()
+CITIES = ["台北市", "臺北市", "新北市", "桃園市", "台中市", "臺中市", "台南市", "臺南市", "高雄市", "基隆市", "新竹市", "新竹縣", "嘉義市", "嘉義縣", "苗栗縣", "彰化縣", "南投縣", "雲林縣", "屏東縣", "宜蘭縣", "花蓮縣", "台東縣", "臺東縣", "澎湖縣", "金門縣", "連江縣"]
 OLD_COUNTIES = {"台北縣": "新北市", "臺北縣": "新北市", "高雄縣": "高雄市", "台南縣": "台南市", "臺南縣": "台南市", "台中縣": "台中市", "臺中縣": "台中市", "桃園縣": "桃園市"}
 OLD_COUNTY_ABBREVIATIONS = {"北縣": "台北縣", "高縣": "高雄縣", "南縣": "台南縣", "中縣": "台中縣", "桃縣": "桃園縣"}
 CITY_ABBREVIATIONS = {"北市": "台北市", "新北": "新北市", "桃市": "桃園市", "中市": "台中市", "南市": "台南市", "高市": "高雄市", "竹市": "新竹市", "竹縣": "新竹縣", "苗縣": "苗栗縣", "投縣": "南投縣", "雲縣": "雲林縣", "嘉市": "嘉義市", "嘉縣": "嘉義縣", "屏縣": "屏東縣", "宜縣": "宜蘭縣", "花縣": "花蓮縣", "東縣": "台東縣", "澎縣": "澎湖縣", "金縣": "金門縣", "連縣": "連江縣"}
 SPECIAL_DISTRICTS = ["前鎮區", "平鎮區", "左鎮區"]
 RENAMED_TOWNSHIPS = {"三民鄉": "那瑪夏區"}
 
-# Townships whose name is unique in the country. The table is (township, county), written by county so that
-# each county stands once; nothing else about it is changed.
-TOWNSHIPS = {
-    "新竹縣": "竹北市 竹東鎮 新埔鎮 關西鎮 湖口鄉 新豐鄉 芎林鄉 橫山鄉 北埔鄉 寶山鄉 峨眉鄉 尖石鄉 五峰鄉",
-    "苗栗縣": "苗栗市 頭份市 苑裡鎮 通霄鎮 竹南鎮 後龍鎮 卓蘭鎮 大湖鄉 公館鄉 銅鑼鄉 南庄鄉 頭屋鄉 三義鄉 西湖鄉 造橋鄉 三灣鄉 獅潭鄉 泰安鄉",
-    "彰化縣": "彰化市 鹿港鎮 和美鎮 線西鄉 伸港鄉 福興鄉 秀水鄉 花壇鄉 芬園鄉 員林市 溪湖鎮 田中鎮 大村鄉 埔鹽鄉 埔心鄉 永靖鄉 社頭鄉 二水鄉 北斗鎮 二林鎮 田尾鄉 埤頭鄉 芳苑鄉 大城鄉 竹塘鄉 溪州鄉",
-    "南投縣": "南投市 埔里鎮 草屯鎮 竹山鎮 集集鎮 名間鄉 鹿谷鄉 中寮鄉 魚池鄉 國姓鄉 水里鄉 信義鄉 仁愛鄉",
-    "雲林縣": "斗六市 斗南鎮 虎尾鎮 西螺鎮 土庫鎮 北港鎮 古坑鄉 大埤鄉 莿桐鄉 林內鄉 二崙鄉 崙背鄉 麥寮鄉 東勢鄉 褒忠鄉 台西鄉 元長鄉 四湖鄉 口湖鄉 水林鄉",
-    "嘉義縣": "太保市 朴子市 布袋鎮 大林鎮 民雄鄉 溪口鄉 新港鄉 六腳鄉 東石鄉 義竹鄉 鹿草鄉 水上鄉 中埔鄉 竹崎鄉 梅山鄉 番路鄉 大埔鄉 阿里山鄉",
-    "屏東縣": "屏東市 潮州鎮 東港鎮 恆春鎮 萬丹鄉 長治鄉 麟洛鄉 九如鄉 里港鄉 鹽埔鄉 高樹鄉 萬巒鄉 內埔鄉 竹田鄉 新埤鄉 枋寮鄉 新園鄉 崁頂鄉 林邊鄉 南州鄉 佳冬鄉 琉球鄉 車城鄉 滿州鄉 枋山鄉 三地門鄉 霧台鄉 瑪家鄉 泰武鄉 來義鄉 春日鄉 獅子鄉 牡丹鄉",
-    "宜蘭縣": "宜蘭市 羅東鎮 蘇澳鎮 頭城鎮 礁溪鄉 壯圍鄉 員山鄉 五結鄉 冬山鄉 三星鄉 大同鄉 南澳鄉",
-    "花蓮縣": "花蓮市 鳳林鎮 玉里鎮 新城鄉 吉安鄉 壽豐鄉 光復鄉 豐濱鄉 瑞穗鄉 富里鄉 秀林鄉 萬榮鄉 卓溪鄉",
-    "台東縣": "台東市 臺東市 成功鎮 關山鎮 卑南鄉 大武鄉 太麻里鄉 東河鄉 長濱鄉 鹿野鄉 池上鄉 綠島鄉 延平鄉 海端鄉 達仁鄉 金峰鄉 蘭嶼鄉",
-    "澎湖縣": "馬公市 湖西鄉 白沙鄉 西嶼鄉 望安鄉 七美鄉",
-    "金門縣": "金城鎮 金湖鎮 金沙鎮 金寧鄉 烈嶼鄉 烏坵鄉",
-    "連江縣": "南竿鄉 北竿鄉 莒光鄉 東引鄉",
-}
+# Townships whose name is unique in the country, as (township, county).
+TOWNSHIPS = [
+    ("竹北市", "新竹縣"),
+    ("竹東鎮", "新竹縣"),
+    ("新埔鎮", "新竹縣"),
+    ("關西鎮", "新竹縣"),
+    ("湖口鄉", "新竹縣"),
+    ("新豐鄉", "新竹縣"),
+    ("芎林鄉", "新竹縣"),
+    ("橫山鄉", "新竹縣"),
+    ("北埔鄉", "新竹縣"),
+    ("寶山鄉", "新竹縣"),
+    ("峨眉鄉", "新竹縣"),
+    ("尖石鄉", "新竹縣"),
+    ("五峰鄉", "新竹縣"),
+    ("苗栗市", "苗栗縣"),
+    ("頭份市", "苗栗縣"),
+    ("苑裡鎮", "苗栗縣"),
+    ("通霄鎮", "苗栗縣"),
+    ("竹南鎮", "苗栗縣"),
+    ("後龍鎮", "苗栗縣"),
+    ("卓蘭鎮", "苗栗縣"),
+    ("大湖鄉", "苗栗縣"),
+    ("公館鄉", "苗栗縣"),
+    ("銅鑼鄉", "苗栗縣"),
+    ("南庄鄉", "苗栗縣"),
+    ("頭屋鄉", "苗栗縣"),
+    ("三義鄉", "苗栗縣"),
+    ("西湖鄉", "苗栗縣"),
+    ("造橋鄉", "苗栗縣"),
+    ("三灣鄉", "苗栗縣"),
+    ("獅潭鄉", "苗栗縣"),
+    ("泰安鄉", "苗栗縣"),
+    ("彰化市", "彰化縣"),
+    ("鹿港鎮", "彰化縣"),
+    ("和美鎮", "彰化縣"),
+    ("線西鄉", "彰化縣"),
+    ("伸港鄉", "彰化縣"),
+    ("福興鄉", "彰化縣"),
+    ("秀水鄉", "彰化縣"),
+    ("花壇鄉", "彰化縣"),
+    ("芬園鄉", "彰化縣"),
+    ("員林市", "彰化縣"),
+    ("溪湖鎮", "彰化縣"),
+    ("田中鎮", "彰化縣"),
+    ("大村鄉", "彰化縣"),
+    ("埔鹽鄉", "彰化縣"),
+    ("埔心鄉", "彰化縣"),
+    ("永靖鄉", "彰化縣"),
+    ("社頭鄉", "彰化縣"),
+    ("二水鄉", "彰化縣"),
+    ("北斗鎮", "彰化縣"),
+    ("二林鎮", "彰化縣"),
+    ("田尾鄉", "彰化縣"),
+    ("埤頭鄉", "彰化縣"),
+    ("芳苑鄉", "彰化縣"),
+    ("大城鄉", "彰化縣"),
+    ("竹塘鄉", "彰化縣"),
+    ("溪州鄉", "彰化縣"),
+    ("南投市", "南投縣"),
+    ("埔里鎮", "南投縣"),
+    ("草屯鎮", "南投縣"),
+    ("竹山鎮", "南投縣"),
+    ("集集鎮", "南投縣"),
+    ("名間鄉", "南投縣"),
+    ("鹿谷鄉", "南投縣"),
+    ("中寮鄉", "南投縣"),
+    ("魚池鄉", "南投縣"),
+    ("國姓鄉", "南投縣"),
+    ("水里鄉", "南投縣"),
+    ("信義鄉", "南投縣"),
+    ("仁愛鄉", "南投縣"),
+    ("斗六市", "雲林縣"),
+    ("斗南鎮", "雲林縣"),
+    ("虎尾鎮", "雲林縣"),
+    ("西螺鎮", "雲林縣"),
+    ("土庫鎮", "雲林縣"),
+    ("北港鎮", "雲林縣"),
+    ("古坑鄉", "雲林縣"),
+    ("大埤鄉", "雲林縣"),
+    ("莿桐鄉", "雲林縣"),
+    ("林內鄉", "雲林縣"),
+    ("二崙鄉", "雲林縣"),
+    ("崙背鄉", "雲林縣"),
+    ("麥寮鄉", "雲林縣"),
+    ("東勢鄉", "雲林縣"),
+    ("褒忠鄉", "雲林縣"),
+    ("台西鄉", "雲林縣"),
+    ("元長鄉", "雲林縣"),
+    ("四湖鄉", "雲林縣"),
+    ("口湖鄉", "雲林縣"),
+    ("水林鄉", "雲林縣"),
+    ("太保市", "嘉義縣"),
+    ("朴子市", "嘉義縣"),
+    ("布袋鎮", "嘉義縣"),
+    ("大林鎮", "嘉義縣"),
+    ("民雄鄉", "嘉義縣"),
+    ("溪口鄉", "嘉義縣"),
+    ("新港鄉", "嘉義縣"),
+    ("六腳鄉", "嘉義縣"),
+    ("東石鄉", "嘉義縣"),
+    ("義竹鄉", "嘉義縣"),
+    ("鹿草鄉", "嘉義縣"),
+    ("水上鄉", "嘉義縣"),
+    ("中埔鄉", "嘉義縣"),
+    ("竹崎鄉", "嘉義縣"),
+    ("梅山鄉", "嘉義縣"),
+    ("番路鄉", "嘉義縣"),
+    ("大埔鄉", "嘉義縣"),
+    ("阿里山鄉", "嘉義縣"),
+    ("屏東市", "屏東縣"),
+    ("潮州鎮", "屏東縣"),
+    ("東港鎮", "屏東縣"),
+    ("恆春鎮", "屏東縣"),
+    ("萬丹鄉", "屏東縣"),
+    ("長治鄉", "屏東縣"),
+    ("麟洛鄉", "屏東縣"),
+    ("九如鄉", "屏東縣"),
+    ("里港鄉", "屏東縣"),
+    ("鹽埔鄉", "屏東縣"),
+    ("高樹鄉", "屏東縣"),
+    ("萬巒鄉", "屏東縣"),
+    ("內埔鄉", "屏東縣"),
+    ("竹田鄉", "屏東縣"),
+    ("新埤鄉", "屏東縣"),
+    ("枋寮鄉", "屏東縣"),
+    ("新園鄉", "屏東縣"),
+    ("崁頂鄉", "屏東縣"),
+    ("林邊鄉", "屏東縣"),
+    ("南州鄉", "屏東縣"),
+    ("佳冬鄉", "屏東縣"),
+    ("琉球鄉", "屏東縣"),
+    ("車城鄉", "屏東縣"),
+    ("滿州鄉", "屏東縣"),
+    ("枋山鄉", "屏東縣"),
+    ("三地門鄉", "屏東縣"),
+    ("霧台鄉", "屏東縣"),
+    ("瑪家鄉", "屏東縣"),
+    ("泰武鄉", "屏東縣"),
+    ("來義鄉", "屏東縣"),
+    ("春日鄉", "屏東縣"),
+    ("獅子鄉", "屏東縣"),
+    ("牡丹鄉", "屏東縣"),
+    ("宜蘭市", "宜蘭縣"),
+    ("羅東鎮", "宜蘭縣"),
+    ("蘇澳鎮", "宜蘭縣"),
+    ("頭城鎮", "宜蘭縣"),
+    ("礁溪鄉", "宜蘭縣"),
+    ("壯圍鄉", "宜蘭縣"),
+    ("員山鄉", "宜蘭縣"),
+    ("五結鄉", "宜蘭縣"),
+    ("冬山鄉", "宜蘭縣"),
+    ("三星鄉", "宜蘭縣"),
+    ("大同鄉", "宜蘭縣"),
+    ("南澳鄉", "宜蘭縣"),
+    ("花蓮市", "花蓮縣"),
+    ("鳳林鎮", "花蓮縣"),
+    ("玉里鎮", "花蓮縣"),
+    ("新城鄉", "花蓮縣"),
+    ("吉安鄉", "花蓮縣"),
+    ("壽豐鄉", "花蓮縣"),
+    ("光復鄉", "花蓮縣"),
+    ("豐濱鄉", "花蓮縣"),
+    ("瑞穗鄉", "花蓮縣"),
+    ("富里鄉", "花蓮縣"),
+    ("秀林鄉", "花蓮縣"),
+    ("萬榮鄉", "花蓮縣"),
+    ("卓溪鄉", "花蓮縣"),
+    ("台東市", "台東縣"),
+    ("臺東市", "台東縣"),
+    ("成功鎮", "台東縣"),
+    ("關山鎮", "台東縣"),
+    ("卑南鄉", "台東縣"),
+    ("大武鄉", "台東縣"),
+    ("太麻里鄉", "台東縣"),
+    ("東河鄉", "台東縣"),
+    ("長濱鄉", "台東縣"),
+    ("鹿野鄉", "台東縣"),
+    ("池上鄉", "台東縣"),
+    ("綠島鄉", "台東縣"),
+    ("延平鄉", "台東縣"),
+    ("海端鄉", "台東縣"),
+    ("達仁鄉", "台東縣"),
+    ("金峰鄉", "台東縣"),
+    ("蘭嶼鄉", "台東縣"),
+    ("馬公市", "澎湖縣"),
+    ("湖西鄉", "澎湖縣"),
+    ("白沙鄉", "澎湖縣"),
+    ("西嶼鄉", "澎湖縣"),
+    ("望安鄉", "澎湖縣"),
+    ("七美鄉", "澎湖縣"),
+    ("金城鎮", "金門縣"),
+    ("金湖鎮", "金門縣"),
+    ("金沙鎮", "金門縣"),
+    ("金寧鄉", "金門縣"),
+    ("烈嶼鄉", "金門縣"),
+    ("烏坵鄉", "金門縣"),
+    ("南竿鄉", "連江縣"),
+    ("北竿鄉", "連江縣"),
+    ("莒光鄉", "連江縣"),
+    ("東引鄉", "連江縣"),
+]
 
-# Townships merged into municipalities. The table is (township, municipality and district), written by
-# municipality; the district has the township's name with its last character as 區.
-OLD_TOWNSHIPS = {
-    "高雄市": "鳳山市 岡山鎮 旗山鎮 美濃鎮 林園鄉 大寮鄉 大樹鄉 大社鄉 仁武鄉 鳥松鄉 橋頭鄉 燕巢鄉 田寮鄉 阿蓮鄉 路竹鄉 湖內鄉 茄萣鄉 永安鄉 彌陀鄉 梓官鄉 六龜鄉 甲仙鄉 杉林鄉 內門鄉 茂林鄉 桃源鄉 三民鄉",
-    "台南市": "新營市 鹽水鎮 白河鎮 柳營鄉 後壁鄉 東山鄉 麻豆鎮 下營鄉 六甲鄉 官田鄉 大內鄉 佳里鎮 學甲鎮 西港鄉 七股鄉 將軍鄉 北門鄉 新化鎮 善化鎮 新市鄉 安定鄉 山上鄉 玉井鄉 楠西鄉 南化鄉 左鎮鄉 仁德鄉 歸仁鄉 關廟鄉 龍崎鄉 永康市",
-    "新北市": "板橋市 三重市 中和市 永和市 新莊市 新店市 樹林市 鶯歌鎮 三峽鎮 淡水鎮 汐止市 瑞芳鎮 土城市 蘆洲市 五股鄉 泰山鄉 林口鄉 深坑鄉 石碇鄉 坪林鄉 三芝鄉 石門鄉 八里鄉 平溪鄉 雙溪鄉 貢寮鄉 金山鄉 萬里鄉 烏來鄉",
-    "台中市": "豐原市 大里市 太平市 清水鎮 沙鹿鎮 梧棲鎮 大甲鎮 東勢鎮 后里鄉 神岡鄉 潭子鄉 大雅鄉 新社鄉 石岡鄉 外埔鄉 大安鄉 烏日鄉 大肚鄉 龍井鄉 霧峰鄉 和平鄉",
-    "桃園市": "中壢市 平鎮市 楊梅市 大溪鎮 蘆竹鄉 大園鄉 龜山鄉 八德市 龍潭鄉 新屋鄉 觀音鄉 復興鄉",
-}
+# Townships merged into municipalities, as (township, municipality, district).
+OLD_TOWNSHIPS = [
+    ("鳳山市", "高雄市", "鳳山區"),
+    ("岡山鎮", "高雄市", "岡山區"),
+    ("旗山鎮", "高雄市", "旗山區"),
+    ("美濃鎮", "高雄市", "美濃區"),
+    ("林園鄉", "高雄市", "林園區"),
+    ("大寮鄉", "高雄市", "大寮區"),
+    ("大樹鄉", "高雄市", "大樹區"),
+    ("大社鄉", "高雄市", "大社區"),
+    ("仁武鄉", "高雄市", "仁武區"),
+    ("鳥松鄉", "高雄市", "鳥松區"),
+    ("橋頭鄉", "高雄市", "橋頭區"),
+    ("燕巢鄉", "高雄市", "燕巢區"),
+    ("田寮鄉", "高雄市", "田寮區"),
+    ("阿蓮鄉", "高雄市", "阿蓮區"),
+    ("路竹鄉", "高雄市", "路竹區"),
+    ("湖內鄉", "高雄市", "湖內區"),
+    ("茄萣鄉", "高雄市", "茄萣區"),
+    ("永安鄉", "高雄市", "永安區"),
+    ("彌陀鄉", "高雄市", "彌陀區"),
+    ("梓官鄉", "高雄市", "梓官區"),
+    ("六龜鄉", "高雄市", "六龜區"),
+    ("甲仙鄉", "高雄市", "甲仙區"),
+    ("杉林鄉", "高雄市", "杉林區"),
+    ("內門鄉", "高雄市", "內門區"),
+    ("茂林鄉", "高雄市", "茂林區"),
+    ("桃源鄉", "高雄市", "桃源區"),
+    ("三民鄉", "高雄市", "那瑪夏區"),
+    ("新營市", "台南市", "新營區"),
+    ("鹽水鎮", "台南市", "鹽水區"),
+    ("白河鎮", "台南市", "白河區"),
+    ("柳營鄉", "台南市", "柳營區"),
+    ("後壁鄉", "台南市", "後壁區"),
+    ("東山鄉", "台南市", "東山區"),
+    ("麻豆鎮", "台南市", "麻豆區"),
+    ("下營鄉", "台南市", "下營區"),
+    ("六甲鄉", "台南市", "六甲區"),
+    ("官田鄉", "台南市", "官田區"),
+    ("大內鄉", "台南市", "大內區"),
+    ("佳里鎮", "台南市", "佳里區"),
+    ("學甲鎮", "台南市", "學甲區"),
+    ("西港鄉", "台南市", "西港區"),
+    ("七股鄉", "台南市", "七股區"),
+    ("將軍鄉", "台南市", "將軍區"),
+    ("北門鄉", "台南市", "北門區"),
+    ("新化鎮", "台南市", "新化區"),
+    ("善化鎮", "台南市", "善化區"),
+    ("新市鄉", "台南市", "新市區"),
+    ("安定鄉", "台南市", "安定區"),
+    ("山上鄉", "台南市", "山上區"),
+    ("玉井鄉", "台南市", "玉井區"),
+    ("楠西鄉", "台南市", "楠西區"),
+    ("南化鄉", "台南市", "南化區"),
+    ("左鎮鄉", "台南市", "左鎮區"),
+    ("仁德鄉", "台南市", "仁德區"),
+    ("歸仁鄉", "台南市", "歸仁區"),
+    ("關廟鄉", "台南市", "關廟區"),
+    ("龍崎鄉", "台南市", "龍崎區"),
+    ("永康市", "台南市", "永康區"),
+    ("板橋市", "新北市", "板橋區"),
+    ("三重市", "新北市", "三重區"),
+    ("中和市", "新北市", "中和區"),
+    ("永和市", "新北市", "永和區"),
+    ("新莊市", "新北市", "新莊區"),
+    ("新店市", "新北市", "新店區"),
+    ("樹林市", "新北市", "樹林區"),
+    ("鶯歌鎮", "新北市", "鶯歌區"),
+    ("三峽鎮", "新北市", "三峽區"),
+    ("淡水鎮", "新北市", "淡水區"),
+    ("汐止市", "新北市", "汐止區"),
+    ("瑞芳鎮", "新北市", "瑞芳區"),
+    ("土城市", "新北市", "土城區"),
+    ("蘆洲市", "新北市", "蘆洲區"),
+    ("五股鄉", "新北市", "五股區"),
+    ("泰山鄉", "新北市", "泰山區"),
+    ("林口鄉", "新北市", "林口區"),
+    ("深坑鄉", "新北市", "深坑區"),
+    ("石碇鄉", "新北市", "石碇區"),
+    ("坪林鄉", "新北市", "坪林區"),
+    ("三芝鄉", "新北市", "三芝區"),
+    ("石門鄉", "新北市", "石門區"),
+    ("八里鄉", "新北市", "八里區"),
+    ("平溪鄉", "新北市", "平溪區"),
+    ("雙溪鄉", "新北市", "雙溪區"),
+    ("貢寮鄉", "新北市", "貢寮區"),
+    ("金山鄉", "新北市", "金山區"),
+    ("萬里鄉", "新北市", "萬里區"),
+    ("烏來鄉", "新北市", "烏來區"),
+    ("豐原市", "台中市", "豐原區"),
+    ("大里市", "台中市", "大里區"),
+    ("太平市", "台中市", "太平區"),
+    ("清水鎮", "台中市", "清水區"),
+    ("沙鹿鎮", "台中市", "沙鹿區"),
+    ("梧棲鎮", "台中市", "梧棲區"),
+    ("大甲鎮", "台中市", "大甲區"),
+    ("東勢鎮", "台中市", "東勢區"),
+    ("后里鄉", "台中市", "后里區"),
+    ("神岡鄉", "台中市", "神岡區"),
+    ("潭子鄉", "台中市", "潭子區"),
+    ("大雅鄉", "台中市", "大雅區"),
+    ("新社鄉", "台中市", "新社區"),
+    ("石岡鄉", "台中市", "石岡區"),
+    ("外埔鄉", "台中市", "外埔區"),
+    ("大安鄉", "台中市", "大安區"),
+    ("烏日鄉", "台中市", "烏日區"),
+    ("大肚鄉", "台中市", "大肚區"),
+    ("龍井鄉", "台中市", "龍井區"),
+    ("霧峰鄉", "台中市", "霧峰區"),
+    ("和平鄉", "台中市", "和平區"),
+    ("中壢市", "桃園市", "中壢區"),
+    ("平鎮市", "桃園市", "平鎮區"),
+    ("楊梅市", "桃園市", "楊梅區"),
+    ("大溪鎮", "桃園市", "大溪區"),
+    ("蘆竹鄉", "桃園市", "蘆竹區"),
+    ("大園鄉", "桃園市", "大園區"),
+    ("龜山鄉", "桃園市", "龜山區"),
+    ("八德市", "桃園市", "八德區"),
+    ("龍潭鄉", "桃園市", "龍潭區"),
+    ("新屋鄉", "桃園市", "新屋區"),
+    ("觀音鄉", "桃園市", "觀音區"),
+    ("復興鄉", "桃園市", "復興區"),
+]
 
 # Categories as (id, code, name).
 CATEGORIES = [

@@ -14,7 +14,8 @@ version is never taken for another.
 Templates are a short parameter and travel with the code; texts are scanned whole, row by row, in linear time.
 
 Defined cases: null and empty texts match nothing; texts of fewer than five words have no shingle; a license found in
-several places is one row entry with its best containment; repeated rows give repeated results; other columns are
+several places is one row entry with its best containment; where BSD-3-Clause stands, BSD-2-Clause isn't reported, and of
+licenses that match at one place only the best; repeated rows give repeated results; other columns are
 ignored, also those of the names made here; an empty table gives no rows.
 """
 
@@ -46,10 +47,12 @@ TEMPLATES = {
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
+        "modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "LGPL-2.1": ["modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
@@ -66,11 +69,13 @@ TEMPLATES = {
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Licensed under CC0 1.0 Universal."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International", "This work is licensed under the Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License."],
 }
+#: Licenses all of whose clauses stand in another one.
+CONTAINED = {"BSD-2-Clause": "BSD-3-Clause"}
 _U = np.uint64
 
 
@@ -97,12 +102,17 @@ def numbers(text: str) -> list[set[tuple[int, int]]]:
     return list(found.values())
 
 
-def phrase(h: np.ndarray) -> int:
-    out = np.uint64(h.size)
+def phrases(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n words from each word on."""
+    out = np.full(max(0, h.size - n + 1), n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for x in h:
-            out = mix(np.array([out + x], dtype=np.uint64))[0]
-    return int(out)
+        for i in range(n if out.size else 0):
+            out = mix(out + h[i : h.size - n + 1 + i])
+    return out
+
+
+def phrase(h: np.ndarray) -> int:
+    return int(phrases(h, h.size)[0])
 
 
 class Template:
@@ -111,12 +121,16 @@ class Template:
         self.name, self.shingles, self.numbers = name, np.unique(positional(h)), numbers(text)
         self.lengths = {n for x in self.numbers for n, _ in x}
 
+    def like(self, other: Template) -> bool:
+        """Half of the shorter one's shingles or more stand in both."""
+        return 2 * np.isin(self.shingles, other.shingles).sum() >= min(self.shingles.size, other.shingles.size)
+
     def containment(self, part: np.ndarray, h: np.ndarray) -> float:
         """Share of the shingles that stand in part; 0 where a number is missing among the words h of the part."""
         c = float(np.isin(self.shingles, part).sum()) / self.shingles.size if part.size else 0.0
         if c and self.numbers:
-            said = {(n, phrase(h[i : i + n])) for n in self.lengths for i in range(h.size - n + 1)}
-            if not all(said & x for x in self.numbers):
+            said = {n: phrases(h, n) for n in self.lengths}
+            if not all(any((said[n] == np.uint64(p)).any() for n, p in x) for x in self.numbers):
                 return 0.0
         return c
 
@@ -164,20 +178,25 @@ def families(templates: dict[str, list[str]], share: float) -> list[Family]:
 
 def matches(h: np.ndarray, first: np.ndarray, known: list[Family], share: float) -> list[dict[str, float]]:
     """Best containment of each license, for each text of a slice; h: word hashes, first: first word of each text."""
-    found: list[dict[str, float]] = [{} for _ in range(first.size - 1)]
+    found: list[dict[str, tuple[float, int, int, Template]]] = [{} for _ in range(first.size - 1)]  # containment and place
     s = positional(h)
     if not s.size:
-        return found
+        return [{} for _ in found]
     for f in known:
         for m, a, z in f.candidates(s):
             t = f.members[m]
             # the texts that the window touches; a shingle must end within its text
             for d in range(int(np.searchsorted(first, a, side="right")) - 1, int(np.searchsorted(first, min(z, h.size) - 1, side="right"))):
+                if t.name in found[d] and found[d][t.name][0] == 1.0:
+                    continue  # no window can be better
                 lo, hi = max(a, int(first[d])), max(0, min(z, int(first[d + 1]) - K + 1))
                 c = t.containment(s[lo:hi], h[lo : hi + K - 1])
-                if c >= share:
-                    found[d][t.name] = max(c, found[d].get(t.name, 0.0))
-    return found
+                if c >= share and (t.name not in found[d] or c > found[d][t.name][0]):
+                    found[d][t.name] = c, lo, hi, t
+    # where the longer license stands, the clauses that it shares with a shorter one don't name that one
+    # and of licenses that share most of their words one place names the one that it holds most of
+    beaten = lambda x, c, a, z, t: any(d > c and b < z and a < y and t.like(u) for d, b, y, u in x.values())
+    return [{name: v[0] for name, v in x.items() if CONTAINED.get(name) not in x and not beaten(x, *v)} for x in found]
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, share: float = 0.8) -> DataFrame:

@@ -11,9 +11,11 @@ import time
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from depotspark.llm.tokens import PUNCTUATION, words
 from depotspark.llm import byte_bpe, common, hmm_lm, html_extract, license_scan, mixing, pii, quality_rules, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -696,3 +698,26 @@ def test_html_scanner_finds_what_the_pattern_finds():
             found.append(m)
             at = m[1]
         assert found == [(m.start(), m.end(), (m[2] or "").lower(), bool(m[1]), m[3] or "") for m in pattern.finditer(page)], page
+
+
+def test_license_clauses_and_versions(spark):
+    two = license_scan.TEMPLATES["BSD-2-Clause"][0]
+    texts = {
+        license_scan.TEMPLATES["GPL-3.0"][2]: "GPL-3.0", license_scan.TEMPLATES["LGPL-3.0"][0] + " " + license_scan.TEMPLATES["AGPL-3.0"][0]: "AGPL-3.0,LGPL-3.0",
+        license_scan.TEMPLATES["ISC"][0].replace("fee", "charge") + " " + license_scan.TEMPLATES["MPL-2.0"][0]: "ISC,MPL-2.0",
+        two: "BSD-2-Clause", two + "\n3. " + license_scan.TEMPLATES["BSD-3-Clause"][0]: "BSD-3-Clause",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "GPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": "GPL-3.0", "Creative Commons Attribution 4.0 International": "CC-BY-4.0", "Creative Commons Attribution-ShareAlike 4.0 International": "",
+    }
+    got = license_scan.scan(frame(spark, list(texts))).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == list(texts.values())
+
+
+def test_license_scan_of_one_notice_a_million_times_is_linear():
+    notice = license_scan.TEMPLATES["GPL-3.0"][2] + " "
+    known = license_scan.families(license_scan.TEMPLATES, 0.8)
+    start = time.time()
+    for text in (notice * 4000, notice.replace("redistribute", "give away") * 4000):
+        h, first, _ = words(pa.array([text]), PUNCTUATION)
+        assert license_scan.matches(h, first, known, 0.8)[0].keys() == {"GPL-3.0"}
+    assert time.time() - start < 60

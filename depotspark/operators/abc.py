@@ -11,12 +11,16 @@ from depotspark.operators.graph import cut_lineage
 
 
 def sku_frequency(sales: DataFrame) -> DataFrame:
-    """Per item: number of distinct orders, and name, code and category of its first row."""
-    first = F.min_by(F.struct("item_code", "item_name", "category_id"), "row_id").alias("m")
+    """Per item: number of distinct orders, and name, code and category of its first row. sales is read for both by columns.
+
+    All buffers are numbers, so that everything is hashed and nothing sorted: distinct orders by two aggregations, with hot
+    items combined before they are shuffled; texts only as keys, one row for each set of them that an item has.
+    """
     rows = sales.where("item_id is not null and ship_no is not null")
-    # distinct orders by two aggregations: no expand, and hot items are combined before they are shuffled
-    orders = rows.groupBy("item_id", "ship_no").agg(F.min("row_id").alias("row_id"), F.min_by(F.struct("item_code", "item_name", "category_id"), "row_id").alias("meta"))
-    return orders.groupBy("item_id").agg(F.count("*").alias("freq"), F.min_by("meta", "row_id").alias("m")).select("item_id", "freq", "m.*")
+    orders = rows.groupBy("item_id", "ship_no").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.count("*").alias("freq"))
+    texts = rows.groupBy("item_id", "item_code", "item_name", "category_id").agg(F.min("row_id").alias("row_id"))
+    first = texts.groupBy("item_id").agg(F.min_by(F.struct("item_code", "item_name", "category_id"), "row_id").alias("m"))
+    return orders.join(first, "item_id").select("item_id", "freq", "m.*")
 
 
 def category_frequency(freq: DataFrame) -> DataFrame:

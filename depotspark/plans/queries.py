@@ -33,6 +33,11 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def sold(spark: SparkSession, d: str) -> DataFrame:
+    """What ABC reads of the sales, as a table that can be read twice."""
+    return cut_lineage(sales(spark, d).select("row_id", "ship_no", "item_id", "item_code", "item_name", "category_id"))
+
+
 def early(spark: SparkSession, d: str) -> DataFrame:
     return sales(spark, d).where(F.col("ship_date") < F.lit(EARLY).cast("date"))
 
@@ -279,22 +284,22 @@ def quality_scorecard(spark, d):
 
 @query
 def sku_frequency(spark, d):
-    return abc.sku_frequency(sales(spark, d))
+    return abc.sku_frequency(sold(spark, d))
 
 
 @query
 def sku_abc(spark, d):
-    return rounded(abc.classes(abc.sku_frequency(sales(spark, d)), "freq", "item_id").select("item_id", "freq", "rank", "share", "cum", "cls"))
+    return rounded(abc.classes(abc.sku_frequency(sold(spark, d)), "freq", "item_id").select("item_id", "freq", "rank", "share", "cum", "cls"))
 
 
 @query
 def category_abc(spark, d):
-    return rounded(abc.classes(abc.category_frequency(abc.sku_frequency(sales(spark, d))), "freq", "category_id"))
+    return rounded(abc.classes(abc.category_frequency(abc.sku_frequency(sold(spark, d))), "freq", "category_id"))
 
 
 @query
 def pareto_points(spark, d):
-    return rounded(abc.pareto(abc.classes(abc.sku_frequency(sales(spark, d)), "freq", "item_id")))
+    return rounded(abc.pareto(abc.classes(abc.sku_frequency(sold(spark, d)), "freq", "item_id")))
 
 
 @query
@@ -536,7 +541,7 @@ def slot_pool(spark, d):
 
 
 def _category_freq(spark, d):
-    return abc.category_frequency(abc.sku_frequency(sales(spark, d))).select(F.col("category_id").alias("key"), "freq", "sku_count")
+    return abc.category_frequency(abc.sku_frequency(sold(spark, d))).select(F.col("category_id").alias("key"), "freq", "sku_count")
 
 
 @query
@@ -789,4 +794,4 @@ def predicted_top_per_material(spark, d):
 
 @query
 def pareto_ends(spark, d):
-    return rounded(abc.class_ends(abc.classes(abc.sku_frequency(sales(spark, d)), "freq", "item_id")))
+    return rounded(abc.class_ends(abc.classes(abc.sku_frequency(sold(spark, d)), "freq", "item_id")))

@@ -75,17 +75,20 @@ def _item_modes(counts: DataFrame) -> DataFrame:
     return sums.groupBy("item_id", "c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v").cast("string"))).alias("mode"))
 
 
-def _decide(v: Column, x: Column, mode: Column, med: Column, n: Column, shared: Column, limit: Column) -> tuple[Column, Column]:
-    """(source, repaired value) of a value v, x above its limit: item mode, category range ÷f, excluded, missing, extreme, or as it was."""
-    need = v.isNull() | x
-    by_item, suspect = need & mode.isNotNull(), x & shared
+def _factor(v: Column, x: Column, mode: Column, med: Column, n: Column, shared: Column, limit: Column) -> Column:
+    """What an extreme value has to be divided by to fit its category; null where it doesn't or where something else repairs it."""
     fits = lambda f: (v / f).between(med * (1.0 / R.PLAUSIBLE_RATIO), med * R.PLAUSIBLE_RATIO) & (v / f <= limit)
     scaled = F.lit(None).cast("int")
     for f in reversed(R.UNIT_FACTORS):
         scaled = F.when(fits(f), F.lit(f)).otherwise(scaled)
-    factor = F.when(x & ~by_item & ~suspect & (n >= R.MIN_CATEGORY_ROWS), scaled)
+    return F.when(x & mode.isNull() & ~shared & (n >= R.MIN_CATEGORY_ROWS), scaled)
+
+
+def _decide(v: Column, x: Column, mode: Column, shared: Column, factor: Column) -> tuple[Column, Column]:
+    """(source, repaired value) of a value v, x above its limit: item mode, category range ÷f, excluded, missing, extreme, or as it was."""
+    by_item, suspect = (v.isNull() | x) & mode.isNotNull(), x & shared
     source = (
-        F.when(~need, "original").when(by_item, "item mode").when(suspect, "excluded").when(factor.isNotNull(), F.concat(F.lit("category range /"), factor.cast("string")))
+        F.when(v.isNotNull() & ~x, "original").when(by_item, "item mode").when(suspect, "excluded").when(factor.isNotNull(), F.concat(F.lit("category range /"), factor.cast("string")))
         .when(v.isNull(), "missing").otherwise("extreme")
     )
     return source, F.when(by_item, mode).when(suspect, None).when(factor.isNotNull(), v / factor).otherwise(v)
@@ -107,7 +110,9 @@ class Findings:
         """Counts with source and value after repair."""
         marked = self.counts.join(self.modes, ["item_id", "c"], "left").join(self.medians.withColumnRenamed("n", "k"), ["category_final", "c"], "left").join(self.shared.withColumn("s", F.lit(True)), ["c", "v"], "left")
         limit = F.create_map(*[x for c in ALL for x in (F.lit(c), F.lit(R.EXTREME_MAX[c]))])[F.col("c")]
-        source, value = _decide(F.col("v"), F.col("x"), F.col("mode"), F.col("med"), F.col("k"), F.coalesce("s", F.lit(False)), limit)
+        shared = F.coalesce("s", F.lit(False))
+        marked = marked.withColumn("f", _factor(F.col("v"), F.col("x"), F.col("mode"), F.col("med"), F.col("k"), shared, limit))
+        source, value = _decide(F.col("v"), F.col("x"), F.col("mode"), shared, F.col("f"))
         return marked.select("item_id", "category_final", "c", "n", source.alias("source"), value.alias("v"))
 
     def fills(self) -> DataFrame:
@@ -122,11 +127,15 @@ def _repaired(df: DataFrame, found: Findings) -> DataFrame:
     out = out.join(cut_lineage(_wide(found.medians, "category_final", {"med": "med", "n": "n"}, ALL)), "category_final", "left")
     for c in ALL:
         out = out.join(found.shared.where(F.col("c") == c).select(F.col("v").alias(f"shared_{c}")), out[c] == F.col(f"shared_{c}"), "left")
+    of = lambda p, c: F.col(f"{p}_{c}")
+    # one step for each decision, so that no expression stands in another more than once
+    out = out.withColumns({f"f_{c}": _factor(F.col(c), of("x", c), of("mode", c), of("med", c), of("n", c), of("shared", c).isNotNull(), F.lit(R.EXTREME_MAX[c])) for c in ALL})
     new = {}
     for c in ALL:
-        source, value = _decide(F.col(c), F.col(f"x_{c}"), F.col(f"mode_{c}"), F.col(f"med_{c}"), F.col(f"n_{c}"), F.col(f"shared_{c}").isNotNull(), F.lit(R.EXTREME_MAX[c]))
-        new |= {f"{c}_source": source, f"{c}_before": F.col(c), c: value, f"x_{c}": source == "extreme"}
-    return out.withColumns(new).drop(*[f"{p}_{c}" for c in ALL for p in ("mode", "med", "n", "shared")])
+        source, value = _decide(F.col(c), of("x", c), of("mode", c), of("shared", c).isNotNull(), of("f", c))
+        new |= {f"{c}_source": source, f"{c}_before": F.col(c), c: value}
+    out = out.withColumns(new).withColumns({f"x_{c}": F.col(f"{c}_source") == "extreme" for c in ALL})
+    return out.drop(*[f"{p}_{c}" for c in ALL for p in ("mode", "med", "n", "shared", "f")])
 
 
 def repair(cleaned: DataFrame) -> DataFrame:

@@ -35,13 +35,18 @@ def repeats(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("_k1", "_k2").agg(F.min("row_id").alias(name), F.count("*").alias("_n")).where("_n > 1").drop("_n")
 
 
-def with_repeat(keyed: DataFrame, name: str) -> DataFrame:
+def mark_repeats(keyed: DataFrame, name: str) -> DataFrame:
     """keyed (rows with _k1 and _k2, see row_key) with `name` instead: an earlier row has the same key. keyed is a written table: it
     is read for the repeats, which are few and written before the rows meet them, and for the rows."""
     first = cut_lineage(repeats(keyed.select("row_id", "_k1", "_k2"), "_first"))
     return keyed.join(first, ["_k1", "_k2"], "left").withColumn(name, F.coalesce(F.col("row_id") > F.col("_first"), F.lit(False))).drop("_k1", "_k2", "_first")
 
 
+def with_repeat(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """rows with `name`: an earlier row is equal in the columns. rows is a table that can be read twice."""
+    return mark_repeats(rows.select("*", *row_key(columns)), name)
+
+
 def normalize(raw: DataFrame) -> DataFrame:
     """Typed columns; qty_raw keeps the text, raw_dup marks repeats of an earlier raw row."""
     df = require_columns(raw)
@@ -51,7 +56,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         T.to_int(F.col("category_id")).cast("int").alias("category_id"), F.col("qty").alias("qty_raw"), T.number(F.col("qty")).alias("qty"),
         T.strip(F.col("unit")).alias("unit"), *RAW_COLUMNS[10:], *row_key(RAW_COLUMNS),
     )
-    return with_repeat(cut_lineage(typed), "raw_dup")  # read for the repeats, the modes and the rows
+    return mark_repeats(cut_lineage(typed), "raw_dup")  # read for the repeats, the modes and the rows
 
 
 def mode_of(counts: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -96,7 +101,7 @@ def bad_unit() -> Column:
 def isolate(raw: DataFrame) -> DataFrame:
     """All rows with filled columns and isolation_reason: the first rule hit, null for clean rows."""
     same = ["ship_no", "store_order_no", "store_code", "address", "item_id", "item_code", "name_filled", "category_filled", "qty_raw", "unit", "len_cm", "wid_cm", "hgt_cm", "weight_kg"]
-    df = with_repeat(cut_lineage(fill(normalize(raw)).select("*", *row_key(same))), "norm_dup")
+    df = mark_repeats(cut_lineage(fill(normalize(raw)).select("*", *row_key(same))), "norm_dup")
     reason = (
         F.when(~F.coalesce(F.col("ship_no").rlike(R.SHIP_NO), F.lit(False)), "bad_ship_no")
         .when(F.col("raw_dup"), "duplicate").when(F.col("item_id").isNull(), "no_item").when(F.col("name_filled").isNull(), "no_name")

@@ -1,18 +1,27 @@
 """Embedding near-duplicates: exact pairs at a cosine threshold by dual traversal of a cover tree.
 
-On unit vectors cosine >= t means distance <= sqrt(2 - 2 t). There is one tree for each length of vectors. It grows in
-rounds, as tables: a node with more than `LEAF` vectors whose covering radius is above half the threshold distance gets
-children, centres more than half of that radius apart from each other, its own centre among them. They are chosen from
-about `SAMPLE` of its vectors and the farthest one; then every vector goes to the nearest child, and the covering radius
-is taken over all vectors of each node, so the tree holds every vector and its bounds are exact.
+On unit vectors cosine >= t means distance <= sqrt(2 - 2 t). There is one tree for each length of vectors. Level i has
+radius 2 / 2^i and holds every vector that no leaf above holds:
 
-The dual traversal walks down pairs of nodes, level by level, as a table as well. A pair goes where the centres are
-farther apart than both covering radii and the threshold distance; it is settled where centres and radii show that all
-of its vectors link; pairs of leaves that are neither are compared in double precision. For that, sibling leaves are
-packed into blocks of a bounded number of bytes, and a task gets two blocks.
+* nesting: a centre is a centre of all levels below, its own first child, down to its leaf;
+* covering: every vector of a node lies within the level's radius of the node's centre;
+* separation: children of one node lie farther apart than the level's radius.
 
-Equal vectors are one point with a multiplicity. A task returns, per point, the number of linked vectors, and as edges
-only stars over the components it saw, so that a large group of near copies doesn't return all its pairs.
+A level is built as a table, in rounds: each node's own centre keeps what it covers; of the rest a bounded number of
+candidates, taken by hash, becomes a net of new centres in one task, all tasks then send the rest to the nearest new
+centre that covers it, and rounds go on until nothing is left. A node is a leaf once all of its vectors must link with
+each other, so a single vector is one; no number of vectors makes a leaf. Bounds take the radius that a node's vectors
+really have.
+
+The dual traversal walks down pairs of nodes, level by level, as a table as well. A pair of children goes where the
+centres are farther apart than both radii and the threshold distance; a pair of leaves is settled where centres and
+radii show that all of its vectors link, and other pairs of leaves are compared in double precision. Children of a node,
+and vectors of a leaf, are dealt in cells of a bounded number of bytes, and a task gets two cells, one held, one streamed.
+Where more than a share of the pairs of two cells can neither go nor be settled, walking on would cost more than it saves:
+the vectors below both cells are compared at once.
+
+Equal vectors are one point with a multiplicity. A task returns, per point or leaf, the number of linked vectors, and as
+edges only stars over the components it saw, so that a large group of near copies doesn't return all its pairs.
 
 Defined cases: null and empty vectors, zero vectors and vectors with null or non-finite components link with nothing and
 are their own component; vectors of different length don't link; finite vectors of any magnitude are scaled before their
@@ -22,22 +31,27 @@ and join their neighbours, but name no component; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotspark.llm.common import connected_components, materialize, release, table, tidy
 
-LEAF = 1024  # vectors that a node may keep
-SAMPLE = 256  # vectors of a node that children are chosen from, on average
-BLOCK = 2 << 20  # bytes of vectors in a block
-DEALT = 50_000  # vectors of a node that one task sends down
+TOP = 2.0  # radius of level 0: no two unit vectors are farther apart
+FLOOR = 2.0**-10  # a radius of which a node is a leaf at any threshold
+NET = 8 << 20  # bytes in double precision of the candidates that one task makes centres of in a round
+CELL = 4 << 20  # bytes in double precision of the nodes or vectors in a cell
+DEALT = 8192  # vectors of a node that one task sends down
+DENSE = 1 / 8  # share of pairs of two cells from which on vectors are compared at once
+OPEN = 1 << 19  # pairs to walk on with that one task keeps; beyond them the same
 SLACK = 1e-6  # rounding allowed for in bounds
 
+Put = Callable[[DataFrame], DataFrame]  # writes a table: materialize, or that and a record of it
+
 
 def unit(blobs, kind: str, dim: int) -> np.ndarray:
     """Unit vectors in double precision; the largest component is brought to 1 first, so no norm overflows or vanishes."""
@@ -50,16 +64,20 @@ def distance(cos: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * cos))
 
 
-def pick(x: np.ndarray, radius: float) -> list[int]:
-    """Rows that are centres: each is farther than radius from those before it. The first row is one."""
-    near = x @ x[0]
+def net(x: np.ndarray, radius: float, tile: int = 256) -> list[int]:
+    """Rows that are centres: each is farther than radius from those before it, and every row is within radius of one."""
     limit = 1 - radius * radius / 2
-    out = [0]
-    while near.size and (rest := np.flatnonzero(near < limit)).size:
-        k = int(rest[0])
-        out.append(k)
-        near = np.maximum(near, x @ x[k])
-    return out
+    kept, centres = [], np.empty_like(x)
+    for s in range(0, x.shape[0], tile):
+        part = x[s : s + tile]
+        free = (part @ centres[: len(kept)].T < limit).all(1)
+        inner = part @ part.T >= limit
+        for k in np.flatnonzero(free):
+            if free[k]:
+                centres[len(kept)] = part[k]
+                kept.append(s + int(k))
+                free &= ~inner[k]
+    return kept
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,38 +134,18 @@ def _points(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, D
     return materialize(rows.select("vec_id", "point")), materialize(points.mapInArrow(pack, "point long, dim long, mult long, rep long, x binary")), kind
 
 
-def _stats(placed: DataFrame) -> DataFrame:
-    """Per node: members n, vectors m, covering radius and the farthest member."""
-    return placed.groupBy("node").agg(F.count("*").alias("n"), F.sum("mult").alias("m"), F.max("d").alias("radius"), F.max_by("x", F.struct("d", "point")).alias("far"))
-
-
-def _centres(placed: DataFrame, open_: DataFrame, kind: str) -> DataFrame:
-    """(parent, node, dim, x): children of the open nodes. open_: node, dim, x, n, radius, far."""
-    share = F.pmod(F.xxhash64("point", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    some = placed.join(open_.select("node", "n"), "node").where(share < SAMPLE / F.col("n")).select("node", "point", "x")
-    own = open_.select("node", F.lit(None).cast("long").alias("point"), F.explode(F.array("x", "far")).alias("x"))
-    rows = own.unionByName(some).join(open_.select("node", "dim", "radius"), "node")
-
-    def choose(b: pd.DataFrame) -> pd.DataFrame:
-        dim, radius, node = int(b["dim"].iloc[0]), float(b["radius"].iloc[0]), int(b["node"].iloc[0])
-        # the node's own centre and its farthest member are far enough apart for both to be kept; then the sample by hash
-        b = b.sort_values(["point", "x"], na_position="first")
-        kept = [b["x"].iloc[k] for k in pick(unit(b["x"].tolist(), kind, dim), radius / 2)]
-        return pd.DataFrame({"parent": node, "at": range(len(kept)), "dim": dim, "x": kept})
-
-    found = rows.groupBy("node").applyInPandas(choose, "parent long, at long, dim long, x binary")  # about SAMPLE rows for each node
-    return found.select("parent", F.xxhash64("parent", "at").alias("node"), "dim", "x")
-
-
-def _sent_down(placed: DataFrame, kids: DataFrame, open_: DataFrame, kind: str) -> DataFrame:
-    """Members of open nodes at their nearest child. A node's members are dealt to as many tasks as they need; its children go to each."""
-    deals = open_.select("node", (F.floor(F.col("n") / DEALT) + 1).alias("deals"))
-    members = placed.join(deals, "node").select("node", F.pmod(F.xxhash64("point", F.lit(7)), F.col("deals")).alias("deal"), F.lit(1).alias("member"), "point", "mult", "x", F.lit(0).cast("long").alias("dim"))
-    centres = kids.join(deals.withColumnRenamed("node", "parent"), "parent").select(F.col("parent").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("member"), F.col("node").alias("point"), F.lit(0).cast("long").alias("mult"), "x", "dim")
-    rows = centres.unionByName(members).repartition("node", "deal").sortWithinPartitions("node", "deal", "member")
+def _sent_down(members: DataFrame, centres: DataFrame, sizes: DataFrame, kind: str, radius: float, put: Put) -> DataFrame:
+    """members (point, mult, x, node) with parent (their node), node (the nearest of its centres, null if none is within
+    radius) and d. centres: node, id, dim, x; sizes: node, n. A node's members are dealt to as many tasks as they need; its
+    centres go to each."""
+    deals = sizes.select("node", (F.floor(F.col("n") / DEALT) + 1).alias("deals"))
+    dealt = members.join(deals, "node").select("node", F.pmod(F.xxhash64("point", F.lit(7)), F.col("deals")).alias("deal"), F.lit(1).alias("member"), "point", "mult", "x", F.lit(0).cast("long").alias("dim"))
+    every = centres.join(deals, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.lit(0).alias("member"), F.col("id").alias("point"), F.lit(0).cast("long").alias("mult"), "x", "dim")
+    rows = every.unionByName(dealt).repartition("node", "deal").sortWithinPartitions("node", "deal", "member")
+    limit = 1 - radius * radius / 2
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids, centre = None, [], []  # children of the group that is read
+        last, ids, centre = None, [], []  # centres of the group that is read
         for b in batches:
             out = []
             for (node, deal, member), g in b.groupby(["node", "deal", "member"], sort=False):
@@ -158,151 +156,266 @@ def _sent_down(placed: DataFrame, kids: DataFrame, open_: DataFrame, kind: str)
                     ids += g["point"].tolist()
                     centre.append(unit(g["x"].tolist(), kind, dim))
                 else:
-                    cos = unit(g["x"].tolist(), kind, dim) @ np.concatenate(centre).T
-                    best = cos.argmax(1)
-                    out.append(pd.DataFrame({"point": g["point"], "mult": g["mult"], "x": g["x"], "node": np.array(ids, dtype=np.int64)[best], "d": distance(cos.max(1))}))
+                    centre = [np.concatenate(centre)]
+                    cos = unit(g["x"].tolist(), kind, dim) @ centre[0].T
+                    best = cos.max(1)
+                    to = pd.array(np.array(ids, dtype=np.int64)[cos.argmax(1)], dtype="Int64")
+                    to[best < limit] = pd.NA
+                    out.append(pd.DataFrame({"point": g["point"].array, "mult": g["mult"].array, "x": g["x"].array, "parent": node, "node": to, "d": distance(best)}))
             if out:
                 yield pd.concat(out)
 
-    return materialize(rows.mapInPandas(run, "point long, mult long, x binary, node long, d double"))
+    return put(rows.mapInPandas(run, "point long, mult long, x binary, parent long, node long, d double"))
 
 
-def grow(points: DataFrame, kind: str, reach: float, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
-    """(nodes: node, parent, dim, x, n, m, radius, leaf), (members: point, mult, x, node) of all leaves."""
-    roots = materialize(points.groupBy("dim").agg(F.min_by("x", "point").alias("x")).select(F.lit(None).cast("long").alias("parent"), F.col("dim").alias("node"), "dim", "x"))
-    level = roots
-    placed = _sent_down(points.select("point", "mult", "x", F.col("dim").alias("node")), roots.withColumn("parent", F.col("node")), points.groupBy(F.col("dim").alias("node")).agg(F.count("*").alias("n")), kind)
-    nodes, leaves = None, None
-    while True:
-        known = materialize(level.join(_stats(placed), "node").withColumn("leaf", (F.col("n") <= leaf) | (F.col("radius") <= reach / 2 - SLACK)))
-        named = known.drop("far")
-        nodes = named if nodes is None else nodes.unionByName(named)
-        done = placed.join(known.where("leaf").select("node"), "node", "left_semi").select("point", "mult", "x", "node")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        open_ = known.where("not leaf")
-        if open_.isEmpty():
-            return nodes, leaves
-        level = materialize(_centres(placed, open_, kind))
-        placed = _sent_down(placed.join(open_.select("node"), "node", "left_semi"), level, open_, kind)
-
-
-def _judged(pairs: DataFrame, nodes: DataFrame, kind: str, reach: float) -> DataFrame:
-    """pairs (a, b) of nodes that can hold links; leaf: both are leaves; inside: they are, and all vectors of one link with all of the other."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("x").alias(f"x{s}"), F.col("radius").alias(f"r{s}"), F.col("leaf").alias(f"l{s}"), *(["dim"] if s == "a" else []))
+def _net(rest: DataFrame, sizes: DataFrame, turn: int, kind: str, radius: float, batch: int, put: Put) -> DataFrame:
+    """(node, id, dim, x): new centres for each node among about batch bytes of its vectors that no centre covers yet."""
+    share = F.pmod(F.xxhash64("point", F.lit(1000 + turn)), F.lit(1 << 30)) / float(1 << 30)
+    most = F.greatest(F.lit(64.0), F.lit(float(batch)) / (F.col("dim") * 8))
+    some = rest.join(sizes, "node").where(share < most / F.col("n")).select("node", "dim", "point", "x")
+
+    def choose(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("point")
+        kept = b.iloc[net(unit(b["x"].tolist(), kind, int(b["dim"].iloc[0])), radius)]
+        return kept.rename(columns={"point": "id"})[["node", "id", "dim", "x"]]
+
+    return put(some.groupBy("node").applyInPandas(choose, "node long, id long, dim long, x binary"))  # bounded by batch for each node
+
+
+class Level:
+    """A level of the tree. nodes: node, parent, dim, x, n, m, radius, first, leaf; members: point, mult, x, node, d."""
+
+    def __init__(self, centres: DataFrame, members: DataFrame, last: float, put: Put):
+        stats = members.groupBy("node").agg(F.count("*").alias("n"), F.sum("mult").alias("m"), F.max("d").alias("radius"), F.min("point").alias("first"))
+        self.members, self.nodes = members, put(centres.join(stats, "node").withColumn("leaf", F.col("radius") <= last))
+
+
+def grow(points: DataFrame, kind: str, reach: float, batch: int = NET, put: Put = materialize) -> list[Level]:
+    """The levels from the root on. Nodes are named by the point that is their centre; leaves have no children."""
+    last = max(reach / 2 - SLACK, FLOOR)
+    roots = put(points.groupBy("dim").agg(F.min_by(F.struct("point", "x"), "point").alias("p"), F.count("*").alias("n")).select("dim", F.col("p.point").alias("node"), "p.x", "n"))
+    members = points.join(roots.select("dim", "node"), "dim").select("point", "mult", "x", "node")
+    members = _sent_down(members, roots.select("node", F.col("node").alias("id"), "dim", "x"), roots.select("node", "n"), kind, TOP + SLACK, put).drop("parent")
+    levels = [Level(roots.select("node", F.lit(None).cast("long").alias("parent"), "dim", "x"), members, last, put)]
+    while not (open_ := levels[-1].nodes.where("not leaf")).isEmpty():
+        radius = TOP / 2 ** len(levels)
+        below = levels[-1].members.join(open_.select("node"), "node", "left_semi")
+        centres = open_.select("node", F.col("node").alias("parent"), "dim", "x")
+        placed = below.where(F.col("d") <= radius)
+        rest, turn = below.where(F.col("d") > radius).select("point", "mult", "x", "node"), 0
+        while True:
+            sizes = put(rest.groupBy("node").agg(F.count("*").alias("n")).join(open_.select("node", "dim"), "node"))
+            if sizes.isEmpty():
+                break
+            new = _net(rest, sizes, turn, kind, radius, batch, put)
+            sent = _sent_down(rest, new, sizes.select("node", "n"), kind, radius, put)
+            centres = centres.unionByName(new.select(F.col("id").alias("node"), F.col("node").alias("parent"), "dim", "x"))
+            placed = placed.unionByName(sent.where("node is not null").select("point", "mult", "x", "node", "d"))
+            rest, turn = sent.where("node is null").select("point", "mult", "x", F.col("parent").alias("node")), turn + 1
+        levels.append(Level(centres, put(placed), last, put))
+    return levels
+
+
+def _cells(rows: DataFrame, cell: int, put: Put) -> tuple[DataFrame, DataFrame]:
+    """(rows with cell, (grp, cuts)) for rows (grp, id, dim, ..): a group's rows in cells of a bounded number of bytes."""
+    cuts = put(rows.groupBy("grp").agg(F.ceil(F.count("*") * F.max("dim") * 8 / F.lit(cell)).alias("cuts")))
+    return rows.join(cuts, "grp").withColumn("cell", F.pmod(F.xxhash64("id", F.lit(3)), F.col("cuts"))).drop("cuts"), cuts
+
+
+FOUND = "what string, a long, b long, ca long, cb long, k long"
+
+
+def _meet(pairs: DataFrame, rows: DataFrame, cuts: DataFrame, kind: str, job: Callable[[bool], object], put: Put) -> DataFrame:
+    """FOUND by job(same) over all pairs of cells of pairs (l, h) of groups. rows: grp, cell, id, w, r, leaf, dim, x.
+    One cell is held; the other is streamed past it."""
+    spark = pairs.sparkSession
+    many = lambda s: F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{s}") - 1)).alias(f"c{s}")
+    for s in "lh":
+        pairs = pairs.join(cuts.select(F.col("grp").alias(s), F.col("cuts").alias(f"n{s}")), s)
+    each = pairs.select("l", "h", "nh", many("l")).select("l", "h", "cl", many("h")).where("l <> h or cl <= ch")
+    side = lambda s, k: each.join(rows.withColumnsRenamed({"grp": s, "cell": f"c{s}"}), [s, f"c{s}"]).select("l", "cl", "h", "ch", F.lit(k).alias("side"), "id", "w", "r", "leaf", "dim", "x")
+    key = ["l", "cl", "h", "ch"]
+    work = side("l", 0).unionByName(side("h", 1)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key, "side")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, task = None, None
+        out = lambda t, k: pd.DataFrame(t.found(*k), columns=["what", "a", "b", "ca", "cb", "k"], dtype=object)
         for b in batches:
-            for dim, g in b.groupby("dim"):
-                cos = (unit(g["xa"].tolist(), kind, int(dim)) * unit(g["xb"].tolist(), kind, int(dim))).sum(1)
-                d, r = distance(cos), (g["ra"] + g["rb"]).to_numpy()
-                d[(g["a"] == g["b"]).to_numpy()] = 0.0
-                near = d <= r + reach + SLACK
-                both = (g["la"] & g["lb"]).to_numpy()
-                yield pd.DataFrame({"a": g["a"], "b": g["b"], "inside": both & (d + r <= reach - SLACK), "leaf": both})[near]
-
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    return materialize(rows.mapInPandas(run, "a long, b long, inside boolean, leaf boolean"))
-
-
-def dual(nodes: DataFrame, kind: str, reach: float) -> DataFrame:
-    """(a, b, inside) pairs of leaves: settled ones, and those to compare; a <= b. One round for each level."""
-    kids = nodes.where("parent is not null").select("parent", "node")
-    found = None
-    pairs = nodes.where("parent is null").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    while True:
-        judged = _judged(pairs, nodes, kind, reach)
-        done = judged.where("leaf").select("a", "b", "inside")
-        found = done if found is None else found.unionByName(done)
-        rest = judged.where("not leaf")
-        if rest.isEmpty():
-            return found
-        down = lambda df, s: df.join(kids.select(F.col("parent").alias(s), F.col("node").alias(f"k{s}")), s, "left").withColumn(f"k{s}", F.coalesce(f"k{s}", s))
-        both = down(down(rest, "a"), "b").where("a != b or ka <= kb")
-        pairs = materialize(both.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")))
-
-
-def _blocks(nodes: DataFrame, kind: str, block: int) -> DataFrame:
-    """(node, block, cuts): sibling leaves in blocks of a bounded number of bytes; a larger leaf is cut into blocks of its own."""
-    most = F.greatest(F.lit(1), F.floor(F.lit(block) / (F.col("dim") * int(kind[2:]))))
-    leaves = nodes.where("leaf").withColumn("most", most)
-    before = Window.partitionBy("parent", "dim").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    small = F.when(F.col("n") < F.col("most"), F.col("n")).otherwise(0)
-    place = F.floor(F.coalesce(F.sum(small).over(before), F.lit(0)) / F.col("most"))
-    name = F.when(F.col("n") < F.col("most"), F.xxhash64(F.coalesce("parent", "node"), "dim", place)).otherwise(F.xxhash64("node", F.lit("own")))
-    return materialize(leaves.select("node", "dim", name.alias("block"), F.when(F.col("n") < F.col("most"), 1).otherwise(F.ceil(F.col("n") / F.col("most"))).cast("long").alias("cuts")))
-
-
-def _settled(inside: DataFrame, nodes: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(point, k) and edges (a, b) of pairs of leaves all of whose vectors link: each point with the other leaf's first."""
-    ends = inside.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(inside.where("a != b").select(F.col("b").alias("node"), F.col("a").alias("other")))
-    others = nodes.where("leaf").select(F.col("node").alias("other"), F.col("m").alias("other_m")).join(placed.groupBy(F.col("node").alias("other")).agg(F.min("point").alias("b")), "other")
-    rows = placed.select("point", "mult", "node").join(ends.join(others, "other"), "node")
-    counts = rows.groupBy("point").agg(F.sum(F.col("other_m") - F.when(F.col("node") == F.col("other"), F.col("mult")).otherwise(0)).alias("k"))
-    return counts, rows.where("point != b").select(F.col("point").alias("a"), "b").distinct()
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors."""
+            done = []
+            for (*at, s), g in b.groupby([*key, "side"], sort=False):
+                if at != last:
+                    if task:
+                        done.append(out(task, last))
+                    last, task = at, job(at[0] == at[2] and at[1] == at[3])
+                x = unit(g["x"].tolist(), kind, int(g["dim"].iloc[0]))
+                (task.stream if s else task.hold)(g["id"].to_numpy(), g["w"].to_numpy(), g["r"].to_numpy(), g["leaf"].to_numpy(), x)
+            if done:
+                yield pd.concat(done)
+        if task:
+            yield out(task, last)
+
+    return put(work.mapInPandas(run, FOUND))
+
+
+class _Cells:
+    """Two cells that meet: the held one, and links seen so far as counts for each id and as edges."""
+
+    def __init__(self, same: bool):
+        self.same, self.parts, self.ids, self.k, self.edges = same, [], [], [], []
+
+    def hold(self, *part) -> None:
+        self.parts.append(part)
+
+    def held(self):
+        if len(self.parts) > 1:
+            self.parts = [tuple(np.concatenate(c) for c in zip(*self.parts))]
+        return self.parts[0]
+
+    def link(self, a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> None:
+        """a and b link: each counts the other's weight, itself once; edges shrink to stars."""
+        other = a != b
+        ids, at = np.unique(np.concatenate([a, b[other]]), return_inverse=True)
+        self.ids.append(ids)
+        self.k.append(np.bincount(at, weights=np.concatenate([wb, wa[other]]), minlength=ids.size).astype(np.int64))
+        if other.any():
+            self.edges.append(stars(a[other], b[other]))
+
+    def found(self, *key) -> list[tuple]:
+        rows = []
+        if self.ids:
+            ids, at = np.unique(np.concatenate(self.ids), return_inverse=True)
+            k = np.zeros(ids.size, np.int64)
+            np.add.at(k, at, np.concatenate(self.k))
+            rows += [("count", int(i), None, None, None, int(n)) for i, n in zip(ids, k)]
+        if self.edges:
+            a, b = stars(*(np.concatenate(c) for c in zip(*self.edges)))
+            rows += [("star", int(i), int(j), None, None, None) for i, j in zip(a, b)]
+        return rows
+
+
+class Nodes(_Cells):
+    """Children of two nodes: pairs to walk on with, pairs of leaves to compare, settled pairs as counts and stars, or both cells whole."""
+
+    def __init__(self, same: bool, reach: float):
+        super().__init__(same)
+        self.reach, self.open, self.own, self.size, self.n_open = reach, [], [], 0, 0
+
+    def stream(self, idh, wh, rh, leafh, xh) -> None:
+        if not self.parts or self.n_open > OPEN:
+            return
+        idl, wl, rl, leafl, xl = self.held()
+        self.size += idl.size * idh.size
+        for s in range(0, idl.size, 1024):
+            t = slice(s, s + 1024)
+            cos = xl[t] @ xh.T
+            far = float(rl[t].max() + rh.max()) + self.reach + SLACK
+            i, j = np.nonzero(cos >= 1 - far * far / 2 - 1e-9)
+            d, i = distance(cos[i, j]), i + s
+            d[idl[i] == idh[j]] = 0.0
+            r = rl[i] + rh[j]
+            keep = d <= r + self.reach + SLACK
+            if self.same:
+                keep &= idl[i] <= idh[j]
+            i, j, d, r = i[keep], j[keep], d[keep], r[keep]
+            leaves = leafl[i] & leafh[j]
+            inside = leaves & (d + r <= self.reach - SLACK)
+            if inside.any():
+                p, q = i[inside], j[inside]
+                self.link(idl[p], wl[p], idh[q], wh[q])
+                self.own += idl[p][idl[p] == idh[q]].tolist()
+            p, q = i[~inside], j[~inside]
+            self.n_open += p.size
+            if self.n_open <= OPEN:
+                self.open.append((idl[p], idh[q], leaves[~inside]))
+
+    def found(self, l, cl, h, ch) -> list[tuple]:
+        if self.n_open > min(OPEN, max(4096, DENSE * self.size)):
+            return [("cell", l, h, cl, ch, None)]
+        return super().found() + [("own", i, None, None, None, None) for i in self.own] + [("leaf" if f else "go", int(min(a, b)), int(max(a, b)), None, None, None) for x in self.open for a, b, f in zip(*x)]
+
+
+class Vectors(_Cells):
+    """Vectors of two cells: those that link, as counts and stars."""
+
+    def __init__(self, same: bool, threshold: float):
+        super().__init__(same)
+        self.threshold = threshold
+
+    def stream(self, idh, wh, rh, leafh, xh) -> None:
+        if not self.parts:
+            return
+        idl, wl, _, _, xl = self.held()
+        for i, j in compare(xl, xh, False, self.threshold):
+            keep = idl[i] < idh[j] if self.same else slice(None)
+            i, j = i[keep], j[keep]
+            if i.size:
+                self.link(idl[i], wl[i], idh[j], wh[j])
+
+
+def dual(levels: list[Level], kind: str, reach: float, cell: int = CELL, put: Put = materialize) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(what the pairs of nodes told: FOUND, units to compare: (l, h), their vectors: (grp, id, w, dim, x)). One round for each level."""
+    named = lambda df, grp: df.select(grp.alias("grp"), F.col("node").alias("id"), F.col("m").alias("w"), F.col("radius").alias("r"), "leaf", "dim", "x")
+    told, units, vectors, leaves, at = None, None, None, None, None
+    more = lambda a, b: b if a is None else a.unionByName(b)
+    pairs = levels[0].nodes.select(F.col("dim").alias("l"), F.col("dim").alias("h"))  # roots of each dim are a group of their own
+    for i, level in enumerate(levels):
+        # children of the pairs' nodes; a leaf of a level above stands for itself
+        front = named(level.nodes, F.coalesce("parent", "dim"))
+        front = front if leaves is None else front.unionByName(named(leaves, F.col("node")))
+        rows, cuts = _cells(front, cell, put)
+        seen = _meet(pairs, rows, cuts, kind, lambda same: Nodes(same, reach), put)
+        held = level.nodes.where("leaf")
+        leaves = held if leaves is None else leaves.unionByName(held)
+        below = level.members.join(level.nodes.select("node", "dim", "leaf"), "node").select("node", "point", "mult", "dim", "x", "leaf")
+        every = more(at, below)  # vectors of all nodes that this level's pairs can hold
+        at = more(at, below.where("leaf"))
+        name = lambda g, c: F.xxhash64(F.lit(i), g, c)  # noqa: B023, E731
+        cells = seen.where("what = 'cell'").select(name(F.col("a"), F.col("ca")).alias("l"), name(F.col("b"), F.col("cb")).alias("h"))
+        owners = rows.select(F.col("id").alias("node"), name(F.col("grp"), F.col("cell")).alias("grp"))
+        need = cells.select(F.col("l").alias("grp")).union(cells.select("h")).distinct()
+        told, units = more(told, seen), more(units, cells.select(F.least("l", "h").alias("l"), F.greatest("l", "h").alias("h")))
+        vectors = more(vectors, every.join(owners.join(need, "grp"), "node").select("grp", F.col("point").alias("id"), F.col("mult").alias("w"), "dim", "x"))
+        pairs = seen.where("what = 'go'").select(F.col("a").alias("l"), F.col("b").alias("h"))
+    lone = told.where("what = 'leaf'").select(F.col("a").alias("l"), F.col("b").alias("h"))
+    need = lone.select(F.col("l").alias("node")).union(lone.select("h")).distinct()
+    vectors = vectors.unionByName(at.join(need, "node").select(F.col("node").alias("grp"), F.col("point").alias("id"), F.col("mult").alias("w"), "dim", "x"))
+    return told, put(units.unionByName(lone)), put(vectors)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", batch: int = NET, cell: int = CELL) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors. batch and cell bound tasks; they change no result."""
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame) -> DataFrame:
+        made.append(materialize(df))
+        return made[-1]
+
     rows, points, kind = _points(vectors, id_col, vec_col)
     reach = float(np.sqrt(2 - 2 * threshold))
-    nodes, placed = grow(points, kind, reach, leaf)
-    nodes, placed = materialize(nodes), materialize(placed)
-    found = materialize(dual(nodes, kind, reach))
+    levels = grow(points, kind, reach, batch, put)
+    told, units, members = dual(levels, kind, reach, cell, put)
     tidy(vectors.sparkSession)
-    inside, compared = found.where("inside"), found.where("not inside")
-    blocks = _blocks(nodes, kind, block)
-    dealt = placed.join(blocks, "node").withColumn("part", F.pmod(F.xxhash64("point", F.lit(1)), F.col("cuts")))
-    packed = materialize(dealt.groupBy("block", "part").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("point", "mult", "node", "x")).alias("members")))
-    end = lambda s: blocks.select(F.col("node").alias(s), F.col("block").alias(f"b{s}"), F.col("cuts").alias(f"c{s}"))
-    parts = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    named = compared.join(end("a"), "a").join(end("b"), "b").select("ba", "ca", "bb", "cb").distinct()
-    named = named.withColumn("pa", parts("ca")).withColumn("pb", parts("cb"))
-    low, high = F.struct(F.col("ba").alias("block"), F.col("pa").alias("part")), F.struct(F.col("bb").alias("block"), F.col("pb").alias("part"))
-    pairs = named.select(F.least(low, high).alias("l"), F.greatest(low, high).alias("h")).distinct()
-    # pairs of leaves that are settled may lie in blocks that are compared: what is counted there is left out here
-    settled = inside.join(end("a"), "a").join(end("b"), "b").groupBy(F.least("ba", "bb").alias("la"), F.greatest("ba", "bb").alias("lb")).agg(F.collect_set(F.struct("a", "b")).alias("settled"))
-    side = lambda s: packed.select(F.struct("block", "part").alias(s), F.col("members").alias(f"m{s}"), *(["dim"] if s == "l" else []))
-    work = pairs.join(settled, (F.col("l.block") == F.col("la")) & (F.col("h.block") == F.col("lb")), "left")
-    work = work.join(side("l"), "l").join(side("h"), "h").repartition("l", "h").select((F.col("l") == F.col("h")).alias("same"), "dim", "settled", "ml", "mh")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                same, dim, skip = (batch.column(k)[i].as_py() for k in range(3))
-                side_ = []
-                for k in (3, 4):
-                    s = batch.column(k)[i].values
-                    side_.append((*(s.field(c).to_numpy(zero_copy_only=False) for c in ("point", "mult", "node")), unit(s.field("x").to_pylist(), kind, dim)))
-                (pl, ml, nl, xl), (ph, mh, nh, xh) = side_
-                skip = {(x["a"], x["b"]) for x in skip or []}
-                kl, kh, links = np.zeros(pl.size), np.zeros(ph.size), []
-                for r, c in compare(xl, xh, same, threshold):
-                    if skip:
-                        lo, hi = np.minimum(nl[r], nh[c]), np.maximum(nl[r], nh[c])
-                        code, at = np.unique(np.stack([lo, hi]), axis=1, return_inverse=True)
-                        keep = ~np.array([(int(a), int(b)) in skip for a, b in code.T])[at.ravel()]
-                        r, c = r[keep], c[keep]
-                    if r.size:
-                        kl += np.bincount(r, weights=mh[c], minlength=pl.size)
-                        kh += np.bincount(c, weights=ml[r], minlength=ph.size)
-                        links.append(stars(pl[r], ph[c]))
-                point, k = np.concatenate([pl[kl > 0], ph[kh > 0]]), np.concatenate([kl[kl > 0], kh[kh > 0]]).astype(np.int64)
-                a, b = (np.concatenate([x[j] for x in links]) if links else np.zeros(0, np.int64) for j in (0, 1))
-                if links:
-                    a, b = stars(a, b)
-                nothing = [None] * point.size
-                yield pa.RecordBatch.from_arrays([pa.array(point.tolist() + a.tolist(), pa.int64()), pa.array(nothing + b.tolist(), pa.int64()), pa.array(k.tolist() + [0] * a.size, pa.int64())], names=["a", "b", "k"])
-
-    seen = materialize(work.mapInArrow(run, "a long, b long, k long"))
-    more, edges = _settled(inside, nodes, placed)
-    counts = seen.where("b is null").select(F.col("a").alias("point"), "k").unionByName(more).groupBy("point").agg(F.sum("k").alias("k"))
-    comps = connected_components(seen.where("b is not null").select("a", "b").unionByName(edges))
+    cells, cuts = _cells(members.withColumns({"r": F.lit(0.0), "leaf": F.lit(True)}), cell, put)
+    seen = _meet(units, cells, cuts, kind, lambda same: Vectors(same, threshold), put)
+    leaves = None
+    for level in levels:
+        part = level.members.join(level.nodes.where("leaf").select("node", "first"), "node").select("node", "first", "point", "mult")
+        leaves = part if leaves is None else leaves.unionByName(part)
+    # settled pairs: a vector counts those of the other leaf, and those of its own leaf but for itself
+    sums = told.where("what in ('count', 'own')").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("k"), F.count_if(F.col("what") == "own").alias("own"))
+    settled = put(leaves.join(sums, "node").withColumn("k", F.col("k") - F.col("own") * F.col("mult")))
+    counts = settled.select("point", "k").unionByName(seen.where("what = 'count'").select(F.col("a").alias("point"), "k")).groupBy("point").agg(F.sum("k").alias("k"))
+    first = settled.select("node", "first").distinct()
+    ends = lambda s: first.select(F.col("node").alias(s), F.col("first").alias(f"p{s}"))
+    edges = told.where("what = 'star'").join(ends("a"), "a").join(ends("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    edges = edges.unionByName(settled.select(F.col("point").alias("a"), F.col("first").alias("b"))).unionByName(seen.where("what = 'star'").select("a", "b"))
+    comps = connected_components(edges)
     # ids of a component come from its points; those of rows without an id name none
     comps = materialize(comps.select(F.col("node").alias("point"), F.col("component").alias("c")))
     names = points.select("point", "rep").join(comps, "point").groupBy("c").agg(F.min("rep").alias("name"))
     each = points.select("point", "mult", "rep").join(counts, "point", "left").join(comps.join(names, "c"), "point", "left")
     each = materialize(each.select("point", (F.col("mult") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), F.coalesce("name", "rep").alias("component_id")))
-    release(packed, seen, found, placed)
+    release(*made)
     out = rows.where("point is not null").join(each, "point").select("vec_id", "n_links", "component_id")
     alone = rows.where("point is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

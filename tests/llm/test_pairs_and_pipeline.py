@@ -190,8 +190,8 @@ def by_id(rows):
     return sorted(((a, n, c) for a, n, c in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2] is None, x[2] or 0))
 
 
-@pytest.mark.parametrize("leaf,block", [(16, 32 * 32), (8, 32 * 400), (1024, 1 << 21)])
-def test_cover_tree(spark, leaf, block):
+@pytest.mark.parametrize("batch,cell", [(32 * 64, 32 * 50), (32 * 100, 32 * 7), (cover_tree.NET, cover_tree.CELL)])
+def test_cover_tree(spark, batch, cell):
     r = np.random.default_rng(4)
     rows = [(i, r.normal(size=4).round(3).tolist()) for i in range(400)]
     rows += [(1000 + i, (np.array(rows[i % 9][1]) + r.normal(size=4) * 0.05).tolist()) for i in range(200)] + [(2000 + i, rows[3][1]) for i in range(30)]
@@ -200,7 +200,7 @@ def test_cover_tree(spark, leaf, block):
     rows += [(4000 + i, (r.normal(size=2) * 10.0 ** r.integers(-200, 200)).tolist()) for i in range(40)] + [(4100, [1e200, 1e200, 0.0]), (4101, [1e-200, 1e-200, 0.0]), (4102, [1e-308, 1e-308, -0.0])]
     rows += [(None, rows[0][1]), (None, (np.array(rows[1][1]) * 2).tolist())]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<double>, n_links int")
-    got = by_id((x.vec_id, x.n_links, x.component_id) for x in cover_tree.near_duplicates(df, leaf=leaf, block=block).collect())
+    got = by_id((x.vec_id, x.n_links, x.component_id) for x in cover_tree.near_duplicates(df, batch=batch, cell=cell).collect())
     assert got == by_id(vectors_brute(rows))
 
 
@@ -223,22 +223,65 @@ def test_cover_tree_query(spark):
     assert {a: (r.n_links, r.component_id) for a, r in got.iterrows()} == want and (got.kept == (got.index == got.component_id)).all()
 
 
-def test_tree_prunes_and_settles(spark):
-    """On clustered vectors the traversal drops node pairs, settles tight clusters, and keeps every pair within reach."""
+def test_levels_nest_cover_and_separate(spark):
+    """Each level: own centres go on, every vector within the level's radius of its centre, children of a node farther apart than that."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(np.eye(8), 40, 0) + r.normal(size=(320, 8)) * 0.05, r.normal(size=(300, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    _, points, kind = cover_tree._points(df, "vec_id", "embedding")
+    levels = cover_tree.grow(points, kind, 0.316, 64 * 64)
+    at = {p.point: cover_tree.unit([p.x], kind, 8)[0] for p in points.collect()}
+    gone, last = set(), None
+    assert len(levels) == 5
+    for i, level in enumerate(levels):
+        nodes = {n.node: n for n in level.nodes.collect()}
+        members = {m.point: m.node for m in level.members.collect()}
+        assert set(members) | gone == set(at) and not set(members) & gone
+        assert all(np.linalg.norm(at[p] - at[n]) <= min(2 / 2**i, nodes[n].radius) + 1e-6 for p, n in members.items())
+        assert all(members[n] == n for n in nodes)
+        if last is not None:
+            assert {n for n, v in last.items() if not v.leaf} <= set(nodes) and {v.parent for v in nodes.values()} == {n for n, v in last.items() if not v.leaf}
+            kids = collections.defaultdict(list)
+            for n, v in nodes.items():
+                kids[v.parent].append(at[n])
+            for k in kids.values():
+                d = np.linalg.norm(np.array(k)[:, None] - np.array(k)[None], axis=2) + 9 * np.eye(len(k))
+                assert d.min() > 2 / 2**i - 1e-6
+        last, gone = nodes, gone | {p for p, n in members.items() if nodes[n].leaf}
+    assert gone == set(at)
+
+
+def test_dual_traversal_prunes_and_settles(spark):
+    """On clustered vectors the traversal drops nearly all node pairs and settles tight clusters without comparing their vectors."""
     r = np.random.default_rng(6)
     x = np.repeat(np.eye(8), 40, 0) + r.normal(size=(320, 8)) * 0.01
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    rows, points, kind = cover_tree._points(df, "vec_id", "embedding")
-    nodes, members = cover_tree.grow(points, kind, 0.316, 16)
-    found = cover_tree.dual(common.materialize(nodes), kind, 0.316).collect()
-    leaf_of = {m.point: m.node for m in members.collect()}
-    assert len(leaf_of) == 320 and nodes.where("parent is not null").join(nodes.selectExpr("node as parent", "radius as above"), "parent").where("radius > 1.5 * above").count() == 0
-    n = len(set(leaf_of.values()))
-    assert n >= 8 and len(found) < n * (n + 1) / 4 and sum(f.inside for f in found) >= 8
-    at = {p.vec_id: leaf_of[p.point] for p in rows.collect()}
-    pairs = {(f.a, f.b) for f in found}
-    u = x / np.sqrt((x * x).sum(1, keepdims=True))
-    assert all((min(at[i], at[j]), max(at[i], at[j])) in pairs for i, j in zip(*np.nonzero(u @ u.T >= 0.95)))
+    _, points, kind = cover_tree._points(df, "vec_id", "embedding")
+    told, units, vectors = cover_tree.dual(cover_tree.grow(points, kind, 0.316), kind, 0.316)
+    rows = told.collect()
+    assert sum(t.k for t in rows if t.what == "count") == 8 * 40 and sum(t.what == "own" for t in rows) == 8
+    assert units.count() == 0 and vectors.count() == 0 and sum(t.what == "go" for t in rows) <= 8 * 4
+
+
+def test_near_copies_that_no_leaf_holds(spark):
+    """A group whose vectors all link but lie too far apart for one leaf: pairs are told as counts and stars alone."""
+    r = np.random.default_rng(9)
+    base, noise = r.normal(size=64), r.normal(size=(300, 64))
+    x = base / np.linalg.norm(base) + 0.18 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(r.normal(size=(100, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_id((v.vec_id, v.n_links, v.component_id) for v in cover_tree.near_duplicates(df).collect())
+    assert got == by_id(vectors_brute(rows)) and max(n for _, n, _ in got) > 250
+
+
+def test_thresholds_at_the_ends(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=3).round(2).tolist()) for i in range(60)]
+    rows += [(100 + i, [2 * v for v in rows[i][1]]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for t in (0.0, 0.5, 0.9999999):
+        got = by_id((v.vec_id, v.n_links, v.component_id) for v in cover_tree.near_duplicates(df, threshold=t).collect())
+        assert got == by_id(vectors_brute(rows, t))
 
 
 # ---- pipeline

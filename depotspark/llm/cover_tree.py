@@ -31,6 +31,7 @@ and join their neighbours, but name no component; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -174,12 +175,22 @@ def _net(rest: DataFrame, sizes: DataFrame, turn: int, kind: str, radius: float,
     most = F.greatest(F.lit(64.0), F.lit(float(batch)) / (F.col("dim") * 8))
     some = rest.join(sizes, "node").where(share < most / F.col("n")).select("node", "dim", "point", "x")
 
-    def choose(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("point")
-        kept = b.iloc[net(unit(b["x"].tolist(), kind, int(b["dim"].iloc[0])), radius)]
-        return kept.rename(columns={"point": "id"})[["node", "id", "dim", "x"]]
-
-    return put(some.groupBy("node").applyInPandas(choose, "node long, id long, dim long, x binary"))  # bounded by batch for each node
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A node's candidates lie together, in order; the last node of a batch may go on in the next."""
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None and held is not None:
+                b = pd.concat([held, b])
+            ready, held = (held, None) if b is None else (b[b["node"] != b["node"].iloc[-1]], b[b["node"] == b["node"].iloc[-1]]) if len(b) else (None, held)
+            if ready is not None and len(ready):
+                nodes, dims = ready["node"].to_numpy(), ready["dim"].to_numpy()
+                cuts = [0, *(np.flatnonzero(nodes[1:] != nodes[:-1]) + 1).tolist(), nodes.size]
+                x = ready["x"].tolist()
+                kept = [s + k for s, e in zip(cuts[:-1], cuts[1:]) for k in net(unit(x[s:e], kind, int(dims[s])), radius)]
+                yield ready.iloc[kept].rename(columns={"point": "id"})[["node", "id", "dim", "x"]]
+
+    rows = some.repartition("node").sortWithinPartitions("node", "point")  # bounded by batch for each node
+    return put(rows.mapInPandas(choose, "node long, id long, dim long, x binary"))
 
 
 class Level:

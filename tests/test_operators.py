@@ -253,3 +253,13 @@ def test_layout_record_and_kpis(spark):
     by = {r.cls: r.d for r in rec.where("not flex and material = 'shelf'").groupBy("cls").agg(F.avg("after_distance").alias("d")).collect()}
     assert by["A"] <= by["C"]
     assert QUERIES["kpi_from_layout"](spark, SF).count() == 1
+
+
+def test_nearest_rounds_like_the_sql(spark, duck):
+    """Halves in decimal that are a little more or less as doubles: a rank over rounded values follows the SQL only if these do."""
+    from depotspark.functions import series as S
+
+    values = [k / 100000.0 * j for k in (2290995, 1113525, 3237405, 4545045, 5, 15, 25) for j in (1.0, 3.0, -1.0)] + [0.0, 1e9 + 0.00005]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(S.nearest(F.col("v"), 4)).collect()]
+    want = [duck.execute("select round(?::double, 4)", [v]).fetchall()[0][0] for v in values]
+    assert got == want

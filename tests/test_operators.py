@@ -263,3 +263,15 @@ def test_nearest_rounds_like_the_sql(spark, duck):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(S.nearest(F.col("v"), 4)).collect()]
     want = [duck.execute("select round(?::double, 4)", [v]).fetchall()[0][0] for v in values]
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["category_labels", "clean_projection"])
+def test_typing_alone_writes_no_table(spark, monkeypatch, name):
+    """Queries that need no repeats must not write the typed rows and look for them."""
+    from depotspark.plans.queries import QUERIES
+
+    def refuse(*args):
+        raise AssertionError("rows were written")
+
+    monkeypatch.setattr(cleaning, "cut_lineage", refuse)
+    assert QUERIES[name](spark, SF).columns

@@ -122,7 +122,8 @@ def backfill(rows: DataFrame) -> DataFrame:
     t = t.withColumn("address_pending", (~F.col("trusted") & F.col("best").isNull()).cast("int"))
     source = F.when(F.col("trusted"), F.when(F.col("norm") == F.col("address"), "原始完整").otherwise("前綴正規化")).when(F.col("best").isNull(), "無法處理").when(many, "多版本回填").otherwise("單一版本回填")
     t = t.withColumn("address_source", source)
-    region = F.concat(A.city(F.col("address_final")), A.district(F.col("address_final")))
+    # a trusted address and a whole version are parsed already; only addresses put together from both are parsed row by row
+    region = F.when(F.col("trusted"), F.concat("city", "district")).when(whole, F.concat("best.city", "best.district")).otherwise(F.concat(A.city(F.col("address_final")), A.district(F.col("address_final"))))
     return t.withColumn("region", F.when(F.col("address_pending") == 0, region)).select(*columns, "ship_date", "address_final", "address_source", "address_pending", "region", "rest")
 
 

@@ -275,3 +275,19 @@ def test_typing_alone_writes_no_table(spark, monkeypatch, name):
 
     monkeypatch.setattr(cleaning, "cut_lineage", refuse)
     assert QUERIES[name](spark, SF).columns
+
+
+def test_known_regions_are_not_parsed_again(spark, monkeypatch):
+    """Rows with a trusted address, and those that take a whole version, have their region without parsing it once more."""
+    data = [(i, f"OU19960102{i:06d}", "S1", a) for i, a in enumerate(["台北市士林區士東路100號", "北市士林區士東路100號", "台北市士林區", None])]
+    rows = graph.cut_lineage(spark.createDataFrame(data, "row_id long, ship_no string, store_code string, address string"))
+    real_pairs = addresses.pairs
+
+    def pairs(r):
+        out = real_pairs(r)
+        monkeypatch.setattr(addresses.A, "district", lambda a: F.when(F.raise_error(F.lit("parsed again")).cast("string").isNull(), a))
+        return out
+
+    monkeypatch.setattr(addresses, "pairs", pairs)
+    got = {r.row_id: r.region for r in addresses.backfill(rows).collect()}
+    assert got[0] == got[1] == got[3] == "台北市士林區" and got[2] == "台北市士林區"

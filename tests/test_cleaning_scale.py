@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from depotspark.operators import cleaning, graph
+from depotspark.functions import text as T
+from depotspark.operators import cleaning, dimensions, graph
 
 
 def test_filter_of_keys_is_bounded_and_loses_none(spark):
@@ -32,3 +33,30 @@ def test_repeats_of_both_kinds_and_what_never_meets(spark, monkeypatch):
     assert out == {0: (False, False, "soap", 12), 1: (True, True, "soap", 12), **{i: (False, True, "soap", 12) for i in (2, 3, 4)}, 5: (False, False, "soap", 12), 6: (False, False, "soap", 12)}
     # the rows are written once: every other table is of counts, keys or rows that share what no rule fills
     assert sum("address" in columns for columns, _ in written) == 1
+
+def test_rows_are_counted_before_they_are_unpivoted(spark):
+    """One item with a thousand equal rows: four rows, not four thousand, leave the first count."""
+    df = dimensions.typed(spark.range(1_000).selectExpr("id as row_id", "cast(7 as bigint) as item_id", "12 as category_final", "'1' as len_cm", "'2' as wid_cm", "'9999999' as hgt_cm", "cast(null as string) as weight_kg"))
+    plan = dimensions.value_counts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.rindex("Aggregate")
+    got = {r.c: (r.v, r.x, r.n, r.row_id) for r in dimensions.value_counts(df).collect()}
+    assert got["hgt_cm"] == (9999999.0, True, 1000, 0) and {c: got[c][:3] for c in ("len_cm", "wid_cm", "weight_kg")} == {"len_cm": (1.0, False, 1000), "wid_cm": (2.0, False, 1000), "weight_kg": (None, False, 1000)}
+
+
+def test_numbers_and_names_as_before(spark):
+    texts = ["5", " 5\t", "\n-0.5 ", "", " ", "1e3", "NaN", " Infinity ", "5 5", "x", None, "　5", "0x1p3", "5d", "\x0b7\f", " 5", " 5 ", "5\u0085"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.number(F.col("t")).alias("a"), T.strip(F.col("t")).try_cast("double").alias("b"), T.nondescriptive(F.col("t")).alias("odd")).collect()
+    assert [str(r.a) for r in got] == [str(r.b) for r in got]
+    names = ["(12)", "a", "ab", "a1b", "a-", "1中2", "中1中", "  ", "", None, "\n", "\u0085", "a\nb", "1\n"]
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(names)], "i int, t string").select("i", T.nondescriptive(F.col("t")).alias("odd")).orderBy("i").collect()
+    assert [r.odd for r in odd] == [True, True, False, False, True, True, False, False, False, False, False, True, False, True]
+
+
+def test_rows_with_nothing_to_mend_meet_no_findings(spark, monkeypatch):
+    rows = [(1, 7, 12, "1", "2", "3", "4"), (2, 7, 12, None, "2", "3", "4"), (3, 8, 12, "1", "x", "3", "4"), (4, None, None, "1", "2", "3", "0")]
+    df = spark.createDataFrame(rows, "row_id long, item_id long, category_final int, len_cm string, wid_cm string, hgt_cm string, weight_kg string")
+    met, plain = [], dimensions._mended
+    monkeypatch.setattr(dimensions, "_mended", lambda d, found: met.extend(r.row_id for r in d.collect()) or plain(d, found))
+    out = {r.row_id: tuple(r[f"{c}_source"] for c in dimensions.ALL) for r in dimensions.repair(df).collect()}
+    o = "original"
+    assert sorted(met) == [2, 3, 4] and out == {1: (o, o, o, o), 2: ("item mode", o, o, o), 3: (o, "missing", o, o), 4: (o, o, o, "missing")}

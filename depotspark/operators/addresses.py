@@ -171,10 +171,11 @@ def resolve(filled: DataFrame, names: tuple[DataFrame, DataFrame, DataFrame] | N
     one = one.withColumn("found", F.when(F.col("c").isNull() | F.col("d").isNull(), found))
     known = triples.select(F.col("city").alias("tc"), F.col("district").alias("td"), F.col("road").alias("tr"), F.lit(True).alias("known"))
     one = one.join(known, (A.canonical(F.col("c")) == F.col("tc")) & (A.canonical(F.col("d")) == F.col("td")) & (F.col("road") == F.col("tr")), "left")
-    out = filled.join(one.select("address_final", "c", "d", "found", "known"), "address_final", "left")
+    # written, as its size is known then: where addresses are few the rows meet them without a shuffle
+    out = filled.join(cut_lineage(one.select("address_final", "found", "known")), "address_final", "left")
     match = F.when(F.col("found").isNotNull(), "路名回推補齊").when(F.col("known"), "路名相符(已驗證)").otherwise("未比對")
     out = out.withColumn("address_match", match).withColumn("region", F.coalesce("region", "found")).withColumn("address_pending", F.when(F.col("found").isNotNull(), 0).otherwise(F.col("address_pending")))
-    return out.withColumn("address_source", F.when(F.col("found").isNotNull(), F.concat("address_source", F.lit("；路名回推"))).otherwise(F.col("address_source"))).drop("c", "d", "found", "known")
+    return out.withColumn("address_source", F.when(F.col("found").isNotNull(), F.concat("address_source", F.lit("；路名回推"))).otherwise(F.col("address_source"))).drop("found", "known")
 
 
 def source_buckets(filled: DataFrame) -> DataFrame:

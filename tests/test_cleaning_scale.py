@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from depotspark.functions import text as T
-from depotspark.operators import cleaning, dimensions, graph
+from depotspark.operators import addresses, cleaning, dimensions, graph, pipeline
 
 
 def test_filter_of_keys_is_bounded_and_loses_none(spark):
@@ -60,3 +60,27 @@ def test_rows_with_nothing_to_mend_meet_no_findings(spark, monkeypatch):
     out = {r.row_id: tuple(r[f"{c}_source"] for c in dimensions.ALL) for r in dimensions.repair(df).collect()}
     o = "original"
     assert sorted(met) == [2, 3, 4] and out == {1: (o, o, o, o), 2: ("item mode", o, o, o), 3: (o, "missing", o, o), 4: (o, o, o, "missing")}
+
+
+def test_storage_classes_and_matches_shuffle_no_rows(spark, monkeypatch):
+    """Tables of 32 words for 600 items: many items may be of both classes at first, and several levels of tables tell them apart."""
+    rows = spark.range(3_000).selectExpr("id as row_id", "if(id % 7 = 0, null, id % 600) as item_id", "repeat('wide', 20) as rest")
+    shelf = lambda i: i * 7919 % 10 < 4
+    master = spark.createDataFrame([(i, "貨架" if shelf(i) else "棧板") for i in range(600)], "item_id long, storage_class string")
+    monkeypatch.setattr(cleaning, "WORDS", 32)
+    found = pipeline.with_storage_class(rows, master)
+    # no join on the item: only tables of bits, which are broadcast
+    assert "hashpartitioning(item_id" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.row_id: r.storage_class for r in found.collect()}
+    assert got == {i: "未分類(無商品ID)" if i % 7 == 0 else "貨架" if shelf(i % 600) else "棧板" for i in range(3_000)}
+    monkeypatch.setattr(cleaning, "WORDS", 4)  # more items than tables can part: rows meet the master
+    assert {r.row_id: r.storage_class for r in pipeline.with_storage_class(rows, master).collect()} == got
+
+
+def test_rows_meet_what_is_known_of_few_addresses_without_a_shuffle(spark):
+    filled = spark.range(1_000).selectExpr("id as row_id", "concat('中山路', id % 3, '號') as address_final", "cast(null as string) as region", "1 as address_pending", "'無法處理' as address_source")
+    roads = spark.createDataFrame([("甲市", "A區", "中山路")], "city string, district string, road string")
+    out = addresses.resolve(filled, addresses.gazetteer(roads, None))
+    # that of the rows was by address_final, of all rows
+    assert "hashpartitioning(address_final" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.region, r.address_pending) for r in out.collect()} == {("甲市A區", 0)}

@@ -1,9 +1,10 @@
 """Items and categories picked together: count, support, lift.
 
 An order of k keys holds k (k - 1) / 2 pairs. Two things keep that bounded. A pair can't be counted more often than its rarer
-key, so keys below the least count leave before orders meet themselves. And an order with more than BLOCK keys left is dealt
-as a triangle of blocks: its keys fall into blocks of about BLOCK by hash, and each pair of blocks is a group of its own in the
-join, so that no task makes more than about BLOCK * BLOCK rows of one order at a time; they are counted on the map side.
+key, so keys below the least count leave before orders meet themselves. An order of at most BLOCK keys is one array, which makes
+its pairs by itself. One with more keys left is dealt as a triangle of blocks: its keys fall into blocks of about BLOCK by hash,
+and each pair of blocks is a group of its own in a join, so that no task makes more than about BLOCK * BLOCK rows of one order at
+a time; they are counted on the map side.
 """
 
 from __future__ import annotations
@@ -43,7 +44,21 @@ def _blocks(keys: DataFrame, block: int) -> DataFrame:
 
 
 def pair_rows(keys: DataFrame, block: int = BLOCK) -> DataFrame:
-    """keys (ship_no, k, f) -> one row a, b, fa, fb for each order that holds both, a < b: see the head of the module."""
+    """keys (ship_no, k, f) -> one row a, b, fa, fb for each order that holds both, a < b: see the head of the module. keys is a table
+    that can be read twice."""
+    sizes = keys.groupBy("ship_no").agg(F.count("*").alias("s"))
+    large = cut_lineage(sizes.where(F.col("s") > block).select("ship_no"))
+    held = keys.join(large, "ship_no", "left_anti").groupBy("ship_no").agg(F.sort_array(F.collect_list(F.struct("k", "f"))).alias("ks"))  # at most block keys
+    pair = lambda x, y: F.struct(x["k"].alias("a"), y["k"].alias("b"), x["f"].alias("fa"), y["f"].alias("fb"))
+    after = lambda i: F.slice("ks", i + 2, F.size("ks"))
+    small = held.where(F.size("ks") > 1).select(F.inline(F.flatten(F.transform("ks", lambda x, i: F.transform(after(i), lambda y: pair(x, y))))))
+    if large.isEmpty():
+        return small
+    return small.unionByName(_large_rows(keys.join(large, "ship_no", "left_semi"), block))
+
+
+def _large_rows(keys: DataFrame, block: int) -> DataFrame:
+    """The same for orders that are dealt into blocks."""
     dealt = cut_lineage(_blocks(keys, block))  # read for both sides
     left = dealt.select("ship_no", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"), F.col("k").alias("x"), F.col("f").alias("fx"))
     right = dealt.select("ship_no", F.explode(F.sequence(F.lit(0), "blk")).alias("i"), F.col("blk").alias("j"), F.col("k").alias("y"), F.col("f").alias("fy"))
@@ -57,12 +72,24 @@ def pairs(sales: DataFrame, key: str = "item_id", min_count: int | None = None,
     """a < b in the same order: count, support (percent of orders), lift; count from min_count on (default by the number of orders)."""
     keys = cut_lineage(order_keys(sales, key))  # read for the orders, the frequencies and the pairs
     freq = cut_lineage(frequencies(keys, min_count))
-    often = keys.join(freq.where("f >= least").select("k", "f"), "k")
+    often = cut_lineage(keys.join(freq.where("f >= least").select("k", "f"), "k"))
     both = pair_rows(often, block).groupBy("a", "b", "fa", "fb").agg(F.count("*").alias("count"))
     both = both.crossJoin(F.broadcast(freq.limit(1).select("n", "least"))).where("count >= least")  # one row
     return both.select("a", "b", "count", (F.col("count") * 100.0 / F.col("n")).alias("support"), (F.col("count") * F.col("n") / (F.col("fa") * F.col("fb"))).alias("lift"))
 
 
+def pairs_of(sales: DataFrame, one: int, key: str = "item_id", min_count: int | None = None) -> DataFrame:
+    """Those rows of pairs() that hold one key: only the orders of that key are looked at for pairs."""
+    keys = cut_lineage(order_keys(sales, key))  # read for the orders, the frequencies and the pairs
+    freq = cut_lineage(frequencies(keys, min_count))
+    own = freq.where(F.col("k") == one).select(F.col("f").alias("f1"))  # one row
+    mine = cut_lineage(keys.where(F.col("k") == one).select("ship_no"))
+    both = keys.where(F.col("k") != one).join(mine, "ship_no", "left_semi").groupBy("k").agg(F.count("*").alias("count"))
+    both = both.join(freq, "k").crossJoin(F.broadcast(own)).where("count >= least and f >= least and f1 >= least")
+    lift = F.col("count") * F.col("n") / (F.col("f") * F.col("f1"))
+    return both.select(F.least("k", F.lit(one)).alias("a"), F.greatest("k", F.lit(one)).alias("b"), "count", (F.col("count") * 100.0 / F.col("n")).alias("support"), lift.alias("lift"))
+
+
 def pair_work(sales: DataFrame, key: str = "item_id", min_count: int | None = None) -> DataFrame:
     """One row about the work of pairs(): orders, keys and those often enough, rows before counting with and without them, the largest order."""
     keys = cut_lineage(order_keys(sales, key))
@@ -76,13 +103,15 @@ def pair_work(sales: DataFrame, key: str = "item_id", min_count: int | None = No
 
 def category_matrix(sales: DataFrame, cap: int = R.MATRIX_CAP) -> DataFrame:
     """a, b, count, lift over the categories that most orders hold; the diagonal is left out."""
-    keys = order_keys(sales, "category_id")
-    n = keys.select("ship_no").distinct().agg(F.count("*").alias("n"))
-    top = keys.groupBy("k").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "k").limit(cap)
-    held = keys.join(F.broadcast(top), "k")  # at most cap rows
-    left = held.select("ship_no", F.col("k").alias("a"), F.col("f").alias("fa"))
-    right = held.select("ship_no", F.col("k").alias("b"), F.col("f").alias("fb"))
-    both = left.join(right, "ship_no").where("a <> b").groupBy("a", "b", "fa", "fb").agg(F.count("*").alias("count")).crossJoin(F.broadcast(n))
+    rows = sales.where("category_id is not null and ship_no is not null")
+    orders = cut_lineage(rows.groupBy("ship_no").agg(F.sort_array(F.collect_set("category_id")).alias("ks")).groupBy("ks").agg(F.count("*").alias("m")))  # how many orders hold each set
+    n = orders.agg(F.sum("m").alias("n"))
+    top = cut_lineage(orders.select(F.explode("ks").alias("k"), "m").groupBy("k").agg(F.sum("m").alias("f")).orderBy(F.desc("f"), "k").limit(cap))
+    every = lambda c: F.explode("ks").alias(c)
+    held = orders.crossJoin(F.broadcast(top.agg(F.collect_list("k").alias("top")))).select(F.array_intersect("ks", "top").alias("ks"), "m")  # at most cap of each order
+    both = held.select("ks", "m", every("a")).select("a", "m", every("b")).where("a <> b").groupBy("a", "b").agg(F.sum("m").alias("count"))
+    side = lambda c: F.broadcast(top.select(F.col("k").alias(c), F.col("f").alias(f"f{c}")))  # noqa: E731  at most cap rows
+    both = both.join(side("a"), "a").join(side("b"), "b").crossJoin(F.broadcast(n))
     return both.select("a", "b", "count", (F.col("count") * F.col("n") / (F.col("fa") * F.col("fb"))).alias("lift"))
 
 

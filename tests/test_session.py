@@ -209,3 +209,21 @@ def test_errors_of_requests(spark):
 def test_fixed_tables():
     assert len(dict(R.TOWNSHIPS)) == len(R.TOWNSHIPS) and len({t for t, _, _ in R.OLD_TOWNSHIPS}) == len(R.OLD_TOWNSHIPS)
     assert ("三民鄉", "高雄市", "那瑪夏區") in R.OLD_TOWNSHIPS and ("琉球鄉", "屏東縣") in R.TOWNSHIPS
+
+
+def test_orders_make_their_pairs_from_one_shuffle_and_one_key_only_from_its_orders(spark):
+    rows = [(f"O{i % 40}", (i * 13) % 17, (i * 13) % 17 % 5) for i in range(300)] + [("O1", None, None), (None, 3, 3)]
+    sales = spark.createDataFrame(rows, "ship_no string, item_id long, category_id int")
+    keys = copick.order_keys(sales, "item_id").withColumn("f", F.lit(1))
+    # no order meets itself in a join of all rows
+    assert "ship_no#" in keys._jdf.queryExecution().executedPlan().toString() and " Inner" not in copick.pair_rows(keys)._jdf.queryExecution().optimizedPlan().toString()
+    every = copick.pairs(sales, "item_id", 2)
+    for one in (0, 3, 16, 99):
+        got, want = (sorted(map(tuple, x.select("a", "b", "count", "support", "lift").collect())) for x in (copick.pairs_of(sales, one, "item_id", 2), every.where((F.col("a") == one) | (F.col("b") == one))))
+        assert got == want and bool(got) == (one != 99)
+    held = {}
+    for o, _, c in rows:
+        if o is not None and c is not None:
+            held.setdefault(o, set()).add(c)
+    want = {(a, b): sum({a, b} <= s for s in held.values()) for a in range(5) for b in range(5) if a != b}
+    assert {(r.a, r.b): r["count"] for r in copick.category_matrix(sales).collect()} == {p: n for p, n in want.items() if n}

@@ -13,11 +13,12 @@ What makes this a distributed job:
   then the frequent ones: those that many fronts hold by hash alone, and those that many of the fronts hold that come
   about when those are moved last. Each value is a block; equal blocks are one block. Whatever the order, the values
   are counted again in the fronts really used, and each that many sets hold is split by node hash into blocks of
-  bounded size.
+  bounded size. Two sets with a value as their first common one share at most what each has from its place on; that gives
+  each node the largest set that it can link with there, and nodes that fit no other one leave the block.
 * In each block an R-tree of its points is searched. Two rounds ask only for each node's best partner in another
-  component: the first in some blocks (near copies meet in very many), with one link from each part of a split value
-  to the value's first node, the second in every block that still holds several components; in a split value, nodes
-  outside its commonest component are sent to all of its parts, in groups of bounded size. Their pairs are verified and joined to components. The
+  component: the first in some blocks (near copies meet in very many), with each node of a split value compared with the
+  value's hub, the node that can link with the most others, the second in every block that still holds several components;
+  in a split value, nodes outside its commonest component are sent to all of its parts, in groups of bounded size. Their pairs are verified and joined to components. The
   last round takes the nodes that had any partner within the bound and the blocks that are open still, brings the exact
   sets together, and returns a forest of the links between different components. Every pair at the threshold is thus
   verified or lies inside one component already: no link is lost, and a group never makes all its pairs.
@@ -199,20 +200,22 @@ class RTree:
         return at[self.all * bound >= self.num * (a + self.n[at])]
 
 
-def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den) -> list[tuple[int, int]]:
+def _search_block(node, n, most, fine: list[np.ndarray], comp, home, num, den) -> list[tuple[int, int]]:
     """Candidate pairs of one block between different components: each node's best.
 
-    home: the node belongs here (False: sent here to be compared with those that do).
+    most: largest set that the node can link with here; home: the node belongs here (False: sent here to be compared with those that do).
     """
     if (comp == comp[0]).all():
         return []
 
     if node.size == 2:
+        if n[0] > most[1] or n[1] > most[0]:
+            return []
         g = min(fine[0].size, fine[1].size)
         bound = min(int(np.minimum(_folded(fine[0], g), _folded(fine[1], g)).sum()), int(n.min()))
         return [(int(node[0]), int(node[1]))] if home.any() and (num + den) * bound >= num * int(n.sum()) else []
     order = np.lexsort((node, n))
-    node, n, comp, home = node[order], n[order], comp[order], home[order]
+    node, n, most, comp, home = node[order], n[order], most[order], comp[order], home[order]
     fine = [fine[k] for k in order]
     sizes = np.array([v.size for v in fine])
     # for each number of groups, the points that are at least as fine, folded to it
@@ -227,7 +230,9 @@ def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den) -> list
     out = []
     for i in range(node.size):
         at = tree.search(fine64[i], int(n[i])) if tree is not None else np.flatnonzero((num + den) * np.minimum(n[i], n) >= num * (n[i] + n))
-        at = at[(comp[at] != comp[i]) & (home[at] | home[i])]
+        at = at[(comp[at] != comp[i]) & (home[at] | home[i]) & (n[at] <= most[i]) & (most[at] >= n[i])]
+        if not at.size:
+            continue
         bound = np.zeros(at.size, dtype=np.int64)
         common = np.minimum(sizes[at], sizes[i])
         for g in set(common.tolist()):
@@ -243,20 +248,20 @@ def _search_block(node, n, fine: list[np.ndarray], comp, home, num, den) -> list
 
 
 def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: cell, block, node, n, vec, comp, home -> distinct pairs (a, b), a < b: each node's best partner in each block."""
+    """rows: cell, block, node, n, most, vec, comp, home -> distinct pairs (a, b), a < b: each node's best partner in each block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, known = None, set()
 
         def search(b: pd.DataFrame) -> pd.DataFrame:
             ids = b["block"].to_numpy()
-            node, n, comp, home = b["node"].to_numpy(), b["n"].to_numpy(), b["comp"].to_numpy(), b["home"].to_numpy()
+            node, n, most, comp, home = (b[c].to_numpy() for c in ("node", "n", "most", "comp", "home"))
             vec = [np.frombuffer(v, dtype=np.uint16) for v in b["vec"]]
             cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [ids.size]])
             found = set()
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if e - s > 1:
-                    found.update((min(p), max(p)) for p in _search_block(node[s:e], n[s:e], vec[s:e], comp[s:e], home[s:e], num, den))
+                    found.update((min(p), max(p)) for p in _search_block(node[s:e], n[s:e], most[s:e], vec[s:e], comp[s:e], home[s:e], num, den))
             found -= known
             if len(known) > 500_000:
                 known.clear()  # only spares repeats
@@ -313,28 +318,36 @@ def _sets(docs: DataFrame, points: DataFrame, ends: DataFrame) -> DataFrame:
 def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all pairs at the threshold. docs: doc_id, text."""
     signed = _signatures(docs, num, den, frequent(docs, num, den))
-    signed = materialize(signed.groupBy("node").agg(F.first("keys").alias("keys")))  # copies have equal keys
-    rows = signed.select("node", F.explode("keys").alias("key"))
-    parts = _often(rows.select("key")).select("key", (F.floor(F.col("c") / PART) + 1).alias("parts"))
+    signed = materialize(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))  # copies have equal keys
+    # with a value as the first common one, sets share at most what each has from there on: a limit of the other's size
+    limit = F.floor((F.col("n") - F.col("pos")) * (num + den) / num).cast("long") - F.col("n")
+    rows = signed.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", limit.alias("most"))
+    parts = materialize(_often(rows.select("key")).select("key", (F.floor(F.col("c") / PART) + 1).alias("parts")))
     rows = rows.join(F.broadcast(parts), "key", "left")  # at most MAX_HOT rows
     # a value is a block, a part of a frequent value is one
-    cell = F.when(F.col("parts").isNotNull(), F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.col("key"))
-    split = parts.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(F.xxhash64("key", "part").alias("cell"), "key", "part")
-    dealt = rows.select(cell.alias("cell"), "node").repartition("cell")
-    lists = dealt.groupBy("cell").agg(F.sort_array(F.collect_set("node")).alias("nodes")).join(split, "cell", "left").where((F.size("nodes") > 1) | F.col("key").isNotNull())
-    lists = lists.select("nodes", F.coalesce("key", "cell").alias("key"), F.coalesce("part", F.lit(-1)).alias("part"))
-    # equal lists of nodes are one block
-    lists = materialize(lists.groupBy("nodes").agg(F.min(F.struct("key", "part")).alias("k"), F.collect_set(F.when(F.col("part") >= 0, F.struct("key", "part"))).alias("hot_keys")).select("nodes", "k.key", "k.part", "hot_keys"))
-    # also of one-node lists: a node alone in its part of a split value meets the nodes of the other parts
-    ends = lists.select(F.explode("nodes").alias("node")).distinct()
+    rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(-1).cast("long")))
+    hot = materialize(rows.where("part >= 0").select("key", "part", "node", "n", "most"))
+    ends = hot.groupBy("key").agg(F.min("n").alias("low"), F.max("most").alias("high"))
+    last, hot = hot, materialize(hot.join(F.broadcast(ends), "key").where("most >= low and n <= high").select(*hot.columns))  # at most MAX_HOT rows
+    lists = rows.where("part < 0").select("key", "node", "n", "most").repartition("key").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n", "most"))).alias("x")).where("size(x) > 1")
+    # equal lists of nodes are one block; its limits are those of the first of its values, the largest of each node
+    lists = lists.groupBy(F.col("x.node").alias("node"), F.col("x.n").alias("n")).agg(F.min("key").alias("key"), F.max("x.most").alias("most"))
+    low, high = F.array_min("n"), F.array_max("most")
+    fits = lists.withColumns({"low": low, "high": high}).select("key", F.filter(F.arrays_zip("node", "n", "most"), lambda x: (x["most"] >= F.col("low")) & (x["n"] <= F.col("high"))).alias("x"))
+    lists = materialize(fits.where("size(x) > 1").select("key", F.transform("x", lambda x: F.struct(x["node"].alias("node"), x["most"].alias("most"))).alias("nodes")))
+    release(signed, last)
+    # also nodes alone in their part of a split value meet those of the other parts
+    ends = lists.select(F.explode("nodes.node").alias("node")).unionByName(hot.select("node")).distinct()
     where = materialize(points.join(ends, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("vec").alias("vec")))
-    firsts = lists.select(F.explode("hot_keys").alias("k"), F.element_at("nodes", 1).alias("a")).select("k.key", "a")
-    across = firsts.join(firsts.groupBy("key").agg(F.min("a").alias("b")), "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # the node that can link with the most others of a split value is compared with all of them
+    hubs = hot.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b")), F.struct(F.col("most") / F.col("n"), "node")).alias("hub"))
+    across = hot.join(F.broadcast(hubs.select("key", "hub.*")), "key").where("node != b and n <= most_b and n_b <= most")  # at most MAX_HOT rows
+    across = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
-    release(signed)
+    every = lists.select("key", F.lit(-1).cast("long").alias("part"), F.explode("nodes").alias("x")).select("key", "part", "x.*").unionByName(hot.select("key", "part", "node", "most"))
     tried = found = comps = None
-    for part in (lists.where(F.pmod(F.xxhash64("key", "part"), F.lit(SOME)) == 0), lists):
-        pairs = _candidates(_dealt(_open_blocks(part, parts, comps)).join(where, "node"), num, den)
+    for some in (every.where(F.pmod(F.xxhash64("key", "part"), F.lit(SOME)) == 0), every):
+        pairs = _candidates(_dealt(_open_blocks(some, parts, comps)).join(where, "node"), num, den)
         if tried is None:
             pairs = pairs.unionByName(across).distinct()
         else:
@@ -348,15 +361,15 @@ def links(docs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
         tidy(docs.sparkSession)
     # a node without any partner within the bound in the second round has none now
     nodes = materialize(alive.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    rows = _dealt(_open_blocks(lists, parts, comps).join(nodes, "node", "left_semi")).select("cell", "node", "comp").distinct()
+    rows = _dealt(_open_blocks(every.join(nodes, "node", "left_semi"), parts, comps)).groupBy("cell", "node", "comp").agg(F.max("most").alias("most"))
     sets = _sets(docs, points, nodes)
     last = _remaining(rows, sets, num, den)
-    release(sets, lists, where, nodes, alive)
+    release(sets, lists, hot, parts, where, nodes, alive)
     return found.unionByName(last)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """rows (block, node, comp, home) of blocks that hold several components, with the cell that they are dealt to.
+    """rows (block, node, most, comp, home) of blocks that hold several components, with the cell that they are dealt to.
 
     Blocks with the same first node go to one cell, as near copies meet in many blocks; a cell of many rows is split by block.
     """
@@ -367,78 +380,80 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _remaining(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components among the nodes of a cell; rows: cell, node, comp; sets: node, s. Each cell returns a spanning forest."""
-
-    def link(node: np.ndarray, comp: np.ndarray, sets_: list[np.ndarray]) -> list[tuple[int, int]]:
-        up = {c: c for c in comp.tolist()}
-
-        def root(c: int) -> int:
-            while up[c] != c:
-                up[c] = up[up[c]]
-                c = up[c]
-            return c
+    """Links (a, b) between components among the nodes of a cell; rows: cell, node, comp, most; sets: node, s. Each cell returns a spanning forest."""
 
+    def link(node: np.ndarray, comp: np.ndarray, most: np.ndarray, sets_: list[np.ndarray]) -> list[tuple[int, int]]:
+        _, comp = np.unique(comp, return_inverse=True)  # renamed as components meet
+        if comp.max() == 0:
+            return []
         n = np.array([x.size for x in sets_])
         order = np.argsort(n, kind="stable")
-        node, comp, n, sets_ = node[order].tolist(), comp[order].tolist(), n[order], [sets_[k] for k in order]
+        node, comp, most, n, sets_ = node[order].tolist(), comp[order], most[order], n[order], [sets_[k] for k in order]
         fine = [np.frombuffer(point(x), dtype=np.uint16) for x in sets_]
-        tree, out = RTree(n, np.stack([_folded(v, GROUPS) for v in fine]), num, den), []
+        fine64, out = np.stack([_folded(v, GROUPS) for v in fine]), []
+        tree = RTree(n, fine64, num, den) if n.size > 2 * LEAF else None
         for i in range(len(node)):
-            for x in tree.search(_folded(fine[i], GROUPS), int(n[i])).tolist():
-                if x < i and root(comp[x]) != root(comp[i]):
-                    g = min(fine[i].size, fine[x].size)
-                    if (num + den) * int(np.minimum(_folded(fine[i], g), _folded(fine[x], g)).sum(dtype=np.int64)) < num * int(n[i] + n[x]):
-                        continue
-                    both = np.intersect1d(sets_[i], sets_[x], assume_unique=True).size
-                    if (num + den) * both >= num * int(n[i] + n[x]):
-                        up[root(comp[x])] = root(comp[i])
-                        out.append((node[i], node[x]))
+            at = np.arange(i) if tree is None else tree.search(fine64[i], int(n[i]))
+            at = at[at < i]
+            at = at[(comp[at] != comp[i]) & (n[at] <= most[i]) & (most[at] >= n[i])]
+            if tree is None and at.size:
+                at = at[(num + den) * np.minimum(fine64[at], fine64[i]).sum(1, dtype=np.int64) >= num * (n[i] + n[at])]
+            for x in at.tolist():
+                if comp[x] == comp[i]:
+                    continue
+                g = min(fine[i].size, fine[x].size)
+                if (num + den) * int(np.minimum(_folded(fine[i], g), _folded(fine[x], g)).sum(dtype=np.int64)) < num * int(n[i] + n[x]):
+                    continue
+                # sorted sets: the places of the smaller one's hashes in the other
+                both = np.count_nonzero(sets_[i][np.minimum(np.searchsorted(sets_[i], sets_[x]), n[i] - 1)] == sets_[x])
+                if (num + den) * both >= num * int(n[i] + n[x]):
+                    comp[comp == comp[x]] = comp[i]
+                    out.append((node[i], node[x]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
 
         def done() -> pa.RecordBatch:
-            pairs = link(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]) if len(held) > 1 else []
+            pairs = link(*(np.array([h[k] for h in held]) for k in range(3)), [h[3] for h in held]) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            s = b.column(3)
+            s = b.column(4)
             at, values = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
-            for i, (cell, node, comp) in enumerate(zip(*[b.column(k).to_pylist() for k in range(3)])):
+            for i, (cell, node, comp, most) in enumerate(zip(*[b.column(k).to_pylist() for k in range(4)])):
                 if cell != last and held:
                     yield done()
                     held = []
                 last = cell
-                held.append((node, comp, values[at[i] : at[i + 1]].copy()))
+                held.append((node, comp, most, values[at[i] : at[i + 1]].copy()))
         if held:
             yield done()
 
-    dealt = rows.join(sets, "node").select("cell", "node", "comp", "s").repartition("cell").sortWithinPartitions("cell")
+    dealt = rows.join(sets, "node").select("cell", "node", "comp", "most", "s").repartition("cell").sortWithinPartitions("cell")
     return materialize(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
-def _open_blocks(lists: DataFrame, parts: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Blocks with more than one component: block, node, comp, home. In a split value, nodes outside its commonest component go to all parts."""
+def _open_blocks(rows: DataFrame, parts: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """rows (key, part, node, most; part -1: not split) -> blocks with more than one component: block, node, most, comp, home. In a
+    split value, nodes outside its commonest component go to all parts."""
     block = F.xxhash64("key", "part")
-    rows = lists.select("key", "part", "hot_keys", F.explode("nodes").alias("node"))
     if comps is None:
-        return rows.select(block.alias("block"), "node", F.col("node").alias("comp"), F.lit(True).alias("home"))
+        return rows.select(block.alias("block"), "node", "most", F.col("node").alias("comp"), F.lit(True).alias("home"))
     rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    plain = rows.where("part < 0").withColumn("block", block)
+    plain, hot = rows.where("part < 0").withColumn("block", block), rows.where("part >= 0")
     several = plain.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("block")
-    plain = plain.join(several, "block", "left_semi").select("block", "node", "comp", F.lit(True).alias("home"))
-    many = rows.where(F.size("hot_keys") > 0).select("node", "comp", F.explode("hot_keys").alias("k")).select("node", "comp", "k.key", "k.part")
-    tops = many.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("others")).where("k > 1").join(parts, "key")
+    plain = plain.join(several, "block", "left_semi").select("block", "node", "most", "comp", F.lit(True).alias("home"))
+    tops = hot.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("others")).where("k > 1").join(parts, "key")
     tops = tops.select("key", "top", "parts", (F.floor(F.col("others") / GUESTS) + 1).alias("groups"))
-    many = many.join(tops, "key").withColumn("guest", F.col("comp") != F.col("top"))
+    many = hot.join(tops, "key").withColumn("guest", F.col("comp") != F.col("top"))
     numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     # a part's own nodes meet each group of guests; a guest is in one group, in all parts
     many = many.withColumn("there", F.explode(F.when(F.col("guest"), numbers(F.col("parts"))).otherwise(F.array("part"))))
     own = F.col("part") == F.col("there")
     many = many.withColumn("group", F.explode(F.when(own, numbers(F.col("groups"))).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(3)), F.col("groups"))))))
-    many = many.select(F.xxhash64("key", F.col("there").cast("long"), F.col("group").cast("long")).alias("block"), "node", "comp", own.alias("home"))
-    return plain.unionByName(many)
+    many = many.select(F.xxhash64("key", F.col("there").cast("long"), F.col("group").cast("long")).alias("block"), "node", "most", "comp", own.alias("home"))
+    return plain.unionByName(materialize(many))  # it is read for the blocks and for the rows
 
 
 def components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

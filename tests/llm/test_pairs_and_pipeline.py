@@ -122,6 +122,31 @@ def test_join_splits_every_frequent_value(spark, monkeypatch):
     assert max(sizes) <= 64
 
 
+def test_join_sends_few_nodes_to_all_parts(spark, monkeypatch):
+    """Near copies of one text of which many are too far from all others: they are not compared with every part of the group."""
+    monkeypatch.setattr(ngram_join, "HOT", 40)
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    sent, opened = [], ngram_join._open_blocks
+
+    def watched(rows, parts, comps):
+        out = opened(rows, parts, comps)
+        sent.append(out.where("not home").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_open_blocks", watched)
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in [1, 2, 3] * 40 + [5] * 180:
+        t = list(base)
+        for at in r.sample(range(0, 150, 8), k):
+            t[at] = word()
+        texts.append(" ".join(t))
+    check(spark, texts)
+    assert max(sent) <= 30_000  # 21,763; without limits of size 62,624
+
+
 def test_join_of_nodes_alone_in_their_parts(spark, monkeypatch):
     """A common line links to each text that adds one word to it, but these do not link with each other."""
     monkeypatch.setattr(ngram_join, "HOT", 3)

@@ -194,6 +194,17 @@ def test_one_pass_equals_the_models_from_each_origin(spark):
     assert len(both) > 50
 
 
+def test_walk_of_a_batch_equals_the_walk_of_each(spark):
+    """Series of all lengths, bit by bit."""
+    r = random.Random(6)
+    data = [(i, [float(r.choice([0, 0, 3, 8, r.random() * 50])) for _ in range(r.randrange(0, 40))]) for i in range(120)] + [(200, [0.0] * 30), (201, [])]
+    df = spark.createDataFrame(data, "key long, s array<double>").withColumn("te", F.size("s") - 3)
+    both = df.withColumn("a", S.walk(F.col("s"), F.col("te"))).withColumn("b", S.walked(F.col("s"), F.col("te"))).collect()
+    assert len(both) == 122
+    for x in both:
+        assert x.a.asDict() == x.b.asDict(), x.key
+
+
 def test_errors_of_requests(spark):
     s = sales(spark, SF)
     with pytest.raises(NotFound) as e:

@@ -84,3 +84,15 @@ def test_rows_meet_what_is_known_of_few_addresses_without_a_shuffle(spark):
     # that of the rows was by address_final, of all rows
     assert "hashpartitioning(address_final" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.region, r.address_pending) for r in out.collect()} == {("甲市A區", 0)}
+
+
+def test_scorecard_writes_no_measured_rows(spark):
+    """The scorecard is a few percentages: the repaired rows, with all their columns, aren't written for it."""
+    from conftest import SF
+
+    from depotspark.operators.cache import cache_of
+    from depotspark.plans.queries import QUERIES
+
+    cache_of(spark).close()
+    assert QUERIES["quality_scorecard"](spark, SF).count() == 1
+    assert not [e for e in cache_of(spark).entries if e.name.endswith(".measured")]

@@ -96,21 +96,34 @@ def nearest_versions(asks: DataFrame, v: DataFrame) -> DataFrame:
     return out.select("store_code", F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")).alias("day"), F.coalesce("cover", best["x"], "undated").alias("best"))
 
 
-def backfill(rows: DataFrame) -> DataFrame:
-    """rows (row_id, ship_no, store_code, address and others) with ship_date, address_final, address_source, address_pending, region
-    and rest. Rows are a table that can be read twice; they meet what is known of their (address, store_code), and those that
-    need another version what is nearest for their (store_code, day)."""
-    columns = rows.columns
+def known_places(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (row_id, ship_no, store_code, address), a table that can be read twice -> what is known of each (address, store_code), and
+    the version that is nearest for each (store_code, day) that asks for one."""
     t = cut_lineage(trusted(pairs(rows)))
     v = cut_lineage(variants(t))
     stores = v.groupBy("store_code").agg(F.count("*").alias("n_versions"), F.min(F.struct((-F.col("n")).alias("n"), _text().alias("x")))["x"].alias("common"))  # for rows without a date
     known = t.select(F.col("address").alias("_address"), "store_code", "norm", "city", "district", "rest", "placeholder", "trusted").join(stores, "store_code", "left").withColumnRenamed("store_code", "_store")
     known = cut_lineage(known)
+    asks = cut_lineage(_meet(rows, known).where(_asking()).select("store_code", F.col("ship_date").alias("day")).distinct())
+    return known, cut_lineage(nearest_versions(asks, v).select(F.col("store_code").alias("_store"), F.col("day").alias("_day"), "best"))
+
+
+def _asking() -> Column:
+    return ~F.col("trusted") & F.col("ship_date").isNotNull() & F.col("n_versions").isNotNull()
+
+
+def _meet(rows: DataFrame, known: DataFrame) -> DataFrame:
     on = rows["address"].eqNullSafe(known["_address"]) & rows["store_code"].eqNullSafe(known["_store"])
-    t = rows.join(known, on).drop("_address", "_store").withColumn("ship_date", T.ship_date(F.col("ship_no")))
-    asking = ~F.col("trusted") & F.col("ship_date").isNotNull() & F.col("n_versions").isNotNull()
-    asks = cut_lineage(t.where(asking).select("store_code", F.col("ship_date").alias("day")).distinct())
-    nearest = cut_lineage(nearest_versions(asks, v)).select(F.col("store_code").alias("_store"), F.col("day").alias("_day"), "best")
+    return rows.join(known, on).drop("_address", "_store").withColumn("ship_date", T.ship_date(F.col("ship_no")))
+
+
+def backfill(rows: DataFrame, places: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """rows (row_id, ship_no, store_code, address and others) with ship_date, address_final, address_source, address_pending, region
+    and rest. They meet what is known of their (address, store_code), and those that need another version what is nearest for their
+    (store_code, day). places: known_places of these rows; without it rows are a table that can be read twice."""
+    columns = rows.columns
+    known, nearest = places or known_places(rows)
+    t, asking = _meet(rows, known), _asking()
     t = t.join(nearest, (F.when(asking, F.col("store_code")) == F.col("_store")) & (F.col("ship_date") == F.col("_day")), "left")
     many = F.col("n_versions") > 1
     t = t.withColumn("best", F.when(F.col("ship_date").isNull(), F.col("common")).otherwise(F.col("best")))
@@ -159,8 +172,12 @@ def match_counts(resolved: DataFrame) -> DataFrame:
 
 def resolve(filled: DataFrame, names: tuple[DataFrame, DataFrame, DataFrame] | None) -> DataFrame:
     """filled (see backfill) with address_match; regions of incomplete addresses come from unique roads and villages."""
-    if names is None:
-        return filled.withColumn("address_match", F.lit("未載入參考資料"))
+    # written, as its size is known then: where addresses are few the rows meet them without a shuffle
+    return matched(filled, names and cut_lineage(looked_up(filled, names)))
+
+
+def looked_up(filled: DataFrame, names: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """address_final of filled (once each): the region found, and whether its road is known."""
     roads, villages, triples = names
     one = filled.where("address_final is not null").select("address_final").distinct()
     one = one.select("address_final", A.city(F.col("address_final")).alias("c"), A.district(F.col("address_final")).alias("d"), A.rest(F.col("address_final")).alias("r"))
@@ -171,8 +188,14 @@ def resolve(filled: DataFrame, names: tuple[DataFrame, DataFrame, DataFrame] | N
     one = one.withColumn("found", F.when(F.col("c").isNull() | F.col("d").isNull(), found))
     known = triples.select(F.col("city").alias("tc"), F.col("district").alias("td"), F.col("road").alias("tr"), F.lit(True).alias("known"))
     one = one.join(known, (A.canonical(F.col("c")) == F.col("tc")) & (A.canonical(F.col("d")) == F.col("td")) & (F.col("road") == F.col("tr")), "left")
-    # written, as its size is known then: where addresses are few the rows meet them without a shuffle
-    out = filled.join(cut_lineage(one.select("address_final", "found", "known")), "address_final", "left")
+    return one.select("address_final", "found", "known")
+
+
+def matched(filled: DataFrame, looked: DataFrame | None) -> DataFrame:
+    """resolve with what looked_up gave; None without a gazetteer."""
+    if looked is None:
+        return filled.withColumn("address_match", F.lit("未載入參考資料"))
+    out = filled.join(looked, "address_final", "left")
     match = F.when(F.col("found").isNotNull(), "路名回推補齊").when(F.col("known"), "路名相符(已驗證)").otherwise("未比對")
     out = out.withColumn("address_match", match).withColumn("region", F.coalesce("region", "found")).withColumn("address_pending", F.when(F.col("found").isNotNull(), 0).otherwise(F.col("address_pending")))
     return out.withColumn("address_source", F.when(F.col("found").isNotNull(), F.concat("address_source", F.lit("；路名回推"))).otherwise(F.col("address_source"))).drop("found", "known")

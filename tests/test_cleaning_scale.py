@@ -96,3 +96,47 @@ def test_scorecard_writes_no_measured_rows(spark):
     cache_of(spark).close()
     assert QUERIES["quality_scorecard"](spark, SF).count() == 1
     assert not [e for e in cache_of(spark).entries if e.name.endswith(".measured")]
+
+
+def test_repairs_of_equal_rows_are_those_of_each_row(spark):
+    """Rows that are alike are repaired once, and rows with nothing to mend meet no repair."""
+    from conftest import SF
+
+    from depotspark.sources.star import raw_lines
+
+    rows = graph.cut_lineage(pipeline.cleaned(raw_lines(spark, SF)))
+    alike, every = dimensions.repairs(rows), dimensions.measure(rows)
+    alike = graph.cut_lineage(alike)
+    assert alike.count() < rows.count() and alike.agg(F.sum("n")).first()[0] == rows.count()
+    out = dimensions.mended(rows, alike).select(every.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, every.collect()))
+    assert sorted(map(str, dimensions.item_master(alike, "n").collect())) == sorted(map(str, dimensions.item_master(every).collect()))
+
+
+def test_cleaning_run_writes_its_rows_only_once(spark, monkeypatch):
+    """The isolation is the only table that has the rows: neither repaired rows nor the result are written on the way."""
+    from conftest import SF
+
+    from depotspark.operators import cache
+    from depotspark.plans.queries import QUERIES
+
+    cache.cache_of(spark).close()
+    written, plain = [], graph.cut_lineage
+
+    def kept(df, *by):
+        written.append(df.columns)
+        return plain(df, *by)
+
+    for module in (graph, cleaning, dimensions, addresses, pipeline):
+        monkeypatch.setattr(module, "cut_lineage", kept)
+    made = {name: QUERIES[name](spark, SF) for name in ("cleaning_run", "change_log_all", "run_metrics")}
+    assert [c for c in written if {"row_id", "address"} <= set(c) and "_k1" not in c and "isolation_reason" not in c] == []
+    assert sum({"row_id", "isolation_reason"} <= set(c) for c in written) == 1
+    assert made["cleaning_run"].count() == made["run_metrics"].first().n_rows > 0
+
+
+def test_strip_looks_for_white_space_only_where_there_is_some(spark):
+    texts = ["a", " a", "a ", "\ta\n", "", " ", None, "a\u0085", "a \u0085", "\u0085a", "a ", "a  ", "　a　", "箱", " 個 ", "a b", "\x01a", "a\x1f", "\x0ba\f", "a\r\n", "a \n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", T.strip(F.col("t")).alias("a"), F.regexp_replace("t", r"^\s+|\s+$", "").alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[18].a == "a"

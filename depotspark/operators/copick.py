@@ -44,12 +44,12 @@ def _blocks(keys: DataFrame, block: int) -> DataFrame:
 
 
 def pair_rows(keys: DataFrame, block: int = BLOCK) -> DataFrame:
-    """keys (ship_no, k, f) -> one row a, b, fa, fb for each order that holds both, a < b: see the head of the module. keys is a table
-    that can be read twice."""
+    """keys (ship_no, k) -> one row a, b for each order that holds both, a < b: see the head of the module. keys is a table that can be
+    read twice."""
     sizes = keys.groupBy("ship_no").agg(F.count("*").alias("s"))
     large = cut_lineage(sizes.where(F.col("s") > block).select("ship_no"))
-    held = keys.join(large, "ship_no", "left_anti").groupBy("ship_no").agg(F.sort_array(F.collect_list(F.struct("k", "f"))).alias("ks"))  # at most block keys
-    pair = lambda x, y: F.struct(x["k"].alias("a"), y["k"].alias("b"), x["f"].alias("fa"), y["f"].alias("fb"))
+    held = keys.join(large, "ship_no", "left_anti").groupBy("ship_no").agg(F.sort_array(F.collect_list("k")).alias("ks"))  # at most block keys
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
     after = lambda i: F.slice("ks", i + 2, F.size("ks"))
     small = held.where(F.size("ks") > 1).select(F.inline(F.flatten(F.transform("ks", lambda x, i: F.transform(after(i), lambda y: pair(x, y))))))
     if large.isEmpty():
@@ -60,21 +60,23 @@ def pair_rows(keys: DataFrame, block: int = BLOCK) -> DataFrame:
 def _large_rows(keys: DataFrame, block: int) -> DataFrame:
     """The same for orders that are dealt into blocks."""
     dealt = cut_lineage(_blocks(keys, block))  # read for both sides
-    left = dealt.select("ship_no", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"), F.col("k").alias("x"), F.col("f").alias("fx"))
-    right = dealt.select("ship_no", F.explode(F.sequence(F.lit(0), "blk")).alias("i"), F.col("blk").alias("j"), F.col("k").alias("y"), F.col("f").alias("fy"))
+    left = dealt.select("ship_no", F.col("blk").alias("i"), F.explode(F.sequence("blk", F.col("nb") - 1)).alias("j"), F.col("k").alias("x"))
+    right = dealt.select("ship_no", F.explode(F.sequence(F.lit(0), "blk")).alias("i"), F.col("blk").alias("j"), F.col("k").alias("y"))
     met = left.join(right, ["ship_no", "i", "j"]).where("i < j or x < y")
-    turned = F.col("x") > F.col("y")
-    pick = lambda p, q: F.when(turned, F.col(q)).otherwise(F.col(p))
-    return met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("fx", "fy").alias("fa"), pick("fy", "fx").alias("fb"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def pairs(sales: DataFrame, key: str = "item_id", min_count: int | None = None, block: int = BLOCK) -> DataFrame:
-    """a < b in the same order: count, support (percent of orders), lift; count from min_count on (default by the number of orders)."""
-    keys = cut_lineage(order_keys(sales, key))  # read for the orders, the frequencies and the pairs
+def pairs(sales: DataFrame, key: str = "item_id", min_count: int | None = None, block: int = BLOCK, keys: DataFrame | None = None) -> DataFrame:
+    """a < b in the same order: count, support (percent of orders), lift; count from min_count on (default by the number of orders).
+    keys: order_keys of the sales, if they are written already."""
+    keys = cut_lineage(order_keys(sales, key)) if keys is None else keys  # read for the orders, the frequencies and the pairs
     freq = cut_lineage(frequencies(keys, min_count))
-    often = cut_lineage(keys.join(freq.where("f >= least").select("k", "f"), "k"))
-    both = pair_rows(often, block).groupBy("a", "b", "fa", "fb").agg(F.count("*").alias("count"))
+    # where no key is rare, the keys are not written again
+    often = keys if freq.where("f < least").isEmpty() else cut_lineage(keys.join(freq.where("f >= least").select("k"), "k", "left_semi"))
+    both = pair_rows(often, block).groupBy("a", "b").agg(F.count("*").alias("count"))  # as narrow as can be: one row for each pair is shuffled
     both = both.crossJoin(F.broadcast(freq.limit(1).select("n", "least"))).where("count >= least")  # one row
+    of = lambda c: freq.select(F.col("k").alias(c), F.col("f").alias(f"f{c}"))  # noqa: E731  only pairs that count ask for the frequencies
+    both = both.join(of("a"), "a").join(of("b"), "b")
     return both.select("a", "b", "count", (F.col("count") * 100.0 / F.col("n")).alias("support"), (F.col("count") * F.col("n") / (F.col("fa") * F.col("fb"))).alias("lift"))
 
 

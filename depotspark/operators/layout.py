@@ -51,7 +51,7 @@ def clusters(items: DataFrame, pairs: DataFrame, min_lift: float = R.CLUSTER_LIF
     """id, component over pairs (a, b, count, lift) that are strong and join two of the items."""
     strong = pairs.where((F.col("lift") >= min_lift) & (F.col("count") >= min_count)).select("a", "b")
     strong = strong.join(items.select(F.col("id").alias("a")), "a", "left_semi").join(items.select(F.col("id").alias("b")), "b", "left_semi")
-    return graph.components(items.select("id"), strong)
+    return graph.components(items.select("id"), graph.cut_lineage(strong))  # few, and read from both ends
 
 
 def pack_before(categories: DataFrame, zs: DataFrame) -> DataFrame:

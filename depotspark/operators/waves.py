@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotspark import reference_values as R
-from depotspark.operators.graph import cut_lineage
+from depotspark.operators.cleaning import may_meet
+from depotspark.operators.graph import cut_lineage, settled
 
 
 def rollup(sales: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -14,8 +15,18 @@ def rollup(sales: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min_by(F.struct("ship_date", "city", "district"), "row_id").alias("m")
     orders = sales.where("ship_no is not null").groupBy("ship_no").agg(first, F.count("*").alias("lines"))
     orders = orders.select("ship_no", F.coalesce(F.date_format("m.ship_date", "yyyyMMdd"), F.lit("")).alias("date"), F.coalesce("m.city", F.lit("未知")).alias("city"), F.coalesce("m.district", F.lit("未知")).alias("district"), "lines")
-    items = sales.where("ship_no is not null and item_id is not null").groupBy("ship_no", "item_id").agg(F.count("*").alias("lines"), F.sum("qty").alias("qty"))
-    return orders, items
+    return orders, order_items(sales)
+
+
+def order_items(sales: DataFrame) -> DataFrame:
+    return sales.where("ship_no is not null and item_id is not null").groupBy("ship_no", "item_id").agg(F.count("*").alias("lines"), F.sum("qty").alias("qty"))
+
+
+def of_orders(sales: DataFrame, orders: DataFrame) -> DataFrame:
+    """The sales of some orders (ship_no). Of the others few are shuffled: a table of bits tells most of them."""
+    key = F.xxhash64("ship_no").alias("_k")
+    met = may_meet(sales.select("*", key), orders.select(key), "_k").where("_may").drop("_k", "_may")
+    return met.join(orders, "ship_no", "left_semi")
 
 
 def simple_batch(sales: DataFrame, capacity: int = R.CAPACITY) -> DataFrame:
@@ -70,14 +81,15 @@ def wave_table(waved: DataFrame, seeds: DataFrame, zones: DataFrame) -> DataFram
     return out.select(*WAVE, "orders", "lines", F.coalesce("sku_count", F.lit(0)).alias("sku_count"), F.coalesce("rounds", F.lit(1)).alias("rounds"), F.coalesce("wave_dist", F.lit(0.0)).alias("wave_dist"))
 
 
-def strategies(sales: DataFrame, zones: DataFrame, threshold: int = R.WAVE_THRESHOLD, capacity: int = R.CAPACITY) -> DataFrame:
-    """One row: order-by-order picking (before and after the new places) against seeded waves over the window."""
-    sales = cut_lineage(sales.select("row_id", "ship_no", "ship_date", "city", "district", "item_id", "qty", "zone", "before_zone"))  # read for orders, items and places
-    orders, items = (cut_lineage(x) for x in rollup(sales))
-    waved = cut_lineage(waves(in_window(orders), threshold))
-    held = items.join(waved.select("ship_no"), "ship_no", "left_semi")
-    places = sales.where("item_id is not null").groupBy("item_id").agg(F.min_by("zone", "row_id").alias("zone"), F.min_by("before_zone", "row_id").alias("before_zone"))
-    held, places = cut_lineage(held), cut_lineage(places)
+def strategies(sales: DataFrame, zones: DataFrame, threshold: int = R.WAVE_THRESHOLD, capacity: int = R.CAPACITY, places: DataFrame | None = None) -> DataFrame:
+    """One row: order-by-order picking (before and after the new places) against seeded waves over the window. places (item_id, zone,
+    before_zone): both written, and sales without zones, which are not written again."""
+    if places is None:
+        sales = cut_lineage(sales.select("row_id", "ship_no", "ship_date", "city", "district", "item_id", "qty", "zone", "before_zone"))  # read for orders, items and places
+        places = cut_lineage(sales.where("item_id is not null").groupBy("item_id").agg(F.min_by("zone", "row_id").alias("zone"), F.min_by("before_zone", "row_id").alias("before_zone")))
+    # the window is a few months of all: only its orders keep a table, and only their items are rolled up
+    waved = settled(sales.sparkSession, lambda: waves(in_window(cut_lineage(rollup(sales)[0])), threshold))
+    held = cut_lineage(order_items(of_orders(sales.select("ship_no", "item_id", "qty"), waved.select("ship_no"))))
     table = wave_table(waved, seed_rounds(waved, held, places.select("item_id", "zone"), zones, capacity), zones)
     seed = table.agg(F.sum("orders").alias("orders"), F.sum("lines").alias("lines"), F.sum("rounds").alias("seed_rounds"), F.sum("wave_dist").alias("seed_dist"), F.sum("sku_count").alias("seed_picks"), F.median("sku_count").alias("median_skus"), F.count_if(F.col("sku_count") > capacity).alias("bound_waves"), F.count("*").alias("waves"))
     located = held.join(places, "item_id")
@@ -128,10 +140,14 @@ def completion(sales: DataFrame, day: str, zones: DataFrame, threshold: int = R.
     return every.withColumn("cum_done", F.sum("done").over(Window.partitionBy(*WAVE).orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def places_of(layout_record: DataFrame) -> DataFrame:
+    """Places of items as strategies takes them. layout_record: id, after_zone, before_zone."""
+    return layout_record.select(F.col("id").alias("item_id"), F.col("after_zone").alias("zone"), "before_zone")
+
+
 def located(sales: DataFrame, layout_record: DataFrame) -> DataFrame:
-    """sales with zone and before_zone as a layout gives them. layout_record: id, after_zone, before_zone."""
-    places = layout_record.select(F.col("id").alias("item_id"), F.col("after_zone").alias("zone"), "before_zone")
-    return sales.drop("zone", "before_zone").join(places, "item_id", "left")
+    """sales with zone and before_zone as a layout gives them."""
+    return sales.drop("zone", "before_zone").join(places_of(layout_record), "item_id", "left")
 
 
 def day_waves(sales: DataFrame, day: str, threshold: int = R.WAVE_THRESHOLD) -> DataFrame:

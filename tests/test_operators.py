@@ -291,3 +291,36 @@ def test_known_regions_are_not_parsed_again(spark, monkeypatch):
     monkeypatch.setattr(addresses, "pairs", pairs)
     got = {r.row_id: r.region for r in addresses.backfill(rows).collect()}
     assert got[0] == got[1] == got[3] == "台北市士林區" and got[2] == "台北市士林區"
+
+
+def test_kpi_from_layout_keeps_the_sales_once(spark, monkeypatch):
+    """Lines are written once, keys of orders once, items of orders for the window only; the layout's tables are gone before the waves."""
+    import os
+
+    from depotspark.operators import abc, copick, waves
+    from depotspark.plans import queries
+
+    written, plain = [], graph.cut_lineage
+
+    def kept(df, *by):
+        out = plain(df, *by)
+        written.append((set(df.columns), out._scratch))
+        return out
+
+    for module in (graph, abc, copick, waves, queries):
+        monkeypatch.setattr(module, "cut_lineage", kept)
+    assert queries.QUERIES["kpi_from_layout"](spark, SF).count() == 1
+    lines = [c for c, _ in written if {"ship_no", "row_id"} <= c]
+    assert len(lines) == 1 and not lines[0] & {"item_name", "item_code", "zone"}
+    assert sum({"ship_no", "k"} <= c for c, _ in written) <= 2  # all keys, and those of no rare key where some are rare
+    assert [c for c, p in written if os.path.exists(p) and {"ship_no", "k"} <= c] == []
+    s = sales(spark, SF)
+    few = s.select("ship_no").distinct().where("crc32(ship_no) % 20 = 3")
+    assert waves.of_orders(s.select("ship_no", "item_id", "qty"), few).count() == s.join(few, "ship_no", "left_semi").count() > 0
+
+
+def test_pairs_are_shuffled_without_frequencies(spark):
+    keys = spark.createDataFrame([("O1", 1), ("O1", 2), ("O2", 3)], "ship_no string, k long")
+    from depotspark.operators import copick
+
+    assert [(r.a, r.b) for r in copick.pair_rows(keys).collect()] == [(1, 2)] and copick.pair_rows(keys).columns == ["a", "b"]
